@@ -25,7 +25,7 @@ def top_numbers(existing: DataFrame, prefix: str, scope: str | None = None) -> D
     day = F.substring_index(F.substring_index("used", "-", -2), "-", 1)
     number = F.substring_index("used", "-", -1).try_cast("bigint")
     keys = ([scope] if scope else []) + ["day"]
-    return (parts.withColumn("day", F.try_to_date(day, F.lit("yyyyMMdd"))).filter("day is not null")
+    return (parts.withColumn("day", F.try_to_date(day, "yyyyMMdd")).filter("day is not null")
             .withColumn("number", number).groupBy(*keys).agg(F.max("number").alias("top")))
 
 

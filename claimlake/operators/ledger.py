@@ -20,7 +20,7 @@ def _seeds(state: DataFrame) -> DataFrame:
     return state.select(
         "claim_id", F.lit(0).cast("bigint").alias("seq"), F.lit("seed").alias("cmd"), F.col("status").alias("target"),
         F.col("evidence_refs").alias("evidence"), F.col("claim").alias("new_text"), F.col("quote").alias("new_quote"),
-        F.lit(None).cast("string").alias("reason"), F.element_at(F.col("superseded_by"), 1).alias("superseded_by"),
+        F.lit(None).cast("string").alias("reason"), F.try_element_at(F.col("superseded_by"), F.lit(1)).alias("superseded_by"),
         "claim_type", "sensitivity", "speaker", "source_refs", "proposed_status", F.col("updated").alias("date"),
         "created", "last_verified")
 

@@ -2,11 +2,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimlake.functions import text as tx
+from claimlake.session import cut_lineage
 
 # Ranking constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -16,61 +18,72 @@ SNIPPET = 200
 
 SCALE = 1e12  # scores are summed as whole multiples of 1/SCALE, so the order of the terms cannot change a sum
 DIGITS = 9  # scores are compared at this many decimals
-MAX_QUERIES = 2000  # per call: query vectors and rank cuts are carried beside every document
+MAX_QUERIES = 256  # per batch: query vectors and rank cuts are carried beside every document
 
 
 @dataclass(frozen=True)
 class Index:
-    """The lexical index as three tables: (doc_id, dl), (term, doc_id, tf), (term, df)."""
+    """The lexical index as tables: (doc_id, dl), (doc_id, dl, term, tf), (term, df) and one row of statistics.
+
+    A posting carries the length of its document, so that scoring needs no join with the documents.
+    """
 
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
+    stats: DataFrame
 
     def save(self, path: str) -> None:
         """Postings are laid out by term, so that a query reads only the files that can hold its terms."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+
+    def checkpointed(self) -> Index:
+        """The same index with each table computed once, for several searches in one application."""
+        kept = _index(cut_lineage(self.docs), cut_lineage(self.postings))
+        return Index(kept.docs, kept.postings, kept.terms, cut_lineage(kept.stats))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "terms")])
+        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "terms", "stats")])
+
+
+def _raw_idf(n: Column, df: Column) -> Column:
+    return F.round(F.ln(n - df + 0.5) - F.ln(df + 0.5), 12)
+
+
+def _index(docs: DataFrame, counts: DataFrame) -> Index:
+    """A weight depends on the document frequency alone, so its mean is taken over frequencies, not over terms."""
+    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    sizes = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    spread = terms.groupBy("df").agg(F.count(F.lit(1)).alias("n_terms")).withColumn("s", sizes.select(F.struct("*")).scalar())
+    mean = F.sum(_raw_idf(F.col("s.n_docs").cast("double"), F.col("df")) * F.col("n_terms")) / F.sum("n_terms")
+    stats = spread.agg(F.first("s.n_docs").alias("n_docs"), F.first("s.avgdl").alias("avgdl"), mean.alias("mean_idf"))
+    return Index(docs, counts, terms, stats)
 
 
 def build_index(docs: DataFrame) -> Index:
     """From (doc_id, text). Term counts are combined inside the task that reads a document, before any shuffle."""
     tokens = docs.select("doc_id", tx.tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
-    postings = (tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term")
-                .agg(F.count(F.lit(1)).alias("tf")))
-    return Index(tokens.select("doc_id", F.size("tokens").alias("dl")), postings,
-                 postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    counts = (tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+              .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    return _index(tokens.select("doc_id", F.size("tokens").alias("dl")), counts)
 
 
 def postings(docs: DataFrame) -> DataFrame:
     """(doc_id, term, tf, dl, df, n_docs, avgdl)"""
     index = build_index(docs)
-    stats = index.docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return (index.postings.join(index.docs, "doc_id").join(index.terms, "term")
-            .withColumn("stats", stats.select(F.struct("*")).scalar())
-            .select("doc_id", "term", "tf", "dl", "df", "stats.n_docs", "stats.avgdl"))
+    return (index.postings.join(index.terms, "term").withColumn("s", index.stats.select(F.struct("*")).scalar())
+            .select("doc_id", "term", "tf", "dl", "df", "s.n_docs", "s.avgdl"))
 
 
 def idf(index: Index) -> DataFrame:
-    """(term, df, idf). Terms in most documents get a small share of the mean instead of a negative weight.
-
-    The weight depends on the document frequency alone, so the mean is taken over frequencies, not over terms.
-    """
-    n = index.docs.agg(F.count(F.lit(1)).cast("double")).scalar()
-
-    def raw(df: Column, total: Column) -> Column:
-        return F.round(F.ln(total - df + 0.5) - F.ln(df + 0.5), 12)
-
-    spread = index.terms.groupBy("df").agg(F.count(F.lit(1)).alias("n_terms")).withColumn("n_docs", n)
-    mean = spread.agg(F.sum(raw(F.col("df"), F.col("n_docs")) * F.col("n_terms")) / F.sum("n_terms")).scalar()
-    weighed = index.terms.withColumn("raw", raw(F.col("df"), n))
-    floor = F.round(EPSILON * mean, 12)
-    return weighed.select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
+    """(term, df, idf). Terms in most documents get a small share of the mean instead of a negative weight."""
+    weighed = index.terms.withColumn("s", index.stats.select(F.struct("*")).scalar())
+    raw = _raw_idf(F.col("s.n_docs").cast("double"), F.col("df"))
+    return weighed.select("term", "df", F.when(raw < 0, F.round(EPSILON * F.col("s.mean_idf"), 12)).otherwise(raw).alias("idf"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -82,10 +95,9 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, index: Index) -> DataFrame:
     """(query_id, doc_id, bm) for documents that hold a term of the query."""
     asked = query_terms(queries).join(idf(index).drop("df"), "term")
-    avgdl = index.docs.agg(F.avg("dl")).scalar()
+    hits = index.postings.join(asked, "term").withColumn("avgdl", index.stats.select("avgdl").scalar())
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
-    hits = index.postings.join(asked, "term").join(index.docs, "doc_id")
-    part = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
+    part = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
     whole = F.floor(part * F.lit(SCALE) + 0.5) * F.col("n")
     sums = hits.groupBy("query_id", "doc_id").agg(F.sum(whole).alias("s"))
     return sums.select("query_id", "doc_id", F.round(F.col("s") / SCALE, DIGITS).alias("bm"))
@@ -95,25 +107,30 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def unit(vector: Column) -> Column:
-    """The vector in double precision at length one; a zero vector stays zero."""
-    wide = vector.cast("array<double>")
-    norm = F.sqrt(dot(wide, wide))
-    return F.transform(wide, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+def norm(vector: Column) -> Column:
+    """Length of a vector; 1 for the zero vector, so that it stays zero."""
+    size = F.sqrt(dot(vector, vector))
+    return F.when(size == 0, F.lit(1.0)).otherwise(size)
+
+
+def with_norm(df: DataFrame, vector: str, name: str) -> DataFrame:
+    """Replaces a vector column by a struct(v, norm) in double precision."""
+    wide = F.col(vector).cast("array<double>")
+    return df.withColumn(name, F.struct(wide.alias("v"), norm(wide).alias("norm")))
 
 
-def cosine_of(vector: Column, query: Column) -> Column:
-    """Rounded cosine of two unit vectors; 0 where one is absent or of another size."""
-    same = F.coalesce(F.size(vector) == F.size(query), F.lit(False))
-    return F.when(same, F.round(dot(vector, query), DIGITS)).otherwise(0.0)
+def cosine_of(a: Column, b: Column) -> Column:
+    """Rounded cosine of two structs(v, norm); 0 where one is absent or of another size."""
+    same = F.coalesce(F.size(a["v"]) == F.size(b["v"]), F.lit(False))
+    return F.when(same, F.round(dot(a["v"], b["v"]) / (a["norm"] * b["norm"]), DIGITS)).otherwise(0.0)
 
 
 def query_batch(queries: DataFrame, extra: tuple[str, ...] = ()) -> Column:
-    """The batch as one array value, or an error beyond ``MAX_QUERIES``: callers split larger batches."""
-    fields = ["query_id", *( ["unit"] if "vector" in queries.columns else []), *extra]
+    """The batch as one array value, which is at most ``MAX_QUERIES`` long."""
+    fields = ["query_id", *(["sense"] if "vector" in queries.columns else []), *extra]
     rows = queries.filter(~tx.is_blank(F.col("q")))
     if "vector" in queries.columns:
-        rows = rows.withColumn("unit", unit(F.col("vector")))
+        rows = with_norm(rows, "vector", "sense")
     batch = rows.agg(F.collect_list(F.struct(*fields)).alias("batch"))
     too_many = F.raise_error(F.lit(f"more than {MAX_QUERIES} queries in one batch"))
     return batch.select(F.when(F.size("batch") > MAX_QUERIES, too_many).otherwise(F.col("batch"))).scalar()
@@ -121,8 +138,8 @@ def query_batch(queries: DataFrame, extra: tuple[str, ...] = ()) -> Column:
 
 def cosine(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(query_id, doc_id, cos) of every stored vector for every query: the dense product, one narrow pass."""
-    rows = vectors.select("doc_id", unit(F.col("vector")).alias("doc_unit")).withColumn("q", F.explode(query_batch(queries)))
-    return rows.select("q.query_id", "doc_id", cosine_of(F.col("doc_unit"), F.col("q.unit")).alias("cos"))
+    rows = with_norm(vectors, "vector", "sense").select("doc_id", "sense", F.explode(query_batch(queries)).alias("q"))
+    return rows.select("q.query_id", "doc_id", cosine_of(F.col("sense"), F.col("q.sense")).alias("cos"))
 
 
 def competition_rank(scores: DataFrame, by: str, score: str, name: str) -> DataFrame:
@@ -150,15 +167,15 @@ class _Signals:
     def __init__(self, queries: DataFrame, docs: DataFrame, index: Index, vectors: DataFrame | None):
         lexical = bm25(queries, index).groupBy("doc_id").agg(
             F.map_from_entries(F.collect_list(F.struct("query_id", "bm"))).alias("bms"))
+        lexical = cut_lineage(lexical)
         base = docs.select("doc_id", "doc_ord").join(lexical, "doc_id", "left")
         if vectors is not None:
-            base = base.join(vectors.select("doc_id", F.col("vector").alias("doc_vector")), "doc_id", "left")
-            base = base.withColumn("doc_unit", unit(F.col("doc_vector"))).drop("doc_vector")
+            base = base.join(with_norm(vectors, "vector", "sense").select("doc_id", "sense"), "doc_id", "left")
         self.base, self.has_vectors = base, vectors is not None
 
     def rows(self, batch: Column, *extra: str) -> DataFrame:
         rows = self.base.withColumn("q", F.explode(batch))
-        cos = cosine_of(F.col("doc_unit"), F.col("q.unit")) if self.has_vectors else F.lit(0.0)
+        cos = cosine_of(F.col("sense"), F.col("q.sense")) if self.has_vectors else F.lit(0.0)
         bm = F.coalesce(F.col("bms")[F.col("q.query_id")], F.lit(0.0))
         return rows.select("q.query_id", "doc_id", "doc_ord", bm.alias("bm"), cos.alias("cos"), *[f"q.{e}" for e in extra])
 
@@ -183,43 +200,54 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, index: Index, vectors: Da
     """(query_id, position, doc_id, bm_rank, cos_rank, score) of the k best documents per query (query_id, q[, vector]).
 
     Score: 1 / (60 + rank by BM25) + 1 / (60 + rank by cosine), ranks from 0 over all documents, ties by ``doc_ord``.
-    Without ``vectors`` the cosine is 0 for all and BM25 decides.
+    Without ``vectors`` the cosine is 0 for all and BM25 decides. Many queries are answered in several batches.
 
     Ranks over all documents are needed for few of them. With T = 58 + 3k take the first T by (bm, cos, doc_ord) and the
     first T by (cos, bm, doc_ord). A document in neither list either has k documents before it that are at least as good
     in both scores, or both its ranks are 58 + 2k or more, which gives less than 1 / (59 + k), and the first k by BM25
     have more than that. So the k best are among these candidates. One more pass counts, for the candidates' scores only,
     the documents above them. Per query a task sends T rows and then at most 2T counts, whatever the corpus holds.
+    The scores by word and the candidates are written to the checkpoint folder, as three jobs use them.
     """
     asked = queries if vectors is not None else queries.drop("vector")
-    signals = _Signals(asked, docs, index, vectors)
-    scored = signals.rows(query_batch(asked))
-    depth = 58 + 3 * k
+    batches = max(1, -(-asked.count() // (MAX_QUERIES // 2)))
+    group = F.pmod(F.xxhash64("query_id"), F.lit(batches))
+    parts = [_search_batch(asked.filter(group == i), docs, index, vectors, k) for i in range(batches)]
+    return reduce(DataFrame.unionByName, parts)
+
 
+def _candidates(scored: DataFrame, depth: int) -> DataFrame:
     def first(*order: Column) -> DataFrame:
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
         return scored.withColumn("_place", place).filter(F.col("_place") <= depth).drop("_place")
 
     by_bm = first(F.desc("bm"), F.desc("cos"), F.asc("doc_ord"))
     by_cos = first(F.desc("cos"), F.desc("bm"), F.asc("doc_ord"))
-    candidates = by_bm.unionByName(by_cos).distinct()
-    cut_lists = candidates.groupBy("query_id").agg(_cuts(F.collect_set("bm")).alias("bm_cuts"), _cuts(F.collect_set("cos")).alias("cos_cuts"))
-    carried = asked.join(cut_lists, "query_id")
+    return cut_lineage(by_bm.unionByName(by_cos).distinct())
+
+
+def _ranks(above: DataFrame, cuts: DataFrame, side: str) -> DataFrame:
+    """(query_id, <side>_rank): for each cut the number of documents above it, from counts by position."""
+    counts = (above.filter(F.col("side") == side).groupBy("query_id")
+              .agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("found")))
+    flat = cuts.select("query_id", F.posexplode(F.flatten(F.col(f"{side}_cuts.rows"))).alias("at", side))
+    upto = Window.partitionBy("query_id").orderBy("at")
+    here = F.coalesce(F.col("found")[F.col("at")], F.lit(0))
+    return flat.join(counts, "query_id").select("query_id", side, F.sum(here).over(upto).alias(f"{side}_rank"))
+
+
+def _search_batch(asked: DataFrame, docs: DataFrame, index: Index, vectors: DataFrame | None, k: int) -> DataFrame:
+    signals = _Signals(asked, docs, index, vectors)
+    candidates = _candidates(signals.rows(query_batch(asked)), 58 + 3 * k)
+    cuts = candidates.groupBy("query_id").agg(_cuts(F.collect_set("bm")).alias("bm_cuts"), _cuts(F.collect_set("cos")).alias("cos_cuts"))
+    carried = asked.join(cuts, "query_id")
     counted = signals.rows(query_batch(carried, ("bm_cuts", "cos_cuts")), "bm_cuts", "cos_cuts")
-    places = counted.select("query_id", F.explode(F.array(
-        F.struct(F.lit("bm").alias("side"), _position(F.col("bm"), F.col("bm_cuts")).alias("at")),
-        F.struct(F.lit("cos").alias("side"), _position(F.col("cos"), F.col("cos_cuts")).alias("at")))).alias("p"))
-    above = places.groupBy("query_id", "p.side", "p.at").agg(F.count(F.lit(1)).alias("n"))
-    histogram = above.groupBy("query_id").agg(*[
-        F.collect_list(F.when(F.col("side") == s, F.struct("at", "n"))).alias(f"{s}_above") for s in ("bm", "cos")])
-
-    def rank(score: str) -> Column:
-        cuts = F.col(f"{score}_cuts")
-        ahead = F.array_position(F.flatten(cuts["rows"]), F.col(score)) - 1
-        return F.aggregate(F.filter(f"{score}_above", lambda h: h["at"] <= ahead), F.lit(0).cast("bigint"), lambda s, h: s + h["n"])
-
-    ranked = (candidates.join(cut_lists, "query_id").join(histogram, "query_id")
-              .withColumn("bm_rank", rank("bm")).withColumn("cos_rank", rank("cos")))
+    # both sides as rows of their own, so that each score is computed before it meets its cuts
+    sides = counted.select("query_id", F.explode(F.array(*[
+        F.struct(F.lit(s).alias("side"), F.col(s).alias("score"), F.col(f"{s}_cuts").alias("cuts")) for s in ("bm", "cos")])).alias("s"))
+    above = (sides.select("query_id", "s.side", _position(F.col("s.score"), F.col("s.cuts")).alias("at"))
+             .groupBy("query_id", "side", "at").agg(F.count(F.lit(1)).alias("n")))
+    ranked = candidates.join(_ranks(above, cuts, "bm"), ["query_id", "bm"]).join(_ranks(above, cuts, "cos"), ["query_id", "cos"])
     score = F.lit(1.0) / (RRF + F.col("bm_rank")) + F.lit(1.0) / (RRF + F.col("cos_rank"))
     order = Window.partitionBy("query_id").orderBy(F.desc("_score"), F.asc("doc_ord"))
     return (ranked.withColumn("_score", score).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
@@ -246,5 +274,4 @@ def refresh_index(index: Index, changes: DataFrame, new: DataFrame) -> Index:
     stale = changes.filter(F.col("change") != "same").select("doc_id")
     fresh = build_index(new.join(changes.filter(F.col("change").isin("added", "changed")).select("doc_id"), "doc_id", "left_semi"))
     docs = index.docs.join(stale, "doc_id", "left_anti").unionByName(fresh.docs)
-    kept = index.postings.join(stale, "doc_id", "left_anti").unionByName(fresh.postings)
-    return Index(docs, kept, kept.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    return _index(docs, index.postings.join(stale, "doc_id", "left_anti").unionByName(fresh.postings))

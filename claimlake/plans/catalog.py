@@ -571,7 +571,7 @@ def bm25_idf(t: Tables) -> DataFrame:
 
 @query
 def bm25_score(t: Tables) -> DataFrame:
-    scores = search.bm25(t.queries(), search.build_index(t.documents()))
+    scores = search.bm25(t.queries(), search.build_index(t.documents()).checkpointed())
     return scores.select("query_id", "doc_id", F.round("bm", 6).alias("bm"))
 
 
@@ -625,20 +625,20 @@ def competition_rank(t: Tables) -> DataFrame:
 @query
 def hybrid_topk(t: Tables) -> DataFrame:
     docs = t.search_documents()
-    return search.hybrid_search(t.queries(), docs, search.build_index(docs), t.vectors())
+    return search.hybrid_search(t.queries(), docs, search.build_index(docs).checkpointed(), t.vectors())
 
 
 @query
 def hybrid_hits(t: Tables) -> DataFrame:
     docs = t.search_documents()
-    found = search.hybrid_search(t.queries(), docs, search.build_index(docs), t.vectors())
+    found = search.hybrid_search(t.queries(), docs, search.build_index(docs).checkpointed(), t.vectors())
     return search.search_hits(found, docs)
 
 
 @query
 def bm25_topk(t: Tables) -> DataFrame:
     docs = t.search_documents()
-    found = search.hybrid_search(t.queries(), docs, search.build_index(docs), None)
+    found = search.hybrid_search(t.queries(), docs, search.build_index(docs).checkpointed(), None)
     return found.withColumn("degraded", F.lit(True))
 
 

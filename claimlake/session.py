@@ -1,6 +1,8 @@
 """Session defaults and the checkpoint rule."""
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE sizes shuffles and splits skewed join partitions at run time, so the static partition count only
@@ -11,6 +13,7 @@ CONFIG = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
@@ -28,8 +31,15 @@ def build_session(app: str = "claimlake", master: str | None = None, **extra: st
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder the cluster names; without one the plan is left alone."""
+    """Writes ``df`` to the shared checkpoint folder that the cluster names, and reads it from there.
+
+    A local session without such a folder gets one of its own. On a cluster without one the plan stays as it is: slower,
+    but safe when executors are lost.
+    """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        return df
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            return df
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="claimlake-"))
     return df.checkpoint()

@@ -88,8 +88,10 @@ def parse_frontmatter(docs: DataFrame) -> DataFrame:
     Only the frontmatter crosses to Python; texts and bodies are cut in the JVM and stay there.
     """
     front, rest = _fences(F.col("text"))
+    # not to be copied into every filter that looks at its result
+    read = F.pandas_udf(_read_yaml, "string").asNondeterministic()
     parsed = docs.withColumn("front", front).withColumn(
-        "keys", F.from_json(F.pandas_udf(_read_yaml, "string")("front"), "state string, meta map<string,string>, lists map<string,array<string>>"))
+        "keys", F.from_json(read("front"), "state string, meta map<string,string>, lists map<string,array<string>>"))
     meta = F.coalesce(F.col("keys.meta"), F.create_map().cast("map<string,string>"))
     lists = F.coalesce(F.col("keys.lists"), F.create_map().cast("map<string,array<string>>"))
     is_doc = F.coalesce(F.col("keys.state") == "ok", F.lit(False))

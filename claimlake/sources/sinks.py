@@ -50,8 +50,7 @@ def _scalar(key: str, col: Column) -> Column:
 
 
 def _json_string(text: Column) -> Column:
-    wrapped = F.to_json(F.struct(text.alias("v")))
-    return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
+    return F.regexp_replace(F.to_json(F.struct(text.alias("v"))), r'^\{"v":|\}\z', "")
 
 
 def _list(key: str, col: Column) -> Column:
