@@ -280,9 +280,14 @@ def normalize_key(t: Tables) -> DataFrame:
     return ledger.with_key(t.claims()).select("id", "key")
 
 
+def _reworded():
+    """The first line in another case and punctuation."""
+    return F.replace(F.lower(F.split("text", "\n")[0]), F.lit(" "), F.lit(" - "))
+
+
 @query
 def find_similar(t: Tables) -> DataFrame:
-    probes = t.documents().select(F.col("doc_id").alias("probe_id"), F.upper(F.split("text", "\n")[0]).alias("text"),
+    probes = t.documents().select(F.col("doc_id").alias("probe_id"), _reworded().alias("text"),
                                   F.expr("case when doc_id % 4 = 0 then concat('SPK', doc_id % 2) end").alias("speaker"))
     return ledger.find_similar(probes, t.claims())[0]
 
@@ -290,7 +295,7 @@ def find_similar(t: Tables) -> DataFrame:
 @query
 def similar_members(t: Tables) -> DataFrame:
     probes = t.documents().filter("doc_id % 2 = 0").select(
-        F.col("doc_id").alias("probe_id"), F.upper(F.split("text", "\n")[0]).alias("text"), F.lit("").alias("speaker"))
+        F.col("doc_id").alias("probe_id"), _reworded().alias("text"), F.lit("").alias("speaker"))
     return ledger.find_similar(probes, t.claims())[1].select("key", "n", _joined("ids").alias("ids"))
 
 
