@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.sources.sinks import read_table
+
 # Limits of the embedding job, and the prefixes of models that want them.
 MAX_CHARS, BATCH, ATTEMPTS, GIVE_UP_CHARS = 16000, 96, 4, 512
 NO_PREFIXES, E5_PREFIXES = ("", ""), ("passage: ", "query: ")
@@ -115,19 +117,13 @@ def update_cache(inputs: DataFrame, cache_path: str, make_embed: Callable[[], Em
     schema = "key string, vector array<double>, embed_status string, model_tag string"
 
     def read() -> DataFrame:
-        return spark.read.schema(schema).parquet(cache_path)
+        return read_table(spark, cache_path, schema)
 
     def write(rows: DataFrame, mode: str) -> None:
         (zero_fill(rows).withColumn("model_tag", F.lit(tag)).write.mode(mode)
          .option("partitionOverwriteMode", "dynamic").partitionBy("model_tag").parquet(cache_path))
 
-    try:
-        cache = read()
-        cache.head(1)
-    except Exception as error:  # only a missing path means an empty cache
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        cache = spark.createDataFrame([], schema)
+    cache = read()
     missing = cache_missing(inputs, cache, tag)
     write(embed(missing, make_embed, wait), "append")
     joined = inputs.select("doc_id", "key").join(read().filter(F.col("model_tag") == tag).select("key", "vector"), "key")

@@ -42,7 +42,7 @@ class Index:
 
     def checkpointed(self) -> Index:
         """The same index with each table computed once, for several searches in one application."""
-        kept = _index(cut_lineage(self.docs), cut_lineage(self.postings))
+        kept = index_of(cut_lineage(self.docs), cut_lineage(self.postings))
         return Index(kept.docs, kept.postings, kept.terms, cut_lineage(kept.stats))
 
     @classmethod
@@ -54,7 +54,7 @@ def _raw_idf(n: Column, df: Column) -> Column:
     return F.round(F.ln(n - df + 0.5) - F.ln(df + 0.5), 12)
 
 
-def _index(docs: DataFrame, counts: DataFrame) -> Index:
+def index_of(docs: DataFrame, counts: DataFrame) -> Index:
     """A weight depends on the document frequency alone, so its mean is taken over frequencies, not over terms."""
     terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     sizes = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
@@ -69,7 +69,7 @@ def build_index(docs: DataFrame) -> Index:
     tokens = docs.select("doc_id", tx.tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
     counts = (tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
               .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    return _index(tokens.select("doc_id", F.size("tokens").alias("dl")), counts)
+    return index_of(tokens.select("doc_id", F.size("tokens").alias("dl")), counts)
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -274,4 +274,4 @@ def refresh_index(index: Index, changes: DataFrame, new: DataFrame) -> Index:
     stale = changes.filter(F.col("change") != "same").select("doc_id")
     fresh = build_index(new.join(changes.filter(F.col("change").isin("added", "changed")).select("doc_id"), "doc_id", "left_semi"))
     docs = index.docs.join(stale, "doc_id", "left_anti").unionByName(fresh.docs)
-    return _index(docs, index.postings.join(stale, "doc_id", "left_anti").unionByName(fresh.postings))
+    return index_of(docs, index.postings.join(stale, "doc_id", "left_anti").unionByName(fresh.postings))

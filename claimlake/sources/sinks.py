@@ -1,7 +1,8 @@
 """Logs, indexes, partitioned ledgers and rendered documents."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlake.functions import text as tx
@@ -9,6 +10,16 @@ from claimlake.schema import PAGE_FOLDER, STATUS_FOLDER
 from claimlake.skew import latest_per_key
 
 
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that may not have been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def append_log(lines: DataFrame, path: str) -> None:
     """(ts, line) rows added to a log that is never rewritten."""
     (lines.select("ts", F.concat(F.lit("- "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" - "), F.col("line"))
