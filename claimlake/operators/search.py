@@ -18,6 +18,7 @@ SNIPPET = 200
 
 SCALE = 1e12  # scores are summed as whole multiples of 1/SCALE, so the order of the terms cannot change a sum
 DIGITS = 9  # scores are compared at this many decimals
+MAX_TERMS = 500_000  # (query, term) pairs that may be broadcast, some 30 MB
 MAX_QUERIES = 256  # per batch: query vectors and rank cuts are carried beside every document
 
 
@@ -65,11 +66,18 @@ def index_of(docs: DataFrame, counts: DataFrame) -> Index:
 
 
 def build_index(docs: DataFrame) -> Index:
-    """From (doc_id, text). Term counts are combined inside the task that reads a document, before any shuffle."""
-    tokens = docs.select("doc_id", tx.tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
-    counts = (tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-              .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    return index_of(tokens.select("doc_id", F.size("tokens").alias("dl")), counts)
+    """From (doc_id, text). Terms are counted inside the row that holds the document, so postings need no shuffle.
+
+    The sorted tokens of a document show each term as a run; a run's length is the term's count.
+    """
+    tokens = docs.select("doc_id", F.sort_array(tx.tokenize(F.coalesce("text", F.lit("")))).alias("said"))
+    said, starts = F.col("said"), F.col("starts")
+    runs = tokens.withColumn("dl", F.size("said")).filter("dl > 0").withColumn("starts", F.filter(
+        F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get(said, i) != F.get(said, i - 1))))
+    counted = F.transform(starts, lambda at, i: F.struct(
+        F.get(said, at).alias("term"), (F.coalesce(F.get(starts, i + 1), F.col("dl")) - at).cast("bigint").alias("tf")))
+    counts = runs.select("doc_id", "dl", F.explode(counted).alias("c")).select("doc_id", "dl", "c.term", "c.tf")
+    return index_of(tokens.select("doc_id", F.size("said").alias("dl")), counts)
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -93,8 +101,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def bm25(queries: DataFrame, index: Index) -> DataFrame:
-    """(query_id, doc_id, bm) for documents that hold a term of the query."""
-    asked = query_terms(queries).join(idf(index).drop("df"), "term")
+    """(query_id, doc_id, bm) for documents that hold a term of the query.
+
+    The terms asked for are counted first. Up to ``MAX_TERMS`` they go to the postings, which then are only filtered and
+    summed up where they lie; beyond that both sides meet by a shuffle on the term.
+    """
+    terms = query_terms(queries)
+    send = F.broadcast if terms.count() <= MAX_TERMS else (lambda df: df)
+    asked = send(idf(index).drop("df").join(send(terms), "term"))
     hits = index.postings.join(asked, "term").withColumn("avgdl", index.stats.select("avgdl").scalar())
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     part = F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))

@@ -125,7 +125,7 @@ def embed_gate(t: Tables) -> DataFrame:
 # --- capture and cleaning -------------------------------------------------------------------------------------------
 
 def _drawings(t: Tables) -> DataFrame:
-    return t.raw("pages").selectExpr("page_id", """case page_id % 5
+    return t.html().selectExpr("page_id", """case page_id % 5
         when 0 then concat(html, '<svg width="9"><foreignObject><p>', url, ' drawn as text in the page &amp; kept</p></foreignObject></svg>')
         when 1 then concat('<svg aria-label="', url, '"></svg>', html)
         when 2 then concat(html, '<svg><text>', page_id, '</text><text> axis</text></svg><svg></svg>')
@@ -144,7 +144,7 @@ def svg_totals(t: Tables) -> DataFrame:
 
 @query
 def html_markdown(t: Tables) -> DataFrame:
-    return t.raw("pages").select("page_id", tx.html_to_markdown(F.col("html")).alias("markdown"))
+    return t.html().select("page_id", tx.html_to_markdown(F.col("html")).alias("markdown"))
 
 
 @query

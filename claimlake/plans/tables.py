@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlake.schema import CLAIM_TYPES, PAGE_TYPES
-from claimlake.sources.sinks import status_folder
+from claimlake.sources import sinks
 
 AS_OF = "2024-01-20"
 DAY = "date_add(DATE'2024-01-01', cast(doc_id % 30 as int))"
@@ -25,11 +25,17 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self) -> DataFrame:
+        return sinks.read_spread(self.spark, f"{self.folder}/documents.parquet", "doc_id")
+
+    def html(self) -> DataFrame:
+        return sinks.read_spread(self.spark, f"{self.folder}/pages.parquet", "page_id")
+
     def documents(self) -> DataFrame:
-        return self.raw("documents").select("doc_id", "text")
+        return self.texts().select("doc_id", "text")
 
     def sources(self) -> DataFrame:
-        return self.raw("documents").selectExpr(
+        return self.texts().selectExpr(
             "doc_id", f"format_string('source-%s-%03d', date_format({DAY}, 'yyyyMMdd'), {SEQ}) id", "source origin",
             f"{DAY} captured_at",
             "case doc_id % 3 when 0 then 'personal' when 1 then 'work' else 'confidential' end sensitivity",
@@ -37,16 +43,16 @@ class Tables:
 
     def claims(self) -> DataFrame:
         labels = self.raw("labels")
-        line = lambda i: F.coalesce(F.try_element_at(F.split("text", "\n"), F.lit(i)), F.lit(""))
-        b = (self.documents().withColumn("l1", line(1)).withColumn("l2", line(2)).withColumn("l3", line(3))
-             .drop("text").join(labels, "doc_id", "left"))
+        head = self.raw("documents").select("doc_id", F.split("text", "\n", 4).alias("lines"))
+        third = F.coalesce(F.try_element_at("lines", F.lit(3)), F.lit(""))
+        b = head.select("doc_id", F.element_at("lines", 1).alias("l1"), third.alias("l3")).join(labels, "doc_id", "left")
         c = b.selectExpr(
             "*", f"format_string('source-%s-%03d', date_format({DAY}, 'yyyyMMdd'), {SEQ}) sid", f"{DAY} captured_at",
             """case when quality is null then case doc_id % 4 when 0 then 'accepted_for_now' when 1 then 'partially_true'
                  else 'unverified' end
                when quality = 1 and toxic = 0 then 'verified' when quality = 1 then 'disputed'
                when toxic = 0 then 'attributed' else 'rejected' end status""")
-        c = c.withColumn("folder", F.when(F.expr("doc_id % 17 = 0"), "rejected").otherwise(status_folder(F.col("status"))))
+        c = c.withColumn("folder", F.when(F.expr("doc_id % 17 = 0"), "rejected").otherwise(sinks.status_folder(F.col("status"))))
         return c.selectExpr(
             "doc_id", "replace(sid, 'source', 'claim') id", "status", "folder", "l1 claim",
             "case when doc_id % 5 = 0 then concat('spk', doc_id % 2) end speaker",
@@ -79,10 +85,10 @@ class Tables:
                  else array_join(claim_refs, ' ') end body""")
 
     def clips(self) -> DataFrame:
-        return self.raw("pages").selectExpr("page_id", "concat('00_Inbox/', page_id, '.md') path", "url", "html text")
+        return self.html().selectExpr("page_id", "concat('00_Inbox/', page_id, '.md') path", "url", "html text")
 
     def page_sources(self) -> DataFrame:
-        return self.raw("pages").filter("page_id % 3 < 2").selectExpr(
+        return self.html().filter("page_id % 3 < 2").selectExpr(
             "page_id", "format_string('source-20240201-%03d', page_id) id", "url",
             r"concat('## Raw\n\n', case when page_id % 3 = 0 then html else 'older capture' end) body")
 
@@ -122,7 +128,7 @@ class Tables:
 
     def search_documents(self) -> DataFrame:
         """Search rows in document order."""
-        return self.raw("documents").selectExpr(
+        return self.texts().selectExpr(
             "doc_id", "doc_id doc_ord", "concat('doc-', doc_id) ref", "split(text, '\\n')[0] title", "text",
             "case doc_id % 3 when 0 then 'personal' when 1 then 'work' else 'confidential' end sensitivity",
             "doc_id % 8 = 0 pre_ingest")

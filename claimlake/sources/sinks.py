@@ -20,6 +20,15 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def read_spread(spark: SparkSession, path: str, key: str, small: int = 256 << 20) -> DataFrame:
+    """A table of long texts. A small file is one row group and would be worked on by one task, so it is spread over the
+    cores by ``key``; a table beyond ``small`` bytes has parts enough and is read as it lies.
+    """
+    df = spark.read.parquet(path)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism, key) if size < small else df
+
+
 def append_log(lines: DataFrame, path: str) -> None:
     """(ts, line) rows added to a log that is never rewritten."""
     (lines.select("ts", F.concat(F.lit("- "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(" - "), F.col("line"))
