@@ -1,6 +1,7 @@
 """Column expressions over text. All of them stay inside the JVM."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -65,6 +66,11 @@ def is_blank(col: Column) -> Column:
     return F.coalesce(strip(col) == "", F.lit(True))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, even where ``then`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def filled(col: Column) -> Column:
     """The value, or null when it is the empty string."""
     return F.nullif(col, F.lit(""))

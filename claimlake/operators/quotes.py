@@ -163,10 +163,13 @@ def review_marks(claims: DataFrame, sources: DataFrame) -> DataFrame:
     quote, hay = F.col("quote"), F.col("hay")
     folded = tx.squash(quote)
     absent = F.filter(pieces(quote), lambda p: ~hay.contains(p))
-    spelled = F.concat(*[F.when(folded.rlike(rf"(?iU)\b{w}\b"), F.lit(" " + d)).otherwise("") for w, d in NUMBER_WORDS.items()])
-    said = F.concat(_bare_numbers(folded), spelled)
+
+    def said(text: Column) -> Column:
+        spelled = [F.when(text.rlike(rf"(?iU)\b{w}\b"), F.lit(" " + d)).otherwise("") for w, d in NUMBER_WORDS.items()]
+        return F.concat(_bare_numbers(text), *spelled)
+
     numbers = F.regexp_extract_all(_bare_numbers(tx.squash(F.col("claim"))), F.lit(r"([0-9]+(?:[.,][0-9]+)*)"), F.lit(1))
-    unread = F.array_distinct(F.filter(numbers, lambda t: ~said.contains(t)))
+    unread = tx.let(tx.let(folded, said), lambda s: F.array_distinct(F.filter(numbers, lambda t: ~s.contains(t))))
     mark = lambda name, detail: F.struct(F.lit(name).alias("mark"), detail.alias("detail"))
     unnamed = F.col("proposed_status").isin("attributed", "opinion") & tx.filled(F.col("speaker")).isNull()
     found = F.array_compact(F.array(

@@ -152,8 +152,10 @@ def query_batch(queries: DataFrame, extra: tuple[str, ...] = ()) -> Column:
 
 def cosine(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(query_id, doc_id, cos) of every stored vector for every query: the dense product, one narrow pass."""
-    rows = with_norm(vectors, "vector", "sense").select("doc_id", "sense", F.explode(query_batch(queries)).alias("q"))
-    return rows.select("q.query_id", "doc_id", cosine_of(F.col("sense"), F.col("q.sense")).alias("cos"))
+    rows = with_norm(vectors, "vector", "sense").withColumn("batch", query_batch(queries))
+    rows = rows.withColumn("s", F.explode(F.transform("batch", lambda q: F.struct(
+        q["query_id"].alias("query_id"), cosine_of(F.col("sense"), q["sense"]).alias("cos")))))
+    return rows.select("s.query_id", "doc_id", "s.cos")
 
 
 def competition_rank(scores: DataFrame, by: str, score: str, name: str) -> DataFrame:
@@ -187,18 +189,35 @@ class _Signals:
             base = base.join(with_norm(vectors, "vector", "sense").select("doc_id", "sense"), "doc_id", "left")
         self.base, self.has_vectors = base, vectors is not None
 
-    def rows(self, batch: Column, *extra: str) -> DataFrame:
-        rows = self.base.withColumn("q", F.explode(batch))
-        cos = cosine_of(F.col("sense"), F.col("q.sense")) if self.has_vectors else F.lit(0.0)
-        bm = F.coalesce(F.col("bms")[F.col("q.query_id")], F.lit(0.0))
-        return rows.select("q.query_id", "doc_id", "doc_ord", bm.alias("bm"), cos.alias("cos"), *[f"q.{e}" for e in extra])
+    def scores(self) -> Column:
+        """Per query of the batch struct(query_id, bm, cos); the queries' vectors are read in place, not copied to rows."""
+        def score(q: Column) -> Column:
+            cos = cosine_of(F.col("sense"), q["sense"]) if self.has_vectors else F.lit(0.0)
+            bm = F.coalesce(F.col("bms")[q["query_id"]], F.lit(0.0))
+            return F.struct(q["query_id"].alias("query_id"), bm.alias("bm"), cos.alias("cos"))
+        return F.transform("batch", score)
+
+    def rows(self, batch: Column) -> DataFrame:
+        scored = self.base.withColumn("batch", batch).select("doc_id", "doc_ord", F.explode(self.scores()).alias("s"))
+        return scored.select("s.query_id", "doc_id", "doc_ord", "s.bm", "s.cos")
+
+    def places(self, batch: Column) -> DataFrame:
+        """(query_id, side, at): where each score lies among the cuts that its query carries."""
+        def place(s: Column, i: Column) -> Column:
+            q = F.get("batch", i)
+            return F.struct(s["query_id"].alias("query_id"), _position(s["bm"], q["bm_cuts"]).alias("bm"),
+                            _position(s["cos"], q["cos_cuts"]).alias("cos"))
+        placed = self.base.withColumn("batch", batch).select(F.explode(F.transform(self.scores(), place)).alias("p"))
+        sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"p.{s}").alias("at")) for s in ("bm", "cos")])
+        return placed.select("p.query_id", F.explode(sides).alias("s")).select("query_id", "s.side", "s.at")
 
 
 def _position(score: Column, cuts: Column) -> Column:
     """How many of the descending cuts are at least the score. Two levels, so that a row meets few of them."""
-    heads = F.size(F.filter(cuts["heads"], lambda h: h >= score))
-    row = F.get(cuts["rows"], heads - 1)
-    return F.when(heads == 0, 0).otherwise((heads - 1) * cuts["width"] + F.size(F.filter(row, lambda c: c >= score)))
+    def inside(heads: Column) -> Column:
+        row = F.get(cuts["rows"], heads - 1)
+        return F.when(heads == 0, 0).otherwise((heads - 1) * cuts["width"] + F.size(F.filter(row, lambda c: c >= score)))
+    return tx.let(F.size(F.filter(cuts["heads"], lambda h: h >= score)), inside)
 
 
 def _cuts(values: Column) -> Column:
@@ -221,7 +240,7 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, index: Index, vectors: Da
     in both scores, or both its ranks are 58 + 2k or more, which gives less than 1 / (59 + k), and the first k by BM25
     have more than that. So the k best are among these candidates. One more pass counts, for the candidates' scores only,
     the documents above them. Per query a task sends T rows and then at most 2T counts, whatever the corpus holds.
-    The scores by word and the candidates are written to the checkpoint folder, as three jobs use them.
+    The scores by word, the candidates and the counts are written to the checkpoint folder, as later jobs use them twice.
     """
     asked = queries if vectors is not None else queries.drop("vector")
     batches = max(1, -(-asked.count() // (MAX_QUERIES // 2)))
@@ -255,12 +274,8 @@ def _search_batch(asked: DataFrame, docs: DataFrame, index: Index, vectors: Data
     candidates = _candidates(signals.rows(query_batch(asked)), 58 + 3 * k)
     cuts = candidates.groupBy("query_id").agg(_cuts(F.collect_set("bm")).alias("bm_cuts"), _cuts(F.collect_set("cos")).alias("cos_cuts"))
     carried = asked.join(cuts, "query_id")
-    counted = signals.rows(query_batch(carried, ("bm_cuts", "cos_cuts")), "bm_cuts", "cos_cuts")
-    # both sides as rows of their own, so that each score is computed before it meets its cuts
-    sides = counted.select("query_id", F.explode(F.array(*[
-        F.struct(F.lit(s).alias("side"), F.col(s).alias("score"), F.col(f"{s}_cuts").alias("cuts")) for s in ("bm", "cos")])).alias("s"))
-    above = (sides.select("query_id", "s.side", _position(F.col("s.score"), F.col("s.cuts")).alias("at"))
-             .groupBy("query_id", "side", "at").agg(F.count(F.lit(1)).alias("n")))
+    places = signals.places(query_batch(carried, ("bm_cuts", "cos_cuts")))
+    above = cut_lineage(places.groupBy("query_id", "side", "at").agg(F.count(F.lit(1)).alias("n")))
     ranked = candidates.join(_ranks(above, cuts, "bm"), ["query_id", "bm"]).join(_ranks(above, cuts, "cos"), ["query_id", "cos"])
     score = F.lit(1.0) / (RRF + F.col("bm_rank")) + F.lit(1.0) / (RRF + F.col("cos_rank"))
     order = Window.partitionBy("query_id").orderBy(F.desc("_score"), F.asc("doc_ord"))
