@@ -17,7 +17,7 @@ NO_PREFIXES, E5_PREFIXES = ("", ""), ("passage: ", "query: ")
 Embed = Callable[[list[str]], list[list[float]]]
 
 
-class Unavailable(RuntimeError):
+class Unavailable(ConnectionError):
     """The service cannot answer now. Worth another attempt, and no reason to stop searching by words."""
 
 
@@ -25,6 +25,9 @@ class Rejected(ValueError):
     """The service refuses this input whatever the attempt."""
 
 
+# The built-in parents are what is caught: they are the same classes in every worker, however the embedder got there.
+
+
 def embed_input(docs: DataFrame, prefix: str = "") -> DataFrame:
     """(doc_id, input, key) of documents that may be sent; the key is a digest of what is sent."""
     sent = docs.filter("send") if "send" in docs.columns else docs
@@ -58,7 +61,7 @@ def _ask(embed: Embed, texts: list[str], wait: float) -> list[list[float]]:
     for attempt in range(ATTEMPTS):
         try:
             vectors = embed(texts)
-        except Unavailable:
+        except ConnectionError:
             if attempt == ATTEMPTS - 1:
                 raise
             time.sleep(wait * 2 ** attempt)
@@ -75,7 +78,7 @@ def _one(embed: Embed, text: str, wait: float) -> tuple[list[float], str]:
     while True:
         try:
             return _ask(embed, [text], wait)[0], "ok" if text is whole else "shortened"
-        except Rejected:
+        except ValueError:
             if len(text) <= GIVE_UP_CHARS:
                 return [], "refused"
             text = text[:len(text) // 2]
@@ -96,7 +99,7 @@ def embed(inputs: DataFrame, make_embed: Callable[[], Embed], wait: float = 1.0)
                 texts = part["input"].tolist()
                 try:
                     rows = [(v, "ok") for v in _ask(ask, texts, wait)]
-                except Rejected:
+                except ValueError:
                     rows = [_one(ask, t, wait) for t in texts]
                 yield pd.DataFrame({"key": part["key"].tolist(), "vector": [r[0] for r in rows],
                                     "embed_status": [r[1] for r in rows]})
