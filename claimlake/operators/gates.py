@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from claimlake.functions import text as tx
 from claimlake.schema import SENSITIVITIES, SHARED_ROOTS
+from claimlake.skew import skew_join
 
 
 def outside(col: Column, allowed: tuple[str, ...]) -> Column:
@@ -53,7 +54,7 @@ def source_rank(claims: DataFrame, sources: DataFrame) -> DataFrame:
     known = (sources.select(F.col("id").alias("ref"), F.coalesce(tx.rank_of(F.col("sensitivity"), SENSITIVITIES), F.lit(0)).alias("rank"))
              .filter("rank > 0").groupBy("ref").agg(F.max("rank").alias("rank")))
     refs = claims.select("path", F.explode("source_refs").alias("ref")).filter(tx.is_doc_id(F.col("ref"), "source"))
-    return refs.join(known, "ref").groupBy("path").agg(F.max("rank").alias("rank"))
+    return skew_join(refs, known, ["ref"], "inner", ["path"]).groupBy("path").agg(F.max("rank").alias("rank"))
 
 
 def inherit_sensitivity(claims: DataFrame, sources: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def revise_sources(sources: DataFrame, revisions: DataFrame) -> tuple[DataFrame,
 def triage(sources: DataFrame, decisions: DataFrame) -> DataFrame:
     """Decisions (source_id, decision) with ``rejection`` and the log ``line`` of the accepted ones."""
     known = resolver(sources).select(F.col("key").alias("source_id"), F.lit(True).alias("_known"))
-    judged = decisions.join(known, "source_id", "left").withColumn("rejection", first_reason({
+    judged = skew_join(decisions, known, ["source_id"], "left", decisions.columns).withColumn("rejection", first_reason({
         "unknown decision": outside(F.col("decision"), TRIAGE_DECISIONS),
         "bad id": ~tx.is_doc_id(F.col("source_id"), "source"), "no source": F.col("_known").isNull()}))
     line = F.concat(F.lit("triage "), "source_id", F.lit(" -> "), "decision")

@@ -11,7 +11,7 @@ from claimlake.operators import quotes
 from claimlake.operators.intake import stem
 from claimlake.operators.ledger import duplicate_groups
 from claimlake.schema import ID_PREFIXES, PAGE_TYPES
-from claimlake.skew import chunked_groups
+from claimlake.skew import chunked_groups, skew_join
 from claimlake.sources.sinks import status_folder
 
 SEVERITIES = ("error", "warning", "info")
@@ -99,7 +99,7 @@ def references(records: DataFrame, fields=("source_refs", "evidence_refs", "clai
 def dangling_ref(refs: DataFrame, known: DataFrame) -> DataFrame:
     """``known`` is (id). Only references that look like ids can dangle."""
     ids = known.select(F.col("id").alias("ref")).distinct()
-    lost = refs.filter(tx.is_doc_id(F.col("ref"), *ID_PREFIXES)).join(ids, "ref", "left_anti")
+    lost = skew_join(refs.filter(tx.is_doc_id(F.col("ref"), *ID_PREFIXES)), ids, ["ref"], "left_anti", ["holder"])
     return finding(lost, "dangling_ref", "warning", F.col("holder"), "refers to ", F.col("ref"), ", which does not exist")
 
 

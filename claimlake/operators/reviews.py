@@ -8,6 +8,7 @@ from claimlake.functions import text as tx
 from claimlake.operators.gates import first_reason
 from claimlake.operators.intake import allocate_ids
 from claimlake.schema import LEVELS, REVIEW_DAYS
+from claimlake.skew import skew_join
 
 
 def create_items(new: DataFrame, existing: DataFrame, as_of: str) -> DataFrame:
@@ -50,6 +51,6 @@ def apply_reviews(items: DataFrame, reviews: DataFrame) -> DataFrame:
 def review_rejections(reviews: DataFrame, items: DataFrame) -> DataFrame:
     """Reviews of ids that are malformed or unknown."""
     known = items.select(F.col("id").alias("learning_id"), F.lit(True).alias("_known"))
-    return reviews.join(known, "learning_id", "left").withColumn("rejection", first_reason({
+    return skew_join(reviews, known, ["learning_id"], "left", ["seq"]).withColumn("rejection", first_reason({
         "bad id": ~tx.is_doc_id(F.col("learning_id"), "learning"), "no such item": F.col("_known").isNull()})) \
         .filter("rejection is not null").drop("_known")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimlake.functions import text as tx
 from claimlake.session import cut_lineage
+from claimlake.skew import skew_join
 
 # Ranking constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -18,7 +19,7 @@ SNIPPET = 200
 
 SCALE = 1e12  # scores are summed as whole multiples of 1/SCALE, so the order of the terms cannot change a sum
 DIGITS = 9  # scores are compared at this many decimals
-MAX_TERMS = 500_000  # (query, term) pairs that may be broadcast, some 30 MB
+MAX_TERMS = 500_000  # counted rows of (query, term) or (query, hit) that may be broadcast, some 30 MB
 MAX_QUERIES = 256  # per batch: query vectors and rank cuts are carried beside every document
 
 
@@ -167,14 +168,14 @@ def competition_rank(scores: DataFrame, by: str, score: str, name: str) -> DataF
     counts = scores.groupBy(by, score).agg(F.count(F.lit(1)).alias("_n"))
     quantiles = F.percentile_approx(score, [i / 64 for i in range(1, 64)], 1000)
     cuts = counts.groupBy(by).agg(quantiles.alias("_cuts"))
-    ranged = counts.join(cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda c: c >= F.col(score)))).drop("_cuts")
+    ranged = skew_join(counts, cuts, [by], "inner", [score]).withColumn("_range", F.size(F.filter("_cuts", lambda c: c >= F.col(score)))).drop("_cuts")
     before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy(by, "_range").agg(F.sum("_n").alias("_size")).select(
         by, "_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(by, "_range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
     ranks = (ranged.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets, [by, "_range"])
              .select(by, score, (F.col("_inside") + F.col("_offset")).alias(name)))
-    return scores.join(ranks, [by, score], "left")
+    return skew_join(scores, ranks, [by, score], "left", scores.columns)
 
 
 class _Signals:
@@ -286,7 +287,9 @@ def _search_batch(asked: DataFrame, docs: DataFrame, index: Index, vectors: Data
 def search_hits(found: DataFrame, docs: DataFrame) -> DataFrame:
     """Found documents with what a reader sees of them; ``docs`` has (doc_id, ref, title, text)."""
     shown = docs.select("doc_id", "ref", "title", F.substring("text", 1, SNIPPET).alias("snippet"))
-    return found.join(shown, "doc_id").select("query_id", "position", "ref", "title", "score", "snippet")
+    found = cut_lineage(found)
+    few = F.broadcast(found) if found.count() <= MAX_TERMS else found
+    return shown.join(few, "doc_id").select("query_id", "position", "ref", "title", "score", "snippet")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:

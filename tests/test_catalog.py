@@ -23,7 +23,8 @@ def test_query_equals_sql(spark, folder, con, name):
 # Operators with helpers for hot keys, run as if every key were hot.
 HOT = ["apply_commands", "commanded_claims", "revise_sources", "allocate_ids", "ingest_sources", "project_docs", "create_pages",
        "find_similar", "lint_duplicate_claim", "lint_duplicate_id", "lint_quote_not_in_source", "inbox_classify", "recapture",
-       "check_quotes", "quote_audit", "review_marks", "create_items"]
+       "check_quotes", "quote_audit", "review_marks", "create_items", "competition_rank", "triage",
+       "inherit_sensitivity", "derived_leak", "lint_dangling_ref"]
 
 
 @pytest.mark.parametrize("name", HOT)
