@@ -1,6 +1,9 @@
 """Quotes against their sources: exact, folded and elided."""
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,26 +77,40 @@ def quote_not_in_source(claims: DataFrame, sources: DataFrame) -> DataFrame:
 
 def _slices(bodies: pd.Series, quotes: pd.Series) -> pd.Series:
     """The stretch of each body that reads like its quote once both are folded."""
-    table = {ord(a): b for a, b in zip(tx.FOLD_FROM, tx.FOLD_TO)} | {ord(c): "" for c in tx.FOLD_DROP} | {ord(tx.ELLIPSIS): "..."}
-
-    def fold(text: str) -> tuple[str, list[int]]:
-        kept, places, gap = [], [], False
-        for place, char in enumerate(text):
-            for shown in table.get(ord(char), char) or [""]:
-                space = shown.isspace()
-                if not (space and gap) and shown:
-                    kept.append(" " if space else shown)
-                    places.append(place)
-                gap = space
-        return "".join(kept), places
+    table = {**dict(zip(tx.FOLD_FROM, tx.FOLD_TO)), **dict.fromkeys(tx.FOLD_DROP, ""), tx.ELLIPSIS: "..."}
+    gap = "[\\s\u2800]"
+    odd = re.compile(f"{gap}{{2,}}|(?! ){gap}|[{re.escape(''.join(table))}]")
+
+    def fold(text: str) -> tuple[str, list[int], list[tuple[int, int, int]]]:
+        """Folded text, and the stretches of it that are not plain: their starts, and (length, first, end in the text)."""
+        pieces, starts, spans, size, end = [], [], [], 0, 0
+        for found in odd.finditer(text):
+            first, after = found.span()
+            shown = table.get(found.group(), " ")
+            size += first - end
+            pieces += [text[end:first], shown]
+            starts.append(size)
+            spans.append((len(shown), first, after))
+            size, end = size + len(shown), after
+        return "".join(pieces) + text[end:], starts, spans
 
     def cut(body: str | None, quote: str | None) -> str | None:
         if body is None or quote is None:
             return None
-        folded, places = fold(body)
+        folded, starts, spans = fold(body)
         want = fold(quote)[0]
         at = folded.find(want)
-        return body[places[at]:places[at + len(want) - 1] + 1] if want and at >= 0 else None
+        if not want or at < 0:
+            return None
+
+        def place(i: int) -> int:
+            k = bisect_right(starts, i) - 1
+            if k < 0:
+                return i
+            length, first, after = spans[k]
+            return first if i < starts[k] + length else after + i - starts[k] - length
+
+        return body[place(at):place(at + len(want) - 1) + 1]
 
     return pd.Series([cut(b, q) for b, q in zip(bodies, quotes)], dtype=object)
 

@@ -69,15 +69,15 @@ def index_of(docs: DataFrame, counts: DataFrame) -> Index:
 def build_index(docs: DataFrame) -> Index:
     """From (doc_id, text). Terms are counted inside the row that holds the document, so postings need no shuffle.
 
-    The sorted tokens of a document show each term as a run; a run's length is the term's count.
+    Among the sorted tokens of a document each term is one run, and the run's length tells how often it occurs.
     """
     tokens = docs.select("doc_id", F.sort_array(tx.tokenize(F.coalesce("text", F.lit("")))).alias("said"))
-    said, starts = F.col("said"), F.col("starts")
-    runs = tokens.withColumn("dl", F.size("said")).filter("dl > 0").withColumn("starts", F.filter(
-        F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get(said, i) != F.get(said, i - 1))))
-    counted = F.transform(starts, lambda at, i: F.struct(
-        F.get(said, at).alias("term"), (F.coalesce(F.get(starts, i + 1), F.col("dl")) - at).cast("bigint").alias("tf")))
-    counts = runs.select("doc_id", "dl", F.explode(counted).alias("c")).select("doc_id", "dl", "c.term", "c.tf")
+    line = F.concat(F.array_join("said", " "), F.lit(" "))
+    runs = tokens.select("doc_id", F.size("said").alias("dl"),
+                         F.explode(F.regexp_extract_all(line, F.lit(r"([^ ]+) (?:\1 )*+"), F.lit(0))).alias("run"))
+    term = F.substring_index("run", " ", 1)
+    tf = F.expr("length(run) div (length(term) + 1)")
+    counts = runs.withColumn("term", term).select("doc_id", "dl", "term", tf.alias("tf"))
     return index_of(tokens.select("doc_id", F.size("said").alias("dl")), counts)
 
 

@@ -38,8 +38,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if named:
+            context.setCheckpointDir(named)
+        elif context.master.startswith("local"):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="claimlake-"))
+        else:
             return df
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="claimlake-"))
     return df.checkpoint()

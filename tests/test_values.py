@@ -339,3 +339,39 @@ def test_entry(spark):
     import __spark_entry__ as e
     assert e.entry(spark).columns == ["query_id", "position", "doc_id", "bm_rank", "cos_rank", "score"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_slices_against_a_character_loop():
+    import pandas as pd
+    table = {**dict(zip(tx.FOLD_FROM, tx.FOLD_TO)), **dict.fromkeys(tx.FOLD_DROP, ""), tx.ELLIPSIS: "..."}
+
+    def slow(text):
+        shown, places, space = [], [], False
+        for i, ch in enumerate(text):
+            rep = table.get(ch, ch)
+            if rep.isspace():
+                if space:
+                    continue
+                rep, space = " ", True
+            else:
+                space = False
+            shown += rep
+            places += [i] * len(rep)
+        return "".join(shown), places
+
+    rng = random.Random(3)
+    for _ in range(400):
+        body = "".join(rng.choice("ab  \n\t ⠀​…’—.x　") for _ in range(30))
+        folded, places = slow(body)
+        lo = rng.randrange(len(folded))
+        want = folded[lo:lo + rng.randint(1, 8)]
+        at = folded.find(slow(want)[0])
+        expected = body[places[at]:places[at + len(slow(want)[0]) - 1] + 1] if at >= 0 else None
+        assert quotes._slices(pd.Series([body]), pd.Series([want]))[0] == expected
+
+
+def test_a_term_repeated_very_often(spark):
+    docs = spark.createDataFrame([(1, "the then " + "the " * 200_000), (2, ""), (3, None)], "doc_id bigint, text string")
+    index = search.build_index(docs)
+    assert {(r.doc_id, r.term, r.tf) for r in index.postings.collect()} == {(1, "the", 200_001), (1, "then", 1)}
+    assert {r.doc_id: r.dl for r in index.docs.collect()} == {1: 200_002, 2: 0, 3: 0}
