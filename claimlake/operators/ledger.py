@@ -140,5 +140,5 @@ def find_similar(probes: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataF
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
     answers = skew_join(asked, counts, ["key"], "left", ["probe_id"]).select(
         "probe_id", "key", F.coalesce("n", F.lit(0)).alias("n"), "first_id")
-    wanted = keyed.join(asked.select("key").distinct(), "key", "left_semi")
+    wanted = skew_join(keyed, asked.select("key").distinct(), ["key"], "left_semi", ["path"])
     return answers, chunked_groups(wanted, ["key"], "id", "ids", spread="path")

@@ -129,6 +129,7 @@ def reference_edges(**holders: tuple[DataFrame, str, list[str]]) -> DataFrame:
 def one_hop(hits: DataFrame, edges: DataFrame) -> DataFrame:
     """(ref): hits and the documents one reference away from them, in either direction."""
     found = hits.select("ref").distinct()
-    out = edges.join(found.withColumnRenamed("ref", "holder"), "holder", "left_semi").select(F.col("target").alias("ref"))
-    back = edges.join(found.withColumnRenamed("ref", "target"), "target", "left_semi").select(F.col("holder").alias("ref"))
+    at = lambda side, other: skew_join(edges, found.withColumnRenamed("ref", side), [side], "left_semi", [other])
+    out = at("holder", "target").select(F.col("target").alias("ref"))
+    back = at("target", "holder").select(F.col("holder").alias("ref"))
     return found.unionByName(out).unionByName(back).distinct()

@@ -24,7 +24,7 @@ def test_query_equals_sql(spark, folder, con, name):
 HOT = ["apply_commands", "commanded_claims", "revise_sources", "allocate_ids", "ingest_sources", "project_docs", "create_pages",
        "find_similar", "lint_duplicate_claim", "lint_duplicate_id", "lint_quote_not_in_source", "inbox_classify", "recapture",
        "check_quotes", "quote_audit", "review_marks", "create_items", "competition_rank", "triage",
-       "inherit_sensitivity", "derived_leak", "lint_dangling_ref"]
+       "inherit_sensitivity", "derived_leak", "lint_dangling_ref", "similar_members", "one_hop"]
 
 
 @pytest.mark.parametrize("name", HOT)
