@@ -363,7 +363,7 @@ SQL = {
     "find_similar": f"""with c as (select {key('claim', 'speaker')} as key, count(*) n, min(id) first_id from f_claims where claim <> '' group by 1)
         select doc_id probe_id, p.key, coalesce(n, 0) n, first_id from (select doc_id, {key("replace(lower(split_part(text, E'\\n', 1)), ' ', ' - ')", "case when doc_id % 4 = 0 then 'SPK' || (doc_id % 2) end")} as key from documents) p left join c using (key)""",
     "similar_members": f"""select {key('claim', 'speaker')} as key, count(*) n, string_agg(id, ',' order by id) ids from f_claims where claim <> '' group by 1
-        having key in (select {key("replace(lower(split_part(text, E'\\n', 1)), ' ', ' - ')", "''")} from documents where doc_id % 2 = 0)""",
+        having key in (select {key("replace(lower(split_part(text, E'\\n', 1)), ' ', ' - ')", "''")} from documents)""",
     "quote_block": f"select doc_id, md5({block('text')}) quoted, md5({strip('text')}) extracted from documents",
     "create_pages": r"""with n as (select doc_id ord, 'Conv ' || (doc_id // 3) name, case doc_id % 11 when 7 then 'essay' when 8 then 'pattern' else 'concept' end type, 'conv-' || (doc_id // 3) slug from documents),
         j as (select *, case when type = 'essay' then 'unknown page_type' when ord <> min(ord) over (partition by type, slug)

@@ -244,7 +244,7 @@ def test_embedding_salvage_and_cache(spark, tmp_path):
     wider = docs.unionByName(spark.createDataFrame([(5, "new")], docs.schema))
     healed = embedding.update_cache(embedding.embed_input(wider), path, lambda: (lambda ts: [[0.0, 0.0, 1.0] for _ in ts]), "m", wait=0.0)
     assert {len(r.vector) for r in healed.collect()} == {3}
-    assert embedding.model_tag("openai", "a/b c", 256) == "openai-a-b-c-256d"
+    assert embedding.model_tag("remote", "a/b c", 256) == "remote-a-b-c-256d"
 
 
 def test_upsert_log_and_ledger(spark, tmp_path):
