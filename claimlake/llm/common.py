@@ -36,7 +36,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 def small(df: DataFrame, rows: int) -> DataFrame:
     """A stored table marked for broadcast if it has at most that many rows; otherwise it meets its partner by a shuffle."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

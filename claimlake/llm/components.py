@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.union(least.where("a != m").select("a", F.col("m").alias("b"))).distinct())
+        large = large.union(least.where("a != m").select("a", F.col("m").alias("b")))
         least = stored(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct())

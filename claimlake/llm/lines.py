@@ -23,7 +23,7 @@ LEAST = (85, 100)
 #: Shingles of a line that are counted, at least, where a rung leaves some out.
 COUNTED = 48
 #: Lines up to which the ids of candidates are sent to all executors; more meet the texts by a shuffle.
-BROADCAST_LINES = 1_000_000
+BROADCAST_LINES = 300_000
 
 
 def _rung(n: str) -> str:

@@ -4,12 +4,11 @@ A document's set is that of its five-word shingles. Documents of one set are one
 COORDINATES minwise tokens. In each of TREES independent trees a class stands at the root; every node chooses one or two
 coordinates, and for each of them the class goes on to the child named by the node, the coordinate and its token there. Two
 classes of similarity s follow the same branch with chance s. After DEPTH levels, nodes of up to LEAF classes are compared
-exhaustively; larger ones branch DEPTH levels further, up to MOST_DEPTH. What is larger still is compared with the node's
-least class and in blocks. A pair whose two-bit sketches allow the threshold is confirmed on its full sets, from the texts.
-
-Trees come in batches. Components found so far are contracted, so nodes of one component have no more to show; this is
-what keeps large groups of near copies from being compared all with all. At the end, in every node that is still large and
-holds several components, the members outside of its greatest component meet all others.
+exhaustively; in a larger one each class meets the node's pivot, chosen by hash. A pair whose two-bit sketches allow the
+threshold is confirmed on its full sets, from the texts. Confirmed components are contracted: a node of one component has no
+more to show, which keeps large groups of near copies from being compared all with all. Large nodes that still hold several
+components branch DEPTH levels further, up to MOST_DEPTH, with their leaves compared exhaustively; in what is larger still,
+the members outside of the node's greatest component meet all others.
 
 At similarity 0.85 a tree follows a pair to depth 3 with chance 0.87 (at 0.8: 0.8), so six trees miss less than one pair in 10,000.
 
@@ -31,9 +30,9 @@ from .common import LOWER, UPPER, batch_of, map_batches, small, stored, table
 from .components import components, labelled
 
 SHINGLE, COORDINATES, LEAF = 5, 128, 32
-BATCHES, DEPTH, MOST_DEPTH = ((0, 1), (2, 3, 4, 5)), 3, 9
+TREES, DEPTH, MOST_DEPTH = 6, 3, 9
 #: Classes up to which the list of those to confirm is sent to all executors; more meet the texts by a shuffle.
-BROADCAST_CLASSES = 500_000
+BROADCAST_CLASSES = 100_000
 _CASE = str.maketrans(UPPER, LOWER)
 _WORD = re.compile("[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -115,11 +114,11 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, id long, s0 long, s1 long, s2 long, s3 long, tokens binary")
 
 
-def _nodes(rows: DataFrame, trees: tuple[int, ...] | None, depth: int) -> DataFrame:
+def _nodes(rows: DataFrame, trees: int | None, depth: int) -> DataFrame:
     """node and id: the nodes `depth` levels below the roots of trees, or below the column node."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, owners = [], []
-        starts = [_mixed(np.array(trees, np.uint64) + np.uint64(1))] * batch.num_rows if trees else batch.column("node").to_numpy().view(np.uint64).reshape(-1, 1)
+        starts = [_mixed(np.arange(trees, dtype=np.uint64) + np.uint64(1))] * batch.num_rows if trees else batch.column("node").to_numpy().view(np.uint64).reshape(-1, 1)
         for id_, packed, start in zip(batch.column("id").to_pylist(), batch.column("tokens").to_pylist(), starts):
             own = _children(np.frombuffer(packed, np.uint32), start, depth)
             found.append(own)
@@ -148,7 +147,7 @@ def _pairs(left: DataFrame, right: DataFrame, on: list[str], most: int) -> DataF
     return met.select(F.greatest("a.id", "b.id").alias("a"), F.least("a.id", "b.id").alias("b"))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: tuple[int, int]) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: tuple[int, int], repeated: bool) -> DataFrame:
     """The pairs (a, b) of classes whose full sets reach intersection / union >= least, computed from their texts."""
     pairs = stored(pairs.distinct())
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -159,7 +158,6 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: tupl
         own = [xxhash.xxh64_intdigest(shingle_set(t).tobytes()) == np.uint64(np.int64(i)) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist())]
         return batch.filter(pa.array(own))
 
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
     texts = docs.select("doc_id", "text").join(needed, docs["doc_id"].eqNullSafe(needed["doc_id"])).select("id", "text")
     if repeated:
         texts = map_batches(texts, same_set, "id long, text string").dropDuplicates(["id"])
@@ -183,50 +181,48 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, least: tupl
     return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(confirm, "a long, b long")
 
 
+def _mixed_nodes(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Rows of the nodes that hold several components, with comp, the node's size n and whether the row is its pivot."""
+    rows = stored(labelled(rows, found).withColumn("h", F.xxhash64("id", "node")))
+    live = (rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("h").alias("least"))
+            .where("low != high").select("node", "n", "least"))
+    return stored(rows.join(live, "node").select("node", "id", "comp", "n", (F.col("h") == F.col("least")).alias("pivot")))
+
+
 def near_duplicates(docs: DataFrame, least: tuple[int, int] = (85, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included) and kept, for each of docs."""
     sets, most = stored(sets_of(docs)), sketch_differences(least)
-    classes = sets.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("s0", "s1", "s2", "s3", "tokens")))
-    classes = stored(classes)
+    classes = stored(sets.where("id is not null").groupBy("id")
+                     .agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("s0", "s1", "s2", "s3", "tokens"))))
+    repeated = sets.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     sketch = classes.select("id", "s0", "s1", "s2", "s3")
-    links, found = None, None
-    unsettled = []
-    for trees in BATCHES:
-        rows, depth, pairs = _nodes(classes, trees, DEPTH), DEPTH, []
-        while True:
-            rows = stored(labelled(rows, found))
-            live = stored(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("id").alias("pivot"))
-                          .where("low != high").select("node", "n", "pivot"))
-            rows = rows.join(live, "node")
-            leaf = rows.where(F.col("n") <= LEAF).join(sketch, "id")
-            pairs.append(_pairs(leaf, leaf, ["node"], most))
-            large = stored(rows.where(F.col("n") > LEAF))
-            if not large.limit(1).count():
-                break
-            if depth >= MOST_DEPTH:
-                block = F.pmod(F.xxhash64("id", F.lit(trees[0])), F.ceil(F.col("n") / LEAF))
-                cells = large.withColumn("block", block).join(sketch, "id")
-                pairs += [_pairs(cells, cells, ["node", "block"], most), _pairs(cells.where("id = pivot"), cells, ["node"], most)]
-                unsettled.append(large.select("node", "id"))
-                break
-            rows, depth = _nodes(large.select("node", "id").join(classes.select("id", "tokens"), "id"), None, DEPTH), depth + DEPTH
-        fresh = pairs[0]
-        for more in pairs[1:]:
-            fresh = fresh.union(more)
-        fresh = confirmed(fresh, classes, docs, least)
-        links = stored(fresh if links is None else links.union(fresh))
-        found = stored(components(links))
-    if unsettled:
-        rows = unsettled[0]
-        for more in unsettled[1:]:
-            rows = rows.union(more)
-        rows = stored(labelled(rows, found))
-        sizes = rows.groupBy("node", "comp").count()
-        greatest = stored(sizes.groupBy("node").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("n")).where("n > 1"))
-        rows = rows.join(greatest, "node").join(sketch, "id")
-        rest = _pairs(rows.where("comp != main"), rows, ["node"], most)
-        links = stored(links.union(confirmed(rest, classes, docs, least)))
+    with_sketch = lambda rows: rows.join(sketch, "id")
+
+    rows = _mixed_nodes(_nodes(classes, TREES, DEPTH), None)
+    leaf, large = with_sketch(rows.where(F.col("n") <= LEAF)), with_sketch(rows.where(F.col("n") > LEAF))
+    pairs = _pairs(leaf, leaf, ["node"], most).union(_pairs(large.where("pivot"), large, ["node"], most))
+    links = stored(confirmed(pairs, classes, docs, least, repeated))
+    found = stored(components(links))
+
+    rows, depth, pairs = _mixed_nodes(rows.where(F.col("n") > LEAF).select("node", "id"), found), DEPTH, None
+    while rows.limit(1).count():
+        if depth < MOST_DEPTH:
+            below = rows.select("node", "id").join(classes.select("id", "tokens"), "id")
+            rows, depth = _mixed_nodes(_nodes(below, None, DEPTH), found), depth + DEPTH
+            leaf = with_sketch(rows.where(F.col("n") <= LEAF))
+            own = _pairs(leaf, leaf, ["node"], most)
+            rows = rows.where(F.col("n") > LEAF)
+        else:
+            greatest = (rows.groupBy("node", "comp").count().groupBy("node").agg(F.max(F.struct("count", "comp")).alias("main"))
+                        .select("node", F.col("main.comp").alias("main")))
+            sketched = with_sketch(rows)
+            own = _pairs(sketched.join(stored(greatest), "node").where("comp != main"), sketched, ["node"], most)
+            rows = rows.limit(0)
+        pairs = own if pairs is None else pairs.union(own)
+    if pairs is not None:
+        links = stored(links.union(confirmed(pairs, classes, docs, least, repeated)))
         found = stored(components(links))
+
     grouped = labelled(classes.select("id", "first"), found)
     least_doc = grouped.groupBy("comp").agg(F.min("first").alias("component_id"))
     grouped = stored(grouped.join(least_doc, "comp").select("id", "component_id"))
