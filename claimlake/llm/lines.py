@@ -56,16 +56,22 @@ def bands(signed: DataFrame) -> DataFrame:
     return signed.select("id", F.explode(F.array(*keys)).alias("band")).where("band is not null").select("band", "id")
 
 
+def _set(chars: str) -> str:
+    """The shingles of a line, as hashes, from its characters."""
+    n = f"greatest(1, cast(length({chars}) / 2 as int) - {SHINGLE - 1})"
+    return f"array_distinct(transform(sequence(0, {n} - 1), i -> xxhash64(substring({chars}, 2 * i + 1, {2 * SHINGLE}))))"
+
+
 def _linked(pairs: DataFrame, lines: DataFrame, least: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets reach intersection / union >= least."""
     pairs = stored(pairs.distinct())
     ids = small(stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()), BROADCAST_LINES)
-    texts = lines.select("id", "line").join(ids, "id").groupBy("id").agg(F.first("line").alias("line"))
-    sets = stored(_characters(texts).select("id", F.expr(f"array_distinct(transform(sequence(0, n - 1), i -> xxhash64(substring(chars, 2 * i + 1, {2 * SHINGLE}))))").alias("s")))
-    one, two = (sets.select(F.col("id").alias(c), F.col("s").alias(n)) for c, n in (("a", "x"), ("b", "y")))
-    enough = f"least(size(x), size(y)) * {least[1]} >= greatest(size(x), size(y)) * {least[0]}"
-    met = pairs.join(one, "a").join(two, "b").where(enough).withColumn("common", F.size(F.array_intersect("x", "y")))
-    return met.where(f"common * {least[1]} >= (size(x) + size(y) - common) * {least[0]}").select("a", "b")
+    texts = stored(lines.select("id", "line").join(ids, "id").dropDuplicates(["id"]))
+    one, two = (texts.select(F.col("id").alias(c), F.encode("line", "UTF-16BE").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    # Each step in a lambda of its own, so that sets and counts are made once.
+    counts = f"transform(array(struct({_set('x')} as s, {_set('y')} as t)), p -> struct(size(array_intersect(p.s, p.t)) as both, size(p.s) + size(p.t) as all))"
+    enough = f"exists({counts}, q -> q.both * {least[1]} >= (q.all - q.both) * {least[0]})"
+    return pairs.join(one, "a").join(two, "b").where(enough).select("a", "b")
 
 
 def _pair(one: str, two: str) -> list[Column]:
@@ -74,7 +80,7 @@ def _pair(one: str, two: str) -> list[Column]:
 
 def line_components(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """id and component of the lines that are similar to another one."""
-    banded = stored(bands(signatures(lines)))
+    banded = bands(stored(signatures(lines)))
     groups = banded.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("high")).where("pivot != high").select("band", "pivot")
     banded = stored(banded.join(groups, "band"))
     links = stored(_linked(banded.where("id != pivot").select(*_pair("id", "pivot")), lines, least))

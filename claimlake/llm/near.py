@@ -6,9 +6,9 @@ coordinates, and for each of them the class goes on to the child named by the no
 classes of similarity s follow the same branch with chance s. After DEPTH levels, nodes of up to LEAF classes are compared
 exhaustively; in a larger one each class meets the node's pivot, chosen by hash. A pair whose two-bit sketches allow the
 threshold is confirmed on its full sets, from the texts. Confirmed components are contracted: a node of one component has no
-more to show, which keeps large groups of near copies from being compared all with all. Large nodes that still hold several
-components branch DEPTH levels further, up to MOST_DEPTH, with their leaves compared exhaustively; in what is larger still,
-the members outside of the node's greatest component meet all others.
+more to show, which keeps large groups of near copies from being compared all with all. In a large node that still
+holds several components, the members outside of its greatest one meet all others if they are LEAF at most; if they are
+more, the node branches DEPTH levels further, down to MOST_DEPTH, where the rest is compared in that way.
 
 At similarity 0.85 a tree follows a pair to depth 3 with chance 0.87 (at 0.8: 0.8), so six trees miss less than one pair in 10,000.
 
@@ -206,19 +206,15 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = (85, 100)) -> Data
 
     rows, depth, pairs = _mixed_nodes(rows.where(F.col("n") > LEAF).select("node", "id"), found), DEPTH, None
     while rows.limit(1).count():
-        if depth < MOST_DEPTH:
-            below = rows.select("node", "id").join(classes.select("id", "tokens"), "id")
-            rows, depth = _mixed_nodes(_nodes(below, None, DEPTH), found), depth + DEPTH
-            leaf = with_sketch(rows.where(F.col("n") <= LEAF))
-            own = _pairs(leaf, leaf, ["node"], most)
-            rows = rows.where(F.col("n") > LEAF)
-        else:
-            greatest = (rows.groupBy("node", "comp").count().groupBy("node").agg(F.max(F.struct("count", "comp")).alias("main"))
-                        .select("node", F.col("main.comp").alias("main")))
-            sketched = with_sketch(rows)
-            own = _pairs(sketched.join(stored(greatest), "node").where("comp != main"), sketched, ["node"], most)
-            rows = rows.limit(0)
+        greatest = (rows.groupBy("node", "comp").count().groupBy("node").agg(F.max(F.struct("count", "comp")).alias("main"))
+                    .select("node", F.col("main.comp").alias("main"), F.col("main.count").alias("inside")))
+        rows = stored(rows.join(stored(greatest), "node"))
+        settled = (F.col("n") - F.col("inside") <= LEAF) | F.lit(depth >= MOST_DEPTH)
+        ready = with_sketch(rows.where(settled))
+        own = _pairs(ready.where("comp != main"), ready, ["node"], most)
         pairs = own if pairs is None else pairs.union(own)
+        below = rows.where(~settled).select("node", "id").join(classes.select("id", "tokens"), "id")
+        rows, depth = _mixed_nodes(_nodes(below, None, DEPTH), found), depth + DEPTH
     if pairs is not None:
         links = stored(links.union(confirmed(pairs, classes, docs, least, repeated)))
         found = stored(components(links))
