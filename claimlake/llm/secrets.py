@@ -37,7 +37,7 @@ _DIGIT = re.compile("[0-9]")
 _ALLOWED = re.compile("|".join((
     r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}(?![0-9A-Fa-f])",
     r"[0-9]{4}-[0-9]{2}-[0-9]{2}(T[0-9]{2,6}Z?)?", r"v?[0-9]+([_-][0-9]+){2,}",
-    r"0123456789(abcdef|ABCDEF|[A-Za-z]*)", r"[A-Za-z]*(EXAMPLE|example|placeholder|changeme|xxxxxxxx)[A-Za-z0-9_-]*")))
+    r"0123456789[A-Za-z]*", r"[A-Za-z]*(EXAMPLE|example|placeholder|changeme|xxxxxxxx)[A-Za-z0-9_-]*")))
 
 
 def base_spans(text: str) -> list[Span]:
