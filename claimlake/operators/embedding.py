@@ -123,14 +123,16 @@ def update_cache(inputs: DataFrame, cache_path: str, make_embed: Callable[[], Em
         return read_table(spark, cache_path, schema)
 
     def write(rows: DataFrame, mode: str) -> None:
-        (zero_fill(rows).withColumn("model_tag", F.lit(tag)).write.mode(mode)
+        # as it comes: zeros are filled in on reading, so nothing asks for a text twice
+        (rows.withColumn("model_tag", F.lit(tag)).write.mode(mode)
          .option("partitionOverwriteMode", "dynamic").partitionBy("model_tag").parquet(cache_path))
 
-    cache = read()
+    cache = zero_fill(read())  # a refused text is not asked for again
     missing = cache_missing(inputs, cache, tag)
     write(embed(missing, make_embed, wait), "append")
-    joined = inputs.select("doc_id", "key").join(read().filter(F.col("model_tag") == tag).select("key", "vector"), "key")
+    held = lambda: zero_fill(inputs.select("doc_id", "key").join(read().filter(F.col("model_tag") == tag).select("key", "vector"), "key"))
+    joined = held()
     if embed_dims(joined).count() > 1:
         write(embed(inputs.groupBy("key").agg(F.first("input").alias("input")), make_embed, wait), "overwrite")
-        joined = inputs.select("doc_id", "key").join(read().filter(F.col("model_tag") == tag).select("key", "vector"), "key")
+        joined = held()
     return joined.select("doc_id", "vector")

@@ -75,7 +75,7 @@ def _keys(front: str) -> dict:
         return {"state": "no mapping"}
     single = {str(k): str(v) for k, v in keys.items() if v is not None and not isinstance(v, list)}
     lists = {str(k): [str(x) for x in v] for k, v in keys.items() if isinstance(v, list)}
-    return {"state": "ok", "meta": single, "lists": lists}
+    return {"state": "ok", "keys": len(keys), "meta": single, "lists": lists}
 
 
 def _read_yaml(fronts: pd.Series) -> pd.Series:
@@ -83,7 +83,7 @@ def _read_yaml(fronts: pd.Series) -> pd.Series:
 
 
 def parse_frontmatter(docs: DataFrame) -> DataFrame:
-    """Adds ``meta`` (scalars), ``lists``, ``body`` and ``corrupt`` to (path, root, doc_ord, text).
+    """Adds ``meta`` (scalars), ``lists``, ``body``, ``corrupt`` (a finding) and ``broken`` (cannot be read) to (path, root, doc_ord, text).
 
     Only the frontmatter crosses to Python; texts and bodies are cut in the JVM and stay there.
     """
@@ -91,14 +91,14 @@ def parse_frontmatter(docs: DataFrame) -> DataFrame:
     # not to be copied into every filter that looks at its result
     read = F.pandas_udf(_read_yaml, "string").asNondeterministic()
     parsed = docs.withColumn("front", front).withColumn(
-        "keys", F.from_json(read("front"), "state string, meta map<string,string>, lists map<string,array<string>>"))
+        "keys", F.from_json(read("front"), "state string, keys int, meta map<string,string>, lists map<string,array<string>>"))
     meta = F.coalesce(F.col("keys.meta"), F.create_map().cast("map<string,string>"))
     lists = F.coalesce(F.col("keys.lists"), F.create_map().cast("map<string,array<string>>"))
     is_doc = F.coalesce(F.col("keys.state") == "ok", F.lit(False))
-    corrupt = (F.col("text").isNull() | F.coalesce(F.col("keys.state") == "broken", F.lit(False))
-               | (F.col("text").startswith("---") & (F.size(meta) + F.size(lists) == 0)))
+    broken = F.col("text").isNull() | F.coalesce(F.col("keys.state") == "broken", F.lit(False))
+    corrupt = broken | (F.col("text").startswith("---") & (F.coalesce(F.col("keys.keys"), F.lit(0)) == 0))
     return parsed.select("path", "root", "doc_ord", "text", meta.alias("meta"), lists.alias("lists"),
-                         F.when(is_doc, rest).otherwise(F.col("text")).alias("body"), corrupt.alias("corrupt"))
+                         F.when(is_doc, rest).otherwise(F.col("text")).alias("body"), corrupt.alias("corrupt"), broken.alias("broken"))
 
 
 def many(key: str) -> Column:
@@ -115,7 +115,8 @@ def search_docs(corpus: DataFrame) -> DataFrame:
     first = lambda *keys: F.coalesce(*[tx.filled(meta(k)) for k in keys])
     head_keys = [F.coalesce(meta(k), F.lit("")) for k in ("id", "title", "name", "claim", "topic")]
     head = F.array_join(F.concat(F.array(*head_keys), many("aliases")), " ")
-    return corpus.filter(~F.col("corrupt")).select(
+    # a rule line, an unclosed fence or empty keys leave a document that can be read, and so found
+    return corpus.filter(~F.col("broken")).select(
         F.coalesce(first("id", "name"), "path").alias("ref"),
         F.coalesce(first("title", "name", "claim", "topic"), stem).alias("title"),
         tx.strip(F.concat(head, F.lit("\n"), F.col("body"))).alias("text"),

@@ -64,6 +64,35 @@ def test_svg(spark):
     assert (rows[3].report[0].before, rows[3].report[0].after) == (18, 13)
 
 
+def test_svg_references_and_several_drawings(spark):
+    texts = ["a<svg><text>x &#8217;&#x2014; &mdash;</text></svg>b<svg aria-label=' ' aria-label=\"p\"></svg>c<svg></svg>", "<svg>open", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(svg.strip_svg(F.col("t")).alias("s")).select("s.*").collect()
+    assert rows[0].text == "a[그림 텍스트: x ’— —]b[그림: p]c[svg 생략: 11자]"
+    assert [tuple(r) for r in rows[0].report] == [("axes", 49, 16), ("label", len("<svg aria-label=' ' aria-label='p'></svg>"), 7), ("dropped", 11, 13)]
+    assert rows[1].text == "<svg>open" and rows[1].report == [] and rows[2].text is None
+
+
+def test_readable_documents_are_found(spark):
+    texts = {"rule": "---\nwords after a rule", "empty": "---\ntitle:\n---\nbody", "open": "---\ntitle: x\nno end", "bad": "---\nfoo: [unclosed\n---\nb", "none": None}
+    docs = spark.createDataFrame([(f"10_Claims/{k}.md", "10_Claims", i, t) for i, (k, t) in enumerate(texts.items())], "path string, root string, doc_ord bigint, text string")
+    parsed = corpus.parse_frontmatter(docs)
+    assert {r.title for r in corpus.search_docs(parsed).collect()} == {"rule", "empty", "open"}
+    assert {r.path[10:-3] for r in parsed.where("corrupt").collect()} == {"rule", "open", "bad", "none"}
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def make():
+        def ask(texts):
+            calls.add(len(texts))
+            return [[1.0, float(len(t))] for t in texts]
+        return ask
+    docs = spark.createDataFrame([(i, "x" * i) for i in range(1, 11)], "doc_id bigint, text string")
+    got = embedding.update_cache(embedding.embed_input(docs), str(tmp_path / "once"), make, "m", wait=0.0).collect()
+    assert len(got) == calls.value == 10
+
+
 def test_evidence_and_ids(spark):
     df = spark.createDataFrame([([""],), (["   "],), ([],), (None,), (["", "x"],)], "r array<string>")
     assert [r.x for r in df.select(tx.has_written_evidence(F.col("r")).alias("x")).collect()] == [False] * 4 + [True]
