@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,9 +30,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder, so that lost executors or later uses don't run its plan again."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df, written once as Parquet in the shared folder, so that lost executors or later uses don't run its plan again.
+
+    A checkpointed frame keeps the constraints of the plan behind it, which double with every round of a loop; files don't.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

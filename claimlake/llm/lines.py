@@ -3,9 +3,10 @@
 Equal lines are one line (its 64-bit hash). A line's shingles are its runs of SHINGLE characters (UTF-16 units; a shorter
 line is one shingle). Of a long line's shingles those count whose hash is 0 modulo 4^rung, so that about 48 to 192 do; a line
 near the border of two rungs signs for both, so similar lines share a rung. The signature has BINS least hashes, one for
-each class of hashes, in bands of three. Within a band's group every line is compared with the group's least, exactly, on all
-shingles; linked lines are united by stars; then, in groups that still hold several components, the lines outside of the
-greatest one meet all others. At Jaccard similarity 0.85 a pair shares a band with chance 0.999.
+each class of hashes, in bands of three. Within a band's group every line meets the group's least; linked lines are united by
+stars. Then, in groups that still hold several components, the lines outside of the greatest one meet all others; where they
+are more than LEAF, the group is first split by further bins of the signature. Pairs whose signatures allow the similarity
+are compared exactly, on all shingles. At Jaccard similarity 0.85 a pair shares a band with chance 0.999.
 
 One line of a component stays: the first by doc_id (null first), text hash and number. Lines of white space only stay as they
 are. Null and empty texts stay as they are; rows that share doc_id and text lose the same lines; an empty table gives no rows.
@@ -19,6 +20,8 @@ from .common import small, stored, table
 from .components import components, labelled
 
 SHINGLE, BINS, ROWS = 10, 24, 3
+#: Groups with more lines than LEAF outside of their greatest component are split by NARROW further bins, up to DEPTH times.
+LEAF, NARROW, DEPTH = 64, 4, 2
 LEAST = (85, 100)
 #: Shingles of a line that are counted, at least, where a rung leaves some out.
 COUNTED = 48
@@ -49,51 +52,96 @@ def signatures(lines: DataFrame) -> DataFrame:
     return binned.groupBy("id", "rung").agg(*(F.min(F.when(F.col("bin") == b, F.col("v"))).alias(f"b{b}") for b in range(BINS)))
 
 
+def _key(rows: list[int], *more: Column | str) -> Column:
+    """A key of the least hashes in those bins, null if all of them are empty."""
+    return F.when(F.coalesce(*(F.col(f"b{b}") for b in rows)).isNotNull(), F.xxhash64(*more, *(F.coalesce(F.col(f"b{b}").cast("long"), F.lit(1 << 40)) for b in rows)))
+
+
 def bands(signed: DataFrame) -> DataFrame:
-    """band and id: a key for each band that isn't empty."""
-    keys = [F.when(F.coalesce(*(F.col(f"b{b}") for b in range(at, at + ROWS))).isNotNull(), F.xxhash64("rung", F.lit(at), *(F.coalesce(F.col(f"b{b}").cast("long"), F.lit(1 << 40)) for b in range(at, at + ROWS))))
-            for at in range(0, BINS, ROWS)]
-    return signed.select("id", F.explode(F.array(*keys)).alias("band")).where("band is not null").select("band", "id")
+    """band, id and rung: a key for each band that isn't empty."""
+    keys = [_key(list(range(at, at + ROWS)), "rung", F.lit(at)) for at in range(0, BINS, ROWS)]
+    return signed.select("id", "rung", F.explode(F.array(*keys)).alias("band")).where("band is not null").select("band", "id", "rung")
+
 
+def _narrower(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """Rows (band, id, rung) under the keys of their band and NARROW further bins, disjoint ones in turn."""
+    keys = [_key(list(range(at, at + NARROW)), "band", F.lit(at)) for at in range(0, BINS, NARROW)]
+    return rows.join(signed, ["id", "rung"]).select("id", "rung", F.explode(F.array(*keys)).alias("band")).where("band is not null").select("band", "id", "rung")
 
-def _set(chars: str) -> str:
-    """The shingles of a line, as hashes, from its characters."""
-    n = f"greatest(1, cast(length({chars}) / 2 as int) - {SHINGLE - 1})"
-    return f"array_distinct(transform(sequence(0, {n} - 1), i -> xxhash64(substring({chars}, 2 * i + 1, {2 * SHINGLE}))))"
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The ids of both ends of stored pairs, once."""
+    return small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), BROADCAST_LINES)
+
+
+def _alike(pairs: DataFrame, signed: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Of pairs (a, b, rung) those whose signatures allow the similarity: at most five standard deviations below it."""
+    pairs = stored(pairs.distinct())
+    needed = signed.join(_ends(pairs), "id", "left_semi")
+    one, two = (needed.withColumnRenamed("id", c).withColumnsRenamed({f"b{b}": f"{c}{b}" for b in range(BINS)}) for c in "ab")
+    p = least[0] / least[1]
+    same = " + ".join(f"if(a{b} = b{b}, 1, 0)" for b in range(BINS))
+    used = " + ".join(f"if(coalesce(a{b}, b{b}) is not null, 1, 0)" for b in range(BINS))
+    met = pairs.join(one, ["a", "rung"]).join(two, ["b", "rung"])
+    return met.where(f"{same} >= ({used}) * {p} - 5 * sqrt(({used}) * {p * (1 - p)})").select("a", "b")
+
+
+def _shingles(line: str) -> str:
+    """The runs of SHINGLE characters of a line, or the whole of a shorter one."""
+    return f"if(length({line}) < {SHINGLE}, array({line}), regexp_extract_all({line}, '(?s)(?=(.{{{SHINGLE}}}))', 1))"
 
 
 def _linked(pairs: DataFrame, lines: DataFrame, least: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets reach intersection / union >= least."""
     pairs = stored(pairs.distinct())
-    ids = small(stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()), BROADCAST_LINES)
-    texts = stored(lines.select("id", "line").join(ids, "id").dropDuplicates(["id"]))
-    one, two = (texts.select(F.col("id").alias(c), F.encode("line", "UTF-16BE").alias(n)) for c, n in (("a", "x"), ("b", "y")))
-    # Each step in a lambda of its own, so that sets and counts are made once.
-    counts = f"transform(array(struct({_set('x')} as s, {_set('y')} as t)), p -> struct(size(array_intersect(p.s, p.t)) as both, size(p.s) + size(p.t) as all))"
-    enough = f"exists({counts}, q -> q.both * {least[1]} >= (q.all - q.both) * {least[0]})"
-    return pairs.join(one, "a").join(two, "b").where(enough).select("a", "b")
+    texts = lines.select("id", "line").join(_ends(pairs), "id", "left_semi").dropDuplicates(["id"])
+    texts = stored(texts.withColumn("n", F.expr(f"size(array_distinct({_shingles('line')}))")))
+    one, two = (texts.toDF(c, *own) for c, own in (("a", ("x", "n")), ("b", ("y", "m"))))
+    # Few pairs of long lines are dealt to several tasks; the common shingles are counted in a lambda, once for each pair.
+    parts = min(pairs.count() // 1000 + 1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = pairs.repartition(parts).join(one, "a").join(two, "b").where(f"least(n, m) * {least[1]} >= greatest(n, m) * {least[0]}")
+    both = f"n + m - size(array_union({_shingles('x')}, {_shingles('y')}))"
+    return met.where(f"exists(array({both}), q -> q * {least[1]} >= (n + m - q) * {least[0]})").select("a", "b")
 
 
 def _pair(one: str, two: str) -> list[Column]:
     return [F.greatest(one, two).alias("a"), F.least(one, two).alias("b")]
 
 
+def _with_pivots(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Rows of the groups with several components, with the group's pivot, or with comp, the group's greatest component and the number of lines outside of it."""
+    rows = labelled(rows, found)
+    if found is None:
+        live = rows.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("high")).where("pivot != high").select("band", "pivot")
+        return stored(rows.join(live, "band"))
+    rows = stored(rows)
+    sizes = rows.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    live = (sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("comps"))
+            .where("comps > 1").select("band", F.col("main.comp").alias("main"), F.expr("all - main.n").alias("outside")))
+    return stored(rows.join(live, "band"))
+
+
 def line_components(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """id and component of the lines that are similar to another one."""
-    banded = bands(stored(signatures(lines)))
-    groups = banded.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("high")).where("pivot != high").select("band", "pivot")
-    banded = stored(banded.join(groups, "band"))
-    links = stored(_linked(banded.where("id != pivot").select(*_pair("id", "pivot")), lines, least))
-    found = stored(components(links))
-    rows = stored(labelled(banded, found))
-    mixed = rows.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band")
-    rows = stored(rows.join(mixed, "band"))
-    sizes = rows.groupBy("band", "comp").count()
-    main = stored(sizes.groupBy("band").agg(F.max(F.struct("count", "comp")).alias("main")).select("band", "main.comp").withColumnRenamed("comp", "main"))
-    outside = rows.join(main, "band").where("comp != main").select("band", F.col("id").alias("other"), F.col("comp").alias("other_comp"))
-    rest = outside.join(rows, "band").where("comp != other_comp and id != pivot and other != pivot").select(*_pair("id", "other"))
-    more = _linked(rest, lines, least)
-    return components(stored(links.union(more)))
+    signed = stored(signatures(lines))
+    with_pivot = lambda rows: rows.where("id != pivot").select(*_pair("id", "pivot"), "rung")
+    rows = _with_pivots(bands(signed), None)
+    links = stored(_linked(_alike(with_pivot(rows), signed, least), lines, least))
+    found, rows = stored(components(links)), rows.select("band", "id", "rung")
+    for depth in range(DEPTH + 1):
+        rows = _with_pivots(rows, found)
+        if not rows.limit(1).count():
+            break
+        large = F.col("outside") > (LEAF if depth < DEPTH else 1 << 62)
+        ready = rows.where(~large)
+        others = ready.where("comp != main").select("band", F.col("id").alias("other"), F.col("comp").alias("other_comp"))
+        pairs = others.join(ready, "band").where("comp != other_comp").select(*_pair("id", "other"), "rung")
+        rows = stored(_narrower(rows.where(large).select("band", "id", "rung"), signed))
+        pivots = rows.groupBy("band").agg(F.min("id").alias("pivot"))
+        pairs = pairs.union(with_pivot(rows.join(pivots, "band")))
+        links = stored(_linked(_alike(pairs, signed, least), lines, least))
+        found = stored(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)))
+    return found
 
 
 def dedup_lines(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
