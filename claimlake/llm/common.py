@@ -32,7 +32,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df, written once as Parquet in the shared folder, so that lost executors or later uses don't run its plan again.
 
-    A checkpointed frame keeps the constraints of the plan behind it, which double with every round of a loop; files don't.
+    With checkpoints, loops slowed with every round, probably by the constraints such a frame keeps of its plan; with files they don't.
     """
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid4().hex}"
     df.write.parquet(path)
