@@ -1,7 +1,10 @@
-"""Fuzzy line dedup by MinHash over character shingles, as DataFrame operations only.
+"""Fuzzy line dedup by MinHash over character shingles.
 
-Equal lines are one line (its 64-bit hash). A line's shingles are its runs of SHINGLE characters (UTF-16 units; a shorter
-line is one shingle). Of a long line's shingles those count whose hash is 0 modulo 4^rung, so that about 48 to 192 do; a line
+Lines are cut, banded, joined and united by DataFrame operations; signatures and the exact comparison are numpy inside tasks,
+because hashing every shingle as a row of its own took several times the CPU time allowed (figures in the README).
+
+Equal lines are one line (its 64-bit hash). A line's shingles are its runs of SHINGLE characters (code points; a shorter
+line is one shingle), compared by 64-bit hashes. Of a long line's shingles those count whose hash is 0 modulo 4^rung, so that about 48 to 192 do; a line
 near the border of two rungs signs for both, so similar lines share a rung. The signature has BINS least hashes, one for
 each class of hashes, in bands of three. Within a band's group every line meets the group's least; linked lines are united by
 stars. Then, in groups that still hold several components, the lines outside of the greatest one meet all others; where they
@@ -13,10 +16,14 @@ are. Null and empty texts stay as they are; rows that share doc_id and text lose
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, stored, table
+from .common import batch_of, mixed, small, stored, table
 from .components import components, labelled
 
 SHINGLE, BINS, ROWS = 10, 24, 3
@@ -27,10 +34,10 @@ LEAST = (85, 100)
 COUNTED = 48
 #: Lines up to which the ids of candidates are sent to all executors; more meet the texts by a shuffle.
 BROADCAST_LINES = 300_000
-
-
-def _rung(n: str) -> str:
-    return f"cast(greatest(0, floor(ln({n} / {COUNTED}.0) / ln(4))) as int)"
+#: Characters hashed at a time in a task, and shingle hashes held while pairs are compared.
+RUN = 1_000_000
+UNSEEN = 1 << 31
+_POWERS = np.random.default_rng(3).integers(0, 1 << 63, SHINGLE + 1, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -39,17 +46,62 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return own.where(F.col("line").rlike("\\S")).withColumn("id", F.xxhash64("line"))
 
 
-def _characters(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("chars", F.encode("line", "UTF-16BE")).withColumn("n", F.expr(f"greatest(1, cast(length(chars) / 2 as int) - {SHINGLE - 1})"))
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of all shingles of all lines in turn, repeats included, and how many each line has."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    padded = "".join(t if len(t) >= SHINGLE else t + "\0" * (SHINGLE - len(t)) for t in lines)
+    points = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    total = np.zeros(max(0, len(points) - SHINGLE + 1), np.uint64)
+    for k in range(SHINGLE):
+        total += points[k:k + len(total)] * _POWERS[k]
+    counts, lengths = np.maximum(1, sizes - SHINGLE + 1), np.maximum(sizes, SHINGLE)
+    at = np.arange(counts.sum()) + np.repeat(np.cumsum(lengths) - lengths - np.cumsum(counts) + counts, counts)
+    # What is padded differs from a line that ends in zero characters.
+    return mixed(total[at] + np.repeat(np.where(sizes < SHINGLE, sizes + 1, 0), counts).astype(np.uint64) * _POWERS[-1]), counts
+
+
+def _runs(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of lines that have RUN characters together, or one longer line."""
+    start = held = 0
+    for i, t in enumerate(lines):
+        if held and held + len(t) > RUN:
+            yield start, i
+            start, held = i, 0
+        held += len(t)
+    if lines:
+        yield start, len(lines)
+
+
+def _rungs(counts: np.ndarray) -> np.ndarray:
+    return np.maximum(0, np.floor(np.log(counts / COUNTED) / np.log(4))).astype(np.int64)
+
+
+def _least_hashes(hashes: np.ndarray, counts: np.ndarray, rungs: np.ndarray) -> np.ndarray:
+    """The signature of each line on its rung: the least value of each bin, UNSEEN where a bin is empty."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    counted = hashes & ((np.uint64(1) << (2 * rungs).astype(np.uint64)) - np.uint64(1))[owner] == 0
+    hashes, owner = hashes[counted], owner[counted]
+    out = np.full(len(counts) * BINS, UNSEEN, np.int64)
+    np.minimum.at(out, owner * BINS + (hashes >> np.uint64(40)).astype(np.int64) % BINS, (hashes >> np.uint64(8)).astype(np.int64) & 0x7FFFFFFF)
+    return out.reshape(-1, BINS)
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """id, rung and the least hashes b0, b1, ... of each line."""
-    rungs = _characters(lines.select("id", "line")).select("id", "chars", "n", F.explode(F.expr(f"array_distinct(array({_rung('n')}, {_rung('n * 1.25')}))")).alias("rung"))
-    at = rungs.select("id", "rung", "chars", F.expr("shiftleft(1L, 2 * rung) - 1").alias("mask"), F.explode(F.expr("sequence(0, n - 1)")).alias("at"))
-    hashed = at.select("id", "rung", "mask", F.expr(f"xxhash64(substring(chars, 2 * at + 1, {2 * SHINGLE}))").alias("h")).where("(h & mask) = 0")
-    binned = hashed.select("id", "rung", F.expr(f"cast(shiftrightunsigned(h, 40) % {BINS} as int)").alias("bin"), F.expr("cast(shiftright(h, 8) & 2147483647 as int)").alias("v"))
-    return binned.groupBy("id", "rung").agg(*(F.min(F.when(F.col("bin") == b, F.col("v"))).alias(f"b{b}") for b in range(BINS)))
+    """id, rung and the least hashes b0, b1, ... (null for empty bins) of each line."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = dict(zip(batch.column("id").to_pylist(), batch.column("line").to_pylist()))
+            ids, texts = np.fromiter(own, np.int64, len(own)), list(own.values())
+            for start, end in _runs(texts):
+                hashes, counts = shingle_hashes(texts[start:end])
+                low, high = _rungs(counts), _rungs(counts * 1.25)
+                two = low != high
+                rows = np.concatenate([_least_hashes(hashes, counts, low), _least_hashes(hashes[np.repeat(two, counts)], counts[two], high[two])])
+                bins = {f"b{b}": pa.array(rows[:, b].astype(np.int32), mask=rows[:, b] == UNSEEN) for b in range(BINS)}
+                yield batch_of(id=np.concatenate([ids[start:end], ids[start:end][two]]), rung=np.concatenate([low, high[two]]).astype(np.int32), **bins)
+
+    fields = ", ".join(f"b{b} int" for b in range(BINS))
+    return lines.select("id", "line").mapInArrow(run, f"id long, rung int, {fields}").dropDuplicates(["id", "rung"])
 
 
 def _key(rows: list[int], *more: Column | str) -> Column:
@@ -86,22 +138,31 @@ def _alike(pairs: DataFrame, signed: DataFrame, least: tuple[int, int]) -> DataF
     return met.where(f"{same} >= ({used}) * {p} - 5 * sqrt(({used}) * {p * (1 - p)})").select("a", "b")
 
 
-def _shingles(line: str) -> str:
-    """The runs of SHINGLE characters of a line, or the whole of a shorter one."""
-    return f"if(length({line}) < {SHINGLE}, array({line}), regexp_extract_all({line}, '(?s)(?=(.{{{SHINGLE}}}))', 1))"
-
-
 def _linked(pairs: DataFrame, lines: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of lines whose shingle sets reach intersection / union >= least."""
+    """The pairs (a, b) of lines whose full shingle sets reach intersection / union >= least."""
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        size = 0
+        for batch in batches:
+            keep = []
+            for a, b, *texts in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "one", "two"))):
+                for i, t in zip((a, b), texts):
+                    if i not in held:
+                        held[i] = np.unique(shingle_hashes([t])[0])
+                        size += len(held[i])
+                x, y = held[a], held[b]
+                near = least[1] * min(len(x), len(y)) >= least[0] * max(len(x), len(y))
+                common = len(np.intersect1d(x, y, assume_unique=True)) if near else 0
+                keep.append(near and least[1] * common >= least[0] * (len(x) + len(y) - common))
+                if size > RUN:
+                    held.clear()
+                    size = 0
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     pairs = stored(pairs.distinct())
-    texts = lines.select("id", "line").join(_ends(pairs), "id", "left_semi").dropDuplicates(["id"])
-    texts = stored(texts.withColumn("n", F.expr(f"size(array_distinct({_shingles('line')}))")))
-    one, two = (texts.toDF(c, *own) for c, own in (("a", ("x", "n")), ("b", ("y", "m"))))
-    # Few pairs of long lines are dealt to several tasks; the common shingles are counted in a lambda, once for each pair.
-    parts = min(pairs.count() // 1000 + 1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = pairs.repartition(parts).join(one, "a").join(two, "b").where(f"least(n, m) * {least[1]} >= greatest(n, m) * {least[0]}")
-    both = f"n + m - size(array_union({_shingles('x')}, {_shingles('y')}))"
-    return met.where(f"exists(array({both}), q -> q * {least[1]} >= (n + m - q) * {least[0]})").select("a", "b")
+    texts = stored(lines.select("id", "line").join(_ends(pairs), "id", "left_semi").dropDuplicates(["id"]))
+    one, two = (texts.toDF(*own) for own in (("a", "one"), ("b", "two")))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(confirm, "a long, b long")
 
 
 def _pair(one: str, two: str) -> list[Column]:

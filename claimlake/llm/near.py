@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, batch_of, map_batches, small, stored, table
+from .common import LOWER, UPPER, batch_of, map_batches, mixed, small, stored, table
 from .components import components, labelled
 
 SHINGLE, COORDINATES, LEAF = 5, 128, 32
@@ -43,12 +43,6 @@ _POWERS = _rng.integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint
 _words: dict[str, int] = {}
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles; with fewer words the whole sequence is one."""
     words = _WORD.findall((text or "").translate(_CASE))
@@ -64,8 +58,8 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     n = len(words) - size + 1
     total = own[:n] * _POWERS[0]
     for k in range(1, size):
-        total = _mixed(total) + own[k:k + n] * _POWERS[k]
-    return np.unique(_mixed(total))
+        total = mixed(total) + own[k:k + n] * _POWERS[k]
+    return np.unique(mixed(total))
 
 
 def _tokens(shingles: np.ndarray) -> np.ndarray:
@@ -89,10 +83,10 @@ def _children(tokens: np.ndarray, nodes: np.ndarray, depth: int) -> np.ndarray:
     """The nodes of a class `depth` levels below nodes: each chooses one coordinate, and a second one in part of the cases."""
     wide = tokens.astype(np.uint64)
     for _ in range(depth):
-        chosen = _mixed(nodes + _MIX)
+        chosen = mixed(nodes + _MIX)
         first, second = chosen & np.uint64(COORDINATES - 1), chosen >> np.uint64(8) & np.uint64(COORDINATES - 1)
         twice = (chosen >> np.uint64(32) & np.uint64(1023)) < 614
-        take = lambda node, at: _mixed(node * _MIX + (at << np.uint64(40)) + wide[at.astype(np.int64)])
+        take = lambda node, at: mixed(node * _MIX + (at << np.uint64(40)) + wide[at.astype(np.int64)])
         nodes = np.unique(np.concatenate([take(nodes, first), take(nodes[twice], second[twice])]))
     return nodes
 
@@ -118,7 +112,7 @@ def _nodes(rows: DataFrame, trees: int | None, depth: int) -> DataFrame:
     """node and id: the nodes `depth` levels below the roots of trees, or below the column node."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, owners = [], []
-        starts = [_mixed(np.arange(trees, dtype=np.uint64) + np.uint64(1))] * batch.num_rows if trees else batch.column("node").to_numpy().view(np.uint64).reshape(-1, 1)
+        starts = [mixed(np.arange(trees, dtype=np.uint64) + np.uint64(1))] * batch.num_rows if trees else batch.column("node").to_numpy().view(np.uint64).reshape(-1, 1)
         for id_, packed, start in zip(batch.column("id").to_pylist(), batch.column("tokens").to_pylist(), starts):
             own = _children(np.frombuffer(packed, np.uint32), start, depth)
             found.append(own)
