@@ -7,7 +7,7 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -40,6 +40,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """df, stored, and how many rows it has, counted as they are written."""
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """A stored table marked for broadcast if it has at most that many rows; otherwise it meets its partner by a shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

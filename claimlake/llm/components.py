@@ -1,33 +1,39 @@
-"""Connected components of edges by alternating large and small stars, as DataFrame operations only."""
+"""Connected components of edges by contraction, as DataFrame operations only."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import counted, stored
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hashed: bool = False) -> DataFrame:
     """id and component (the least id reachable) of every id in edges (a, b), which may repeat or point to themselves.
 
-    A large star links the larger neighbours of an id with the least of all of them, a small star the smaller ones. The
-    least neighbours are stored before they meet the edges, so that a join on an id with very many edges can be split.
-    Edges with a null end are left out; no edges give no rows.
+    In every round each id goes to the first of itself and its neighbours, and the edges are drawn between what their ends
+    went to, until none is left; then the steps of all rounds are followed from the last to the first. The order is that of
+    the ids' hashes, so that a path of sequential ids takes few rounds; ids that are hashes stand in their own order, and a
+    component's first id is its least. Where an id goes is stored before it meets the edges, so that a join on an id with
+    very many edges can be split. Edges with a null end are left out; no edges give no rows.
     """
-    edges = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == state or not now[0]:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
-        state = now
+    place = F.col if hashed else F.xxhash64
+    edges, left = counted(edges.where("a != b").select("a", "b").distinct())
+    steps = []
+    while left or not steps:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(least.where("a != m").select("a", F.col("m").alias("b")))
-        least = stored(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        least = stored(both.groupBy(F.col("a").alias("id")).agg(F.min_by("b", place("b")).alias("to"))
+                       .select("id", F.when(place("to") < place("id"), F.col("to")).otherwise(F.col("id")).alias("to")))
+        steps.append(least)
+        one, two = (least.select(F.col("id").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab")
+        moved = edges.join(one, "a").join(two, "b").where("a_to != b_to")
+        edges, left = counted(moved.select(F.greatest("a_to", "b_to").alias("a"), F.least("a_to", "b_to").alias("b")).distinct())
+    found = steps.pop()
+    while steps:
+        last, found = found.toDF("to", "end"), steps.pop()
+        found = stored(found.join(last, "to", "left").select("id", F.coalesce("end", "to").alias("to")))
+    if hashed:
+        return found.withColumnRenamed("to", "component")
+    return found.join(stored(found.groupBy("to").agg(F.min("id").alias("component"))), "to").select("id", "component")
 
 
 def labelled(rows: DataFrame, found: DataFrame | None) -> DataFrame:

@@ -35,7 +35,7 @@ COUNTED = 48
 #: Lines up to which the ids of candidates are sent to all executors; more meet the texts by a shuffle.
 BROADCAST_LINES = 300_000
 #: Characters hashed at a time in a task, and shingle hashes held while pairs are compared.
-RUN = 1_000_000
+RUN, HELD = 1 << 16, 1_000_000
 UNSEEN = 1 << 31
 _POWERS = np.random.default_rng(3).integers(0, 1 << 63, SHINGLE + 1, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -154,7 +154,7 @@ def _linked(pairs: DataFrame, lines: DataFrame, least: tuple[int, int]) -> DataF
                 near = least[1] * min(len(x), len(y)) >= least[0] * max(len(x), len(y))
                 common = len(np.intersect1d(x, y, assume_unique=True)) if near else 0
                 keep.append(near and least[1] * common >= least[0] * (len(x) + len(y) - common))
-                if size > RUN:
+                if size > HELD:
                     held.clear()
                     size = 0
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -188,7 +188,7 @@ def line_components(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFra
     with_pivot = lambda rows: rows.where("id != pivot").select(*_pair("id", "pivot"), "rung")
     rows = _with_pivots(bands(signed), None)
     links = stored(_linked(_alike(with_pivot(rows), signed, least), lines, least))
-    found, rows = stored(components(links)), rows.select("band", "id", "rung")
+    found, rows = components(links, hashed=True), rows.select("band", "id", "rung")
     for depth in range(DEPTH + 1):
         rows = _with_pivots(rows, found)
         if not rows.limit(1).count():
@@ -201,14 +201,14 @@ def line_components(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFra
         pivots = rows.groupBy("band").agg(F.min("id").alias("pivot"))
         pairs = pairs.union(with_pivot(rows.join(pivots, "band")))
         links = stored(_linked(_alike(pairs, signed, least), lines, least))
-        found = stored(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)))
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links), hashed=True)
     return found
 
 
 def dedup_lines(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """docs with the lines that stay in text, and n_lines and n_kept (lines that aren't white space only)."""
     lines = lines_of(docs)
-    found = stored(line_components(lines, least))
+    found = line_components(lines, least)
     place = F.struct("doc_id", "text_hash", "no").alias("place")
     counted = lines.select("id", place).groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     shared = labelled(counted, found)

@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = (85, 100)) -> Data
     leaf, large = with_sketch(rows.where(F.col("n") <= LEAF)), with_sketch(rows.where(F.col("n") > LEAF))
     pairs = _pairs(leaf, leaf, ["node"], most).union(_pairs(large.where("pivot"), large, ["node"], most))
     links = stored(confirmed(pairs, classes, docs, least, repeated))
-    found = stored(components(links))
+    found = components(links, hashed=True)
 
     rows, depth, pairs = _mixed_nodes(rows.where(F.col("n") > LEAF).select("node", "id"), found), DEPTH, None
     while rows.limit(1).count():
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = (85, 100)) -> Data
         rows, depth = _mixed_nodes(_nodes(below, None, DEPTH), found), depth + DEPTH
     if pairs is not None:
         links = stored(links.union(confirmed(pairs, classes, docs, least, repeated)))
-        found = stored(components(links))
+        found = components(links, hashed=True)
 
     grouped = labelled(classes.select("id", "first"), found)
     least_doc = grouped.groupBy("comp").agg(F.min("first").alias("component_id"))
