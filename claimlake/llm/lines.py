@@ -34,7 +34,7 @@ LEAST = (85, 100)
 COUNTED = 48
 #: Lines up to which the ids of candidates are sent to all executors; more meet the texts by a shuffle.
 BROADCAST_LINES = 300_000
-#: Characters hashed at a time in a task, and shingle hashes held while pairs are compared.
+#: Characters hashed at a time in a task, and those of pairs whose sets are held at a time.
 RUN, HELD = 1 << 16, 1_000_000
 UNSEEN = 1 << 31
 _POWERS = np.random.default_rng(3).integers(0, 1 << 63, SHINGLE + 1, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -60,11 +60,11 @@ def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(total[at] + np.repeat(np.where(sizes < SHINGLE, sizes + 1, 0), counts).astype(np.uint64) * _POWERS[-1]), counts
 
 
-def _runs(lines: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of lines that have RUN characters together, or one longer line."""
+def _runs(lines: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of lines that have so many characters together at most, or one longer line."""
     start = held = 0
     for i, t in enumerate(lines):
-        if held and held + len(t) > RUN:
+        if held and held + len(t) > most:
             yield start, i
             start, held = i, 0
         held += len(t)
@@ -72,6 +72,15 @@ def _runs(lines: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(lines)
 
 
+def _sets(lines: dict[int, str]) -> dict[int, np.ndarray]:
+    """The sorted distinct shingle hashes of lines by id."""
+    ids, texts, out = list(lines), list(lines.values()), {}
+    for start, end in _runs(texts, RUN):
+        hashes, counts = shingle_hashes(texts[start:end])
+        out.update(zip(ids[start:end], map(np.unique, np.split(hashes, np.cumsum(counts)[:-1]))))
+    return out
+
+
 def _rungs(counts: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.floor(np.log(counts / COUNTED) / np.log(4))).astype(np.int64)
 
@@ -92,7 +101,7 @@ def signatures(lines: DataFrame) -> DataFrame:
         for batch in batches:
             own = dict(zip(batch.column("id").to_pylist(), batch.column("line").to_pylist()))
             ids, texts = np.fromiter(own, np.int64, len(own)), list(own.values())
-            for start, end in _runs(texts):
+            for start, end in _runs(texts, RUN):
                 hashes, counts = shingle_hashes(texts[start:end])
                 low, high = _rungs(counts), _rungs(counts * 1.25)
                 two = low != high
@@ -140,24 +149,20 @@ def _alike(pairs: DataFrame, signed: DataFrame, least: tuple[int, int]) -> DataF
 
 def _linked(pairs: DataFrame, lines: DataFrame, least: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of lines whose full shingle sets reach intersection / union >= least."""
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        if least[1] * min(len(x), len(y)) < least[0] * max(len(x), len(y)):
+            return False
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return least[1] * common >= least[0] * (len(x) + len(y) - common)
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        size = 0
         for batch in batches:
-            keep = []
-            for a, b, *texts in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "one", "two"))):
-                for i, t in zip((a, b), texts):
-                    if i not in held:
-                        held[i] = np.unique(shingle_hashes([t])[0])
-                        size += len(held[i])
-                x, y = held[a], held[b]
-                near = least[1] * min(len(x), len(y)) >= least[0] * max(len(x), len(y))
-                common = len(np.intersect1d(x, y, assume_unique=True)) if near else 0
-                keep.append(near and least[1] * common >= least[0] * (len(x) + len(y) - common))
-                if size > HELD:
-                    held.clear()
-                    size = 0
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            pairs = list(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "one", "two"))))
+            for start, end in _runs([one + two for *_, one, two in pairs], HELD):
+                part = pairs[start:end]
+                sets = _sets({i: t for a, b, one, two in part for i, t in ((a, one), (b, two))})
+                keep = pa.array([similar(sets[a], sets[b]) for a, b, *_ in part], pa.bool_())
+                yield batch.slice(start, end - start).select(["a", "b"]).filter(keep)
 
     pairs = stored(pairs.distinct())
     texts = stored(lines.select("id", "line").join(_ends(pairs), "id", "left_semi").dropDuplicates(["id"]))
