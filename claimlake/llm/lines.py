@@ -6,8 +6,8 @@ because hashing every shingle as a row of its own took several times the CPU tim
 Equal lines are one line (its 64-bit hash). A line's shingles are its runs of SHINGLE characters (code points; a shorter
 line is one shingle), compared by 64-bit hashes. Of a long line's shingles those count whose hash is 0 modulo 4^rung, so that about 48 to 192 do; a line
 near the border of two rungs signs for both, so similar lines share a rung. The signature has BINS least hashes, one for
-each class of hashes, in bands of three. Within a band's group every line meets the group's least; linked lines are united by
-stars. Then, in groups that still hold several components, the lines outside of the greatest one meet all others; where they
+each class of hashes, in bands of three. Within a band's group every line meets the group's least; linked lines are united
+(`components`). Then, in groups that still hold several components, the lines outside of the greatest one meet all others; where they
 are more than LEAF, the group is first split by further bins of the signature. Pairs whose signatures allow the similarity
 are compared exactly, on all shingles. At Jaccard similarity 0.85 a pair shares a band with chance 0.999.
 
@@ -226,7 +226,7 @@ def dedup_lines(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     out = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["gone_doc"]) & (keyed["gone_hash"] == gone["gone_hash"]), "left")
     all_lines = F.split("text", "\n")
     some = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone")), lambda i: all_lines[i])
-    n_lines = F.size(F.filter(F.coalesce(all_lines, F.array()), lambda x: x.rlike("\\S")))
+    n_lines = F.coalesce(F.regexp_count("text", F.lit(r"\S[^\n]*")), F.lit(0))
     return out.select(*kept, F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(some, "\n")).alias("text"),
                       n_lines.cast("long").alias("n_lines"), (n_lines - F.coalesce(F.size("gone"), F.lit(0))).cast("long").alias("n_kept"))
 
