@@ -4,8 +4,8 @@ Lines are cut, banded, joined and united by DataFrame operations; signatures and
 because hashing every shingle as a row of its own took several times the CPU time allowed (figures in the README).
 
 Equal lines are one line (its 64-bit hash). A line's shingles are its runs of SHINGLE characters (code points; a shorter
-line is one shingle), compared by 64-bit hashes. Of a long line's shingles those count whose hash is 0 modulo 4^rung, so that about 48 to 192 do; a line
-near the border of two rungs signs for both, so similar lines share a rung. The signature has BINS least hashes, one for
+line is one shingle), compared by 64-bit hashes. Of a long line's distinct shingles those count whose hash is 0 modulo 4^rung, so that about 48 to 192 do
+(the chance that none does is below 1e-16); a line near the border of two rungs signs for both, so similar lines share a rung. The signature has BINS least hashes, one for
 each class of hashes, in bands of three. Within a band's group every line meets the group's least; linked lines are united
 (`components`). Then, in groups that still hold several components, the lines outside of the greatest one meet all others; where they
 are more than LEAF, the group is first split by further bins of the signature. Pairs whose signatures allow the similarity
@@ -32,6 +32,8 @@ LEAF, NARROW, DEPTH = 64, 4, 2
 LEAST = (85, 100)
 #: Shingles of a line that are counted, at least, where a rung leaves some out.
 COUNTED = 48
+#: A line signs on the rungs of its distinct shingles and of so many times as many.
+BORDER = 1.25
 #: Lines up to which the ids of candidates are sent to all executors; more meet the texts by a shuffle.
 BROADCAST_LINES = 300_000
 #: Characters hashed at a time in a task, and those of pairs whose sets are held at a time.
@@ -81,6 +83,14 @@ def _sets(lines: dict[int, str]) -> dict[int, np.ndarray]:
     return out
 
 
+def _distinct(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many distinct shingles each line has; of a line whose rung is 0 in any case, how many in all."""
+    out, ends = counts.copy(), np.cumsum(counts)
+    for k in np.flatnonzero(_rungs(counts * BORDER)).tolist():
+        out[k] = len(np.unique(hashes[ends[k] - counts[k]:ends[k]]))
+    return out
+
+
 def _rungs(counts: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.floor(np.log(counts / COUNTED) / np.log(4))).astype(np.int64)
 
@@ -103,7 +113,8 @@ def signatures(lines: DataFrame) -> DataFrame:
             ids, texts = np.fromiter(own, np.int64, len(own)), list(own.values())
             for start, end in _runs(texts, RUN):
                 hashes, counts = shingle_hashes(texts[start:end])
-                low, high = _rungs(counts), _rungs(counts * 1.25)
+                distinct = _distinct(hashes, counts)
+                low, high = _rungs(distinct), _rungs(distinct * BORDER)
                 two = low != high
                 rows = np.concatenate([_least_hashes(hashes, counts, low), _least_hashes(hashes[np.repeat(two, counts)], counts[two], high[two])])
                 bins = {f"b{b}": pa.array(rows[:, b].astype(np.int32), mask=rows[:, b] == UNSEEN) for b in range(BINS)}

@@ -142,6 +142,14 @@ def test_lines_equal_brute_force(spark):
     assert sum(r["n_kept"] for r in got) == len(stay)
 
 
+def test_lines_that_repeat_a_passage(spark):
+    rng = np.random.default_rng(2)
+    passage = "".join(rng.choice(list("abcdefgh "), 2000))
+    texts = [passage * 50, passage * 60, passage * 60 + "!", "-" * 400, "-" * 5000, "other words of a line that is like none of them"]
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got if r["n_kept"]) == [0, 3, 5]
+
+
 def test_lines_odd(odd, empty):
     got = lines.dedup_lines(odd).collect()
     assert len(got) == odd.count() and lines.dedup_lines(empty).count() == 0
