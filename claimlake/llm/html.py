@@ -1,9 +1,11 @@
 """Main text of web pages by consensus host paths.
 
-A page's containers are scored by the text of the blocks in them. Their paths, generalised to tags and classes (digits in a
+A page's containers are scored by the text of the blocks in them, and a container stands for the whole it is part of: it moves
+up while its parent adds text that isn't mostly links, below body or to main; a blockquote, and a section or cell inside an
+article, never stands for itself. Their paths, generalised to tags and classes (digits in a
 class become `#`), are voted on per host in Spark: a page gives each of its best containers the share of its score. The path
 with most votes is the host's, and every page is extracted again from the containers that lie on it. A page that has none of
-them, or no host, uses its own best container.
+them, or no host, uses its own best container. The path moves up on each page alike, as pages of a host differ in what lies around it.
 
 A block is what lies between the borders of block elements. Navigation, headers and footers of the page, sidebars, notices,
 adverts, forms, comments, scripts and styles are left out, told by tag, role, or the words of class and id.
@@ -27,6 +29,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                   "head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINER = frozenset("article body div main section td blockquote".split())
+#: Containers that are parts of a text, not the whole.
+PARTS = frozenset("section td blockquote".split())
 LEFT_OUT = frozenset("aside button canvas datalist dialog footer form head iframe input math menu nav noscript object select svg template textarea".split())
 RAW = frozenset("script style".split())
 ENDS_P = BLOCK - {"body", "html", "head", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
@@ -57,6 +61,7 @@ class Page:
         self.blocks: list[tuple[str, int, int]] = []
         self._text: list[str] = []
         self._linked = 0
+        self._sized: dict[str, tuple[str, str, bool, int, int]] | None = None
         stack, at, links = [0], 0, 0
         while m := _MARKUP.search(html, at):
             if m.start() > at:
@@ -130,8 +135,47 @@ class Page:
             element = self.parents[element]
         return element
 
+    def _sizes(self) -> dict[str, tuple[str, str, bool, int, int]]:
+        """Of each container's path: tag, path of the container around it, whether an article or main is around or is it, characters in plain blocks, and in blocks of links."""
+        plain, dense, within = ([0] * len(self.tags) for _ in range(3))
+        for text, linked, element in self.blocks:
+            (dense if 2 * linked > len(text) else plain)[element] += len(text)
+        for e in range(len(self.tags) - 1, 0, -1):
+            plain[self.parents[e]] += plain[e]
+            dense[self.parents[e]] += dense[e]
+        above, out = [0] * len(self.tags), {}
+        for e in range(1, len(self.tags)):
+            parent, tag = self.parents[e], self.tags[e]
+            above[e] = parent if self.tags[parent] in CONTAINER else above[parent]
+            within[e] = within[parent] or tag in ("article", "main")
+            if tag in CONTAINER:
+                *_, a, b = out.get(self.paths[e], (0, 0))
+                out[self.paths[e]] = (tag, self.paths[above[e]], bool(within[e]), a + plain[e], b + dense[e])
+        return out
+
+    def whole(self, path: str) -> str:
+        """The path that the containers on a path stand for."""
+        if self._sized is None:
+            self._sized = self._sizes()
+        best = here = path
+        while best in self._sized and (above := self._sized[here][1]):
+            tag, _, inside, plain, dense = self._sized[best]
+            around, _, within, all_plain, all_dense = self._sized[above]
+            if tag == "blockquote" or tag in PARTS and inside and within:
+                best = here = above
+                continue
+            if tag == "main" or around == "body" and tag not in PARTS:
+                break
+            more, links = all_plain - plain, all_dense - dense
+            if more > (0 if within else links):
+                best = above
+            elif links and not within:
+                break
+            here = above
+        return best
+
     def scores(self) -> list[tuple[float, str]]:
-        """Paths of containers with their score, best first: a block's worth goes to its container and half of it one further up."""
+        """Paths with their score, best first: a block's worth goes to what its container stands for, and half of it to what the next one further up does."""
         worth: dict[str, float] = {}
         for text, linked, element in self.blocks:
             own = (1 + text.count(",") + min(len(text) / 100, 3)) * max(0.0, 1 - linked / len(text))
@@ -140,6 +184,9 @@ class Page:
             for container, part in ((near, own), (far, own / 2)):
                 if container and part:
                     worth[self.paths[container]] = worth.get(self.paths[container], 0.0) + part
+        for path in list(worth):
+            if (whole := self.whole(path)) != path:
+                worth[whole] = worth.get(whole, 0.0) + worth.pop(path)
         return sorted(((w, p) for p, w in worth.items()), key=lambda x: (-x[0], x[1]))
 
     def text(self, path: str | None) -> str:
@@ -181,7 +228,7 @@ def extract(pages: DataFrame) -> DataFrame:
         texts = []
         for html, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist()):
             page = Page(html or "")
-            text = page.text(path) if path else ""
+            text = page.text(page.whole(path)) if path else ""
             if not text:
                 best = page.scores()[:1]
                 text = page.text(best[0][1] if best else None)

@@ -80,6 +80,28 @@ def test_html_votes_outweigh_an_odd_page(spark):
     assert got[5] == "short, own, text"
 
 
+WORDS = "some, words, of, a, part, of, the, text, "
+WHOLE = f"""<body><div class="menu2"><a href=x>{WORDS}</a></div><%s><h1>Title</h1><p>intro</p><section class="a"><p>{WORDS * 20}</p></section><section class="b"><p>{WORDS * 20}</p></section>
+<table><tr><td>{WORDS * 30}</td><td>cell</td></tr></table><blockquote><p>{WORDS * 40}</p></blockquote><div class="x"><p>{WORDS * 20}</p></div><p>closing</p></%s></body>"""
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_html_text_around_inner_containers(spark, tag):
+    rows = [(i, "http://h/", WHOLE % (tag, tag)) for i in range(3)] + [(3, None, WHOLE % (tag, tag))]
+    rows += [(i, "http://g/", f"<body><{tag}><div class=x><p>{WORDS * 20}</p></div></{tag}></body>") for i in range(4, 9)] + [(9, "http://g/", f"<body><{tag}><p>intro</p><div class=x><p>{WORDS * 20}</p></div></{tag}></body>")]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    block = lambda n: (WORDS * n).strip()
+    assert all(got[i] == ["Title", "intro", block(20), block(20), block(30), "cell", block(40), block(20), "closing"] for i in range(4))
+    assert got[4] == [block(20)] and got[9] == ["intro", block(20)]
+
+
+def test_html_sections_of_a_body_and_layout_cells():
+    page = html.Page(f"<body><h1>Title</h1><section class=a><p>{WORDS * 20}</p></section><section class=b><p>{WORDS * 20}</p></section></body>")
+    assert page.text(page.scores()[0][1]).startswith("Title\n\n")
+    page = html.Page(f"<body><table><tr><td class=l><a href=x>{WORDS * 5}</a></td><td class=r><p>{WORDS * 20}</p></td></tr></table></body>")
+    assert page.text(page.scores()[0][1]) == (WORDS * 20).strip()
+
+
 # 2: token output
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 65535) | st.integers(0, 5), max_size=9000))
