@@ -4,12 +4,13 @@ Lines are cut, banded, joined and united by DataFrame operations; signatures and
 because hashing every shingle as a row of its own took several times the CPU time allowed (figures in the README).
 
 Equal lines are one line (its 64-bit hash). A line's shingles are its runs of SHINGLE characters (code points; a shorter
-line is one shingle), compared by 64-bit hashes. Of a long line's distinct shingles those count whose hash is 0 modulo 4^rung, so that about 48 to 192 do
-(the chance that none does is below 1e-16); a line near the border of two rungs signs for both, so similar lines share a rung. The signature has BINS least hashes, one for
-each class of hashes, in bands of three. Within a band's group every line meets the group's least; linked lines are united
-(`components`). Then, in groups that still hold several components, the lines outside of the greatest one meet all others; where they
-are more than LEAF, the group is first split by further bins of the signature. Pairs whose signatures allow the similarity
-are compared exactly, on all shingles. At Jaccard similarity 0.85 a pair shares a band with chance 0.999.
+line is one shingle), compared by 64-bit hashes. Of a long line's distinct shingles those count whose hash is 0 modulo 4^rung, so that about 256 to 1,024
+do (all, should none be 0); a line near the border of two rungs signs for both, so similar lines share a rung. The signature has HASHES
+least hashes under as many hash functions, the first of them in BANDS bands of ROWS. Within a band's group every line meets the group's least; linked lines
+are united (`components`). Then, in groups that still hold several components, the lines outside of the greatest one meet all others; where they
+are more than LEAF, the group is first split by further least hashes, NARROW at a time, up to DEPTH times. Pairs whose signatures allow the similarity
+are compared exactly, on all shingles. At Jaccard similarity 0.75 a pair shares a band with chance 0.9997 (0.9992 where 256 shingles count).
+A line is found by an edit of one character from 39 characters on, and of a word of six letters from 74 on.
 
 One line of a component stays: the first by doc_id (null first), text hash and number. Lines of white space only stay as they
 are. Null and empty texts stay as they are; rows that share doc_id and text lose the same lines; an empty table gives no rows.
@@ -26,20 +27,20 @@ from pyspark.sql import functions as F
 from .common import batch_of, mixed, small, stored, table
 from .components import components, labelled
 
-SHINGLE, BINS, ROWS = 10, 24, 3
-#: Groups with more lines than LEAF outside of their greatest component are split by NARROW further bins, up to DEPTH times.
+SHINGLE, BANDS, ROWS = 5, 21, 4
+HASHES, SKETCH = BANDS * ROWS, 3
+#: Groups with more lines than LEAF outside of their greatest component are split by NARROW further least hashes, up to DEPTH times.
 LEAF, NARROW, DEPTH = 64, 4, 2
-LEAST = (85, 100)
-#: Shingles of a line that are counted, at least, where a rung leaves some out.
-COUNTED = 48
-#: A line signs on the rungs of its distinct shingles and of so many times as many.
-BORDER = 1.25
+LEAST = (75, 100)
+#: Shingles of a line that are counted, about, at least, where a rung leaves some out.
+COUNTED = 256
 #: Lines up to which the ids of candidates are sent to all executors; more meet the texts by a shuffle.
 BROADCAST_LINES = 300_000
 #: Characters hashed at a time in a task, and those of pairs whose sets are held at a time.
 RUN, HELD = 1 << 16, 1_000_000
-UNSEEN = 1 << 31
-_POWERS = np.random.default_rng(3).integers(0, 1 << 63, SHINGLE + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+_rng = np.random.default_rng(3)
+_POWERS = _rng.integers(0, 1 << 63, SHINGLE + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+_A, _B = _rng.integers(0, 1 << 32, HASHES, np.uint32) | np.uint32(1), _rng.integers(0, 1 << 32, HASHES, np.uint32)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -83,10 +84,10 @@ def _sets(lines: dict[int, str]) -> dict[int, np.ndarray]:
     return out
 
 
-def _distinct(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _distinct(hashes: np.ndarray, counts: np.ndarray, border: float) -> np.ndarray:
     """How many distinct shingles each line has; of a line whose rung is 0 in any case, how many in all."""
     out, ends = counts.copy(), np.cumsum(counts)
-    for k in np.flatnonzero(_rungs(counts * BORDER)).tolist():
+    for k in np.flatnonzero(_rungs(counts * border)).tolist():
         out[k] = len(np.unique(hashes[ends[k] - counts[k]:ends[k]]))
     return out
 
@@ -96,49 +97,60 @@ def _rungs(counts: np.ndarray) -> np.ndarray:
 
 
 def _least_hashes(hashes: np.ndarray, counts: np.ndarray, rungs: np.ndarray) -> np.ndarray:
-    """The signature of each line on its rung: the least value of each bin, UNSEEN where a bin is empty."""
+    """The signature of each line on its rung: 16 bits of the least hash under each function."""
     owner = np.repeat(np.arange(len(counts)), counts)
     counted = hashes & ((np.uint64(1) << (2 * rungs).astype(np.uint64)) - np.uint64(1))[owner] == 0
-    hashes, owner = hashes[counted], owner[counted]
-    out = np.full(len(counts) * BINS, UNSEEN, np.int64)
-    np.minimum.at(out, owner * BINS + (hashes >> np.uint64(40)).astype(np.int64) % BINS, (hashes >> np.uint64(8)).astype(np.int64) & 0x7FFFFFFF)
-    return out.reshape(-1, BINS)
+    counted |= (np.bincount(owner[counted], minlength=len(counts)) == 0)[owner]
+    x, many = (hashes[counted] >> np.uint64(32)).astype(np.uint32), np.bincount(owner[counted], minlength=len(counts))
+    starts, out = np.cumsum(many) - many, np.empty((HASHES, len(counts)), np.uint32)
+    if len(counts):
+        for c in range(HASHES):
+            out[c] = np.minimum.reduceat(x * _A[c] + _B[c], starts)
+    return np.ascontiguousarray((out * np.uint32(0x9E3779B1) >> np.uint32(16)).T.astype("<u2"))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """id, rung and the least hashes b0, b1, ... (null for empty bins) of each line."""
+def _sketches(rows: np.ndarray) -> dict[str, np.ndarray]:
+    """Two bits of each least hash, 32 of them in a long."""
+    lanes = np.zeros((len(rows), SKETCH * 32), np.uint64)
+    lanes[:, :HASHES] = rows & 3
+    words = np.bitwise_or.reduce(lanes.reshape(-1, SKETCH, 32) << np.arange(0, 64, 2, dtype=np.uint64), axis=2)
+    return {f"s{k}": words[:, k].astype(np.int64) for k in range(SKETCH)}
+
+
+def signatures(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
+    """id, rung, least hashes and their sketch s0, s1, ... of each line."""
+    border = 1.001 * least[1] / least[0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = dict(zip(batch.column("id").to_pylist(), batch.column("line").to_pylist()))
             ids, texts = np.fromiter(own, np.int64, len(own)), list(own.values())
             for start, end in _runs(texts, RUN):
                 hashes, counts = shingle_hashes(texts[start:end])
-                distinct = _distinct(hashes, counts)
-                low, high = _rungs(distinct), _rungs(distinct * BORDER)
+                distinct = _distinct(hashes, counts, border)
+                low, high = _rungs(distinct), _rungs(distinct * border)
                 two = low != high
                 rows = np.concatenate([_least_hashes(hashes, counts, low), _least_hashes(hashes[np.repeat(two, counts)], counts[two], high[two])])
-                bins = {f"b{b}": pa.array(rows[:, b].astype(np.int32), mask=rows[:, b] == UNSEEN) for b in range(BINS)}
-                yield batch_of(id=np.concatenate([ids[start:end], ids[start:end][two]]), rung=np.concatenate([low, high[two]]).astype(np.int32), **bins)
+                yield batch_of(id=np.concatenate([ids[start:end], ids[start:end][two]]), rung=np.concatenate([low, high[two]]).astype(np.int32),
+                               least=pa.array([r.tobytes() for r in rows], pa.binary()), **_sketches(rows))
 
-    fields = ", ".join(f"b{b} int" for b in range(BINS))
-    return lines.select("id", "line").mapInArrow(run, f"id long, rung int, {fields}").dropDuplicates(["id", "rung"])
+    fields = ", ".join(f"s{k} long" for k in range(SKETCH))
+    return lines.select("id", "line").mapInArrow(run, f"id long, rung int, least binary, {fields}").dropDuplicates(["id", "rung"])
 
 
-def _key(rows: list[int], *more: Column | str) -> Column:
-    """A key of the least hashes in those bins, null if all of them are empty."""
-    return F.when(F.coalesce(*(F.col(f"b{b}") for b in rows)).isNotNull(), F.xxhash64(*more, *(F.coalesce(F.col(f"b{b}").cast("long"), F.lit(1 << 40)) for b in rows)))
+def _keys(at: int, many: int, rows: int, *more: Column | str) -> Column:
+    """Keys of so many runs of rows least hashes, from the one at `at` on."""
+    return F.explode(F.array(*(F.xxhash64(*more, F.lit(k), F.substring("least", 2 * (at + k * rows) + 1, 2 * rows)) for k in range(many)))).alias("band")
 
 
 def bands(signed: DataFrame) -> DataFrame:
-    """band, id and rung: a key for each band that isn't empty."""
-    keys = [_key(list(range(at, at + ROWS)), "rung", F.lit(at)) for at in range(0, BINS, ROWS)]
-    return signed.select("id", "rung", F.explode(F.array(*keys)).alias("band")).where("band is not null").select("band", "id", "rung")
+    """band, id and rung: a key for each band."""
+    return signed.select("id", "rung", _keys(0, BANDS, ROWS, "rung")).select("band", "id", "rung")
 
 
 def _narrower(rows: DataFrame, signed: DataFrame) -> DataFrame:
-    """Rows (band, id, rung) under the keys of their band and NARROW further bins, disjoint ones in turn."""
-    keys = [_key(list(range(at, at + NARROW)), "band", F.lit(at)) for at in range(0, BINS, NARROW)]
-    return rows.join(signed, ["id", "rung"]).select("id", "rung", F.explode(F.array(*keys)).alias("band")).where("band is not null").select("band", "id", "rung")
+    """Rows (band, id, rung) under the keys of their band and NARROW further least hashes, disjoint ones in turn."""
+    return rows.select("id", "rung", F.col("band").alias("own")).join(signed, ["id", "rung"]).select("id", "rung", _keys(0, HASHES // NARROW, NARROW, "own")).select("band", "id", "rung")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -147,15 +159,15 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, signed: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Of pairs (a, b, rung) those whose signatures allow the similarity: at most five standard deviations below it."""
+    """Of pairs (a, b, rung) those whose signatures allow the similarity: whose sketches differ by at most five standard deviations more than expected."""
     pairs = stored(pairs.distinct())
-    needed = signed.join(_ends(pairs), "id", "left_semi")
-    one, two = (needed.withColumnRenamed("id", c).withColumnsRenamed({f"b{b}": f"{c}{b}" for b in range(BINS)}) for c in "ab")
-    p = least[0] / least[1]
-    same = " + ".join(f"if(a{b} = b{b}, 1, 0)" for b in range(BINS))
-    used = " + ".join(f"if(coalesce(a{b}, b{b}) is not null, 1, 0)" for b in range(BINS))
+    sketch = [f"s{k}" for k in range(SKETCH)]
+    needed = signed.select("id", "rung", *sketch).join(_ends(pairs), "id", "left_semi")
+    one, two = (needed.withColumnRenamed("id", c).withColumnsRenamed({k: f"{c}_{k}" for k in sketch}) for c in "ab")
+    p = 0.75 * (1 - least[0] / least[1])
+    other = " + ".join(f"bit_count(((a_{k} ^ b_{k}) | shiftrightunsigned(a_{k} ^ b_{k}, 1)) & 6148914691236517205L)" for k in sketch)
     met = pairs.join(one, ["a", "rung"]).join(two, ["b", "rung"])
-    return met.where(f"{same} >= ({used}) * {p} - 5 * sqrt(({used}) * {p * (1 - p)})").select("a", "b")
+    return met.where(f"{other} <= {HASHES * p + 5 * (HASHES * p * (1 - p)) ** 0.5}").select("a", "b")
 
 
 def _linked(pairs: DataFrame, lines: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -200,7 +212,7 @@ def _with_pivots(rows: DataFrame, found: DataFrame | None) -> DataFrame:
 
 def line_components(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """id and component of the lines that are similar to another one."""
-    signed = stored(signatures(lines))
+    signed = stored(signatures(lines, least))
     with_pivot = lambda rows: rows.where("id != pivot").select(*_pair("id", "pivot"), "rung")
     rows = _with_pivots(bands(signed), None)
     links = stored(_linked(_alike(with_pivot(rows), signed, least), lines, least))

@@ -172,6 +172,14 @@ def test_lines_that_repeat_a_passage(spark):
     assert sorted(r["doc_id"] for r in got if r["n_kept"]) == [0, 3, 5]
 
 
+def test_lines_of_usual_length_with_an_edit(spark):
+    base = ["Posted on 2024-01-17 by the editors of the page, number 1", "All rights are reserved by the owner of this site, whose terms of service apply to all of its users",
+            "This other line is like neither of them, nor is it edited"]
+    docs = list(enumerate([*base, base[0].replace("17", "18"), base[1].replace("owner", "person")]))
+    got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got if r["n_kept"]) == [0, 1, 2]
+
+
 def test_lines_odd(odd, empty):
     got = lines.dedup_lines(odd).collect()
     assert len(got) == odd.count() and lines.dedup_lines(empty).count() == 0
