@@ -8,8 +8,9 @@ line is one shingle), compared by 64-bit hashes. Of a long line's distinct shing
 do (all, should none be 0); a line near the border of two rungs signs for both, so similar lines share a rung. The signature has HASHES
 least hashes under as many hash functions, the first of them in BANDS bands of ROWS. Within a band's group every line meets the group's least; linked lines
 are united (`components`). Then, in groups that still hold several components, the lines outside of the greatest one meet all others; where they
-are more than LEAF, the group is first split by further least hashes, NARROW at a time, up to DEPTH times. Pairs whose signatures allow the similarity
-are compared exactly, on all shingles. At Jaccard similarity 0.75 a pair shares a band with chance 0.9997 (0.9992 where 256 shingles count).
+are more than LEAF, the group is first split by least hashes that no band and no other split has, SPLITS pairs of them, up to DEPTH times. Pairs whose signatures allow the similarity
+are compared exactly, on all shingles. At Jaccard similarity 0.75 a pair shares a band with chance 0.9997 (0.9992 where 256 shingles count), and each split keeps
+it together with chance 0.9994 (0.9992).
 A line is found by an edit of one character from 39 characters on, and of a word of six letters from 74 on.
 
 One line of a component stays: the first by doc_id (null first), text hash and number. Lines of white space only stay as they
@@ -28,9 +29,9 @@ from .common import batch_of, mixed, small, stored, table
 from .components import components, labelled
 
 SHINGLE, BANDS, ROWS = 5, 21, 4
-HASHES, SKETCH = BANDS * ROWS, 3
-#: Groups with more lines than LEAF outside of their greatest component are split by NARROW further least hashes, up to DEPTH times.
-LEAF, NARROW, DEPTH = 64, 4, 2
+#: Groups with more lines than LEAF outside of their greatest component are split by SPLITS keys of NARROW least hashes of their own, up to DEPTH times.
+LEAF, SPLITS, NARROW, DEPTH = 64, 9, 2, 2
+HASHES, SKETCH = BANDS * ROWS + DEPTH * SPLITS * NARROW, 4
 LEAST = (75, 100)
 #: Shingles of a line that are counted, about, at least, where a rung leaves some out.
 COUNTED = 256
@@ -148,9 +149,10 @@ def bands(signed: DataFrame) -> DataFrame:
     return signed.select("id", "rung", _keys(0, BANDS, ROWS, "rung")).select("band", "id", "rung")
 
 
-def _narrower(rows: DataFrame, signed: DataFrame) -> DataFrame:
-    """Rows (band, id, rung) under the keys of their band and NARROW further least hashes, disjoint ones in turn."""
-    return rows.select("id", "rung", F.col("band").alias("own")).join(signed, ["id", "rung"]).select("id", "rung", _keys(0, HASHES // NARROW, NARROW, "own")).select("band", "id", "rung")
+def _narrower(rows: DataFrame, signed: DataFrame, depth: int) -> DataFrame:
+    """Rows (band, id, rung) under the keys of their band and of the least hashes that are this depth's own."""
+    keys = _keys(BANDS * ROWS + depth * SPLITS * NARROW, SPLITS, NARROW, "own")
+    return rows.select("id", "rung", F.col("band").alias("own")).join(signed, ["id", "rung"]).select("id", "rung", keys).select("band", "id", "rung")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -225,7 +227,8 @@ def line_components(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFra
         ready = rows.where(~large)
         others = ready.where("comp != main").select("band", F.col("id").alias("other"), F.col("comp").alias("other_comp"))
         pairs = others.join(ready, "band").where("comp != other_comp").select(*_pair("id", "other"), "rung")
-        rows = stored(_narrower(rows.where(large).select("band", "id", "rung"), signed))
+        more = rows.where(large).select("band", "id", "rung")
+        rows = stored(_narrower(more, signed, min(depth, DEPTH - 1)))
         pivots = rows.groupBy("band").agg(F.min("id").alias("pivot"))
         pairs = pairs.union(with_pivot(rows.join(pivots, "band")))
         links = stored(_linked(_alike(pairs, signed, least), lines, least))

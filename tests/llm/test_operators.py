@@ -180,6 +180,23 @@ def test_lines_of_usual_length_with_an_edit(spark):
     assert sorted(r["doc_id"] for r in got if r["n_kept"]) == [0, 1, 2]
 
 
+def test_splits_keep_similar_lines_together(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(400):
+        own = "".join(rng.choice(list("abcdefghijklmnop"), 200))
+        texts += [own, own[:-27] + "".join(rng.choice(list("qrstuvwxyz"), 27))]
+    assert all(0.75 <= len(a & b) / len(a | b) <= 0.78 for a, b in ((set(lines.shingle_hashes([t])[0].tolist()) for t in texts[k:k + 2]) for k in range(0, 800, 2)))
+    docs = lines.lines_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    signed, names = lines.signatures(docs).cache(), {r["id"]: r["doc_id"] for r in docs.collect()}
+    whole = signed.selectExpr("0L band", "id", "rung")
+    for keyed in [lines.bands(signed), *(lines._narrower(whole, signed, d) for d in range(lines.DEPTH))]:
+        keys = defaultdict(set)
+        for r in keyed.collect():
+            keys[names[r["id"]]].add(r["band"])
+        assert sum(keys[k].isdisjoint(keys[k + 1]) for k in range(0, 800, 2)) <= 3
+
+
 def test_lines_odd(odd, empty):
     got = lines.dedup_lines(odd).collect()
     assert len(got) == odd.count() and lines.dedup_lines(empty).count() == 0
