@@ -37,6 +37,8 @@ LEAST = (75, 100)
 COUNTED = 256
 #: Lines up to which the ids of candidates are sent to all executors; more meet the texts by a shuffle.
 BROADCAST_LINES = 300_000
+#: Bands of several lines up to which they are sent to all executors.
+BROADCAST_BANDS = 1_500_000
 #: Characters hashed at a time in a task, and those of pairs whose sets are held at a time.
 RUN, HELD = 1 << 16, 1_000_000
 _rng = np.random.default_rng(3)
@@ -98,7 +100,7 @@ def _rungs(counts: np.ndarray) -> np.ndarray:
 
 
 def _least_hashes(hashes: np.ndarray, counts: np.ndarray, rungs: np.ndarray) -> np.ndarray:
-    """The signature of each line on its rung: 16 bits of the least hash under each function."""
+    """The signature of each line on its rung: 8 bits of the least hash under each function."""
     owner = np.repeat(np.arange(len(counts)), counts)
     counted = hashes & ((np.uint64(1) << (2 * rungs).astype(np.uint64)) - np.uint64(1))[owner] == 0
     counted |= (np.bincount(owner[counted], minlength=len(counts)) == 0)[owner]
@@ -107,7 +109,7 @@ def _least_hashes(hashes: np.ndarray, counts: np.ndarray, rungs: np.ndarray) ->
     if len(counts):
         for c in range(HASHES):
             out[c] = np.minimum.reduceat(x * _A[c] + _B[c], starts)
-    return np.ascontiguousarray((out * np.uint32(0x9E3779B1) >> np.uint32(16)).T.astype("<u2"))
+    return np.ascontiguousarray((out * np.uint32(0x9E3779B1) >> np.uint32(24)).T.astype(np.uint8))
 
 
 def _sketches(rows: np.ndarray) -> dict[str, np.ndarray]:
@@ -141,7 +143,7 @@ def signatures(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
 
 def _keys(at: int, many: int, rows: int, *more: Column | str) -> Column:
     """Keys of so many runs of rows least hashes, from the one at `at` on."""
-    return F.explode(F.array(*(F.xxhash64(*more, F.lit(k), F.substring("least", 2 * (at + k * rows) + 1, 2 * rows)) for k in range(many)))).alias("band")
+    return F.explode(F.array(*(F.xxhash64(*more, F.lit(k), F.substring("least", at + k * rows + 1, rows)) for k in range(many)))).alias("band")
 
 
 def bands(signed: DataFrame) -> DataFrame:
@@ -201,11 +203,12 @@ def _pair(one: str, two: str) -> list[Column]:
 
 def _with_pivots(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     """Rows of the groups with several components, with the group's pivot, or with comp, the group's greatest component and the number of lines outside of it."""
-    rows = labelled(rows, found)
     if found is None:
-        live = rows.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("high")).where("pivot != high").select("band", "pivot")
-        return stored(rows.join(live, "band"))
-    rows = stored(rows)
+        # Most bands have one line; to count them takes the least disk.
+        several = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+        rows = stored(rows.join(small(stored(several), BROADCAST_BANDS), "band"))
+        return stored(rows.join(small(stored(rows.groupBy("band").agg(F.min("id").alias("pivot"))), BROADCAST_BANDS), "band"))
+    rows = stored(labelled(rows, found))
     sizes = rows.groupBy("band", "comp").agg(F.count("*").alias("n"))
     live = (sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("comps"))
             .where("comps > 1").select("band", F.col("main.comp").alias("main"), F.expr("all - main.n").alias("outside")))
