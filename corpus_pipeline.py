@@ -11,7 +11,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlake.llm.common import shared_folder, table
+from claimlake.llm.common import shared_folder, stored, table
 from claimlake.llm.language import classify, learn
 from claimlake.llm.leaks import find_leaks
 from claimlake.llm.lines import dedup_lines
@@ -41,9 +41,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    kept = near_duplicates(docs, NEAR).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """One document of each group stays: the first by doc_id (null first) and text hash, and of rows that share both the first by the hash of their columns.
+
+    Texts without words are in no group.
+    """
+    key = F.xxhash64("doc_id", "text").alias("near_key")
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), NEAR).withColumnRenamed("doc_id", "near_key")
+    own = stored(found.groupBy("near_key").agg(F.min("component_id").alias("comp"), F.max("n_shingles").alias("n"), F.count("*").alias("rows")))
+    places = docs.select(key, F.struct("doc_id", F.xxhash64("text")).alias("place")).distinct()
+    first = F.min_by(F.struct("near_key", "rows"), "place").alias("first")
+    stay = own.where("n > 0").join(places, "near_key").groupBy("comp").agg(first).select("first.near_key", (F.col("first.rows") > 1).alias("once"))
+    stay = stored(stay.union(own.where("n = 0").select("near_key", F.lit(False))))
+    kept = docs.select("*", key).join(stay, "near_key")
+    order = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
+    one = kept.where("once").groupBy("near_key").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    return kept.where("not once").select(*docs.columns).union(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,3 +30,11 @@ def test_empty_and_odd(spark, folder):
     for own in (docs.limit(0), spark.createDataFrame(rows, docs.schema)):
         for _, stage in pipeline.STAGES:
             stage(spark, own, folder).collect()
+
+
+def test_near_keeps_one_of_repeated_rows(spark, folder):
+    text = " ".join(f"word{k}" for k in range(60))
+    other = " ".join(f"other{k}" for k in range(60))
+    rows = [(5, text, "en"), (5, text, "en"), (5, text, "de"), (None, other, None), (None, other, None), (6, other + " end", "en"), (7, text + " end", "en"), (7, "no copy of any of the others here", "en"), (8, None, None), (8, None, None)]
+    got = pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), folder).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == [(0, other), (5, text), (7, "no copy of any of the others here"), (8, ""), (8, "")]
