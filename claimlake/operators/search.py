@@ -20,7 +20,8 @@ SNIPPET = 200
 SCALE = 1e12  # scores are summed as whole multiples of 1/SCALE, so the order of the terms cannot change a sum
 DIGITS = 9  # scores are compared at this many decimals
 MAX_TERMS = 500_000  # counted rows of (query, term) or (query, hit) that may be broadcast, some 30 MB
-MAX_QUERIES = 256  # per batch: query vectors and rank cuts are carried beside every document
+MAX_QUERIES = 256  # per batch, about: query vectors and rank cuts are carried beside every document
+MAX_VECTORS = 50_000  # counted query vectors that may be broadcast, some 30 MB at 64 numbers each
 
 
 @dataclass(frozen=True)
@@ -140,20 +141,31 @@ def cosine_of(a: Column, b: Column) -> Column:
     return F.when(same, F.round(dot(a["v"], b["v"]) / (a["norm"] * b["norm"]), DIGITS)).otherwise(0.0)
 
 
-def query_batch(queries: DataFrame, extra: tuple[str, ...] = ()) -> Column:
-    """The batch as one array value, which is at most ``MAX_QUERIES`` long."""
+def _asked(queries: DataFrame, extra: tuple[str, ...] = ()) -> tuple[DataFrame, Column]:
+    """The queries that aren't blank, and what a batch holds of each."""
     fields = ["query_id", *(["sense"] if "vector" in queries.columns else []), *extra]
     rows = queries.filter(~tx.is_blank(F.col("q")))
     if "vector" in queries.columns:
         rows = with_norm(rows, "vector", "sense")
-    batch = rows.agg(F.collect_list(F.struct(*fields)).alias("batch"))
-    too_many = F.raise_error(F.lit(f"more than {MAX_QUERIES} queries in one batch"))
-    return batch.select(F.when(F.size("batch") > MAX_QUERIES, too_many).otherwise(F.col("batch"))).scalar()
+    return rows, F.struct(*fields)
+
+
+def query_batch(queries: DataFrame, extra: tuple[str, ...] = ()) -> Column:
+    """The batch as one array value; callers with many queries ask for several batches."""
+    rows, query = _asked(queries, extra)
+    return rows.agg(F.collect_list(query)).scalar()
 
 
 def cosine(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, doc_id, cos) of every stored vector for every query: the dense product, one narrow pass."""
-    rows = with_norm(vectors, "vector", "sense").withColumn("batch", query_batch(queries))
+    """(query_id, doc_id, cos) of every stored vector for every query: the dense product, one narrow pass.
+
+    A vector meets the queries in blocks of about ``MAX_QUERIES // 2``, which are broadcast up to ``MAX_VECTORS`` queries.
+    """
+    asked, query = _asked(queries)
+    many = asked.count()
+    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-many // (MAX_QUERIES // 2)))))
+    blocks = asked.groupBy(block.alias("block")).agg(F.collect_list(query).alias("batch")).select("batch")
+    rows = with_norm(vectors, "vector", "sense").crossJoin(F.broadcast(blocks) if many <= MAX_VECTORS else blocks)
     rows = rows.withColumn("s", F.explode(F.transform("batch", lambda q: F.struct(
         q["query_id"].alias("query_id"), cosine_of(F.col("sense"), q["sense"]).alias("cos")))))
     return rows.select("s.query_id", "doc_id", "s.cos")

@@ -404,3 +404,11 @@ def test_a_term_repeated_very_often(spark):
     index = search.build_index(docs)
     assert {(r.doc_id, r.term, r.tf) for r in index.postings.collect()} == {(1, "the", 200_001), (1, "then", 1)}
     assert {r.doc_id: r.dl for r in index.docs.collect()} == {1: 200_002, 2: 0, 3: 0}
+
+
+def test_cosine_of_more_queries_than_a_batch(spark):
+    n = 2 * search.MAX_QUERIES + 7
+    queries = spark.createDataFrame([(i % (n - 3), "q", [float(i), 1.0]) for i in range(n)], "query_id long, q string, vector array<float>")
+    vectors = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(3)], "doc_id long, vector array<float>")
+    got = sorted((r["query_id"], r["doc_id"], round(r["cos"], 6)) for r in search.cosine(queries, vectors).collect())
+    assert got == sorted((i % (n - 3), k, round((i + k) / ((i * i + 1) * (1 + k * k)) ** 0.5, 6)) for i in range(n) for k in range(3))
