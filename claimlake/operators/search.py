@@ -1,40 +1,46 @@
 """Hybrid search: BM25, cosine and reciprocal rank fusion over many queries in one job."""
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlake.functions import text as tx
+from claimlake.operators import scoring
 from claimlake.session import cut_lineage
 from claimlake.skew import skew_join
 
 # Ranking constants.
-K1, B, EPSILON = 1.5, 0.75, 0.25
+K1, B, EPSILON = scoring.K1, scoring.B, 0.25
 RRF = 60
 TOP_K = 8
 SNIPPET = 200
 
-SCALE = 1e12  # scores are summed as whole multiples of 1/SCALE, so the order of the terms cannot change a sum
-DIGITS = 9  # scores are compared at this many decimals
+SCALE = scoring.SCALE  # scores are summed as whole multiples of 1/SCALE, so the order of the terms cannot change a sum
+DIGITS = scoring.DIGITS  # scores are compared at this many decimals
 MAX_TERMS = 500_000  # counted rows of (query, term) or (query, hit) that may be broadcast, some 30 MB
-MAX_QUERIES = 256  # per batch, about: query vectors and rank cuts are carried beside every document
-MAX_VECTORS = 50_000  # counted query vectors that may be broadcast, some 30 MB at 64 numbers each
+RANGE_DOCS = 16  # documents of about one length whose postings of a term are one block
 
 
 @dataclass(frozen=True)
 class Index:
-    """The lexical index as tables: (doc_id, dl), (doc_id, dl, term, tf), (term, df) and one row of statistics.
+    """The lexical index as tables: (doc_id, dl), (doc_id[, doc_ord], dl, term, tf), (term, df) and one row of statistics.
 
-    A posting carries the length of its document, so that scoring needs no join with the documents.
+    A posting carries the length of its document, so that scoring needs no join with the documents. ``counted`` is, where the
+    index comes from texts, one row per document with the terms it holds.
     """
 
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    counted: DataFrame | None = None
 
     def save(self, path: str) -> None:
         """Postings are laid out by term, so that a query reads only the files that can hold its terms."""
@@ -44,9 +50,9 @@ class Index:
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     def checkpointed(self) -> Index:
-        """The same index with each table computed once, for several searches in one application."""
-        kept = index_of(cut_lineage(self.docs), cut_lineage(self.postings))
-        return Index(kept.docs, kept.postings, kept.terms, cut_lineage(kept.stats))
+        """The same index with each text read once, for several searches in one application."""
+        kept = _from_counted(cut_lineage(self.counted)) if self.counted is not None else index_of(cut_lineage(self.docs), cut_lineage(self.postings))
+        return replace(kept, stats=cut_lineage(kept.stats))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
@@ -72,14 +78,19 @@ def build_index(docs: DataFrame) -> Index:
 
     Among the sorted tokens of a document each term is one run, and the run's length tells how often it occurs.
     """
-    tokens = docs.select("doc_id", F.sort_array(tx.tokenize(F.coalesce("text", F.lit("")))).alias("said"))
+    own = ["doc_id", *(["doc_ord"] if "doc_ord" in docs.columns else [])]
+    tokens = docs.select(*own, F.sort_array(tx.tokenize(F.coalesce("text", F.lit("")))).alias("said"))
     line = F.concat(F.array_join("said", " "), F.lit(" "))
-    runs = tokens.select("doc_id", F.size("said").alias("dl"),
-                         F.explode(F.regexp_extract_all(line, F.lit(r"([^ ]+) (?:\1 )*+"), F.lit(0))).alias("run"))
-    term = F.substring_index("run", " ", 1)
-    tf = F.expr("length(run) div (length(term) + 1)")
-    counts = runs.withColumn("term", term).select("doc_id", "dl", "term", tf.alias("tf"))
-    return index_of(tokens.select("doc_id", F.size("said").alias("dl")), counts)
+    runs = F.regexp_extract_all(line, F.lit(r"([^ ]+) (?:\1 )*+"), F.lit(0))
+    return _from_counted(tokens.select(*own, F.size("said").alias("dl"), runs.alias("runs")))
+
+
+def _from_counted(counted: DataFrame) -> Index:
+    """From one row per document with its runs of equal tokens."""
+    own = [c for c in counted.columns if c != "runs"]
+    term, tf = F.substring_index("run", " ", 1), F.expr("length(run) div (length(term) + 1)")
+    counts = counted.select(*own, F.explode("runs").alias("run")).withColumn("term", term).select(*own, "term", tf.alias("tf"))
+    return replace(index_of(counted.select("doc_id", "dl"), counts), counted=counted)
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -119,56 +130,92 @@ def bm25(queries: DataFrame, index: Index) -> DataFrame:
     return sums.select("query_id", "doc_id", F.round(F.col("s") / SCALE, DIGITS).alias("bm"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _said(queries: DataFrame) -> DataFrame:
+    return queries.filter(~tx.is_blank(F.col("q")))
 
 
-def norm(vector: Column) -> Column:
-    """Length of a vector; 1 for the zero vector, so that it stays zero."""
-    size = F.sqrt(dot(vector, vector))
-    return F.when(size == 0, F.lit(1.0)).otherwise(size)
+def _batches(queries: DataFrame, with_terms: bool) -> list[DataFrame]:
+    """The queries in batches that a task can hold, by their number, their terms and the size of their vectors."""
+    terms = F.size(tx.words(F.col("q"))) if with_terms else F.lit(0)
+    dim = F.size("vector") if "vector" in queries.columns else F.lit(0)
+    n, said, most = queries.agg(F.count(F.lit(1)), F.sum(terms), F.max(dim)).first()
+    return scoring.batches_of(queries, said or 0, most or 0, n)
 
 
-def with_norm(df: DataFrame, vector: str, name: str) -> DataFrame:
-    """Replaces a vector column by a struct(v, norm) in double precision."""
-    wide = F.col(vector).cast("array<double>")
-    return df.withColumn(name, F.struct(wide.alias("v"), norm(wide).alias("norm")))
+def _asked(queries: DataFrame, index: Index | None = None) -> tuple[scoring.Queries, list[str]]:
+    """A batch of queries as arrays, and the terms that it asks for by their numbers."""
+    vectors = "vector" in queries.columns
+    own = queries.select("query_id", *([F.col("vector").cast("array<double>")] if vectors else [])).toArrow()
+    ids = own["query_id"].to_pylist()
+    asked = scoring.with_senses(ids, own["vector"]) if vectors and ids else scoring.Queries(ids)
+    if index is None or not ids:
+        return asked, []
+    rows = idf(index).drop("df").join(F.broadcast(query_terms(queries)), "term").toArrow()
+    number = {q: i for i, q in enumerate(ids)}
+    terms, at = np.unique(np.array(rows["term"].to_pylist(), object), return_inverse=True) if rows.num_rows else (np.zeros(0, object), np.zeros(0, np.int64))
+    order = np.argsort(at, kind="stable")
+    weights = np.zeros(len(terms))
+    weights[at] = rows["idf"].to_numpy()
+    queries_of = np.array([number[q] for q in rows["query_id"].to_pylist()], np.int64)
+    return replace(asked, starts=np.searchsorted(at[order], np.arange(len(terms) + 1)), queries=queries_of[order], times=rows["n"].to_numpy().astype(np.int64)[order],
+                   idf=weights, avgdl=index.stats.first()["avgdl"] or 1.0), terms.tolist()
 
 
-def cosine_of(a: Column, b: Column) -> Column:
-    """Rounded cosine of two structs(v, norm); 0 where one is absent or of another size."""
-    same = F.coalesce(F.size(a["v"]) == F.size(b["v"]), F.lit(False))
-    return F.when(same, F.round(dot(a["v"], b["v"]) / (a["norm"] * b["norm"]), DIGITS)).otherwise(0.0)
+def _numbered(spark: SparkSession, name: str, values: list, number: str, kind: T.DataType) -> DataFrame:
+    """(name, number) of a bounded list, marked for broadcast."""
+    schema = T.StructType([T.StructField(name, kind), T.StructField(number, T.IntegerType())])
+    return F.broadcast(spark.createDataFrame([(v, i) for i, v in enumerate(values)], schema))
 
 
-def _asked(queries: DataFrame, extra: tuple[str, ...] = ()) -> tuple[DataFrame, Column]:
-    """The queries that aren't blank, and what a batch holds of each."""
-    fields = ["query_id", *(["sense"] if "vector" in queries.columns else []), *extra]
-    rows = queries.filter(~tx.is_blank(F.col("q")))
-    if "vector" in queries.columns:
-        rows = with_norm(rows, "vector", "sense")
-    return rows, F.struct(*fields)
+def _run(df: DataFrame, asked: scoring.Queries, kernel: Callable[[scoring.Queries, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """The kernel over the Arrow batches of each task, with the queries that every task gets once."""
+    sent = df.sparkSession.sparkContext.broadcast(asked)
+    return df.mapInArrow(lambda batches: kernel(sent.value, batches), schema)
 
 
-def query_batch(queries: DataFrame, extra: tuple[str, ...] = ()) -> Column:
-    """The batch as one array value; callers with many queries ask for several batches."""
-    rows, query = _asked(queries, extra)
-    return rows.agg(F.collect_list(query)).scalar()
+def _pair(queries: DataFrame, vectors: DataFrame, *fields: T.StructField) -> T.StructType:
+    return T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc_id", vectors.schema["doc_id"].dataType), *fields])
 
 
 def cosine(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, doc_id, cos) of every stored vector for every query: the dense product, one narrow pass.
+    """(query_id, doc_id, cos) of every stored vector for every query: one matrix product per block of vectors, a narrow pass."""
+    schema = _pair(queries, vectors, T.StructField("cos", T.DoubleType()))
+
+    def kernel(asked: scoring.Queries, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = None
+        for b in scoring.pieces(batches, asked.block_rows(BLOCK_ROWS)):
+            if len(asked):
+                ids = pa.array(asked.ids) if ids is None else ids
+                n, q = b.num_rows, len(asked)
+                yield scoring.batch_of(query_id=ids.take(pa.array(np.tile(np.arange(q), n))), doc_id=b["doc_id"].take(pa.array(np.repeat(np.arange(n), q))),
+                                       cos=scoring.cosines(asked, b["vector"], n).ravel())
+
+    rows = vectors.select("doc_id", F.col("vector").cast("array<double>"))
+    return reduce(DataFrame.unionByName, [_run(rows, _asked(part)[0], kernel, schema) for part in _batches(_said(queries), False)])
+
+
+BLOCK_ROWS = 200_000  # rows that `cosine` hands on at once
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = TOP_K) -> DataFrame:
+    """(query_id, position, doc_id, cos): the k vectors with the largest cosine per query, ties by doc_id.
 
-    A vector meets the queries in blocks of about ``MAX_QUERIES // 2``, which are broadcast up to ``MAX_VECTORS`` queries.
+    Each task keeps the best k of a query; these few meet and are cut once more. No row per vector and query leaves a task.
     """
-    asked, query = _asked(queries)
-    many = asked.count()
-    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-many // (MAX_QUERIES // 2)))))
-    blocks = asked.groupBy(block.alias("block")).agg(F.collect_list(query).alias("batch")).select("batch")
-    rows = with_norm(vectors, "vector", "sense").crossJoin(F.broadcast(blocks) if many <= MAX_VECTORS else blocks)
-    rows = rows.withColumn("s", F.explode(F.transform("batch", lambda q: F.struct(
-        q["query_id"].alias("query_id"), cosine_of(F.col("sense"), q["sense"]).alias("cos")))))
-    return rows.select("s.query_id", "doc_id", "s.cos")
+    def kernel(asked: scoring.Queries, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, kind = scoring.Best(len(asked), k), None
+        for b in scoring.pieces(batches, asked.block_rows()):
+            kind, ids = b["doc_id"].type, scoring.values(b["doc_id"])
+            best.add(scoring.cosines(asked, b["vector"], b.num_rows), None, ids, ids)
+        if kind is not None:
+            number, cos, _, _, ids = best.cut()
+            yield scoring.batch_of(query_id=pa.array(asked.ids).take(pa.array(number)), doc_id=pa.array(ids.tolist(), kind), cos=cos)
+
+    rows = vectors.select("doc_id", F.col("vector").cast("array<double>"))
+    schema = _pair(queries, vectors, T.StructField("cos", T.DoubleType()))
+    found = reduce(DataFrame.unionByName, [_run(rows, _asked(part)[0], kernel, schema) for part in _batches(_said(queries), False)])
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cos"), "doc_id"))
+    return found.withColumn("position", place).filter(F.col("position") <= k).select("query_id", "position", "doc_id", "cos")
 
 
 def competition_rank(scores: DataFrame, by: str, score: str, name: str) -> DataFrame:
@@ -190,110 +237,252 @@ def competition_rank(scores: DataFrame, by: str, score: str, name: str) -> DataF
     return skew_join(scores, ranks, [by, score], "left", scores.columns)
 
 
-class _Signals:
-    """For each document and query of the batch its two scores. A narrow stage: no document row is shuffled per query."""
-
-    def __init__(self, queries: DataFrame, docs: DataFrame, index: Index, vectors: DataFrame | None):
-        lexical = bm25(queries, index).groupBy("doc_id").agg(
-            F.map_from_entries(F.collect_list(F.struct("query_id", "bm"))).alias("bms"))
-        lexical = cut_lineage(lexical)
-        base = docs.select("doc_id", "doc_ord").join(lexical, "doc_id", "left")
-        if vectors is not None:
-            base = base.join(with_norm(vectors, "vector", "sense").select("doc_id", "sense"), "doc_id", "left")
-        self.base, self.has_vectors = base, vectors is not None
-
-    def scores(self) -> Column:
-        """Per query of the batch struct(query_id, bm, cos); the queries' vectors are read in place, not copied to rows."""
-        def score(q: Column) -> Column:
-            cos = cosine_of(F.col("sense"), q["sense"]) if self.has_vectors else F.lit(0.0)
-            bm = F.coalesce(F.col("bms")[q["query_id"]], F.lit(0.0))
-            return F.struct(q["query_id"].alias("query_id"), bm.alias("bm"), cos.alias("cos"))
-        return F.transform("batch", score)
-
-    def rows(self, batch: Column) -> DataFrame:
-        scored = self.base.withColumn("batch", batch).select("doc_id", "doc_ord", F.explode(self.scores()).alias("s"))
-        return scored.select("s.query_id", "doc_id", "doc_ord", "s.bm", "s.cos")
-
-    def places(self, batch: Column) -> DataFrame:
-        """(query_id, side, at): where each score lies among the cuts that its query carries."""
-        def place(s: Column, i: Column) -> Column:
-            q = F.get("batch", i)
-            return F.struct(s["query_id"].alias("query_id"), _position(s["bm"], q["bm_cuts"]).alias("bm"),
-                            _position(s["cos"], q["cos_cuts"]).alias("cos"))
-        placed = self.base.withColumn("batch", batch).select(F.explode(F.transform(self.scores(), place)).alias("p"))
-        sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"p.{s}").alias("at")) for s in ("bm", "cos")])
-        return placed.select("p.query_id", F.explode(sides).alias("s")).select("query_id", "s.side", "s.at")
-
-
-def _position(score: Column, cuts: Column) -> Column:
-    """How many of the descending cuts are at least the score. Two levels, so that a row meets few of them."""
-    def inside(heads: Column) -> Column:
-        row = F.get(cuts["rows"], heads - 1)
-        return F.when(heads == 0, 0).otherwise((heads - 1) * cuts["width"] + F.size(F.filter(row, lambda c: c >= score)))
-    return tx.let(F.size(F.filter(cuts["heads"], lambda h: h >= score)), inside)
-
-
-def _cuts(values: Column) -> Column:
-    """Distinct values in descending order as rows of about the square root of their number."""
-    ordered = F.sort_array(F.array_distinct(values), False)
-    width = F.ceil(F.sqrt(F.size(ordered))).cast("int")
-    starts = F.sequence(F.lit(1), F.size(ordered), width)
-    rows = F.transform(starts, lambda i: F.slice(ordered, i, width))
-    return F.struct(width.alias("width"), F.transform(rows, lambda r: F.get(r, F.lit(0))).alias("heads"), rows.alias("rows"))
-
-
-def hybrid_search(queries: DataFrame, docs: DataFrame, index: Index, vectors: DataFrame | None, k: int = TOP_K) -> DataFrame:
+def hybrid_search(queries: DataFrame, docs: DataFrame, index: Index, vectors: DataFrame | None, k: int = TOP_K, blocks: Blocks | None = None) -> DataFrame:
     """(query_id, position, doc_id, bm_rank, cos_rank, score) of the k best documents per query (query_id, q[, vector]).
 
     Score: 1 / (60 + rank by BM25) + 1 / (60 + rank by cosine), ranks from 0 over all documents, ties by ``doc_ord``.
-    Without ``vectors`` the cosine is 0 for all and BM25 decides. Many queries are answered in several batches.
+    Without ``vectors`` the cosine is 0 for all and BM25 decides: `block_search`, where no weight is negative, over ``blocks`` if given.
 
     Ranks over all documents are needed for few of them. With T = 58 + 3k take the first T by (bm, cos, doc_ord) and the
     first T by (cos, bm, doc_ord). A document in neither list either has k documents before it that are at least as good
     in both scores, or both its ranks are 58 + 2k or more, which gives less than 1 / (59 + k), and the first k by BM25
-    have more than that. So the k best are among these candidates. One more pass counts, for the candidates' scores only,
-    the documents above them. Per query a task sends T rows and then at most 2T counts, whatever the corpus holds.
-    The scores by word, the candidates and the counts are written to the checkpoint folder, as later jobs use them twice.
+    have more than that. So the k best are among these candidates, which tasks keep in bounded lists. One more pass counts, for
+    the candidates' scores only, the documents above them. Per query a task sends 2T rows and then at most 4T counts,
+    whatever the corpus holds. What both passes read, documents with their vectors and the asked terms they hold, is written once.
     """
-    asked = queries if vectors is not None else queries.drop("vector")
-    batches = max(1, -(-asked.count() // (MAX_QUERIES // 2)))
-    group = F.pmod(F.xxhash64("query_id"), F.lit(batches))
-    parts = [_search_batch(asked.filter(group == i), docs, index, vectors, k) for i in range(batches)]
+    asked = _said(queries if vectors is not None else queries.drop("vector"))
+    parts = [_search_batch(part, docs, index, vectors, k, blocks) for part in _batches(asked, True)]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _candidates(scored: DataFrame, depth: int) -> DataFrame:
-    def first(*order: Column) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-        return scored.withColumn("_place", place).filter(F.col("_place") <= depth).drop("_place")
+def _first(rows: DataFrame, k: int, *order: Column) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query_no").orderBy(*order))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= k).drop("_place")
 
-    by_bm = first(F.desc("bm"), F.desc("cos"), F.asc("doc_ord"))
-    by_cos = first(F.desc("cos"), F.desc("bm"), F.asc("doc_ord"))
-    return cut_lineage(by_bm.unionByName(by_cos).distinct())
 
+def _search_batch(queries: DataFrame, docs: DataFrame, index: Index, vectors: DataFrame | None, k: int, blocks: Blocks | None) -> DataFrame:
+    asked, terms = _asked(queries, index)
+    spark = docs.sparkSession
+    if vectors is None and not (asked.idf < 0).any():
+        ranked = block_search(asked, terms, docs, blocks or _blocks_of(index, terms), k)
+    else:
+        ranked = _dense_search(asked, terms, docs, index, vectors, k)
+    names = _numbered(spark, "query_id", asked.ids, "query_no", queries.schema["query_id"].dataType)
+    score = F.lit(1.0) / (RRF + F.col("bm_rank")) + F.lit(1.0) / (RRF + F.col("cos_rank"))
+    order = Window.partitionBy("query_no").orderBy(F.desc("_score"), F.asc("doc_ord"))
+    return (ranked.withColumn("_score", score).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k).join(names, "query_no")
+            .select("query_id", "position", "doc_id", "bm_rank", "cos_rank", F.round("_score", 6).alias("score")))
 
-def _ranks(above: DataFrame, cuts: DataFrame, side: str) -> DataFrame:
-    """(query_id, <side>_rank): for each cut the number of documents above it, from counts by position."""
-    counts = (above.filter(F.col("side") == side).groupBy("query_id")
-              .agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("found")))
-    flat = cuts.select("query_id", F.posexplode(F.flatten(F.col(f"{side}_cuts.rows"))).alias("at", side))
-    upto = Window.partitionBy("query_id").orderBy("at")
-    here = F.coalesce(F.col("found")[F.col("at")], F.lit(0))
-    return flat.join(counts, "query_id").select("query_id", side, F.sum(here).over(upto).alias(f"{side}_rank"))
 
+def _blocks_of(index: Index, terms: list[str]) -> Blocks:
+    """Blocks of the asked terms alone, written once, where the index has no saved ones."""
+    number = _numbered(index.docs.sparkSession, "term", terms, "term_no", T.StringType())
+    postings = cut_lineage(block_postings(replace(index, postings=index.postings.join(number, "term", "left_semi"))).postings)
+    return Blocks(postings, postings.groupBy("term", "range").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")))
+
+
+def _kinds(docs: DataFrame, *more: str) -> T.StructType:
+    kinds = {"bm": T.DoubleType(), "cos": T.DoubleType(), "range": T.LongType()}
+    return T.StructType([T.StructField("query_no", T.IntegerType()), *[T.StructField(c, kinds.get(c) or docs.schema[c].dataType) for c in more]])
+
+
+def _signals(asked: scoring.Queries, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray | None]:
+    """BM25 and cosine of a block, documents by queries."""
+    at, tf = scoring.flattened(b["tf"])
+    bm = scoring.lexical(asked, at, scoring.flattened(b["term_no"])[1].astype(np.int64), tf, b["dl"].fill_null(0).to_numpy()[at], b.num_rows)
+    return bm, scoring.cosines(asked, b["vector"], b.num_rows) if "vector" in b.schema.names else None
+
+
+def _dense_search(asked: scoring.Queries, terms: list[str], docs: DataFrame, index: Index, vectors: DataFrame | None, k: int) -> DataFrame:
+    """(query_no, doc_id, doc_ord, bm_rank, cos_rank) of a batch, by two passes over all documents."""
+    spark, depth, n_lists = docs.sparkSession, 58 + 3 * k, 1 if vectors is None else 2
+    hits = (index.postings.join(_numbered(spark, "term", terms, "term_no", T.StringType()), "term").groupBy("doc_id")
+            .agg(F.first("dl").alias("dl"), F.collect_list(F.struct("term_no", "tf")).alias("h")))
+    base = docs.select("doc_id", "doc_ord").join(hits, "doc_id", "left").select("doc_id", "doc_ord", "dl", "h.term_no", "h.tf")
+    if vectors is not None:
+        base = base.join(vectors.select("doc_id", F.col("vector").cast("array<double>")), "doc_id", "left")
+    base = cut_lineage(base)
+
+    def candidates(asked: scoring.Queries, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, kinds = [scoring.Best(len(asked), depth) for _ in range(n_lists)], None
+        for b in scoring.pieces(batches, asked.block_rows()):
+            kinds = b["doc_id"].type, b["doc_ord"].type
+            (bm, cos), ids, order = _signals(asked, b), scoring.values(b["doc_id"]), scoring.values(b["doc_ord"])
+            lists[0].add(bm, cos, order, ids)
+            if cos is not None:
+                lists[1].add(cos, bm, order, ids)
+        for i, best in enumerate(lists if kinds else []):
+            number, first, second, order, ids = best.cut()
+            scores = (first, second) if i == 0 else (second, first)
+            yield scoring.batch_of(query_no=pa.array(number, pa.int32()), doc_id=pa.array(ids.tolist(), kinds[0]), doc_ord=pa.array(order.tolist(), kinds[1]), bm=scores[0], cos=scores[1])
+
+    found = cut_lineage(_run(base, asked, candidates, _kinds(docs, "doc_id", "doc_ord", "bm", "cos")).distinct())
+    sides = [_first(found, depth, F.desc(a), F.desc(b), F.asc("doc_ord")) for a, b in (("bm", "cos"), ("cos", "bm"))]
+    found = cut_lineage(sides[0].unionByName(sides[1]).distinct())
+    cuts = cut_lineage(found.groupBy("query_no").agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in ("bm", "cos")]))
+    known = {r["query_no"]: (np.array(r["bm"]), np.array(r["cos"])) for r in cuts.collect()}  # 2T numbers a query of the batch at most
+
+    def above(sent: tuple[scoring.Queries, dict], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, known = sent
+        counts = {(q, side): np.zeros(len(cut) + 1, np.int64) for q, both in known.items() for side, cut in enumerate(both)}
+        for b in scoring.pieces(batches, asked.block_rows()):
+            bm, cos = _signals(asked, b)
+            for (q, side), n in counts.items():
+                if side == 0 or cos is not None:
+                    n += np.bincount(np.searchsorted(known[q][side], (bm, cos)[side][:, q]), minlength=len(n))
+        for (q, side), n in counts.items():
+            at = np.flatnonzero(n[1:])
+            yield scoring.batch_of(query_no=pa.array(np.full(len(at), q), pa.int32()), side=pa.array(["bm", "cos"][side:side + 1] * len(at), pa.string()), at=pa.array(at, pa.int32()), n=n[1:][at])
+
+    counts = _run(base, (asked, known), above, "query_no int, side string, at int, n bigint").groupBy("query_no", "side", "at").agg(F.sum("n").alias("n"))
+    ranks = cut_lineage(_ranks(counts, cuts))
+    for c in ("bm", "cos"):
+        found = found.join(ranks.filter(F.col("side") == c).select("query_no", F.col("score").alias(c), F.col("above").alias(f"{c}_rank")), ["query_no", c])
+    return found
+
+
+def _ranks(counts: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(query_no, side, score, above): how many documents score more than each score, from how many lie between it and the next."""
+    flat = [cuts.select("query_no", F.lit(c).alias("side"), F.posexplode(c).alias("at", "score")) for c in ("bm", "cos")]
+    upto = Window.partitionBy("query_no", "side").orderBy(F.desc("at"))
+    above = F.sum(F.coalesce("n", F.lit(0))).over(upto)
+    return flat[0].unionByName(flat[1]).join(counts, ["query_no", "side", "at"], "left").select("query_no", "side", "score", above.alias("above"))
 
-def _search_batch(asked: DataFrame, docs: DataFrame, index: Index, vectors: DataFrame | None, k: int) -> DataFrame:
-    signals = _Signals(asked, docs, index, vectors)
-    candidates = _candidates(signals.rows(query_batch(asked)), 58 + 3 * k)
-    cuts = candidates.groupBy("query_id").agg(_cuts(F.collect_set("bm")).alias("bm_cuts"), _cuts(F.collect_set("cos")).alias("cos_cuts"))
-    carried = asked.join(cuts, "query_id")
-    places = signals.places(query_batch(carried, ("bm_cuts", "cos_cuts")))
-    above = cut_lineage(places.groupBy("query_id", "side", "at").agg(F.count(F.lit(1)).alias("n")))
-    ranked = candidates.join(_ranks(above, cuts, "bm"), ["query_id", "bm"]).join(_ranks(above, cuts, "cos"), ["query_id", "cos"])
-    score = F.lit(1.0) / (RRF + F.col("bm_rank")) + F.lit(1.0) / (RRF + F.col("cos_rank"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("_score"), F.asc("doc_ord"))
-    return (ranked.withColumn("_score", score).withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
-            .select("query_id", "position", "doc_id", "bm_rank", "cos_rank", F.round("_score", 6).alias("score")))
+
+@dataclass(frozen=True)
+class Blocks:
+    """Postings in blocks: a block is what a term has in one range of documents, and its head bounds what it can add to a score.
+
+    A range is some `RANGE_DOCS` documents of about one length, chosen by a hash, so that the bound that max_tf and min_dl give is
+    close. A hot term so has very many blocks, none of them large, and the ranges are the same for all terms.
+    """
+
+    postings: DataFrame  # (term, range, doc_id, doc_ord, tf, dl)
+    heads: DataFrame  # (term, range, max_tf, min_dl)
+
+    def save(self, path: str) -> None:
+        """Both laid out by term and range, so that a query reads the heads of its terms and then the blocks that count."""
+        for name in ("postings", "heads"):
+            getattr(self, name).repartitionByRange("term", "range").sortWithinPartitions("term", "range").write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Blocks:
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/heads"))
+
+
+def block_postings(index: Index) -> Blocks:
+    kind = F.floor(8 * F.log2(F.col("dl") + 1.0)).cast("int")  # some 250 kinds of lengths at most
+    sizes = index.docs.groupBy(kind.alias("kind")).agg(F.ceil(F.count(F.lit(1)) / RANGE_DOCS).alias("ranges"))
+    where = F.shiftleft(F.col("kind").cast("long"), 40) + F.pmod(F.xxhash64("doc_id"), F.col("ranges"))
+    order = F.col("doc_ord" if "doc_ord" in index.postings.columns else "doc_id").alias("doc_ord")
+    rows = index.postings.withColumn("kind", kind).join(F.broadcast(sizes), "kind").select("term", where.alias("range"), "doc_id", order, "tf", "dl")
+    return Blocks(rows, rows.groupBy("term", "range").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")))
+
+
+def _heads(b: pa.RecordBatch, asked: scoring.Queries) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of a batch of heads, and the bounds, ranges by queries."""
+    ranges, at = np.unique(b["range"].to_numpy(), return_inverse=True)
+    return ranges, scoring.bounds(asked, at, b["term_no"].to_numpy(), b["max_tf"].to_numpy(), b["min_dl"].to_numpy(), len(ranges))
+
+
+@dataclass(frozen=True)
+class BlockSearch:
+    """A batch of queries over block postings, in steps whose rows can be counted.
+
+    First each query's k ranges with the highest bounds are scored; its k-th best score there is what others must reach. Then the ranges
+    whose bounds reach it for some query are scored, and in these only for such queries; the blocks of all others are skipped.
+    """
+
+    asked: scoring.Queries
+    postings: DataFrame  # those of the asked terms: (range, term_no, doc_id, doc_ord, tf, dl)
+    heads: DataFrame  # (range, term_no, max_tf, min_dl)
+    docs: DataFrame
+    k: int
+
+    def _by_range(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition("range").sortWithinPartitions("range")
+
+    def probes(self) -> DataFrame:
+        """(range): of each query the k ranges with the highest bounds."""
+        k = self.k
+
+        def kernel(asked: scoring.Queries, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = scoring.Best(len(asked), k)
+            for b in scoring.by_range(batches, asked.block_rows()):
+                ranges, bounds = _heads(b, asked)
+                best.add(bounds, None, ranges, ranges)
+            number, bound, _, ranges, _ = best.cut()
+            yield scoring.batch_of(query_no=pa.array(number, pa.int32()), range=pa.array(ranges.tolist(), pa.int64()), bm=bound)
+
+        rows = _run(self._by_range(self.heads), self.asked, kernel, _kinds(self.docs, "range", "bm"))
+        return _first(rows, k, F.desc("bm"), F.asc("range")).select("range").distinct()
+
+    def scored(self, ranges: DataFrame, least: np.ndarray) -> DataFrame:
+        """(query_no, doc_id, doc_ord, bm): of each task and query the k best above 0, where a range's bound reaches the query's least."""
+        k = self.k
+
+        def kernel(sent: tuple[scoring.Queries, np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (asked, least), kinds = sent, None
+            best = scoring.Best(len(asked), k)
+            for b in scoring.by_range(batches, max(1, asked.block_rows() // RANGE_DOCS)):
+                kinds = b["doc_id"].type, b["doc_ord"].type
+                ids, order, terms = scoring.values(b["doc_id"]), scoring.values(b["doc_ord"]), b["term_no"].to_numpy().astype(np.int64)
+                tf, dl = b["tf"].to_numpy(), b["dl"].to_numpy()
+                _, first, doc = np.unique(ids, return_index=True, return_inverse=True)
+                ranges, at = np.unique(b["range"].to_numpy(), return_inverse=True)
+                _, head, block = np.unique(at * (len(asked.idf) + 1) + terms, return_index=True, return_inverse=True)
+                max_tf, min_dl = np.zeros(len(head), np.int64), np.full(len(head), np.iinfo(np.int64).max)
+                np.maximum.at(max_tf, block, tf)
+                np.minimum.at(min_dl, block, dl)
+                wanted = (scoring.bounds(asked, at[head], terms[head], max_tf, min_dl, len(ranges)) >= least)[at[first]]
+                bm = scoring.lexical(asked, doc, terms, tf, dl, len(first), wanted)
+                best.add(bm, None, order[first], ids[first], bm > 0)
+            if kinds:
+                number, bm, _, order, ids = best.cut()
+                yield scoring.batch_of(query_no=pa.array(number, pa.int32()), doc_id=pa.array(ids.tolist(), kinds[0]), doc_ord=pa.array(order.tolist(), kinds[1]), bm=bm)
+
+        rows = self.postings.join(ranges, "range", "left_semi").select("range", "term_no", "doc_id", "doc_ord", "tf", "dl")
+        return _run(self._by_range(rows), (self.asked, least), kernel, _kinds(self.docs, "doc_id", "doc_ord", "bm"))
+
+    def least(self, found: DataFrame) -> np.ndarray:
+        """The k-th best score of each query so far, 0 where there are fewer."""
+        kth = found.groupBy("query_no").agg(F.get(F.sort_array(F.collect_list("bm"), False), F.lit(self.k - 1)).alias("bm")).dropna()
+        out = np.zeros(len(self.asked))
+        for r in kth.collect():  # one number a query of the batch
+            out[r["query_no"]] = r["bm"]
+        return out
+
+    def reaching(self, least: np.ndarray) -> DataFrame:
+        """(range): those whose bound reaches the least score of some query."""
+        def kernel(sent: tuple[scoring.Queries, np.ndarray], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, least = sent
+            for b in scoring.by_range(batches, asked.block_rows()):
+                ranges, bounds = _heads(b, asked)
+                yield scoring.batch_of(range=ranges[((bounds >= least) & (bounds > 10.0 ** -DIGITS)).any(axis=1)])
+
+        return _run(self._by_range(self.heads), (self.asked, least), kernel, T.StructType([T.StructField("range", T.LongType())]))
+
+    def found(self) -> DataFrame:
+        """(query_no, doc_id, doc_ord, bm): the k best of each query whose score is above 0, ties by doc_ord."""
+        probes = F.broadcast(cut_lineage(self.probes()))  # k ranges a query of the batch
+        first = cut_lineage(self.scored(probes, np.zeros(len(self.asked))))
+        least = self.least(first)
+        rest = self.scored(self.reaching(least).join(probes, "range", "left_anti"), least)
+        return _first(first.unionByName(rest), self.k, F.desc("bm"), F.asc("doc_ord"))
+
+
+def block_search(asked: scoring.Queries, terms: list[str], docs: DataFrame, blocks: Blocks, k: int) -> DataFrame:
+    """(query_no, doc_id, doc_ord, bm_rank, cos_rank) of the k best by BM25; where fewer have a word of the query, the first documents follow."""
+    spark = docs.sparkSession
+    number = _numbered(spark, "term", terms, "term_no", T.StringType())
+    found = cut_lineage(BlockSearch(asked, blocks.postings.join(number, "term"), blocks.heads.join(number, "term"), docs, k).found())
+    held = found.groupBy("query_no").agg(F.count(F.lit(1)).alias("n"), F.collect_list("doc_id").alias("held"))  # k at most
+    first = docs.select("doc_id", "doc_ord").orderBy("doc_ord").limit(2 * k).agg(F.collect_list(F.struct("doc_id", "doc_ord"))).scalar()
+    lacking = spark.range(len(asked)).select(F.col("id").cast("int").alias("query_no")).join(held, "query_no", "left").filter(F.coalesce("n", F.lit(0)) < k)
+    more = lacking.select("query_no", "held", F.explode(first).alias("d")).filter(~F.coalesce(F.array_contains("held", F.col("d.doc_id")), F.lit(False)))
+    rows = found.unionByName(more.select("query_no", "d.doc_id", "d.doc_ord", F.lit(0.0).alias("bm")))
+    above = F.rank().over(Window.partitionBy("query_no").orderBy(F.desc("bm"))) - 1
+    return _first(rows, k, F.desc("bm"), F.asc("doc_ord")).withColumns({"bm_rank": above.cast("long"), "cos_rank": F.lit(0).cast("long")})
 
 
 def search_hits(found: DataFrame, docs: DataFrame) -> DataFrame:

@@ -621,6 +621,11 @@ def cosine_score(t: Tables) -> DataFrame:
     return search.cosine(t.queries(), t.vectors()).select("query_id", "doc_id", F.round("cos", 6).alias("cos"))
 
 
+@query
+def cosine_topk(t: Tables) -> DataFrame:
+    return search.nearest(t.queries(), t.vectors()).withColumn("cos", F.round("cos", 6))
+
+
 @query
 def competition_rank(t: Tables) -> DataFrame:
     scores = t.raw("events").selectExpr("event_type", "event_id", "round(value, 1) score")

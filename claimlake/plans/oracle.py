@@ -442,6 +442,8 @@ SQL = {
         left(left(text, 16000), (case when length(left(text, 16000)) < 4000 then 4000 when length(left(text, 16000)) < 8000 then length(left(text, 16000)) // 2
           when length(left(text, 16000)) // 2 < 8000 then length(left(text, 16000)) // 2 // 2 else length(left(text, 16000)) // 2 // 2 // 2 end)::int) v from documents)""",
     "cosine_score": "select query_id, doc_id, round(cos, 6) cos from f_cos",
+    "cosine_topk": """select query_id, (row_number() over (partition by query_id order by cos desc, doc_id))::int as position, doc_id, round(cos, 6) cos from f_cos
+        qualify row_number() over (partition by query_id order by cos desc, doc_id) <= 8""",
     "competition_rank": "select event_type, event_id, rank() over (partition by event_type order by round(value, 1) desc) - 1 as rank from events",
     "hybrid_topk": "select * from f_best where position <= 8",
     "hybrid_hits": r"select query_id, position, 'doc-' || doc_id ref, split_part(text, E'\n', 1) title, score, left(text, 200) snippet from f_best join documents using (doc_id) where position <= 8",

@@ -1,13 +1,18 @@
 """Hand-checked cases, and an order-dependent fold against a plain loop."""
 import datetime as dt
+import math
 import random
+from collections import Counter
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimlake.functions import svg
 from claimlake.functions import text as tx
-from claimlake.operators import embedding, gates, intake, ledger, lint, pages, progress, quotes, reviews, search
+from claimlake.operators import embedding, gates, intake, ledger, lint, pages, progress, quotes, reviews, scoring, search
 from claimlake.plans.tables import Tables
 from claimlake.schema import CLAIM_STATUSES, COMMANDS
 from claimlake.sources import corpus, sinks
@@ -354,10 +359,12 @@ def test_plans(spark, folder):
     assert "Exchange hashpartitioning(doc_id" not in plan_of(search.build_index(t.raw("documents")).postings)
     scored = search.bm25(t.queries(), index.checkpointed())
     assert "CartesianProduct" not in plan_of(scored) and "NestedLoop" not in plan_of(scored)
-    signals = search._Signals(t.queries(), t.search_documents(), index.checkpointed(), t.vectors())
-    top = signals.rows(search.query_batch(t.queries())).withColumn(
-        "n", F.expr("row_number() over (partition by query_id order by bm desc)")).filter("n <= 82")
-    assert "WindowGroupLimit" in plan_of(top)
+    # what meets by a shuffle in a search are lists that tasks have cut, documents with their own terms, and blocks; no pairs
+    for vectors in (t.vectors(), None):
+        plan = plan_of(search.hybrid_search(t.queries(), t.search_documents(), index.checkpointed(), vectors))
+        assert "CartesianProduct" not in plan and "explode(batch" not in plan
+    plan = plan_of(search.nearest(t.queries(), t.vectors()))
+    assert plan.index("MapInArrow") > plan.index("Exchange") and "NestedLoop" not in plan and "CartesianProduct" not in plan_of(search.cosine(t.queries(), t.vectors()))
     for df in (quotes.quote_not_in_source(t.claims(), t.sources().withColumn("path", F.col("id"))),
                intake.classify_inbox(t.clips(), t.page_sources()), lint.duplicate_claim(t.claims())):
         assert "NestedLoop" not in plan_of(df) and "CartesianProduct" not in plan_of(df) and "Window" not in plan_of(df)
@@ -406,9 +413,87 @@ def test_a_term_repeated_very_often(spark):
     assert {r.doc_id: r.dl for r in index.docs.collect()} == {1: 200_002, 2: 0, 3: 0}
 
 
-def test_cosine_of_more_queries_than_a_batch(spark):
-    n = 2 * search.MAX_QUERIES + 7
+def test_cosine_of_more_queries_than_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "MOST_QUERIES", 256)
+    n = 2 * scoring.MOST_QUERIES + 7
     queries = spark.createDataFrame([(i % (n - 3), "q", [float(i), 1.0]) for i in range(n)], "query_id long, q string, vector array<float>")
     vectors = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(3)], "doc_id long, vector array<float>")
     got = sorted((r["query_id"], r["doc_id"], round(r["cos"], 6)) for r in search.cosine(queries, vectors).collect())
     assert got == sorted((i % (n - 3), k, round((i + k) / ((i * i + 1) * (1 + k * k)) ** 0.5, 6)) for i in range(n) for k in range(3))
+
+
+ODD_VECTORS = [[1.0, 0.0], [0.0, 0.0], None, [], [1.0, 2.0, 3.0], [None, 1.0], [float("nan"), 1.0], [-1.0, 0.5], [3.0, 0.0]]
+
+
+def test_nearest_keeps_ties_in_order_and_leaves_odd_vectors_at_zero(spark):
+    vectors = spark.createDataFrame([(f"v{i}", v) for i, v in enumerate(ODD_VECTORS)], "doc_id string, vector array<float>")
+    queries = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [1.0, 2.0, 3.0]), (3, " ", [1.0, 0.0]), (4, "c", None)], "query_id long, q string, vector array<float>")
+    got = {q: [(r.doc_id, round(r.cos, 6)) for r in search.nearest(queries, vectors, 4).orderBy("query_id", "position").collect() if r.query_id == q] for q in (1, 2, 3, 4)}
+    assert got == {1: [("v0", 1.0), ("v8", 1.0), ("v1", 0.0), ("v2", 0.0)], 2: [("v4", 1.0), ("v0", 0.0), ("v1", 0.0), ("v2", 0.0)],
+                   3: [], 4: [("v0", 0.0), ("v1", 0.0), ("v2", 0.0), ("v3", 0.0)]}
+    assert search.nearest(queries, vectors.limit(0)).count() == 0 and search.nearest(queries.limit(0), vectors).count() == 0
+
+
+def fused_by_hand(texts, vectors, query, vector, k):
+    """The k best by reciprocal ranks, from whole lists of scores."""
+    said = [[w for w in t.split()] for t in texts]
+    n, avgdl = len(texts), sum(map(len, said)) / len(texts)
+    df = Counter(w for ws in said for w in set(ws))
+    raw = {w: round(math.log(n - f + 0.5) - math.log(f + 0.5), 12) for w, f in df.items()}
+    mean = sum(raw.values()) / len(raw)
+    idf = {w: round(0.25 * mean, 12) if x < 0 else x for w, x in raw.items()}
+    bm = [round(sum(math.floor(idf[w] * (ws.count(w) * 2.5) / (ws.count(w) + 1.5 * (0.25 + 0.75 * len(ws) / avgdl)) * 1e12 + 0.5) for w in query.split() if w in ws) / 1e12, 9) for ws in said]
+    length = lambda v: math.sqrt(sum(x * x for x in v)) or 1.0
+    cos = [round(sum(a * b for a, b in zip(v, vector)) / length(v) / length(vector), 9) for v in vectors] if vectors else [0.0] * n
+    ranks = [[sum(y > x for y in scores) for x in scores] for scores in (bm, cos)]
+    best = sorted(range(n), key=lambda i: (-(1 / (60 + ranks[0][i]) + 1 / (60 + ranks[1][i])), i))[:k]
+    return [(i, ranks[0][i], ranks[1][i]) for i in best]
+
+
+@pytest.mark.parametrize("by_vector", [True, False])
+@pytest.mark.parametrize("batch", [2, 4096])
+def test_search_equals_whole_lists(spark, monkeypatch, by_vector, batch):
+    monkeypatch.setattr(scoring, "MOST_QUERIES", batch)
+    monkeypatch.setattr(scoring, "BLOCK", 500)  # many small blocks, lists cut often
+    rng = random.Random(by_vector)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=rng.randint(1, 40))) for _ in range(300)] + ["w1 w2 w59 w58"] * 60
+    vectors = [[float(rng.randint(-2, 2)) for _ in range(3)] for _ in texts]
+    asked = [(q, " ".join(rng.choices(words, k=4)), [float(rng.randint(-2, 2)) for _ in range(3)]) for q in range(5)] + [(9, "w59 w58", [0.0, 0.0, 1.0]), (10, "unseen", [1.0, 1.0, 0.0])]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id bigint, doc_ord bigint, text string")
+    vecs = spark.createDataFrame(list(enumerate(vectors)), "doc_id bigint, vector array<float>") if by_vector else None
+    found = search.hybrid_search(spark.createDataFrame(asked, "query_id bigint, q string, vector array<float>"), docs.repartition(5), search.build_index(docs).checkpointed(), vecs, 8).collect()
+    for q, text, vector in asked:
+        got = [(r.doc_id, r.bm_rank, r.cos_rank) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.position)]
+        assert got == fused_by_hand(texts, vectors if by_vector else None, text, vector, 8), text
+
+
+def test_blocks_that_cannot_reach_are_skipped(spark, tmp_path):
+    # short texts that hold rare words often, among many long ones that hold them once beside much else
+    texts = [f"rare{i % 3} " * (3 if i < 30 else 1) + " ".join(f"x{(i * 7 + j) % 900}" for j in range(3 if i < 30 else 120)) + " common" for i in range(1500)]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id bigint, doc_ord bigint, text string")
+    queries = spark.createDataFrame([(q, f"rare{q} common") for q in range(3)], "query_id bigint, q string")
+    index = search.build_index(docs).checkpointed()
+    asked, terms = search._asked(queries, index)
+    search.block_postings(index).save(f"{tmp_path}/blocks")
+    blocks = search.Blocks.load(spark, f"{tmp_path}/blocks")
+    number = search._numbered(spark, "term", terms, "term_no", T.StringType())
+    own, heads = blocks.postings.join(number, "term"), blocks.heads.join(number, "term")
+    run = search.BlockSearch(asked, own, heads, docs, 8)
+    first = run.scored(run.probes(), np.zeros(3))
+    reached = heads.join(run.reaching(run.least(first)).union(run.probes()).distinct(), "range", "left_semi").count()
+    assert 0 < reached < 0.2 * heads.count()  # more than four of five blocks are neither read nor scored
+    got = sorted((asked.ids[r["query_no"]], r["doc_id"], r["bm"]) for r in run.found().collect())
+    whole = search.bm25(queries, index).collect()
+    assert got == sorted((q, r["doc_id"], r["bm"]) for q in range(3) for r in sorted((r for r in whole if r["query_id"] == q), key=lambda r: (-r["bm"], r["doc_id"]))[:8])
+    most = own.groupBy("term", "range").count().groupBy("term").agg(F.max("count").alias("n"), F.count("*").alias("blocks")).collect()
+    assert max(r["n"] for r in most) < 80 and max(r["blocks"] for r in most) > 60  # a hot term is cut into many blocks
+    found = search.hybrid_search(queries, docs, index, None, 8, blocks).collect()
+    assert {(r["query_id"], r["doc_id"]) for r in found} == {(q, d) for q, d, _ in got}
+
+
+def test_sums_round_half_up_as_in_the_jvm():
+    asked = scoring.Queries([1], starts=np.array([0, 1]), queries=np.array([0]), times=np.array([1]), idf=np.array([1.0]))
+    whole = np.array([12_345_678_500, 12_345_678_499, 500, 499], np.int64) / 1e12
+    got = [scoring.lexical(replace(asked, idf=np.array([x])), np.array([0]), np.array([0]), np.array([1]), np.array([1]), 1)[0, 0] for x in whole]
+    assert got == [0.012345679, 0.012345678, 1e-9, 0.0]
