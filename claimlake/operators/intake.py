@@ -1,7 +1,7 @@
 """Captures into sources: ids, batch ingest, revisions, triage and the state of the inbox."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlake.functions import svg
@@ -44,6 +44,11 @@ def allocate_ids(new: DataFrame, existing: DataFrame, prefix: str, day: str, ord
     return joined.withColumn(name, tx.doc_id(prefix, F.col(day), number)).drop("_seq", "top")
 
 
+def clip_file(title: Column) -> Column:
+    """The file that a clip's title names, null where it names none."""
+    return F.nullif(F.when(tx.filled(title).isNotNull(), tx.source_filename(F.lit(""), title)), F.lit(".md"))
+
+
 def ingest_sources(clips: DataFrame, existing: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sources, quarantine, log) of one batch of clips (path, ord, origin, url, title, sensitivity, text).
 
@@ -53,9 +58,7 @@ def ingest_sources(clips: DataFrame, existing: DataFrame, as_of: str) -> tuple[D
     judged = clips.withColumn("reason", first_reason({
         "unknown sensitivity": outside(F.col("sensitivity"), SENSITIVITIES),
         "bot wall": tx.bot_wall(F.col("text")).isNotNull()}))
-    named = judged.withColumn("file", F.when(F.col("reason").isNull() & tx.filled(F.col("title")).isNotNull(),
-                                             tx.source_filename(F.lit(""), F.col("title"))))
-    named = named.withColumn("file", F.nullif("file", F.lit(".md")))
+    named = judged.withColumn("file", F.when(F.col("reason").isNull(), clip_file(F.col("title"))))
     taken = existing.select(F.substring_index("path", "/", -1).alias("file")).distinct().withColumn("_taken", F.lit(True))
     firsts = named.groupBy("file").agg(F.min("ord").alias("_first")).join(taken, "file", "left")
     checked = skew_join(named, firsts, ["file"], "left", ["ord"]).withColumn(
@@ -68,9 +71,11 @@ def ingest_sources(clips: DataFrame, existing: DataFrame, as_of: str) -> tuple[D
         F.concat(F.lit(RAW), F.col("svg.text"), F.lit("\n")).alias("body"),
         F.concat(F.lit("00_Inbox/raw/"), F.coalesce("file", F.concat("id", F.lit(".md")))).alias("path"), "ord",
         F.col("svg.report").alias("report"))
-    log = sources.select("ord", F.concat(F.lit("captured "), "id", F.lit(" from "), "origin", F.lit(" ["), "sensitivity",
-                                         F.lit("]")).alias("line"))
-    return sources, checked.filter("reason is not null").select("path", "ord", "reason"), log
+    return sources, checked.filter("reason is not null").select("path", "ord", "reason"), capture_log(sources)
+
+
+def capture_log(sources: DataFrame) -> DataFrame:
+    return sources.select("ord", F.concat(F.lit("captured "), "id", F.lit(" from "), "origin", F.lit(" ["), "sensitivity", F.lit("]")).alias("line"))
 
 
 def svg_report(texts: DataFrame, key: str, col: str) -> DataFrame:

@@ -25,10 +25,29 @@ def _seeds(state: DataFrame) -> DataFrame:
         "created", "last_verified")
 
 
-def _written(refs: Column) -> Column:
+def written(refs: Column) -> Column:
     return F.coalesce(F.size(refs) > 0, F.lit(False))
 
 
+def gates_alone() -> Column:
+    """Why a command is refused whatever it meets; null if nothing speaks against it."""
+    cmd, target = F.col("cmd"), F.col("target")
+    to_verified = target == "verified"
+    blank = lambda c: tx.is_blank(F.col(c))
+    is_move, is_text, is_quote = cmd.isin("promote", "set_status"), cmd == "update_text", cmd == "update_quote"
+    return first_reason({
+        "unknown command": ~cmd.isin("seed", "create", "promote", "set_status", "update_text", "update_quote"),
+        "unknown claim_type": (cmd == "create") & outside(F.col("claim_type"), CLAIM_TYPES),
+        "unknown sensitivity": (cmd == "create") & outside(F.col("sensitivity"), SENSITIVITIES),
+        "verified needs promote": (cmd == "set_status") & to_verified,
+        "unknown status": is_move & outside(target, CLAIM_STATUSES),
+        "no written evidence": (cmd == "promote") & to_verified & ~tx.has_written_evidence(F.col("evidence")),
+        "no reason": (is_text | is_quote) & blank("reason"),
+        "no text": is_text & blank("new_text"),
+        "no quote": is_quote & blank("new_quote"),
+        "bad id": (cmd != "seed") & ~tx.is_doc_id(F.col("claim_id"), "claim")})
+
+
 def apply_commands(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(claims, audit): the ledger after the commands, and every command as applied or rejected with its reason.
 
@@ -47,23 +66,8 @@ def apply_commands(state: DataFrame, commands: DataFrame) -> tuple[DataFrame, Da
     rows = seeds.unionByName(commands.withColumn("created", F.col("date")).withColumn(
         "last_verified", F.lit(None).cast("date")).select(*seeds.columns))
     cmd, target = F.col("cmd"), F.col("target")
-    to_verified = target == "verified"
-    blank = lambda c: tx.is_blank(F.col(c))
     is_move, is_text, is_quote = cmd.isin("promote", "set_status"), cmd == "update_text", cmd == "update_quote"
-
-    # gates a command passes or fails by itself
-    alone = first_reason({
-        "unknown command": ~cmd.isin("seed", "create", "promote", "set_status", "update_text", "update_quote"),
-        "unknown claim_type": (cmd == "create") & outside(F.col("claim_type"), CLAIM_TYPES),
-        "unknown sensitivity": (cmd == "create") & outside(F.col("sensitivity"), SENSITIVITIES),
-        "verified needs promote": (cmd == "set_status") & to_verified,
-        "unknown status": is_move & outside(target, CLAIM_STATUSES),
-        "no written evidence": (cmd == "promote") & to_verified & ~tx.has_written_evidence(F.col("evidence")),
-        "no reason": (is_text | is_quote) & blank("reason"),
-        "no text": is_text & blank("new_text"),
-        "no quote": is_quote & blank("new_quote"),
-        "bad id": (cmd != "seed") & ~tx.is_doc_id(F.col("claim_id"), "claim")})
-    ordered = Ordered(rows.withColumn("why", alone), ["claim_id"], "seq")
+    ordered = Ordered(rows.withColumn("why", gates_alone()), ["claim_id"], "seq")
 
     makes = cmd.isin("seed", "create") & F.col("why").isNull()
     ordered.previous(exists=F.when(makes, F.lit(True)))
@@ -98,7 +102,7 @@ def _final(applied: DataFrame) -> DataFrame:
     def last(value: Column, when: Column) -> Column:
         return F.max_by(value, F.when(when, F.col("seq")))
 
-    evidence = (made | (cmd == "promote") & _written(F.col("evidence")))
+    evidence = (made | (cmd == "promote") & written(F.col("evidence")))
     verified = (cmd == "seed") | (cmd == "promote") & (F.col("target") == "verified")
     verified_on = F.when(cmd == "seed", F.col("last_verified")).otherwise(F.col("date"))
     replaced = (cmd == "seed") | (cmd == "set_status") & tx.filled(F.col("superseded_by")).isNotNull()

@@ -1,8 +1,8 @@
 """The incremental forms: the same operators fed by streams.
 
-Outputs are tables partitioned by micro-batch. A batch that is run again after a failure replaces its own partition and
-reads only the partitions before it, so every output is written once in effect. What such a table says now is the newest
-row per key; a plain batch job over it can compact it at any time.
+What a later batch needs of earlier ones lies in streaming state or in keyed tables (`current`), of which a batch opens the buckets
+of its own keys only; a batch is computed once and then written to all its outputs. Logs and audits are tables partitioned
+by micro-batch. A batch that is run again after a failure replaces its own partitions and versions.
 """
 from __future__ import annotations
 
@@ -13,19 +13,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from claimlake.functions import text as tx
-from claimlake.operators import intake, ledger, reviews, search
+from claimlake.operators import intake, reviews, search
+from claimlake.session import cut_lineage
 from claimlake.skew import latest_per_key
 from claimlake.sources.sinks import read_table
+from claimlake.streaming import command_state
+from claimlake.streaming.current import KeyedTable
 
 SOURCES = ("id string, origin string, captured_at date, sensitivity string, url string, body string, path string, "
            "ord bigint, report array<struct<kind:string,before:int,after:int>>, batch bigint")
+NAMES = "file string, id string, path string"
+NUMBERS = "captured_at date, id string, path string"
 CLAIMS = ("claim_id string, claim_type string, status string, proposed_status string, claim string, speaker string, "
           "source_refs array<string>, evidence_refs array<string>, sensitivity string, quote string, "
-          "superseded_by array<string>, created date, updated date, last_verified date, folder string, batch bigint")
+          "superseded_by array<string>, created date, updated date, last_verified date, folder string")
 REVIEWED = "learning_id string, passes bigint, n_reviews bigint, last struct<date:date,passed:boolean>, batch bigint"
 ENTRIES = "id string, ord bigint, line string, batch bigint"
-POSTINGS = "doc_id bigint, dl int, term string, tf bigint, batch bigint"
-DOCS = "doc_id bigint, dl int, removed boolean, batch bigint"
+POSTINGS = "doc_id bigint, dl int, term string, tf bigint"
+DOCS = "doc_id bigint, dl int"
 
 
 def _write(df: DataFrame, path: str, batch: int) -> None:
@@ -39,36 +44,53 @@ def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
 
 
 def ingest(clips: DataFrame, path: str, checkpoint: str, as_of: str) -> StreamingQuery:
-    """Clips into ``path``/sources, /quarantine and /log. Numbers and titles continue those of earlier batches."""
+    """Clips into ``path``/sources, /quarantine and /log. Numbers and titles continue those of earlier batches.
+
+    Of these a batch reads the file names that its own titles ask for (/names) and the last number of its day (/numbers).
+    """
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        held = read_table(spark, f"{path}/sources", SOURCES).filter(F.col("batch") < number)
-        sources, bad, log = intake.ingest_sources(batch, held, as_of)
+        names, numbers = KeyedTable(spark, f"{path}/names", NAMES, ("file",)), KeyedTable(spark, f"{path}/numbers", NUMBERS, ("captured_at",), 1)
+        batch = cut_lineage(batch)
+        asked = batch.select(intake.clip_file(F.col("title")).alias("file")).dropna()
+        held = names.holding(asked, number).select("id", "path").unionByName(numbers.read(number).select("id", "path"))
+        sources, bad, _ = intake.ingest_sources(batch, held, as_of)
+        sources = cut_lineage(sources)
         _write(sources, f"{path}/sources", number)
         _write(bad, f"{path}/quarantine", number)
-        _write(log, f"{path}/log", number)
+        _write(intake.capture_log(sources), f"{path}/log", number)
+        names.merge(sources.select(F.substring_index("path", "/", -1).alias("file"), "id", "path"), number)
+        last = intake.top_numbers(sources.select("id", "path").unionByName(numbers.read(number).select("id", "path")), "source")
+        numbers.merge(last.select(F.col("day").alias("captured_at"), tx.doc_id("source", F.col("day"), F.col("top")).alias("id"), F.lit("").alias("path")), number)
     return _start(clips, each, checkpoint)
 
 
 def command_claims(commands: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Commands into ``path``/claims, which holds the claims that a batch touched, and /audit."""
+    """Commands into ``path``/claims, the claims as they are now, and /audit. What a command meets lies in streaming state."""
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        touched = batch.select("claim_id").distinct()
-        known = current_claims(spark, path, before=number).join(touched, "claim_id", "left_semi")
-        claims, audit = ledger.apply_commands(known, batch)
-        _write(claims, f"{path}/claims", number)
-        _write(audit, f"{path}/audit", number)
-    return _start(commands, each, checkpoint)
+        rows = cut_lineage(batch)  # the state moves on once
+        _write(command_state.audit_of(rows), f"{path}/audit", number)
+        _claims(rows.sparkSession, path).merge(command_state.claims_of(rows), number)
+
+    conf = commands.sparkSession.conf
+    before = conf.get(command_state.PROVIDER)
+    conf.set(command_state.PROVIDER, command_state.ROCKS)
+    try:
+        return _start(command_state.stateful(commands), each, checkpoint, "update")
+    finally:
+        conf.set(command_state.PROVIDER, before)
+
 
+def _claims(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, f"{path}/claims", CLAIMS, ("claim_id",))
 
-def _newest(df: DataFrame, key: str, before: int | None) -> DataFrame:
-    seen = df if before is None else df.filter(F.col("batch") < before)
-    return latest_per_key(seen, [key], F.col("batch"))
 
+def current_claims(spark: SparkSession, path: str) -> DataFrame:
+    return _claims(spark, path).read()
 
-def current_claims(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    return _newest(read_table(spark, f"{path}/claims", CLAIMS), "claim_id", before).drop("batch")
+
+def _newest(df: DataFrame, key: str) -> DataFrame:
+    return latest_per_key(df, [key], F.col("batch"))
 
 
 def review_items(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -78,7 +100,7 @@ def review_items(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 def reviewed_items(items: DataFrame, path: str) -> DataFrame:
     """Items (id, level, next_review, …) with the reviews so far."""
-    done = _newest(read_table(items.sparkSession, f"{path}/reviewed", REVIEWED), "learning_id", None)
+    done = _newest(read_table(items.sparkSession, f"{path}/reviewed", REVIEWED), "learning_id")
     merged = items.join(done.drop("batch").withColumnRenamed("learning_id", "id"), "id", "left")
     level, due = reviews.schedule(F.col("level"), F.col("passes"), F.col("last"))
     return (merged.withColumn("next_review", F.when(F.col("last").isNotNull(), due).otherwise(F.col("next_review")))
@@ -93,23 +115,26 @@ def upsert_index(entries: DataFrame, path: str, checkpoint: str) -> StreamingQue
 
 
 def current_index_lines(spark: SparkSession, path: str) -> DataFrame:
-    return _newest(read_table(spark, f"{path}/entries", ENTRIES), "id", None).select("id", "line")
+    return _newest(read_table(spark, f"{path}/entries", ENTRIES), "id").select("id", "line")
 
 
 def index_documents(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Documents (doc_id, seq, text; null text removes) into postings. Only what arrives is tokenized."""
+    """Documents (doc_id, seq, text; null text removes) into postings. Only what arrives is tokenized, and only buckets that hold
+    an arriving document are written anew."""
     def each(batch: DataFrame, number: int) -> None:
-        newest = latest_per_key(batch.select("doc_id", "seq", "text"), ["doc_id"], F.col("seq"))
-        fresh = search.build_index(newest.filter("text is not null"))
-        gone = newest.filter("text is null").select("doc_id", F.lit(0).alias("dl"), F.lit(True).alias("removed"))
-        _write(fresh.postings, f"{path}/postings", number)
-        _write(fresh.docs.withColumn("removed", F.lit(False)).unionByName(gone), f"{path}/docs", number)
+        newest = cut_lineage(latest_per_key(batch.select("doc_id", "seq", "text"), ["doc_id"], F.col("seq")))
+        fresh = search.build_index(newest.filter("text is not null")).checkpointed()
+        docs, postings = _index_tables(batch.sparkSession, path)
+        postings.merge(fresh.postings, number, newest)
+        docs.merge(fresh.docs, number, newest)
     return _start(changes, each, checkpoint)
 
 
+def _index_tables(spark: SparkSession, path: str) -> tuple[KeyedTable, KeyedTable]:
+    return KeyedTable(spark, f"{path}/docs", DOCS, ("doc_id",)), KeyedTable(spark, f"{path}/postings", POSTINGS, ("doc_id",))
+
+
 def current_index(spark: SparkSession, path: str) -> search.Index:
-    """The index as of the last batch: of each document the postings of its newest version."""
-    newest = _newest(read_table(spark, f"{path}/docs", DOCS), "doc_id", None).filter("not removed")
-    held = read_table(spark, f"{path}/postings", POSTINGS)
-    kept = held.join(newest.select("doc_id", "batch"), ["doc_id", "batch"], "left_semi").drop("batch")
-    return search.index_of(newest.select("doc_id", "dl"), kept)
+    """The index as of the last batch."""
+    docs, postings = _index_tables(spark, path)
+    return search.index_of(docs.read(), postings.read())
