@@ -8,7 +8,7 @@ from claimlake.functions import svg
 from claimlake.functions import text as tx
 from claimlake.operators.gates import first_reason, outside
 from claimlake.schema import SENSITIVITIES, TRIAGE_DECISIONS
-from claimlake.skew import Ordered, latest_per_key, skew_join
+from claimlake.skew import Ordered, latest_per_key, skew_join, with_numbers
 
 RAW = "## Raw\n\n"
 
@@ -31,17 +31,11 @@ def top_numbers(existing: DataFrame, prefix: str, scope: str | None = None) -> D
 
 def allocate_ids(new: DataFrame, existing: DataFrame, prefix: str, day: str, order: str,
                  scope: str | None = None, name: str = "id") -> DataFrame:
-    """Adds ``name``: prefix, day and the next free numbers of that day, given in ``order`` (an integer column)."""
+    """Adds ``name``: prefix, day and the next free numbers of that day, given in ``order``, which no two new rows of a day share."""
     keys = ([scope] if scope else []) + [day]
     tops = top_numbers(existing, prefix, scope).withColumnRenamed("day", day)
-    numbered = Ordered(new, keys, order).numbered("_seq").rows()
-    if scope:
-        joined = skew_join(numbered, tops, keys, "left", [order])
-    else:
-        # one row per calendar day: a few million rows at the very most
-        joined = numbered.join(F.broadcast(tops), keys, "left")
-    number = F.col("_seq") + F.coalesce("top", F.lit(0))
-    return joined.withColumn(name, tx.doc_id(prefix, F.col(day), number)).drop("_seq", "top")
+    numbered = with_numbers(new, keys, order, "_seq", tops)
+    return numbered.withColumn(name, tx.doc_id(prefix, F.col(day), F.col("_seq"))).drop("_seq")
 
 
 def clip_file(title: Column) -> Column:

@@ -33,17 +33,14 @@ def build_session(app: str = "claimlake", master: str | None = None, **extra: st
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared checkpoint folder that the cluster names, and reads it from there.
 
-    A local session without such a folder gets one of its own. On a cluster without one the plan stays as it is: slower,
-    but safe when executors are lost.
+    A local session without such a folder gets one of its own. A cluster without one is an error: some operators need what
+    they have written to stay as it is.
     """
     spark = df.sparkSession
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        if named:
-            context.setCheckpointDir(named)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="claimlake-"))
-        else:
-            return df
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master.startswith("local") and not context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="claimlake-"))
     return df.checkpoint()

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimlake.session import cut_lineage
+
 HOT_LIMIT = 256
 HOT_ROWS = 1_000_000
 HOT_ROWS_CONF = "spark.claimlake.skew.hotRows"
@@ -72,7 +74,7 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Column, newest: bo
 
 
 class Ordered:
-    """Rows of each key in the order of an integer column, for prefix lookups and numbering.
+    """Rows of each key in the order of an integer column, for prefix lookups.
 
     Hot keys are cut into ranges of the order column, worked on range by range, and joined up through one small row
     per range. ``df`` may be replaced by a frame with more columns between two lookups; the cut stays.
@@ -109,16 +111,6 @@ class Ordered:
         self.df = df.withColumns(found).drop(*[f"_set_{n}" for n in values], *[f"_carry_{n}" for n in values])
         return self
 
-    def numbered(self, name: str) -> Ordered:
-        """Adds 1, 2, … within the key."""
-        df, number = self.df, F.row_number().over(Window.partitionBy(*self.part).orderBy(self.order))
-        if self.hot:
-            counts = df.filter("_range >= 0").groupBy(*self.part).agg(F.count(F.lit(1)).alias("_rows"))
-            df = df.join(self._before(counts, {"_offset": F.sum("_rows")}), self.part, "left")
-            number = number + F.coalesce("_offset", F.lit(0))
-        self.df = df.withColumn(name, number).drop("_offset")
-        return self
-
     def add(self, **columns: Column) -> Ordered:
         self.df = self.df.withColumns(columns)
         return self
@@ -127,6 +119,39 @@ class Ordered:
         return self.df.drop("_range")
 
 
+def prefix_numbers(rows: DataFrame, keys: Sequence[str], order: str, name: str, after: DataFrame | None = None) -> DataFrame:
+    """(keys, order, name): 1, 2, … per key in the order of a column that no two rows of a key share; an error if they do.
+
+    A prefix sum in two steps. The rows, nothing but their keys and order, are laid out in ranges of (keys, order) and written; a
+    range counts its rows per key, the counts add up to what lies before each range, and rows are numbered inside their range.
+    So a key may hold all rows, and no task ever does. ``after`` (keys, top) says from where on the numbers of a key go.
+    """
+    ranges = rows.select(*keys, order).repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id())
+    placed = cut_lineage(ranges)  # once: the ranges of another run need not be the same
+    counts = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    if after is not None:
+        offsets = offsets.join(after, list(keys), "left").withColumn("_offset", F.col("_offset") + F.coalesce("top", F.lit(0))).drop("top")
+    inside = Window.partitionBy("_range", *keys).orderBy(order)
+    same = F.col(order) == F.lag(order).over(inside)
+    number = F.when(same, F.raise_error(F.lit(f"two rows of a key share their {order}"))).otherwise(F.row_number().over(inside) + F.col("_offset"))
+    joined = _null_safe(placed, offsets, [*keys, "_range"])
+    return joined.select(*keys, order, number.cast("bigint").alias(name))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on columns that may be null, where null meets null; the columns of ``on`` once."""
+    named = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(named, same).drop(*[f"_r_{c}" for c in on])
+
+
+def with_numbers(rows: DataFrame, keys: Sequence[str], order: str, name: str, after: DataFrame | None = None) -> DataFrame:
+    """The rows with their `prefix_numbers`; what else they hold meets the numbers by (keys, order), and no window."""
+    return _null_safe(rows, prefix_numbers(rows, keys, order, name, after), [*keys, order])
+
+
 def chunked_groups(df: DataFrame, keys: Sequence[str], member: str, out: str, spread: str,
                    at_least: int = 1, size: int = CHUNK) -> DataFrame:
     """(keys, n, chunk, out): the members of each key as sorted arrays of about ``size`` elements.

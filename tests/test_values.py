@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from claimlake import skew
 from claimlake.functions import svg
 from claimlake.functions import text as tx
 from claimlake.operators import embedding, gates, intake, ledger, lint, pages, progress, quotes, reviews, scoring, search
@@ -492,6 +493,26 @@ def test_blocks_that_cannot_reach_are_skipped(spark, tmp_path):
     assert {(r["query_id"], r["doc_id"]) for r in found} == {(q, d) for q, d, _ in got}
 
 
+def test_numbers_by_prefix_sums(spark):
+    rng = random.Random(4)
+    rows = [("hot", i, "x" * 50) for i in rng.sample(range(10**6), 3000)] + [(f"k{i % 40}", i, "y") for i in range(400)] + [(None, i, "z") for i in range(30)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "k string, ord bigint, text string").repartition(7)
+    after = spark.createDataFrame([("hot", 10), ("k3", 5), ("other", 1)], "k string, top bigint")
+    got = {(r.k, r.ord): (r.n, r.text) for r in skew.with_numbers(frame, ["k"], "ord", "n", after).collect()}
+    want = {}
+    for key in {r[0] for r in rows}:
+        first = {"hot": 10, "k3": 5}.get(key, 0)
+        want |= {(key, o): (first + i, t) for i, (o, t) in enumerate(sorted((o, t) for k, o, t in rows if k == key), 1)}
+    assert got == want and skew.with_numbers(frame.limit(0), ["k"], "ord", "n").count() == 0
+    with pytest.raises(Exception, match="share their ord"):
+        skew.with_numbers(frame.unionByName(frame.limit(5)), ["k"], "ord", "n").collect()
+    numbered = skew.with_numbers(frame.withColumn("day", F.lit("2024-01-20")), ["day"], "ord", "n")
+    plan = plan_of(numbered)
+    assert "SinglePartition" not in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert not any("text" in line for line in plan.splitlines() if "Window" in line)
+
+
 def test_sums_round_half_up_as_in_the_jvm():
     asked = scoring.Queries([1], starts=np.array([0, 1]), queries=np.array([0]), times=np.array([1]), idf=np.array([1.0]))
     whole = np.array([12_345_678_500, 12_345_678_499, 500, 499], np.int64) / 1e12
