@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimlake.session import cut_lineage
 from claimlake.sources.sinks import read_table
 
 # Limits of the embedding job, and the prefixes of models that want them.
@@ -89,18 +90,30 @@ def embed(inputs: DataFrame, make_embed: Callable[[], Embed], wait: float = 1.0)
 
     ``make_embed`` is called once per task that has rows, inside the worker, so an empty job loads no model. A refused
     batch is asked again text by text. A text that is refused to the end gets an empty vector, which no search counts.
+
+    An outage is data, not an error: when the service does not answer after all attempts, the batch's texts get no vector and
+    the status ``unavailable``, and the task asks no more, so that a job of many batches ends soon. Any other error stops the job.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = None
+        ask, down, nothing = None, False, (None, "unavailable")
         for frame in frames:
             for start in range(0, len(frame), BATCH):
                 part = frame.iloc[start:start + BATCH]
-                ask = ask or make_embed()
-                texts = part["input"].tolist()
+                texts, rows = part["input"].tolist(), []
                 try:
-                    rows = [(v, "ok") for v in _ask(ask, texts, wait)]
+                    if not down:
+                        ask = ask or make_embed()
+                        rows = [(v, "ok") for v in _ask(ask, texts, wait)]
+                except ConnectionError:
+                    down = True
                 except ValueError:
-                    rows = [_one(ask, t, wait) for t in texts]
+                    for t in texts:
+                        try:
+                            rows.append(nothing if down else _one(ask, t, wait))
+                        except ConnectionError:
+                            down = True
+                            rows.append(nothing)
+                rows = rows or [nothing] * len(texts)
                 yield pd.DataFrame({"key": part["key"].tolist(), "vector": [r[0] for r in rows],
                                     "embed_status": [r[1] for r in rows]})
 
@@ -115,7 +128,11 @@ def zero_fill(vectors: DataFrame) -> DataFrame:
 
 
 def update_cache(inputs: DataFrame, cache_path: str, make_embed: Callable[[], Embed], tag: str, wait: float = 1.0) -> DataFrame:
-    """Embeds what the cache lacks, appends it, and returns (doc_id, vector). Mixed dimensions are all embedded anew."""
+    """Embeds what the cache lacks, appends it, and returns (doc_id, vector). Mixed dimensions are all embedded anew.
+
+    What the service did not answer is not kept: it has no row in the result, and the next run asks again for it alone.
+    Nor does an outage while all is embedded anew touch what the cache holds; then no row is returned.
+    """
     spark = inputs.sparkSession
     schema = "key string, vector array<double>, embed_status string, model_tag string"
 
@@ -124,7 +141,7 @@ def update_cache(inputs: DataFrame, cache_path: str, make_embed: Callable[[], Em
 
     def write(rows: DataFrame, mode: str) -> None:
         # as it comes: zeros are filled in on reading, so nothing asks for a text twice
-        (rows.withColumn("model_tag", F.lit(tag)).write.mode(mode)
+        (rows.filter("embed_status <> 'unavailable'").withColumn("model_tag", F.lit(tag)).write.mode(mode)
          .option("partitionOverwriteMode", "dynamic").partitionBy("model_tag").parquet(cache_path))
 
     cache = zero_fill(read())  # a refused text is not asked for again
@@ -133,6 +150,18 @@ def update_cache(inputs: DataFrame, cache_path: str, make_embed: Callable[[], Em
     held = lambda: zero_fill(inputs.select("doc_id", "key").join(read().filter(F.col("model_tag") == tag).select("key", "vector"), "key"))
     joined = held()
     if embed_dims(joined).count() > 1:
-        write(embed(inputs.groupBy("key").agg(F.first("input").alias("input")), make_embed, wait), "overwrite")
-        joined = held()
+        anew = cut_lineage(embed(inputs.groupBy("key").agg(F.first("input").alias("input")), make_embed, wait))
+        if anew.filter("embed_status = 'unavailable'").isEmpty():
+            write(anew, "overwrite")
+            joined = held()
+        else:
+            joined = joined.limit(0)
     return joined.select("doc_id", "vector")
+
+
+def embed_queries(queries: DataFrame, make_embed: Callable[[], Embed], prefix: str = "", wait: float = 1.0) -> DataFrame:
+    """(query_id, q, vector): queries with the vector of the prefix and their text; each text is asked for once, null where there was no answer."""
+    asked = queries.select("query_id", "q", F.concat(F.lit(prefix), "q").alias("input")).withColumn("key", F.sha2("input", 256))
+    done = cut_lineage(embed(asked.select("key", "input").dropDuplicates(["key"]), make_embed, wait))
+    vectors = zero_fill(done.filter("embed_status <> 'unavailable'")).select("key", "vector")
+    return asked.join(vectors, "key", "left").select("query_id", "q", "vector")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlake.functions import text as tx
-from claimlake.operators import embedding, gates, intake, ledger, lint, pages, progress, quotes, reviews, search
+from claimlake.operators import answer, embedding, gates, intake, ledger, lint, pages, progress, quotes, reviews, search
 from claimlake.plans.tables import AS_OF, Tables
 from claimlake.schema import CLAIM_TYPES, SENSITIVITIES
 from claimlake.sources import corpus, sinks
@@ -610,6 +610,24 @@ def letter_embedder() -> embedding.Embed:
     return embed
 
 
+def dead_embedder() -> embedding.Embed:
+    """A service that is out."""
+    def embed(texts: list[str]) -> list[list[float]]:
+        raise embedding.Unavailable("no answer")
+    return embed
+
+
+def deaf_embedder() -> embedding.Embed:
+    """A service that fails before the first query."""
+    letters = letter_embedder()
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        if texts[0].startswith(embedding.E5_PREFIXES[1]):
+            raise embedding.Unavailable("no answer")
+        return letters(texts)
+    return embed
+
+
 @query
 def embed_job(t: Tables) -> DataFrame:
     done = embedding.embed(embedding.embed_input(t.documents()).dropDuplicates(["key"]), letter_embedder)
@@ -648,8 +666,19 @@ def hybrid_hits(t: Tables) -> DataFrame:
 @query
 def bm25_topk(t: Tables) -> DataFrame:
     docs = t.search_documents()
-    found = search.hybrid_search(t.queries(), docs, search.build_index(docs).checkpointed(), None)
-    return found.withColumn("degraded", F.lit(True))
+    return answer.answer(t.queries(), docs, search.build_index(docs).checkpointed(), dead_embedder, wait=0.0)
+
+
+@query
+def hybrid_embedded(t: Tables) -> DataFrame:
+    docs = t.search_documents()
+    return answer.answer(t.queries(), docs, search.build_index(docs).checkpointed(), letter_embedder, prefixes=embedding.E5_PREFIXES, blocked=("confidential",))
+
+
+@query
+def query_outage(t: Tables) -> DataFrame:
+    docs = t.search_documents()
+    return answer.answer(t.queries(), docs, search.build_index(docs).checkpointed(), deaf_embedder, prefixes=embedding.E5_PREFIXES, wait=0.0)
 
 
 @query

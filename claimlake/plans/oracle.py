@@ -176,6 +176,16 @@ VIEWS = {
    from (select *, 1.0e0 / (60 + bm_rank) + 1.0e0 / (60 + cos_rank) s from f_ranked)""",
     "f_best_bm": """select query_id, (row_number() over (partition by query_id order by s desc, doc_id))::int as position, doc_id, bm_rank, 0::bigint cos_rank, round(s, 6) score
    from (select *, 1.0e0 / (60 + bm_rank) + 1.0e0 / 60 s from f_ranked)""",
+    "f_letters": """select *, list_transform(['a', 'e', 'i', 'o', 'u'], lambda c: (length(v) - length(replace(v, c, '')))::double) vec from
+   (select doc_id, left(t, (case when length(t) < 4000 then length(t) when length(t) // 2 < 4000 then length(t) // 2 when length(t) // 4 < 4000 then length(t) // 4 else length(t) // 8 end)::int) v
+    from (select doc_id, 'passage: ' || left(text, 16000) t from documents where doc_id % 3 <> 2 and doc_id % 8 <> 0))""",
+    "f_asked": """select query_id, list_transform(['a', 'e', 'i', 'o', 'u'], lambda c: (length('query: ' || q) - length(replace('query: ' || q, c, '')))::double) vec from f_queries""",
+    "f_letter_cos": """select query_id, d.doc_id, round(list_inner_product(d.vec, q.vec) / (coalesce(nullif(sqrt(list_inner_product(d.vec, d.vec)), 0), 1) * coalesce(nullif(sqrt(list_inner_product(q.vec, q.vec)), 0), 1)), 9) cos
+   from f_asked q, f_letters d""",
+    "f_letter_ranked": """select query_id, doc_id, rank() over (partition by query_id order by bm desc) - 1 bm_rank, rank() over (partition by query_id order by cos desc) - 1 cos_rank from
+   (select q.query_id, d.doc_id, coalesce(bm, 0.0e0) bm, coalesce(cos, 0.0e0) cos from f_queries q cross join documents d left join f_bm using (query_id, doc_id) left join f_letter_cos using (query_id, doc_id))""",
+    "f_letter_best": """select query_id, (row_number() over (partition by query_id order by s desc, doc_id))::int as position, doc_id, bm_rank, cos_rank, round(s, 6) score
+   from (select *, 1.0e0 / (60 + bm_rank) + 1.0e0 / (60 + cos_rank) s from f_letter_ranked)""",
     "f_known": "select id from f_claims union all select id from f_sources",
     "f_state": f"""select case state when 'leftover' then 'ingested_leftovers' else 'unstructured_inbox' end stage, replace(path, '00_Inbox/', '') id from f_inbox
  union all select status || '_claims', id from f_claims where status in ('unverified', 'verified')
@@ -448,6 +458,8 @@ SQL = {
     "hybrid_topk": "select * from f_best where position <= 8",
     "hybrid_hits": r"select query_id, position, 'doc-' || doc_id ref, split_part(text, E'\n', 1) title, score, left(text, 200) snippet from f_best join documents using (doc_id) where position <= 8",
     "bm25_topk": "select *, true degraded from f_best_bm where position <= 8",
+    "hybrid_embedded": "select *, false degraded from f_letter_best where position <= 8",
+    "query_outage": "select *, true degraded from f_best_bm where position <= 8",
     "snapshot_diff": """select coalesce(o.doc_id, n.doc_id) doc_id, case when o.doc_id is null then 'added' when n.doc_id is null then 'deleted' when o.text = n.text then 'same' else 'changed' end change
         from documents o full join f_snap_new n on o.doc_id = n.doc_id""",
     "index_refresh": f"select term, count(distinct doc_id) df from (select doc_id, unnest({words('text')}) term from f_snap_new) group by term",

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from claimlake import skew
 from claimlake.functions import svg
 from claimlake.functions import text as tx
-from claimlake.operators import embedding, gates, intake, ledger, lint, pages, progress, quotes, reviews, scoring, search
+from claimlake.operators import answer, embedding, gates, intake, ledger, lint, pages, progress, quotes, reviews, scoring, search
 from claimlake.plans.tables import Tables
 from claimlake.schema import CLAIM_STATUSES, COMMANDS
 from claimlake.sources import corpus, sinks
@@ -282,6 +282,78 @@ def test_embedding_salvage_and_cache(spark, tmp_path):
     assert embedding.model_tag("remote", "a/b c", 256) == "remote-a-b-c-256d"
 
 
+def test_an_outage_is_data_and_stops_the_asking(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def make():
+        seen = {"n": 0}
+
+        def ask(texts):
+            calls.add(1)
+            seen["n"] += 1
+            if seen["n"] > 1:
+                raise embedding.Unavailable("down")
+            return [[1.0] for _ in texts]
+        return ask
+    inputs = spark.createDataFrame([(f"k{i}", "t") for i in range(10 * embedding.BATCH)], "key string, input string").coalesce(1)
+    rows = Counter((r.embed_status, r.vector is None) for r in embedding.embed(inputs, make, wait=0.0).collect())
+    assert rows == {("ok", False): embedding.BATCH, ("unavailable", True): 9 * embedding.BATCH}
+    assert calls.value == 1 + embedding.ATTEMPTS  # one batch more was tried, then none
+
+    def broken():
+        return lambda texts: []
+    with pytest.raises(Exception, match="0 vectors for"):
+        embedding.embed(inputs, broken, wait=0.0).collect()
+
+
+def test_search_goes_on_through_outages_and_recovers(spark, tmp_path):
+    docs = spark.createDataFrame([(0, 0, "about plants", "", False), (1, 1, "rank fusion story", "", False), (2, 2, "secret rank", "confidential", False)],
+                                 "doc_id bigint, doc_ord bigint, text string, sensitivity string, pre_ingest boolean")
+    queries = spark.createDataFrame([(1, "rank fusion"), (2, "plants rank")], "query_id bigint, q string")
+    index, sent = search.build_index(docs).checkpointed(), spark.sparkContext.accumulator(0)
+
+    def service(down=()):
+        def make():
+            def ask(texts):
+                sent.add(len(texts))
+                if any(word in t for t in texts for word in down):
+                    raise embedding.Unavailable("down")
+                assert all(t.startswith(("passage: ", "query: ")) and "secret" not in t for t in texts)
+                return [[float("plants" in t), float("fusion" in t)] for t in texts]
+            return ask
+        return make
+
+    def ask(make):
+        found = answer.answer(queries.coalesce(1), docs.coalesce(1), index, make, cache_path=str(tmp_path / "cache"), tag="m",
+                              prefixes=embedding.E5_PREFIXES, blocked=("confidential",), wait=0.0).collect()
+        return {r.query_id: [x.doc_id for x in sorted((x for x in found if x.query_id == r.query_id), key=lambda x: x.position)] for r in found}, {r.degraded for r in found}
+    order, degraded = ask(service(down=["passage"]))
+    assert degraded == {True} and order[1][0] == 1 and order[2][0] in (0, 2)
+    order, degraded = ask(service(down=["query"]))  # the cache fills, the queries get no answer
+    assert degraded == {True} and order[1][0] == 1
+    sent.value = 0
+    order, degraded = ask(service())
+    assert degraded == {False} and order[1][0] == 1 and sent.value == 2  # only the two queries were asked
+    assert sorted(order[1]) == [0, 1, 2]  # what was not sent is still found
+
+
+def test_an_outage_while_healing_keeps_the_cache(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id bigint, text string").coalesce(1)
+    path = str(tmp_path / "cache")
+    embedding.update_cache(embedding.embed_input(docs), path, lambda: (lambda ts: [[1.0] for _ in ts]), "m", wait=0.0)
+    wider = embedding.embed_input(docs.unionByName(spark.createDataFrame([(3, "c")], docs.schema)).coalesce(1))
+
+    def make():
+        def ask(texts):
+            if len(texts) > 1:
+                raise embedding.Unavailable("down")
+            return [[1.0, 2.0] for _ in texts]
+        return ask
+    assert embedding.update_cache(wider, path, make, "m", wait=0.0).count() == 0
+    assert sorted(len(r.vector) for r in spark.read.parquet(path).collect()) == [1, 1, 2]
+    assert embedding.update_cache(wider, path, lambda: (lambda ts: [[1.0, 2.0] for _ in ts]), "m", wait=0.0).count() == 3
+
+
 def test_upsert_log_and_ledger(spark, tmp_path):
     rows = [("a", 1, "old"), ("a", 2, "new\n line"), ("ab", 1, "mentions [a]")]
     got = sinks.upsert_latest(spark.createDataFrame(rows, "id string, ord bigint, line string"))
