@@ -30,7 +30,8 @@ RANGE_DOCS = 16  # documents of about one length whose postings of a term are on
 
 @dataclass(frozen=True)
 class Index:
-    """The lexical index as tables: (doc_id, dl), (doc_id[, doc_ord], dl, term, tf), (term, df) and one row of statistics.
+    """The lexical index as tables: (doc_id, dl), (doc_id[, doc_ord], dl, term, tf), (term, df), one row of statistics, and
+    (df, n_terms), how many terms are in so many documents.
 
     A posting carries the length of its document, so that scoring needs no join with the documents. ``counted`` is, where the
     index comes from texts, one row per document with the terms it holds.
@@ -40,6 +41,7 @@ class Index:
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    spread: DataFrame
     counted: DataFrame | None = None
 
     def save(self, path: str) -> None:
@@ -48,29 +50,45 @@ class Index:
         self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        self.spread.write.mode("overwrite").parquet(f"{path}/spread")
 
     def checkpointed(self) -> Index:
         """The same index with each text read once, for several searches in one application."""
         kept = _from_counted(cut_lineage(self.counted)) if self.counted is not None else index_of(cut_lineage(self.docs), cut_lineage(self.postings))
-        return replace(kept, stats=cut_lineage(kept.stats))
+        spread = cut_lineage(kept.spread)
+        return replace(kept, stats=cut_lineage(stats_of(sizes_of(kept.docs), spread)), spread=spread)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "terms", "stats")])
+        return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "terms", "stats", "spread")])
 
 
 def _raw_idf(n: Column, df: Column) -> Column:
     return F.round(F.ln(n - df + 0.5) - F.ln(df + 0.5), 12)
 
 
+def sizes_of(docs: DataFrame) -> DataFrame:
+    """One row: how many documents there are, and their tokens together."""
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("total_dl"))
+
+
+def spread_of(terms: DataFrame) -> DataFrame:
+    return terms.groupBy("df").agg(F.count(F.lit(1)).alias("n_terms"))
+
+
+def stats_of(sizes: DataFrame, spread: DataFrame) -> DataFrame:
+    """One row (n_docs, total_dl, avgdl, mean_idf). A weight depends on the document frequency alone, so its mean is taken over
+    frequencies, not over terms."""
+    n = sizes.select("n_docs").scalar()
+    mean = spread.agg((F.sum(_raw_idf(n.cast("double"), F.col("df")) * F.col("n_terms")) / F.sum("n_terms")).alias("mean_idf")).scalar()
+    avgdl = F.when(F.col("n_docs") > 0, F.col("total_dl") / F.col("n_docs"))
+    return sizes.select("n_docs", "total_dl", avgdl.alias("avgdl"), mean.alias("mean_idf"))
+
+
 def index_of(docs: DataFrame, counts: DataFrame) -> Index:
-    """A weight depends on the document frequency alone, so its mean is taken over frequencies, not over terms."""
     terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    sizes = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    spread = terms.groupBy("df").agg(F.count(F.lit(1)).alias("n_terms")).withColumn("s", sizes.select(F.struct("*")).scalar())
-    mean = F.sum(_raw_idf(F.col("s.n_docs").cast("double"), F.col("df")) * F.col("n_terms")) / F.sum("n_terms")
-    stats = spread.agg(F.first("s.n_docs").alias("n_docs"), F.first("s.avgdl").alias("avgdl"), mean.alias("mean_idf"))
-    return Index(docs, counts, terms, stats)
+    spread = spread_of(terms)
+    return Index(docs, counts, terms, stats_of(sizes_of(docs), spread), spread)
 
 
 def build_index(docs: DataFrame) -> Index:
@@ -502,9 +520,44 @@ def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("doc_id", change.alias("change"))
 
 
+def term_changes(added: DataFrame, removed: DataFrame) -> DataFrame:
+    """(term, change): by how much postings that came and went change the terms' document frequencies; never 0."""
+    signed = added.select("term", F.lit(1).alias("n")).unionByName(removed.select("term", F.lit(-1).alias("n")))
+    return signed.groupBy("term").agg(F.sum("n").alias("change")).filter(F.col("change") != 0)
+
+
+def moved_terms(changes: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, was, df): the changed terms with their frequencies before and after; 0 where there is none."""
+    was = F.coalesce("df", F.lit(0))
+    return changes.join(terms, "term", "left").select("term", was.alias("was"), (was + F.col("change")).alias("df"))
+
+
+def moved_spread(spread: DataFrame, moved: DataFrame) -> DataFrame:
+    """The (df, n_terms) after terms have moved from one frequency to another."""
+    left, came = moved.select(F.col("was").alias("df"), F.lit(-1).alias("n_terms")), moved.select("df", F.lit(1).alias("n_terms"))
+    signed = spread.select("df", "n_terms").unionByName(left).unionByName(came).filter("df > 0")
+    return signed.groupBy("df").agg(F.sum("n_terms").alias("n_terms")).filter("n_terms > 0")
+
+
+def moved_sizes(sizes: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    signed = sizes.select("n_docs", "total_dl").unionByName(sizes_of(added)).unionByName(sizes_of(removed).select((-F.col("n_docs")).alias("n_docs"), (-F.col("total_dl")).alias("total_dl")))
+    return signed.agg(F.sum("n_docs").alias("n_docs"), F.sum("total_dl").alias("total_dl"))
+
+
 def refresh_index(index: Index, changes: DataFrame, new: DataFrame) -> Index:
-    """The index after a snapshot difference: only added and changed documents are read and tokenized."""
-    stale = changes.filter(F.col("change") != "same").select("doc_id")
-    fresh = build_index(new.join(changes.filter(F.col("change").isin("added", "changed")).select("doc_id"), "doc_id", "left_semi"))
-    docs = index.docs.join(stale, "doc_id", "left_anti").unionByName(fresh.docs)
-    return index_of(docs, index.postings.join(stale, "doc_id", "left_anti").unionByName(fresh.postings))
+    """The index after a snapshot difference, by what came and what went.
+
+    Only added and changed documents are read and tokenized. Frequencies, counts and lengths change by signed sums over their
+    postings and those of what they replace; a term that is in none of these keeps its row, and nothing is counted anew.
+    """
+    stale = cut_lineage(changes.filter(F.col("change") != "same").select("doc_id", "change"))
+    fresh = build_index(new.join(stale.filter(F.col("change") != "deleted").select("doc_id"), "doc_id", "left_semi"))
+    counted = cut_lineage(fresh.counted)
+    fresh, ids = _from_counted(counted), stale.select("doc_id")
+    gone, gone_docs = cut_lineage(index.postings.join(ids, "doc_id", "left_semi")), index.docs.join(ids, "doc_id", "left_semi")
+    moved = cut_lineage(moved_terms(term_changes(fresh.postings, gone), index.terms))
+    terms = index.terms.join(moved.select("term"), "term", "left_anti").unionByName(moved.filter("df > 0").select("term", "df"))
+    spread = moved_spread(index.spread, moved)
+    docs = index.docs.join(ids, "doc_id", "left_anti").unionByName(fresh.docs)
+    postings = index.postings.join(ids, "doc_id", "left_anti").unionByName(fresh.postings)
+    return Index(docs, postings, terms, stats_of(moved_sizes(index.stats, fresh.docs, gone_docs), spread), spread)

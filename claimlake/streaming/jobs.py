@@ -31,6 +31,9 @@ REVIEWED = "learning_id string, passes bigint, n_reviews bigint, last struct<dat
 ENTRIES = "id string, ord bigint, line string, batch bigint"
 POSTINGS = "doc_id bigint, dl int, term string, tf bigint"
 DOCS = "doc_id bigint, dl int"
+TERMS = "term string, df bigint"
+SPREAD = "df bigint, n_terms bigint"
+SIZES = "n_docs bigint, total_dl bigint, one int"
 
 
 def _write(df: DataFrame, path: str, batch: int) -> None:
@@ -119,22 +122,31 @@ def current_index_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def index_documents(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Documents (doc_id, seq, text; null text removes) into postings. Only what arrives is tokenized, and only buckets that hold
-    an arriving document are written anew."""
+    """Documents (doc_id, seq, text; null text removes) into an index. Only what arrives is tokenized, and only buckets that hold
+    an arriving document, or a term whose frequency changes, are read and written anew; counts change by signed sums."""
     def each(batch: DataFrame, number: int) -> None:
         newest = cut_lineage(latest_per_key(batch.select("doc_id", "seq", "text"), ["doc_id"], F.col("seq")))
         fresh = search.build_index(newest.filter("text is not null")).checkpointed()
-        docs, postings = _index_tables(batch.sparkSession, path)
-        postings.merge(fresh.postings, number, newest)
-        docs.merge(fresh.docs, number, newest)
+        t = _index_tables(batch.sparkSession, path)
+        gone, gone_docs = cut_lineage(t["postings"].holding(newest, number)), cut_lineage(t["docs"].holding(newest, number))
+        delta = cut_lineage(search.term_changes(fresh.postings, gone))
+        moved = cut_lineage(search.moved_terms(delta, t["terms"].holding(delta, number)))
+        sizes = search.moved_sizes(t["sizes"].read(number), fresh.docs, gone_docs)
+        spread = t["spread"].read(number)
+        t["postings"].merge(fresh.postings, number, newest)
+        t["docs"].merge(fresh.docs, number, newest)
+        t["terms"].merge(moved.filter("df > 0").select("term", "df"), number, moved)
+        t["spread"].merge(search.moved_spread(spread, moved), number, spread)
+        t["sizes"].merge(sizes.withColumn("one", F.lit(1)), number)
     return _start(changes, each, checkpoint)
 
 
-def _index_tables(spark: SparkSession, path: str) -> tuple[KeyedTable, KeyedTable]:
-    return KeyedTable(spark, f"{path}/docs", DOCS, ("doc_id",)), KeyedTable(spark, f"{path}/postings", POSTINGS, ("doc_id",))
+def _index_tables(spark: SparkSession, path: str) -> dict[str, KeyedTable]:
+    shapes = {"docs": (DOCS, "doc_id"), "postings": (POSTINGS, "doc_id"), "terms": (TERMS, "term"), "spread": (SPREAD, "df", 1), "sizes": (SIZES, "one", 1)}
+    return {name: KeyedTable(spark, f"{path}/{name}", schema, (key,), *buckets) for name, (schema, key, *buckets) in shapes.items()}
 
 
 def current_index(spark: SparkSession, path: str) -> search.Index:
-    """The index as of the last batch."""
-    docs, postings = _index_tables(spark, path)
-    return search.index_of(docs.read(), postings.read())
+    """The index as of the last batch; nothing is counted."""
+    t = {name: table.read() for name, table in _index_tables(spark, path).items()}
+    return search.Index(t["docs"], t["postings"], t["terms"], search.stats_of(t["sizes"].drop("one"), t["spread"]), t["spread"])

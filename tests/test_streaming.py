@@ -121,17 +121,23 @@ def test_posting_stream_reads_no_history(spark, tmp_path):
     stream = lambda: spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in")
     docs.write.parquet(f"{tmp_path}/in")
     finish(jobs.index_documents(stream(), f"{tmp_path}/out", f"{tmp_path}/cp"))
-    before = [t.pointers() for t in jobs._index_tables(spark, f"{tmp_path}/out")]
+    tables = jobs._index_tables(spark, f"{tmp_path}/out")
+    before = {name: t.pointers() for name, t in tables.items()}
     change = spark.createDataFrame([(7, 2, "other words"), (8, 2, None)], docs.schema)
     change.write.mode("append").parquet(f"{tmp_path}/in")
     finish(jobs.index_documents(stream(), f"{tmp_path}/out", f"{tmp_path}/cp"))
-    for old, table in zip(before, jobs._index_tables(spark, f"{tmp_path}/out")):
-        moved = {b for b, v in table.pointers().items() if v != old.get(b)}
-        assert moved <= {r["b"] for r in change.select(table.bucket().alias("b")).collect()} and len(old) == 16
+    moved = {name: {b for b, v in t.pointers().items() if v != before[name].get(b)} for name, t in tables.items()}
+    buckets = lambda t, rows: {r["b"] for r in rows.select(t.bucket().alias("b")).collect()}
+    assert all(moved[name] <= buckets(tables[name], change) and len(before[name]) == 16 for name in ("docs", "postings"))
+    terms = spark.createDataFrame([(w,) for w in "w0 w1 common other words".split()], "term string")
+    assert moved["terms"] <= buckets(tables["terms"], terms) and len(moved["terms"]) < 16
     now = docs.filter("doc_id not in (7, 8)").unionByName(change.filter("text is not null"))
     got, want = jobs.current_index(spark, f"{tmp_path}/out"), search.build_index(now.drop("seq"))
     same(got.postings, want.postings)
     same(got.docs, want.docs)
+    same(got.terms, want.terms)
+    same(got.spread, want.spread)
+    same(got.stats, want.stats)
 
 
 def test_ingest_stream_goes_on_from_its_own_names_and_numbers(spark, tmp_path):

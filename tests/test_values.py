@@ -585,6 +585,25 @@ def test_numbers_by_prefix_sums(spark):
     assert not any("text" in line for line in plan.splitlines() if "Window" in line)
 
 
+def test_refreshed_index_equals_a_rebuild(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choices(["a", "b", "c", "dd", "ee", "rare"], [9, 7, 5, 3, 2, 1], k=rng.randint(0, 8)))
+    snap = {i: text() for i in range(60)}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "doc_id bigint, text string")
+    index = search.build_index(frame(snap)).checkpointed()
+    for step in range(3):
+        after = {i: (text() if rng.random() < 0.2 else t) for i, t in snap.items() if rng.random() < 0.9} | {100 * (step + 1) + i: text() for i in range(5)}
+        if step == 2:
+            after = {}
+        index = search.refresh_index(index, search.snapshot_diff(frame(snap) if snap else frame({0: ""}).limit(0), frame(after) if after else frame({0: ""}).limit(0)),
+                                     frame(after) if after else frame({0: ""}).limit(0))
+        want = search.build_index(frame(after) if after else frame({0: ""}).limit(0))
+        for name in ("docs", "postings", "terms", "spread", "stats"):
+            got, exp = (sorted(map(str, getattr(x, name).select(*sorted(getattr(want, name).columns)).collect())) for x in (index, want))
+            assert got == exp, (step, name)
+        snap = after
+
+
 def test_sums_round_half_up_as_in_the_jvm():
     asked = scoring.Queries([1], starts=np.array([0, 1]), queries=np.array([0]), times=np.array([1]), idf=np.array([1.0]))
     whole = np.array([12_345_678_500, 12_345_678_499, 500, 499], np.int64) / 1e12
