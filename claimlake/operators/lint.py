@@ -11,6 +11,7 @@ from claimlake.operators import quotes
 from claimlake.operators.intake import stem
 from claimlake.operators.ledger import duplicate_groups
 from claimlake.schema import ID_PREFIXES, PAGE_TYPES
+from claimlake.session import cut_lineage
 from claimlake.skew import chunked_groups, skew_join
 from claimlake.sources.sinks import status_folder
 
@@ -85,7 +86,10 @@ def stale(records: DataFrame, as_of: str) -> DataFrame:
 def duplicate_id(files: DataFrame) -> DataFrame:
     """``files`` is (path, id). Project documents are numbered per project."""
     project = F.when(F.col("path").startswith("01_Projects/"), F.try_element_at(F.split("path", "/"), F.lit(2))).otherwise("")
-    named = files.filter(tx.filled(F.col("id")).isNotNull()).select("id", project.alias("scope"), "path")
+    return _repeated(files.filter(tx.filled(F.col("id")).isNotNull()).select("id", project.alias("scope"), "path"))
+
+
+def _repeated(named: DataFrame) -> DataFrame:
     groups = chunked_groups(named, ["id", "scope"], "path", "paths", spread="path", at_least=2)
     return finding(groups, "duplicate_id", "error", F.col("id"), "in several files: ", F.array_join("paths", ", "))
 
@@ -121,27 +125,91 @@ def summary(findings: DataFrame) -> DataFrame:
     return findings.agg(F.count(F.lit(1)).alias("findings"), errors.alias("errors"), (errors > 0).alias("failed"))
 
 
-def lint_corpus(corpus: DataFrame, as_of: str, indexes: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
-    """All checks over a parsed corpus scanned without roots. ``indexes``: name -> (entries, root of its files).
+#: Each index and the root that has a file for each of its entries.
+INDEX_ROOTS = {"claim-index": "10_Claims", "learning-index": "30_Learning", "wiki-index": "03_Resources"}
+ENTRY = r"^- \[([^\]]+)\]"
+
+
+def _fact(kind: str, key: Column, value: Column, path: Column, note: Column | None = None) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"), path.alias("path"), (F.lit(None).cast("string") if note is None else note).alias("note"))
+
 
-    The corpus feeds a dozen branches; persist it, or better read it from a table, before calling this.
+def _found(check: str, severity: str, ref: Column, *message: Column | str) -> Column:
+    """A finding as a fact: its check, severity, reference and message."""
+    return _fact("finding", F.lit(check), F.lit(severity), ref, F.concat(*[m if isinstance(m, Column) else F.lit(m) for m in message]))
+
+
+def facts(corpus: DataFrame, as_of: str) -> DataFrame:
+    """(kind, key, value, path, note): all that the checks need of a record but its body, from one scan of a parsed corpus.
+
+    What a record shows by itself is a ``finding``. The rest are narrow rows that checks across records join or group: each
+    record's ``id`` with its scope, each ``ref`` with its holder, each claim's normalized key (``claim``) and ``quote``, each file's ``stem``.
+    """
+    from claimlake.sources.corpus import many
+    text = lambda k: F.coalesce(F.col("meta")[k], F.lit(""))
+    path, own = F.col("path"), F.coalesce(tx.filled(F.col("meta")["id"]), F.col("path"))
+    fine, root = ~F.col("corrupt"), F.col("root")
+    is_claim = fine & (root == "10_Claims") & F.substring_index("path", "/", -1).startswith("claim-")
+    is_source, is_page = fine & (text("type") == "source"), fine & (root == "03_Resources")
+    folder, due = F.element_at(F.split("path", "/"), -2), status_folder(text("status"))
+    after = tx.filled(F.col("meta")["review_after"])
+    size, quote = F.col("_size"), F.col("_quote")
+    scope = F.when(path.startswith("01_Projects/"), F.try_element_at(F.split("path", "/"), F.lit(2))).otherwise("")
+    usable = is_claim & tx.filled(text("id")).isNotNull()
+    some = [
+        F.when(~fine, _found("unparseable", "error", path, "frontmatter cannot be read")),
+        F.when(is_claim & (due != folder), _found("status_folder_mismatch", "error", text("id"), "status ", text("status"), " belongs in ", due, ", found in ", folder)),
+        F.when(is_claim & (F.size(many("source_refs")) == 0), _found("missing_source_refs", "warning", text("id"), "no source_refs")),
+        F.when(is_claim & (text("status") == "verified") & ~tx.has_written_evidence(many("evidence_refs")),
+               _found("verified_without_evidence", "warning", text("id"), "verified, but no written evidence_refs")),
+        F.when(is_page & text("type").isin(*PAGE_TYPES) & (F.size(many("claim_refs")) == 0), _found("orphan_wiki", "info", text("name"), "page without claim_refs")),
+        F.when(size < THIN_SOURCE, _found("thin_source", "warning", own, "body of ", size.cast("string"), " chars")),
+        F.when(fine & (after <= as_of), _found("stale", "warning", own, "review_after ", after, " has passed")),
+        F.when(fine & (own != path), _fact("id", own, scope, path)),
+        F.when(usable, _fact("claim", tx.normalize_key(text("claim"), text("speaker")), text("id"), path)),
+        F.when(~tx.is_blank(quote), _fact("quote", text("id"), quote, path, F.to_json(many("source_refs")))),
+        _fact("stem", root, stem("path"), path)]
+    refs = F.transform(F.concat(*[many(f) for f in ("source_refs", "evidence_refs", "claim_refs")]), lambda r: _fact("ref", own, r, path))
+    rows = F.concat(F.filter(F.array(*some), lambda x: x.isNotNull()), F.when(fine, refs).otherwise(F.slice(refs, 1, 0)))
+    seen = corpus.select("path", "root", "meta", "lists", "corrupt", F.when(is_source, F.length(tx.strip(F.col("body")))).alias("_size"),
+                         F.when(is_claim, tx.extract_quote(F.col("body"))).alias("_quote"))  # bodies end here
+    return seen.select(F.explode(rows).alias("f")).select("f.*")
+
+
+def index_entries(indexes: DataFrame) -> DataFrame:
+    """(index, id): the entries of index documents (path, text), read line by line."""
+    lines = indexes.select(stem("path").alias("index"), F.explode(F.split("text", "\n")).alias("line"))
+    return lines.select("index", F.regexp_extract("line", ENTRY, 1).alias("id")).filter("id <> ''")
+
+
+def _index_findings(entries: DataFrame, stems: DataFrame) -> DataFrame:
+    root = tx.literal_map(INDEX_ROOTS)[F.col("index")]
+    rooted = entries.withColumn("key", root).filter("key is not null")
+    lost = rooted.join(stems.select("key", F.col("value").alias("id")).distinct(), ["key", "id"], "left_anti")
+    return finding(lost, "index_dangling", "warning", F.col("id"), F.col("index"), " entry without a file")
+
+
+def lint_corpus(corpus: DataFrame, as_of: str, indexes: DataFrame | None = None) -> DataFrame:
+    """All checks over a parsed corpus scanned without roots, and over its index documents (path, text) if given.
+
+    One scan gives the facts, which are written once; whatever spans records works on these narrow rows. Bodies are read
+    again by two checks only, that of quotes (sources) and that of the inbox (clips and what was captured from their urls).
     """
     from claimlake.operators.intake import classify_inbox
     from claimlake.sources import corpus as co
-    claims, sources, pages = co.claims_of(corpus), co.sources_of(corpus), co.pages_of(corpus)
+    known = cut_lineage(facts(corpus, as_of))
+    of = lambda kind: known.filter(F.col("kind") == kind)
+    local = of("finding").select(F.col("key").alias("check"), F.col("value").alias("severity"), F.col("path").alias("ref"), F.col("note").alias("message"))
+    ids = of("id").select(F.col("key").alias("id"), F.col("value").alias("scope"), "path")
+    same_key = chunked_groups(of("claim").select("key", F.col("value").alias("id"), "path"), ["key"], "id", "ids", spread="path", at_least=2)
+    quoted = of("quote").select(F.col("key").alias("id"), "path", F.from_json("note", "array<string>").alias("source_refs"), F.col("value").alias("quote"))
     meta = lambda k: tx.filled(F.col("meta")[k])
-    readable = corpus.filter(~F.col("corrupt"))
-    records = readable.select(F.coalesce(meta("id"), "path").alias("id"), "path", meta("review_after").alias("review_after"),
-                              *[co.many(f).alias(f) for f in ("source_refs", "evidence_refs", "claim_refs")])
-    files = readable.select("path", meta("id").alias("id"))
-    clips = co.clips(corpus)
-    with_url = readable.filter((F.col("root") == "00_Inbox") & meta("id").isNotNull()).select(
-        meta("id").alias("id"), meta("url").alias("url"), "body")
-    states = classify_inbox(clips.filter(~F.col("corrupt")), with_url)
-    parts = [status_folder_mismatch(claims), missing_source_refs(claims), verified_without_evidence(claims),
-             duplicate_claim(claims), orphan_wiki(pages), thin_source(sources), quote_not_in_source(claims, sources),
-             unparseable(corpus), inbox(states), stale(records, as_of), duplicate_id(files),
-             dangling_ref(references(records), files.filter("id is not null"))]
-    for name, (entries, root) in (indexes or {}).items():
-        parts.append(index_dangling(entries, corpus.filter(F.col("root") == root).select("path"), name))
+    clips = co.clips(corpus.filter(~F.col("corrupt")))
+    with_url = corpus.filter(~F.col("corrupt") & (F.col("root") == "00_Inbox") & meta("id").isNotNull()).select(meta("id").alias("id"), meta("url").alias("url"), "body")
+    parts = [local,
+             finding(same_key, "duplicate_claim", "warning", F.array_join("ids", ", "), "same normalized key: ", F.col("n").cast("string"), " claims"),
+             quote_not_in_source(quoted, co.sources_of(corpus)), inbox(classify_inbox(clips, with_url)), _repeated(ids),
+             dangling_ref(of("ref").select(F.col("key").alias("holder"), F.col("value").alias("ref")), ids)]
+    if indexes is not None:
+        parts.append(_index_findings(index_entries(indexes), of("stem")))
     return all_findings(*parts)

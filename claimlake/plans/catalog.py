@@ -499,14 +499,7 @@ def lint_index_dangling(t: Tables) -> DataFrame:
 
 
 def _findings(t: Tables) -> DataFrame:
-    k, s = t.claims(), _bodies(t)
-    held = lint.references(k)
-    return lint.all_findings(
-        lint.status_folder_mismatch(k), lint.missing_source_refs(k), lint.verified_without_evidence(k), lint.duplicate_claim(k),
-        lint.orphan_wiki(t.pages()), lint.thin_source(s), lint.quote_not_in_source(k, s),
-        lint.inbox(intake.classify_inbox(t.clips(), t.page_sources())), lint.stale(k, AS_OF),
-        lint.duplicate_id(t.claim_files().select("path", "id")), lint.dangling_ref(held, _known(t)),
-        lint.index_dangling(sinks.upsert_latest(t.index_entries()), k.select("path"), "claim-index"))
+    return lint.lint_corpus(t.corpus(), AS_OF, t.index_documents())
 
 
 @query

@@ -1,7 +1,9 @@
 """Ledger tables derived from the given parquet tables. Every row of the inputs is used."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlake.schema import CLAIM_TYPES, PAGE_TYPES
@@ -117,6 +119,29 @@ class Tables:
         second = k.filter("doc_id % 2 = 0").selectExpr("id", "2L ord", r"concat(left(claim, 60), ' -\n ', status) line")
         return first.unionByName(second)
 
+    def corpus(self) -> DataFrame:
+        """The records of claims with their copies, sources, pages and clips as parsed documents; some claim files are broken."""
+        def parsed(df: DataFrame, root: str, path: str, meta: dict[str, str], lists: dict[str, str], body: Column | str, text: str = "cast(null as string)") -> DataFrame:
+            # literal maps and roots, so that a check on one kind of record reads that kind alone
+            entries = lambda d, kind: F.create_map(*[c for k, e in d.items() for c in (F.lit(k), F.expr(f"cast({e} as {kind})"))]).cast(f"map<string,{kind}>")
+            return df.select(F.expr(path).alias("path"), F.lit(root).alias("root"), F.expr(text).alias("text"), entries(meta, "string").alias("meta"),
+                             entries(lists, "array<string>").alias("lists"), (F.expr(body) if isinstance(body, str) else body).alias("body"), F.lit(False).alias("corrupt"))
+
+        fields = ("id", "status", "claim", "speaker", "review_after", "sensitivity")
+        claims = parsed(self.claim_files(), "10_Claims", "path", {"type": "'claim'", **{f: f for f in fields}}, {f: f for f in ("source_refs", "evidence_refs")},
+                        sinks.claim_body(F.col("claim"), F.col("quote")))
+        broken = parsed(self.claims().filter("doc_id % 50 = 7"), "10_Claims", "concat('10_Claims/pending/broken-', doc_id, '.md')", {}, {}, "'---'").withColumn("corrupt", F.lit(True))
+        source = {"type": "'source'", "id": "id", "url": "url"}
+        sources = self.sources().select("id", "url", "body").unionByName(self.page_sources().select("id", "url", "body"))
+        pages = parsed(self.page_bodies(), "03_Resources", "concat('03_Resources/', name, '.md')", {"type": "type", "name": "name"}, {"claim_refs": "claim_refs"}, "body")
+        clips = parsed(self.clips(), "00_Inbox", "path", {"url": "url"}, {}, "text", "text")
+        parts = (claims, broken, parsed(sources, "00_Inbox", "concat('00_Inbox/raw/', id, '.md')", source, {}, "body"), pages, clips)
+        return reduce(DataFrame.unionByName, parts)
+
+    def index_documents(self) -> DataFrame:
+        lines = sinks.upsert_latest(self.index_entries())
+        return lines.select(F.lit("06_Metadata/indexes/claim-index.md").alias("path"), F.concat(F.lit("- ["), "id", F.lit("] "), "line").alias("text"))
+
     def snapshot_old(self) -> DataFrame:
         return self.documents()
 

@@ -45,6 +45,12 @@ def scan_corpus(spark: SparkSession, base: str, roots: Sequence[str] | None = CO
     return docs.filter((F.col("root") == "") | F.col("root").isin(*roots))
 
 
+def scan_indexes(spark: SparkSession, base: str) -> DataFrame:
+    """(path, text) of the index documents."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*-index.md").load(f"{base.rstrip('/')}/06_Metadata/indexes").select("path", "content")
+    return _located(files, base, CORPUS_ROOTS).select("path", "text")
+
+
 def stream_files(spark: SparkSession, base: str, roots: Sequence[str] = CORPUS_ROOTS) -> DataFrame:
     """The same rows from a growing tree."""
     files = (spark.readStream.format("binaryFile").schema(BINARY).option("pathGlobFilter", "*.md")

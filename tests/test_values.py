@@ -384,7 +384,13 @@ VAULT = {
     "00_Inbox/kept.md": "---\nurl: https://x.example.org/1\n---\nshort  text\n",
     "00_Inbox/new.md": "---\nurl: https://x.example.org/1\n---\nnewer text\n",
     "00_Inbox/broken.md": "---\ntitle: a: b: c\n---\nx\n",
-    "06_Metadata/indexes/claim-index.md": "---\nid: claim-20240101-002\n---\n",
+    "06_Metadata/indexes/claim-index.md": "---\nid: claim-20240101-002\n---\n# Claims\n- [claim-20240101-001] a\n- [claim-20240101-009] b\n  - [claim-20240101-010] inside\n",
+    "06_Metadata/indexes/wiki-index.md": "- [p] page\n- [Q] none",
+    "06_Metadata/indexes/learning-index.md": "- [learning-20240101-001] none\n",
+    "06_Metadata/indexes/other-index.md": "- [x] no root\n",
+    "01_Projects/a/session-20240101-001.md": "---\nid: session-20240101-001\n---\n",
+    "01_Projects/b/session-20240101-001.md": "---\nid: session-20240101-001\n---\n",
+    "01_Projects/b/copy.md": "---\nid: session-20240101-001\nsource_refs: source-20990101-007\n---\n",
     "readme.md": "plain",
 }
 
@@ -396,15 +402,19 @@ def test_whole_corpus(spark, tmp_path):
         file.write_text(text, encoding="utf-8")
     (tmp_path / "00_Inbox/bytes.md").write_bytes(b"\xff\xfe\x00\x00")
     parsed = corpus.parse_frontmatter(corpus.scan_corpus(spark, str(tmp_path), None)).persist()
-    entries = spark.createDataFrame([("claim-20240101-001",), ("claim-20240101-009",)], "id string")
-    found = lint.lint_corpus(parsed, "2024-01-20", {"claim-index": (entries, "10_Claims")}).collect()
+    found = lint.lint_corpus(parsed, "2024-01-20", corpus.scan_indexes(spark, str(tmp_path))).collect()
     assert sorted((r.check, r.ref) for r in found) == sorted([
         ("status_folder_mismatch", "claim-20240101-001"), ("duplicate_id", "claim-20240101-002"), ("unparseable", "00_Inbox/broken.md"),
         ("unparseable", "00_Inbox/bytes.md"), ("verified_without_evidence", "claim-20240101-001"), ("missing_source_refs", "claim-20240101-002"),
         ("duplicate_claim", "claim-20240101-001, claim-20240101-002"), ("thin_source", "source-20240101-001"), ("quote_not_in_source", "claim-20240101-001"),
-        ("stale", "claim-20240101-002"), ("dangling_ref", "claim-20240101-002"), ("index_dangling", "claim-20240101-009"),
+        ("stale", "claim-20240101-002"), ("dangling_ref", "claim-20240101-002"), ("index_dangling", "claim-20240101-009"), ("index_dangling", "Q"),
+        ("index_dangling", "learning-20240101-001"), ("duplicate_id", "session-20240101-001"), ("dangling_ref", "session-20240101-001"),
         ("orphan_wiki", "P"), ("inbox_ingested_leftover", "00_Inbox/kept.md"), ("inbox_unstructured", "00_Inbox/new.md")])
     assert [r.severity for r in found] == sorted((r.severity for r in found), key=lint.SEVERITIES.index)
+    assert {r.message for r in found if r.ref == "session-20240101-001" and r.check == "duplicate_id"} == {"in several files: 01_Projects/b/copy.md, 01_Projects/b/session-20240101-001.md"}
+    # what reads the documents: one scan for the facts, and three for the checks that compare bodies
+    scans = plan_of(lint.lint_corpus(corpus.parse_frontmatter(corpus.scan_corpus(spark, str(tmp_path), None)), "2024-01-20", None)).count("FileScan binaryFile")
+    assert scans <= 3
     seen = corpus.search_docs(corpus.parse_frontmatter(corpus.scan_corpus(spark, str(tmp_path)))).orderBy("doc_ord").collect()
     assert [r.path for r in seen][:2] == ["readme.md", "00_Inbox/kept.md"] and not any(r.path.startswith("06_") for r in seen)
     assert {r.path: r.pre_ingest for r in seen}["00_Inbox/new.md"]
