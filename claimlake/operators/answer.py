@@ -19,20 +19,23 @@ def answer(queries: DataFrame, docs: DataFrame, index: search.Index, make_embed:
     some document has none because of an outage, else those the service did not answer. Nothing remembers an outage: the
     next run asks for what the cache lacks, and answers in full once the service does.
     """
+    said = queries.select("query_id", "q")
+    ask = lambda: cut_lineage(embedding.embed_queries(said, make_embed, prefixes[1], wait))
+    by_words = lambda rows, degraded: search.hybrid_search(rows, docs, index, None, k).withColumn("degraded", F.lit(degraded))
     sent = embedding.embed_input(gates.embed_gate(docs, tuple(blocked)), prefixes[0])
     if cache_path:
-        vectors = cut_lineage(embedding.update_cache(sent, cache_path, make_embed, tag, wait))
+        vectors, asked = cut_lineage(embedding.update_cache(sent, cache_path, make_embed, tag, wait)), None
     else:
+        asked = ask()  # first, as they are few: no document is asked for where no query has an answer
+        if asked.filter("vector is not null").isEmpty():
+            return by_words(said, not asked.isEmpty())
         once = cut_lineage(embedding.embed(sent.select("key", "input").dropDuplicates(["key"]), make_embed, wait))
         held = embedding.zero_fill(once.filter("embed_status <> 'unavailable'")).select("key", "vector")
         vectors = cut_lineage(sent.select("doc_id", "key").join(held, "key").select("doc_id", "vector"))
-    said = queries.select("query_id", "q")
     whole = sent.select("doc_id").join(vectors, "doc_id", "left_anti").isEmpty()
     if not whole or vectors.isEmpty():
-        return search.hybrid_search(said, docs, index, None, k).withColumn("degraded", F.lit(not whole))
-    asked = cut_lineage(embedding.embed_queries(said, make_embed, prefixes[1], wait))
+        return by_words(said, not whole)
+    asked = ask() if asked is None else asked
     full = search.hybrid_search(asked.filter("vector is not null"), docs, index, vectors, k).withColumn("degraded", F.lit(False))
     unanswered = asked.filter("vector is null").select("query_id", "q")
-    if unanswered.isEmpty():
-        return full
-    return full.unionByName(search.hybrid_search(unanswered, docs, index, None, k).withColumn("degraded", F.lit(True)))
+    return full if unanswered.isEmpty() else full.unionByName(by_words(unanswered, True))

@@ -296,7 +296,8 @@ def _blocks_of(index: Index, terms: list[str]) -> Blocks:
     """Blocks of the asked terms alone, written once, where the index has no saved ones."""
     number = _numbered(index.docs.sparkSession, "term", terms, "term_no", T.StringType())
     postings = cut_lineage(block_postings(replace(index, postings=index.postings.join(number, "term", "left_semi"))).postings)
-    return Blocks(postings, postings.groupBy("term", "range").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")))
+    heads = postings.groupBy("term", "range").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+    return Blocks(postings, cut_lineage(heads))  # read twice
 
 
 def _kinds(docs: DataFrame, *more: str) -> T.StructType:
