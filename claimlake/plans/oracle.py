@@ -269,11 +269,11 @@ CHECKS["lint_quote_not_in_source"] = quote_finding("f_missing_two")
 # all checks over one corpus: claims with their copies, sources of documents and of pages, pages, clips
 _FILES = [CHECKS[n].replace("f_claims where folder", "f_claim_files where folder").replace("from f_claims where len", "from f_claim_files where len")
           .replace("from f_claims where status", "from f_claim_files where status").replace("from f_claims group", "from f_claim_files group").replace("from f_claims where review", "from f_claim_files where review")
-          .replace("from f_sources where", "from f_held where") for n in CHECKS if n not in ("lint_dangling_ref", "lint_quote_not_in_source")]
-VIEWS["f_held"] = "select id, body from f_sources union all select id, body from f_page_sources"
+          .replace("from f_sources where", "from f_audited where") for n in CHECKS if n not in ("lint_dangling_ref", "lint_quote_not_in_source")]
+VIEWS["f_audited"] = "select id, body from f_sources union all select id, body from f_page_sources"
 _FILE_REFS = """(select id holder, unnest(list_concat(source_refs, evidence_refs)) ref from f_claim_files
  union all select '03_Resources/' || name || '.md', unnest(claim_refs) from f_pages)"""
-ALL = " union all ".join([*_FILES, finding(*_DANGLING, f"{_FILE_REFS} where {doc_id('ref', IDS)} and ref not in (select id from f_claims union all select id from f_held)"),
+ALL = " union all ".join([*_FILES, finding(*_DANGLING, f"{_FILE_REFS} where {doc_id('ref', IDS)} and ref not in (select id from f_claims union all select id from f_audited)"),
                           finding("unparseable", "error", "'10_Claims/pending/broken-' || doc_id || '.md'", "'frontmatter cannot be read'", "f_claims where doc_id % 50 = 7"),
                           quote_finding("(select m.* from f_missing m join f_claim_files using (id))")])
 
