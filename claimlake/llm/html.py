@@ -8,7 +8,12 @@ with most votes is the host's, and every page is extracted again from the contai
 them, or no host, uses its own best container. The path moves up on each page alike, as pages of a host differ in what lies around it.
 
 A block is what lies between the borders of block elements. Navigation, headers and footers of the page, sidebars, notices,
-adverts, forms, comments, scripts and styles are left out, told by tag, role, or the words of class and id.
+adverts, comments, scripts and styles are left out, told by tag or role. The words of a class or id, and a form, are evidence
+only: such an element stays if the host's winning path runs through it, or if it holds the page's text: more unlinked text
+than all that is outside of it together with a heading, article or main, or nine times as much without one. Comments, and
+forms with less than 40 characters a field, never stay. Words that state what a page has or lacks (`has-sidebar`, `ad-free`)
+and an article's own header are no evidence. Paths are numbered by (number above, own part), and written out for voted ones
+only, so that time and memory are linear in a page's length however deep it is.
 
 A null, empty or plain html gives "" or its text; rows with null or repeated page_ids give a row each; a null url has no
 host; other columns are ignored; an empty table gives no rows.
@@ -31,7 +36,7 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CONTAINER = frozenset("article body div main section td blockquote".split())
 #: Containers that are parts of a text, not the whole.
 PARTS = frozenset("section td blockquote".split())
-LEFT_OUT = frozenset("aside button canvas datalist dialog footer form head iframe input math menu nav noscript object select svg template textarea".split())
+LEFT_OUT = frozenset("aside button canvas datalist dialog footer head iframe input math menu nav noscript object select svg template textarea".split())
 RAW = frozenset("script style".split())
 ENDS_P = BLOCK - {"body", "html", "head", "title", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 #: An element that opens ends an open one of these, up to the element that bounds them.
@@ -42,6 +47,14 @@ LEFT_OUT_WORDS = frozenset("nav navbar navigation menu header masthead footer si
                            "comments disqus reply replies respond share sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar widget".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+#: Parts of a class that make it a statement about the page, and those that make a header an article's own.
+STATE_WORDS = frozenset("has with without no not is free less open closed enabled disabled".split())
+OWN_WORDS = frozenset("article content entry post story section".split())
+FIELDS = frozenset("input textarea select button".split())
+
+#: Characters a field from which a form is more than its fields, and what an element holds for each character outside to stay without a heading.
+FIELD_TEXT, MOST = 40, 9
 #: Containers of a page that take part in the vote.
 VOTES = 3
 #: Hosts up to which the winning paths are sent to all executors.
@@ -54,15 +67,34 @@ _DIGITS = re.compile("[0-9]+")
 
 
 class Page:
-    """Elements (parent, path, whether it can hold a page's main text) and blocks (text, characters in links, element)."""
-
-    def __init__(self, html: str):
-        self.parents, self.paths, self.tags, self.hidden = [-1], [""], [""], [False]
-        self.blocks: list[tuple[str, int, int]] = []
-        self._text: list[str] = []
-        self._linked = 0
-        self._sized: dict[str, tuple[str, str, bool, int, int]] | None = None
-        stack, at, links = [0], 0, 0
+    """Elements (parent, number of their path) and blocks (text, characters in links, element) of what stays; a winning path's elements stay."""
+
+    def __init__(self, html: str, winner: str | None = None):
+        self.parents, self.tags, self.paths = [-1], [""], [0]
+        self._above, self._parts, self._numbers = [-1], [""], {}
+        self._out, self._within, self._nearest, self._doubt, self._remark = [False], [False], [0], [0], [False]
+        self._heads, self._fields = [0], [0]
+        self._runs: list[tuple[str, int, bool]] = []
+        self._ends: list[tuple[int, int]] = []
+        self._sized: dict[int, tuple[str, int, bool, int, int]] | None = None
+        self._wholes: dict[int, int] = {}
+        self._read(html)
+        self.blocks = self._blocks(self._hidden(self.number(winner) if winner else None))
+
+    def _read(self, html: str) -> None:
+        stack, places, at, links = [0], {}, 0, 0
+
+        def cut(k: int) -> int:
+            n = 0
+            for e in stack[k:]:
+                places[self.tags[e]].pop()
+                n += self.tags[e] == "a"
+            del stack[k:]
+            return n
+
+        def last(tags) -> int:
+            return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
         while m := _MARKUP.search(html, at):
             if m.start() > at:
                 self._add(html[at:m.start()], stack[-1], links)
@@ -73,11 +105,8 @@ class Page:
             if m[1] or m[4]:
                 if tag in BLOCK:
                     self._border(stack[-1])
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] == tag:
-                        links -= sum(self.tags[e] == "a" for e in stack[k:])
-                        del stack[k:]
-                        break
+                if k := last((tag,)):
+                    links -= cut(k)
                 continue
             if tag in RAW:
                 end = re.compile(f"</{tag}", re.I).search(html, at)
@@ -87,20 +116,18 @@ class Page:
             if tag in BLOCK:
                 self._border(stack[-1])
             if tag in VOID:
+                if tag in FIELDS:
+                    self._fields[stack[-1]] += 1
                 continue
-            ends, bounds = CLOSES.get(tag, ((), ()))
-            for k in range(len(stack) - 1, 0, -1):
-                own = self.tags[stack[k]]
-                if own in ends or own == "p" and tag in ENDS_P:
-                    links -= sum(self.tags[e] == "a" for e in stack[k:])
-                    del stack[k:]
-                    break
-                if own in bounds or own in CONTAINER:
-                    break
-            stack.append(self._open(tag, m[3] or m[6] or "", stack[-1]))
+            ends, bounds = CLOSES.get(tag, (frozenset(), frozenset()))
+            ends = ends | {"p"} if tag in ENDS_P else ends
+            if (k := last(ends)) and k > last((bounds | CONTAINER) - ends):
+                links -= cut(k)
+            element = self._open(tag, m[3] or m[6] or "", stack[-1])
             links += tag == "a"
-            if tag in RAW:
-                stack.pop()
+            if tag not in RAW:
+                places.setdefault(tag, []).append(len(stack))
+                stack.append(element)
         if at < len(html):
             self._add(html[at:], stack[-1], links)
         self._border(stack[-1])
@@ -108,57 +135,123 @@ class Page:
     def _open(self, tag: str, attributes: str, parent: int) -> int:
         found = {a.lower(): b or c or d for a, b, c, d in _ATTRIBUTE.findall(attributes)} if attributes else {}
         classes = sorted(set(found.get("class", "").split()))
-        words = {w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", " ".join(classes) + " " + found.get("id", "")))} if found else set()
-        within = self.paths[parent]
-        out = (tag in LEFT_OUT or tag == "header" and not re.search(r"/(article|main)\b", within) or "hidden" in found
+        within = self._within[parent]
+        out = (tag in LEFT_OUT or tag == "header" and not within or "hidden" in found
                or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in LEFT_OUT_ROLES)
-        out |= tag not in ("html", "body", "article", "main") and not LEFT_OUT_WORDS.isdisjoint(words)
+        said: set[str] = set()
+        if tag not in ("html", "body", "article", "main"):
+            for name in (*classes, *found.get("id", "").split()):
+                words = {w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", name))}
+                if words.isdisjoint(STATE_WORDS):
+                    said |= words & LEFT_OUT_WORDS - ({"header"} if within or not words.isdisjoint(OWN_WORDS) else set())
+        key = self.paths[parent], f"{tag}{''.join('.' + _DIGITS.sub('#', c) for c in classes)}"
+        if key not in self._numbers:
+            self._numbers[key] = len(self._above)
+            self._above.append(key[0])
+            self._parts.append(key[1])
+        element = len(self.tags)
         self.parents.append(parent)
         self.tags.append(tag)
-        self.paths.append(f"{within}/{tag}{''.join('.' + _DIGITS.sub('#', c) for c in classes)}")
-        self.hidden.append(self.hidden[parent] or out)
-        return len(self.tags) - 1
+        self.paths.append(self._numbers[key])
+        self._out.append(self._out[parent] or out)
+        self._within.append(within or tag in ("article", "main"))
+        self._nearest.append(element if tag in CONTAINER else self._nearest[parent])
+        self._doubt.append(element if said or tag == "form" else self._doubt[parent])
+        self._remark.append(self._remark[parent] or not said.isdisjoint(COMMENT_WORDS))
+        self._heads.append(int(tag in ("h1", "article", "main") and not self._remark[-1]))
+        self._fields.append(int(tag in FIELDS))
+        return element
 
     def _add(self, text: str, element: int, links: int) -> None:
-        if not self.hidden[element]:
-            self._text.append(text)
-            self._linked += len(text) if links > 0 else 0
+        if not self._out[element]:
+            self._runs.append((text, element, links > 0))
 
     def _border(self, element: int) -> None:
-        if self._text:
-            if text := " ".join(unescape("".join(self._text)).split()):
-                self.blocks.append((text, self._linked, element))
-            self._text, self._linked = [], 0
-
-    def _container(self, element: int) -> int:
-        while element and self.tags[element] not in CONTAINER:
-            element = self.parents[element]
-        return element
+        if len(self._runs) > (self._ends[-1][0] if self._ends else 0):
+            self._ends.append((len(self._runs), element))
 
-    def _sizes(self) -> dict[str, tuple[str, str, bool, int, int]]:
+    def number(self, path: str) -> int | None:
+        """The number of a path on this page."""
+        at: int | None = 0
+        for part in path.split("/")[1:]:
+            if (at := self._numbers.get((at, part))) is None:
+                return None
+        return at
+
+    def path(self, number: int) -> str:
+        parts = []
+        while number:
+            parts.append(self._parts[number])
+            number = self._above[number]
+        return "".join("/" + p for p in reversed(parts))
+
+    def _hidden(self, winner: int | None) -> list[bool]:
+        """Of each element whether it is left out."""
+        if not any(self._doubt):
+            return self._out
+        plain = [0] * len(self.tags)
+        total = 0
+        for text, element, linked in self._runs:
+            if not linked and not self._remark[element]:
+                n = len("".join(text.split()))
+                plain[element] += n
+                total += n
+        heads, fields = self._heads[:], self._fields[:]
+        for e in range(len(self.tags) - 1, 0, -1):
+            for counts in (plain, heads, fields):
+                counts[self.parents[e]] += counts[e]
+        won = set()
+        while winner:
+            won.add(winner)
+            winner = self._above[winner]
+        out = [False]
+        for e in range(1, len(self.tags)):
+            hide = self._out[e] or out[self.parents[e]]
+            if not hide and self._doubt[e] == e:
+                rest = total - plain[e]
+                stays = plain[e] > (rest if heads[e] else MOST * rest)
+                stays = self.paths[e] in won or stays and (self.tags[e] != "form" or plain[e] >= FIELD_TEXT * fields[e])
+                hide = self._remark[e] or not stays
+            out.append(hide)
+        return out
+
+    def _blocks(self, hidden: list[bool]) -> list[tuple[str, int, int]]:
+        blocks, first = [], 0
+        for end, element in self._ends:
+            runs = [(t, linked) for t, e, linked in self._runs[first:end] if not hidden[e]]
+            if text := " ".join(unescape("".join(t for t, _ in runs)).split()):
+                blocks.append((text, sum(len(t) for t, linked in runs if linked), element))
+            first = end
+        return blocks
+
+    def _sizes(self) -> dict[int, tuple[str, int, bool, int, int]]:
         """Of each container's path: tag, path of the container around it, whether an article or main is around or is it, characters in plain blocks, and in blocks of links."""
-        plain, dense, within = ([0] * len(self.tags) for _ in range(3))
+        plain, dense = ([0] * len(self.tags) for _ in range(2))
         for text, linked, element in self.blocks:
             (dense if 2 * linked > len(text) else plain)[element] += len(text)
         for e in range(len(self.tags) - 1, 0, -1):
             plain[self.parents[e]] += plain[e]
             dense[self.parents[e]] += dense[e]
-        above, out = [0] * len(self.tags), {}
+        out = {}
         for e in range(1, len(self.tags)):
-            parent, tag = self.parents[e], self.tags[e]
-            above[e] = parent if self.tags[parent] in CONTAINER else above[parent]
-            within[e] = within[parent] or tag in ("article", "main")
-            if tag in CONTAINER:
+            if self.tags[e] in CONTAINER:
                 *_, a, b = out.get(self.paths[e], (0, 0))
-                out[self.paths[e]] = (tag, self.paths[above[e]], bool(within[e]), a + plain[e], b + dense[e])
+                above = self._nearest[self.parents[e]]
+                out[self.paths[e]] = (self.tags[e], self.paths[above], self._within[e], a + plain[e], b + dense[e])
         return out
 
-    def whole(self, path: str) -> str:
+    def whole(self, path: int) -> int:
         """The path that the containers on a path stand for."""
         if self._sized is None:
             self._sized = self._sizes()
         best = here = path
+        passed = []
         while best in self._sized and (above := self._sized[here][1]):
+            if best == here:
+                if best in self._wholes:
+                    best = self._wholes[best]
+                    break
+                passed.append(best)
             tag, _, inside, plain, dense = self._sized[best]
             around, _, within, all_plain, all_dense = self._sized[above]
             if tag == "blockquote" or tag in PARTS and inside and within:
@@ -172,15 +265,16 @@ class Page:
             elif links and not within:
                 break
             here = above
+        self._wholes.update((p, best) for p in passed)
         return best
 
-    def scores(self) -> list[tuple[float, str]]:
+    def scores(self) -> list[tuple[float, int]]:
         """Paths with their score, best first: a block's worth goes to what its container stands for, and half of it to what the next one further up does."""
-        worth: dict[str, float] = {}
+        worth: dict[int, float] = {}
         for text, linked, element in self.blocks:
             own = (1 + text.count(",") + min(len(text) / 100, 3)) * max(0.0, 1 - linked / len(text))
-            near = self._container(element)
-            far = self._container(self.parents[near]) if near else 0
+            near = self._nearest[element]
+            far = self._nearest[self.parents[near]] if near else 0
             for container, part in ((near, own), (far, own / 2)):
                 if container and part:
                     worth[self.paths[container]] = worth.get(self.paths[container], 0.0) + part
@@ -189,7 +283,7 @@ class Page:
                 worth[whole] = worth.get(whole, 0.0) + worth.pop(path)
         return sorted(((w, p) for p, w in worth.items()), key=lambda x: (-x[0], x[1]))
 
-    def text(self, path: str | None) -> str:
+    def text(self, path: int | None) -> str:
         """The blocks inside elements on the path; all blocks for None."""
         inside = [path is None]
         for parent, own in zip(self.parents[1:], self.paths[1:]):
@@ -197,6 +291,17 @@ class Page:
         return "\n\n".join(text for text, _, element in self.blocks if inside[element])
 
 
+def main_text(html: str, winner: str | None = None) -> str:
+    """A page's text on its host's winning path, else of its own best container."""
+    page = Page(html, winner)
+    path = page.number(winner) if winner else None
+    text = page.text(page.whole(path)) if path else ""
+    if not text:
+        best = page.scores()[:1]
+        text = page.text(best[0][1] if best else None)
+    return text
+
+
 def host_of(url: Column) -> Column:
     """The host of a url, with its port; "" if there is none."""
     rest = F.regexp_replace(F.lower(F.trim(F.coalesce(url, F.lit("")))), "^[a-z][a-z0-9+.-]*://", "")
@@ -209,10 +314,11 @@ def votes(pages: DataFrame) -> DataFrame:
         hosts, paths, shares = [], [], []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             if host and html:
-                best = Page(html).scores()[:VOTES]
+                page = Page(html)
+                best = page.scores()[:VOTES]
                 for worth, path in best:
                     hosts.append(host)
-                    paths.append(path)
+                    paths.append(page.path(path))
                     shares.append(round(1e6 * worth / sum(w for w, _ in best)))
         return batch_of(host=pa.array(hosts, pa.string()), path=pa.array(paths, pa.string()), vote=pa.array(shares, pa.int64()))
 
@@ -225,14 +331,7 @@ def extract(pages: DataFrame) -> DataFrame:
     winners = small(stored(counted.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))), BROADCAST_HOSTS)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = []
-        for html, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist()):
-            page = Page(html or "")
-            text = page.text(page.whole(path)) if path else ""
-            if not text:
-                best = page.scores()[:1]
-                text = page.text(best[0][1] if best else None)
-            texts.append(text)
+        texts = [main_text(html or "", path) for html, path in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist())]
         return batch_of(page_id=batch.column("page_id"), url=batch.column("url"), text=pa.array(texts, pa.string()),
                         n_chars=pa.array([len(t) for t in texts], pa.int64()))
 

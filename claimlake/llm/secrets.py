@@ -14,6 +14,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from collections.abc import Iterable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +58,7 @@ def _windows(text: str, begin: int, end: int, size: int, least: float, digits: i
     """Joined windows of text[begin:end] that reach the bounds."""
     counts: dict[str, int] = {}
     weight, n_digits, n_letters, joined = 0.0, 0, 0, []
-    term = [0.0] + [c * math.log2(c) for c in range(1, size + 1)]
+    term = [0.0] + [c * math.log2(c) for c in range(1, size + 2)]  # one character enters before one leaves
     most = (math.log2(size) - least) * size
     for at in range(begin, end):
         c = text[at]
@@ -79,29 +82,38 @@ def _windows(text: str, begin: int, end: int, size: int, least: float, digits: i
     return joined
 
 
+class Cover:
+    """Spans by start with the furthest end so far, so that one look tells whether one of them holds a piece."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        ordered = sorted(spans)
+        self.starts = [a for a, _ in ordered]
+        self.reach = list(accumulate((b for _, b in ordered), max))
+
+    def holds(self, a: int, b: int) -> bool:
+        k = bisect_right(self.starts, a)
+        return k > 0 and self.reach[k - 1] >= b
+
+
 def entropy_spans(text: str, covered: list[Span]) -> list[Span]:
     """Spans of high entropy that neither the allow-list nor another span covers."""
     found: list[Span] = []
+    known = Cover((a, b) for _, a, b in covered)
     for m in _CANDIDATE.finditer(text):
-        if not _DIGIT.search(text, m.start(), m.end()):
-            continue
-        near = [s for s in covered if s[1] < m.end() and s[2] > m.start()]
-        if any(a <= m.start() and m.end() <= b for _, a, b in near):
+        if not _DIGIT.search(text, m.start(), m.end()) or known.holds(m.start(), m.end()):
             continue
-        allowed = [(a.start(), a.end()) for a in _ALLOWED.finditer(text, m.start(), m.end())]
-        own: list[Span] = []
+        held = [(a.start(), a.end()) for a in _ALLOWED.finditer(text, m.start(), m.end())]
         for kind, characters, size, least, digits, letters in CLASSES:
-            at = m.start()
+            own, others, at = [], Cover(held), m.start()
             while at < m.end():
                 end = at
                 while end < m.end() and text[end] in characters:
                     end += 1
                 if end - at >= size:
-                    for a, b in _windows(text, at, end, size, least, digits, letters):
-                        if not any(x <= a and b <= y for x, y in [*allowed, *((s[1], s[2]) for s in [*near, *own])]):
-                            own.append((kind, a, b))
+                    own += [s for s in _windows(text, at, end, size, least, digits, letters) if not known.holds(*s) and not others.holds(*s)]
                 at = end + 1
-        found += own
+            held += own
+            found += [(kind, a, b) for a, b in own]
     return found
 
 

@@ -1,7 +1,10 @@
 """The operators of the llm subpackage against brute force, round trips and held-out accuracy, and on odd rows."""
 from __future__ import annotations
 
+import hashlib
+import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -102,6 +105,42 @@ def test_html_sections_of_a_body_and_layout_cells():
     assert page.text(page.scores()[0][1]) == (WORDS * 20).strip()
 
 
+ARTICLE = f"<h1>Title</h1><p>{WORDS * 8}</p><p>{WORDS * 5}</p>"
+SIDE = '<div class="sidebar"><p>Read this too, dear reader.</p></div>'
+
+
+@pytest.mark.parametrize("page", [
+    f'<body><div class="site has-sidebar">{ARTICLE}{SIDE}</div></body>', f'<body><div id="nav-wrapper-content">{ARTICLE}{SIDE}</div></body>',
+    f'<body><div class="ad-free">{ARTICLE}</div>{SIDE}</body>', f'<body><form id="aspnetForm"><input type=hidden>{ARTICLE}{SIDE}</form></body>',
+    f'<body><article><div class="entry-header"><h1>Title</h1></div><p>{WORDS * 8}</p><p>{WORDS * 5}</p></article>{SIDE}</body>',
+    f'<body><article>{ARTICLE}</article><div id="comments"><h3>Said</h3><p>{WORDS * 40}</p></div></body>',
+    f'<body><article>{ARTICLE}<form><p>Your mail, please</p><input><button>Go</button></form></article></body>'])
+def test_html_words_are_evidence_only(page):
+    assert html.main_text(page).split("\n\n") == ["Title", (WORDS * 8).strip(), (WORDS * 5).strip()]
+
+
+def test_html_keeps_what_the_host_votes_for():
+    page = f'<body><div class="widget"><p>{WORDS}</p></div><div class="b"><p>{WORDS * 9}</p></div></body>'
+    assert html.main_text(page, "/body/div.widget") == WORDS.strip()
+    assert html.main_text(page) == html.main_text(page, "/body/div.none") == (WORDS * 9).strip()
+
+
+@pytest.mark.parametrize("tag", ["font", "div", "p><b", "b></i"])
+def test_html_deep_pages_take_linear_time(tag):
+    def seconds(n):
+        begin = time.process_time()
+        assert html.main_text("<body>" + f"<{tag}>x y" * n)
+        return time.process_time() - begin
+    seconds(2_000)
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.01)
+
+
+def test_html_odd_rows(spark):
+    rows = [(1, "http://h/", PAGE % 1, "x", "y")] * 2 + [(None, None, "<p>a, b", None, None)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, path string, host string")).collect()
+    assert len(got) == 3 and got[0]["text"] and len({r["text"] for r in got}) == 2
+
+
 # 2: token output
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 65535) | st.integers(0, 5), max_size=9000))
@@ -227,6 +266,31 @@ def test_entropy_windows():
     assert secrets._windows(key * 2, 0, 40, 20, 3.8, 2, 4) == [(0, 40)]
 
 
+def _entropy(piece):
+    return -sum(piece.count(c) / len(piece) * math.log2(piece.count(c) / len(piece)) for c in set(piece))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab0179cdefZqK-+=", min_size=20, max_size=90))
+def test_entropy_windows_equal_counting_each_anew(text):
+    for _, characters, size, least, digits, letters in secrets.CLASSES:
+        for run in re.finditer("[" + re.escape("".join(sorted(characters))) + "]+", text):
+            hits = {i for at in range(run.start(), run.end() - size + 1) for i in range(at, at + size) if _entropy(text[at:at + size]) >= least - 1e-9
+                    and sum(c.isdigit() for c in text[at:at + size]) >= digits and sum(c.isalpha() for c in text[at:at + size]) >= letters}
+            assert {i for a, b in secrets._windows(text, run.start(), run.end(), size, least, digits, letters) for i in range(a, b)} == hits
+
+
+def test_secrets_of_a_long_log_take_linear_time():
+    def seconds(n):
+        text = "".join(hashlib.sha256(str(i).encode()).hexdigest() + f"Zq{i % 10}\n" for i in range(n))
+        begin = time.process_time()
+        base = secrets.base_spans(text)
+        assert len(base) == n and len(secrets.entropy_spans(text, base)) >= 0
+        return time.process_time() - begin
+    seconds(200)
+    assert seconds(8_000) < 40 * max(seconds(800), 0.01)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab@.-+ ()0123456789\n", max_size=120))
 def test_personal_patterns(text):
