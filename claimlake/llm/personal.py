@@ -1,11 +1,18 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that carries their labels to other tokens.
 
-The nodes of a document's field are its tokens that hold a digit or an at-sign. A token's shape and neighbourhood give its
-own potential, neighbouring tokens share one, and tokens that repeat, or end in the same six digits, share a skip potential
-with the one before of their kind, however far away. Loopy sum-product messages give each token's chances; a token that a
-fixed pattern covers keeps that label. Tokens whose chance of a label reaches 0.9 become spans.
-
-The weights are learned by pseudo-likelihood from at most LEARN_FROM documents (chosen by hash), labelled by the patterns.
+The nodes of a document's field are the spans of the fixed patterns, whose labels are known, and the tokens outside of them
+that hold a digit or an at-sign; short number tokens, a blank apart, are one node. Neighbouring nodes share a chain potential.
+A node has keys that repeats and similar tokens have too: an address in lower case, and up to the first dot of its domain; a
+number's last seven digits, and from 13 digits on all before them, so that one changed digit leaves a key. All nodes
+of a key share skip potentials with one hub, one hop from each other however far apart. A hub with members that a pattern
+covers is observed: it has their labels. Loopy sum-product messages, until none changes by more than TOLERANCE, or for MOST_ROUNDS
+rounds where a field doesn't settle, give each node's chances. Free nodes whose chance of a label reaches SURE become spans.
+
+Weights are learned by pseudo-likelihood from about LEARN_FROM documents and LEARN_NODES nodes of each, chosen by hash. The patterns
+read only what is written in full, so what a repeat lacks (a plus, blanks, a top-level domain) must not count against
+it: a free node that shares a key is judged by coarse features, and learned from by mentions with hidden cues. Each covered
+node gives one more row, with coarse features only and its own label at the hub, as a repeat of it would stand. Free nodes that share a
+key with a covered one are latent and give none. Rows with hidden cues weigh as much in all as the other rows of coarse features.
 
 Null and empty texts give no spans and zero counts; rows with null or repeated doc_ids give a row each; other columns are
 ignored, an empty table gives no rows.
@@ -14,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +33,15 @@ from .common import batch_of, map_batches, table
 Span = tuple[str, int, int]
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0: none
-#: Documents learned from, about; nodes of one of them; rounds of messages; chance from which a token becomes a span.
-LEARN_FROM, LEARN_NODES, ROUNDS, SURE = 2_000, 2_000, 8, 0.9
-FEATURES = 40
+#: Documents learned from, about; nodes of one of them; chance from which a token becomes a span.
+LEARN_FROM, LEARN_NODES, SURE = 2_000, 2_000, 0.9
+#: Change of a message below which it is settled, and rounds after which a field that doesn't settle is read as it stands.
+TOLERANCE, MOST_ROUNDS = 1e-4, 1_000
+#: Features of nodes on their own, and coarse ones of free nodes that share a key.
+SHAPES, COARSE = 41, 4
+FEATURES = SHAPES + COARSE
+#: Digits of a number's key, and of one long enough for a second key.
+KEY_DIGITS, LONG_NUMBER, MOST_DIGITS = 7, 13, 19
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _NUMBERS = re.compile(r"[0-9+][0-9\x20.()+-]+")
@@ -35,6 +49,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARKED = re.compile("[0-9@]")
+_PLAIN = re.compile("[0-9+().-]+")
 _NOT_DIGITS = re.compile("[^0-9]+")
 
 
@@ -80,34 +95,75 @@ def base_spans(text: str) -> list[Span]:
 
 
 class Field:
-    """Nodes, their features and known labels, and the pairs that share potentials."""
+    """Nodes, their features and known labels, and the pairs that share potentials: chain (node, node) and skip (node, hub)."""
 
     def __init__(self, text: str, base: list[Span]):
-        self.spans, rows, chain, skip = [], [], [], []
-        seen: dict[str, int] = {}
-        for a, b in _tokens(text):
-            token = text[a:b]
-            digits = _NOT_DIGITS.sub("", token)
-            k = len(self.spans)
-            self.spans.append((a, b))
-            rows.append(_features(text, a, b, token, digits))
-            if k and a - self.spans[k - 1][1] <= 3:
-                chain.append((k - 1, k))
-            for key in {token.lower(), f"…{digits[-6:]}" if len(digits) >= 6 else token.lower()}:
-                if key in seen:
-                    skip.append((seen[key], k))
-                seen[key] = k
-        self.features = np.array(rows, bool).reshape(-1, FEATURES)
-        self.chain, self.skip = (np.array(sorted(set(e)), np.int64).reshape(-1, 2) for e in (chain, skip))
-        self.known = np.zeros(len(self.spans), np.int64)
-        starts = np.array([s[0] for s in self.spans], np.int64)
-        for kind, a, b in base:
-            first = int(np.searchsorted(starts, a, "right")) - 1
-            for k in range(max(first, 0), len(starts)):
-                if starts[k] >= b:
-                    break
-                if self.spans[k][1] > a:
-                    self.known[k] = KINDS.index(kind) + 1
+        nodes = sorted({(a, b): KINDS.index(kind) + 1 for kind, a, b in reversed(base)}.items())
+        nodes += [(s, 0) for s in _free(text, [s for s, _ in nodes])]
+        nodes.sort()
+        self.spans = [s for s, _ in nodes]
+        self.known = np.array([label for _, label in nodes], np.int64)
+        self.chain = np.array([(k - 1, k) for k in range(1, len(nodes)) if nodes[k][0][0] - nodes[k - 1][0][1] <= 3], np.int64).reshape(-1, 2)
+        members: dict[str, list[int]] = {}
+        for k, (a, b) in enumerate(self.spans):
+            for key in _keys(text[a:b]):
+                members.setdefault(key, []).append(k)
+        shared = [m for m in members.values() if len(m) > 1]
+        self.skip = np.array([(k, hub) for hub, m in enumerate(shared) for k in m], np.int64).reshape(-1, 2)
+        #: Of each hub, how many of its members have each label.
+        self.hubs = np.zeros((len(shared), LABELS))
+        np.add.at(self.hubs, (self.skip[:, 1], self.known[self.skip[:, 0]]), 1)
+        self.hubs[:, 0] = 0
+        self.linked = np.zeros(len(nodes), bool)
+        self.linked[self.skip[:, 0]] = True
+        self.features = np.zeros((len(nodes), FEATURES), bool)
+        for k, (a, b) in enumerate(self.spans):
+            if self.linked[k] and not self.known[k]:
+                self.features[k, SHAPES:] = _coarse(text[a:b])
+            else:
+                self.features[k, :SHAPES] = _features(text, a, b, text[a:b], _NOT_DIGITS.sub("", text[a:b]))
+
+
+def _free(text: str, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Tokens that touch no covered span; short numbers, a blank apart, as one."""
+    found: list[tuple[int, int]] = []
+    joined, next_ = 0, 0
+    reach = 0
+    for a, b in _tokens(text):
+        while next_ < len(covered) and covered[next_][0] < b:
+            reach = max(reach, covered[next_][1])
+            next_ += 1
+        if reach > a:
+            joined = 0
+            continue
+        digits = sum(c.isdigit() for c in text[a:b]) if _PLAIN.fullmatch(text, a, b) else 0
+        if joined and digits and joined + digits <= MOST_DIGITS and text[found[-1][1]:a] in (" ", ")", ") "):
+            found[-1] = (found[-1][0], b)
+            joined += digits
+        else:
+            found.append((a, b))
+            joined = digits
+    return found
+
+
+def _keys(token: str) -> set[str]:
+    """What repeats of a token, and tokens similar to it, have in common with it."""
+    if "@" in token:
+        low = token.lower()
+        name, _, domain = low.partition("@")
+        return {low, f"{name}@{domain.split('.')[0]}"} if name and domain else set()
+    digits = _NOT_DIGITS.sub("", token)
+    if token.count(".") >= 3:
+        return {token}
+    if len(digits) < KEY_DIGITS or not _PLAIN.fullmatch(token.replace(" ", "")):
+        return set()
+    keys = {f"…{digits[-KEY_DIGITS:]}"}
+    return keys | {f"{len(digits)}:{digits[:-KEY_DIGITS]}…"} if len(digits) >= LONG_NUMBER else keys
+
+
+def _coarse(token: str) -> np.ndarray:
+    """Features that a repeat has as well."""
+    return np.array([True, "@" in token, token.count(".") >= 3, "@" not in token and any(c.isalpha() for c in token)])
 
 
 def _tokens(text: str) -> list[tuple[int, int]]:
@@ -131,7 +187,7 @@ def _tokens(text: str) -> list[tuple[int, int]]:
 
 
 def _features(text: str, a: int, b: int, token: str, digits: str) -> np.ndarray:
-    out = np.zeros(FEATURES, bool)
+    out = np.zeros(SHAPES, bool)
     out[0] = True
     out[1], out[2], out[3], out[4] = "@" in token, token[0] == "+", "-" in token, "(" in token
     out[5 + min(token.count("."), 4)] = True
@@ -149,46 +205,80 @@ def _features(text: str, a: int, b: int, token: str, digits: str) -> np.ndarray:
     out[36] = "@" in token and "." in token[token.find("@"):]
     out[37] = n == 4 and n == len(token)
     out[38], out[39] = text[a - 1:a] == "+", text[a - 1:a] == "("
+    out[40] = 13 <= n <= 19 and _luhn(digits)
     return out
 
 
-Weights = tuple[np.ndarray, np.ndarray, np.ndarray]  # features x labels, chain and skip potentials
+Weights = tuple[np.ndarray, np.ndarray, np.ndarray]  # features x labels, chain potentials, skip potentials (hub x node)
+
+
+def rows_of(field: Field, seed: int, most: int = LEARN_NODES) -> list[list[int]]:
+    """What is learned from a field: [group, label, features and labels around that hold]; group 1 has hidden cues, 2 the other coarse rows, 0 the rest."""
+    latent = np.zeros(len(field.spans), bool)
+    latent[field.skip[field.hubs.sum(axis=1)[field.skip[:, 1]] > 0, 0]] = True
+    latent &= field.known == 0
+    beside = np.zeros((len(field.spans), LABELS), bool)
+    for a, b in ((0, 1), (1, 0)):
+        pairs = field.chain[~latent[field.chain[:, b]]]
+        beside[pairs[:, a], field.known[pairs[:, b]]] = True
+    chosen = np.arange(len(field.spans))
+    if len(chosen) > most:
+        chosen = np.sort(np.random.default_rng(seed).choice(chosen, most, replace=False))
+    rows = []
+    for k in chosen[~latent[chosen]].tolist():
+        label, chain = int(field.known[k]), (FEATURES + np.flatnonzero(beside[k])).tolist()
+        coarse = bool(field.linked[k]) and not label
+        hub = [FEATURES + LABELS] if coarse else []
+        rows.append([2 if coarse else 0, label, *np.flatnonzero(field.features[k]).tolist(), *chain, *hub])
+        if label:
+            hidden = [SHAPES, *([SHAPES + 1] if KINDS[label - 1] == "email" else [SHAPES + 2] if KINDS[label - 1] == "ip" else [])]
+            rows.append([1, label, *hidden, *chain, FEATURES + LABELS + label])
+    return rows
 
 
 def learn(docs: DataFrame, learn_from: int = LEARN_FROM) -> Weights:
-    """Weights by pseudo-likelihood: each token's label given its features and its neighbours' labels."""
+    """Weights by pseudo-likelihood: each node's label given its features, its neighbours' labels and its hub's."""
     share = int(min(1.0, learn_from / max(1, docs.count())) * (1 << 20))
 
     def nodes(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for text in batch.column("text").to_pylist():
-            field = Field(text or "", base_spans(text or ""))
-            around = np.zeros((2, len(field.spans), LABELS), np.int64)
-            for pairs, sums in ((field.chain, around[0]), (field.skip, around[1])):
-                np.add.at(sums, (pairs[:, 0], field.known[pairs[:, 1]]), 1)
-                np.add.at(sums, (pairs[:, 1], field.known[pairs[:, 0]]), 1)
-            for k in range(min(len(field.spans), LEARN_NODES)):
-                rows.append([int(field.known[k]), *np.flatnonzero(field.features[k]).tolist(), *(FEATURES + np.flatnonzero(around[:, k].ravel())).tolist()])
+            rows += rows_of(Field(text or "", base_spans(text or "")), zlib.crc32((text or "").encode("utf-8", "replace")))
         return batch_of(row=pa.array(rows, pa.list_(pa.int32())))
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("learn")), F.lit(1 << 20)) < share).select("text")
     counted = map_batches(sample, nodes, "row array<int>").groupBy("row").count().toPandas()
-    x = np.zeros((len(counted), FEATURES + 2 * LABELS))
-    y = np.zeros((len(counted), LABELS))
-    many = counted["count"].to_numpy(float)
-    for k, row in enumerate(counted["row"]):
-        x[k, list(row[1:])] = 1
-        y[k, row[0]] = 1
+    return fit([list(r) for r in counted["row"]], counted["count"].to_numpy(float))
+
+
+def fit(rows: list[list[int]], many: np.ndarray) -> Weights:
+    """Weights of rows that occurred so many times. Skip potentials have an agreement that all labels share, so that one seen in few repeats, or none, is carried too."""
+    order = sorted(range(len(rows)), key=rows.__getitem__)  # the same sums whatever the partitioning
+    rows, many = [rows[k] for k in order], many[order]
+    x = np.zeros((len(rows), FEATURES + 2 * LABELS))
+    y = np.zeros((len(rows), LABELS))
+    group = np.array([r[0] for r in rows], np.int64)
+    for k, row in enumerate(rows):
+        x[k, row[2:]] = 1
+        y[k, row[1]] = 1
+    totals = np.bincount(group, many, 3)
+    if totals[1]:
+        many = np.where(group == 1, many * max(totals[0] / 10, totals[2], 1.0) / totals[1], many)
+        many = np.where(group == 2, many * max(totals[0] / 10, totals[2], 1.0) / max(totals[2], 1.0), many)
     weights = np.zeros((x.shape[1], LABELS))
-    step, total = np.zeros_like(weights) + 1e-6, max(1.0, many.sum())
-    for _ in range(300):
-        chance = _softmax(x @ weights)
-        slope = x.T @ ((chance - y) * many[:, None]) / total + 1e-5 * weights
+    agrees, skips = 0.0, slice(FEATURES + LABELS, FEATURES + 2 * LABELS)
+    step, agreed, total = np.zeros_like(weights) + 1e-6, 1e-6, max(1.0, many.sum())
+    for _ in range(400):
+        chance = _softmax(x @ weights + agrees * x[:, skips])
+        slope = x.T @ ((chance - y) * many[:, None]) / total
+        slope_agrees = np.trace(slope[skips])
+        slope += 1e-5 * weights
         step += slope ** 2
+        agreed += slope_agrees ** 2
         weights -= 0.5 * slope / np.sqrt(step)
+        agrees -= 0.5 * slope_agrees / np.sqrt(agreed)
     pair = lambda w: (w + w.T) / 2
-    chain, skip = pair(weights[FEATURES:FEATURES + LABELS]), pair(weights[FEATURES + LABELS:])
-    return weights[:FEATURES], chain, skip + np.eye(LABELS)
+    return weights[:FEATURES], pair(weights[FEATURES:FEATURES + LABELS]), weights[skips] + agrees * np.eye(LABELS)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -196,46 +286,53 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=-1, keepdims=True)
 
 
-def marginals(field: Field, weights: Weights, rounds: int = ROUNDS) -> np.ndarray:
-    """Each node's chances of the labels, by loopy sum-product messages along chain and skip pairs."""
-    own = field.features @ weights[0]
+def potentials(field: Field, weights: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own potentials of nodes and, after them, hubs; pairs; and the matrix of each pair, from its first to its second."""
+    nodes = field.features @ weights[0]
     known = np.flatnonzero(field.known)
-    own[known] = -30.0
-    own[known, field.known[known]] = 30.0
-    pairs = np.concatenate([field.chain, field.skip])
+    nodes[known] = -30.0
+    nodes[known, field.known[known]] = 30.0
+    hubs = np.zeros_like(field.hubs)
+    seen = field.hubs.sum(axis=1) > 0
+    hubs[seen] = np.log(np.maximum(field.hubs[seen] / field.hubs[seen].sum(axis=1, keepdims=True), np.exp(-30.0)))
+    pairs = np.concatenate([field.chain, field.skip + np.array([0, len(nodes)])])
+    shape = (LABELS, LABELS)
+    matrices = np.concatenate([np.broadcast_to(weights[1], (len(field.chain), *shape)), np.broadcast_to(weights[2].T, (len(field.skip), *shape))])
+    return np.concatenate([nodes, hubs]), pairs, matrices
+
+
+def marginals(field: Field, weights: Weights) -> np.ndarray:
+    """Each node's chances of the labels, by loopy sum-product messages along chain and skip pairs."""
+    own, pairs, matrices = potentials(field, weights)
     if not len(pairs):
-        return _softmax(own)
-    kernel = np.exp(np.concatenate([np.broadcast_to(weights[1], (len(field.chain), LABELS, LABELS)), np.broadcast_to(weights[2], (len(field.skip), LABELS, LABELS))]))
+        return _softmax(own)[:len(field.spans)]
+    kernel = np.exp(np.concatenate([matrices, matrices.transpose(0, 2, 1)]))
     source, target = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
-    kernel = np.concatenate([kernel, kernel])  # symmetric
     back = np.concatenate([np.arange(len(pairs)) + len(pairs), np.arange(len(pairs))])
-    message = np.zeros((len(source), LABELS))
-    for _ in range(rounds):
+    message = np.full((len(source), LABELS), -np.log(LABELS))
+    for _ in range(MOST_ROUNDS):
         belief = own.copy()
         np.add.at(belief, target, message)
         sent = np.einsum("el,elm->em", _softmax(belief[source] - message[back]), kernel)
-        message = 0.5 * message + 0.5 * np.log(sent / sent.sum(axis=1, keepdims=True))
+        new = 0.25 * message + 0.75 * np.log(sent / sent.sum(axis=1, keepdims=True))
+        change = np.abs(new - message).max()
+        message = new
+        if change < TOLERANCE:
+            break
     belief = own.copy()
     np.add.at(belief, target, message)
-    return _softmax(belief)
+    return _softmax(belief)[:len(field.spans)]
 
 
 def field_spans(text: str, base: list[Span], weights: Weights, sure: float = SURE) -> list[Span]:
-    """Tokens outside of base spans that the field labels; neighbours of one label, a blank apart, are one span."""
+    """Free nodes that the field labels."""
     field = Field(text, base)
     if not field.spans:
         return []
     chances = marginals(field, weights)
     label = np.where(chances.max(axis=1) >= sure, chances.argmax(axis=1), 0)
     label[field.known > 0] = 0
-    found: list[Span] = []
-    for k in np.flatnonzero(label).tolist():
-        (a, b), kind = field.spans[k], KINDS[label[k] - 1]
-        if found and found[-1][0] == kind and a - found[-1][2] <= 1 and not any(s < a and found[-1][2] < e for _, s, e in base):
-            found[-1] = (kind, found[-1][1], b)
-        else:
-            found.append((kind, a, b))
-    return found
+    return [(KINDS[label[k] - 1], *field.spans[k]) for k in np.flatnonzero(label).tolist()]
 
 
 def find_personal(docs: DataFrame, weights: Weights) -> DataFrame:

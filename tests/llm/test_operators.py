@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
 import time
@@ -302,16 +303,49 @@ def test_personal_patterns(text):
     assert personal.base_spans(text) == expected
 
 
-def test_field_carries_labels(spark, folder):
-    weights = personal.learn(spark.read.parquet(f"{folder}/documents.parquet"))
-    text = "Call +49 30 1234567 now, then 1234567 words between and again 1234567 later"
-    field = personal.Field(text, personal.base_spans(text))
-    assert len(field.skip) and np.allclose(personal.marginals(field, weights).sum(axis=1), 1)
-    one = [np.zeros((personal.FEATURES, personal.LABELS)), np.zeros((personal.LABELS,) * 2), 8 * np.eye(personal.LABELS)]
-    same = "ab12@x " + "word " * 50 + "ab12@x"
-    field = personal.Field(same, [])
-    field.known[0] = 1
-    assert personal.marginals(field, one)[1].argmax() == 1
+@pytest.fixture(scope="module")
+def learned(spark, folder):
+    return personal.learn(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
+FILL = "word " * 400
+
+
+@pytest.mark.parametrize("text, added", [
+    (f"Call +49 30 1234567 now. {FILL} Later 030 1234567 or 0301234567.", [("phone", "030 1234567"), ("phone", "0301234567")]),
+    (f"+4930123456 {FILL} 4930123456 {FILL} 4930123456 {FILL} 4930123456", [("phone", "4930123456")] * 3),
+    (f"pay 4111 1111 1111 1111 {FILL} then 4111-1111-1111-1112, in 2024", [("card", "4111-1111-1111-1112")]),
+    (f"Jo@Example.org wrote. {FILL} jo@example said, not al@example", [("email", "jo@example")]),
+    ("order 1234567 and order 1234567, a@b and a@b, 30 and 30 in 2024", []), ("+49 30 1234567 costs 30 in 2024, not 7654321", []), ("", [])])
+def test_learned_field_labels_repeats(learned, text, added):
+    base = personal.base_spans(text)
+    assert [(kind, text[a:b]) for kind, a, b in personal.field_spans(text, base, learned)] == added
+
+
+def _by_enumeration(field, weights):
+    own, pairs, matrices = personal.potentials(field, weights)
+    chances = np.zeros((len(own), personal.LABELS))
+    for labels in itertools.product(range(personal.LABELS), repeat=len(own)):
+        weight = math.exp(sum(own[k, m] for k, m in enumerate(labels)) + sum(k[labels[a], labels[b]] for (a, b), k in zip(pairs, matrices)))
+        chances[np.arange(len(own)), labels] += weight
+    return (chances / chances.sum(axis=1, keepdims=True))[:len(field.spans)]
+
+
+@pytest.mark.parametrize("text, loops", [("1234567 word 1234567 word 8", False), ("77 88 word 99", False), ("12 a@b c@d", False),
+                                         ("a@b.c word a@b word a@b", False), ("1234567 a@b 1234567", True), ("x1234567 123, 1234567 1234567", True)])
+def test_messages_equal_enumeration(text, loops):
+    rng = np.random.default_rng(5)
+    for _ in range(3):
+        chain = rng.normal(size=(personal.LABELS,) * 2)
+        weights = (rng.normal(size=(personal.FEATURES, personal.LABELS)) / 3, (chain + chain.T) / 4, rng.normal(size=(personal.LABELS,) * 2) / 2 + np.eye(personal.LABELS))
+        field = personal.Field(text, personal.base_spans(text))
+        assert 0 < len(field.spans) + len(field.hubs) <= 6
+        assert np.abs(_by_enumeration(field, weights) - personal.marginals(field, weights)).max() < (0.1 if loops else 1e-3)
+
+
+def test_a_long_chain_of_repeats_is_one_hop(learned):
+    text = f"+4930123456 {FILL}" + "".join(f"4930123456 {FILL}" for _ in range(300))
+    assert len(personal.field_spans(text, personal.base_spans(text), learned)) == 300
 
 
 def test_scans_odd(odd, empty):
