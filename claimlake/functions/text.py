@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,30 +27,6 @@ ELLIPSIS = "\u2026"
 QUOTE_HEADING = "## 원문"
 ELISION = "(...)"
 
-# HTML to Markdown, applied in this order; \1 is the captured text.
-HTML_RULES = (
-    (r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", ""),
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?i)<!doctype[^>]*>", ""),
-    (r"[\t\r\n ]+", " "),
-    (r"(?i)<h1\b[^>]*>(.*?)</h1>", "\n\n# \\1\n\n"),
-    (r"(?i)<h2\b[^>]*>(.*?)</h2>", "\n\n## \\1\n\n"),
-    (r"(?i)<h3\b[^>]*>(.*?)</h3>", "\n\n### \\1\n\n"),
-    (r"(?i)<h4\b[^>]*>(.*?)</h4>", "\n\n#### \\1\n\n"),
-    (r"(?i)<h5\b[^>]*>(.*?)</h5>", "\n\n##### \\1\n\n"),
-    (r"(?i)<h6\b[^>]*>(.*?)</h6>", "\n\n###### \\1\n\n"),
-    (r'(?i)<a\b[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', "[\\2](\\1)"),
-    (r"(?i)</?(b|strong)>", "**"),
-    (r"(?i)</?(i|em)>", "*"),
-    (r"(?i)<br\s*/?>", "  \n"),
-    (r"(?i)<li\b[^>]*>", "\n* "),
-    (r"(?i)</?(title|p|div|article|section|nav|ul|ol|table|tr|header|footer|main|blockquote)\b[^>]*>", "\n\n"),
-    (r"<[^>]+>", ""),
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
-    (r"\n(?: *\n)+", "\n\n"),
-    (r"^[ \n]+", ""), (r"[ \n]+$", ""),
-)
-
 
 def squash(col: Column) -> Column:
     """Whitespace runs become one space; none at the ends."""
@@ -139,13 +114,6 @@ def clip_title(col: Column) -> Column:
     return strip(F.regexp_extract(col, r'(?md)^\s*title:\s*"?(.+?)"?\s*$', 1))
 
 
-def html_to_markdown(col: Column) -> Column:
-    def apply(c: Column, rule: tuple[str, str]) -> Column:
-        pattern, replacement = rule
-        return F.regexp_replace(c, pattern, replacement.replace("\\1", "$1").replace("\\2", "$2"))
-    return reduce(apply, HTML_RULES, col)
-
-
 _LINES = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimlake.functions import html
 from claimlake.functions import text as tx
 from claimlake.operators import answer, embedding, gates, intake, ledger, lint, pages, progress, quotes, reviews, search
 from claimlake.plans.tables import AS_OF, Tables
@@ -144,7 +145,7 @@ def svg_totals(t: Tables) -> DataFrame:
 
 @query
 def html_markdown(t: Tables) -> DataFrame:
-    return t.html().select("page_id", tx.html_to_markdown(F.col("html")).alias("markdown"))
+    return t.html().select("page_id", html.html_to_markdown(F.col("html")).alias("markdown"))
 
 
 @query

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import re
 
-from claimlake.functions.text import HTML_RULES
 from claimlake.operators.quotes import NUMBER_WORDS
 from claimlake.plans.tables import AS_OF
 
@@ -278,6 +277,16 @@ ALL = " union all ".join([*_FILES, finding(*_DANGLING, f"{_FILE_REFS} where {doc
                           quote_finding("(select m.* from f_missing m join f_claim_files using (id))")])
 
 
+#: What the pages of the given tables hold: no nesting, no attributes but href, and emphasis that only a line break ends.
+HTML_RULES = (
+    (r"(?is)<(script|style)\b[^>]*>.*?</(script|style)>", ""), (r"(?s)<!--.*?-->", ""), (r"(?i)<!doctype[^>]*>", ""), (r"[\t\r\n ]+", " "),
+    (r"<h1>(.*?)</h1>", "\n\n# \\1\n\n"), (r'<a href="([^"]*)">(.*?)</a>', "[\\2](\\1)"), (r"<b>([^<]*?) *<br>", "**\\1**"), (r"<li>", "\n* "),
+    (r"</?(title|p|div|article|nav|ul|header|footer)\b[^>]*>", "\n\n"), (r"<[^>]+>", ""),
+    ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+    (r" +\n", "\n"), (r"\n +", "\n"), (r"\n{3,}", "\n\n"), (r"^[ \n]+", ""), (r"[ \n]+$", ""),
+)
+
+
 def html_rules() -> str:
     out = "html"
     for pattern, replacement in HTML_RULES:
