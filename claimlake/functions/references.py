@@ -31,9 +31,10 @@ def _numbered(reference: Column) -> Column:
     return F.when(paged.isNotNull(), paged).when(known & nothing, "").otherwise(character)
 
 
-def decoded(text: Column) -> Column:
-    """Numeric and named references as characters, named ones also without their semicolon where HTML allows that; unknown ones stay."""
-    marks = F.regexp_extract_all(text, F.lit(f"({_REFERENCE})"), F.lit(1))
+def decoded(text: Column, open_names: bool = True) -> Column:
+    """Numeric and named references as characters; unknown ones stay. ``open_names``: named ones also without their semicolon where HTML allows that."""
+    shape = _REFERENCE if open_names else _REFERENCE.replace("[A-Za-z0-9]*;?)", "[A-Za-z0-9]*;)")
+    marks = F.regexp_extract_all(text, F.lit(f"({shape})"), F.lit(1))
     character = lambda r: F.when(F.substring(r, 2, 1) == "#", _numbered(r)).otherwise(F.coalesce(F.element_at(_names(), F.substring(r, F.lit(2), F.length(r))), r))
-    joined = F.array_join(F.zip_with(F.split(text, _REFERENCE, -1), F.transform(marks, character), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    joined = F.array_join(F.zip_with(F.split(text, shape, -1), F.transform(marks, character), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return F.when(text.contains("&"), joined).otherwise(text)

@@ -30,3 +30,8 @@ def test_markdown_of_nested_pages(spark):
 @pytest.mark.parametrize("text", ["&#38;lt; &amp;amp; &eacute; &alpha; &lt &bogus; &;& a&b", "&#x2014;&#150;&#0;&#1;&#xD800;&#99999999999; &#0065;&#x41", "&CounterClockwiseContourIntegral; &copy 2020 &NotEqualTilde;"])
 def test_references_are_read_once(spark, text):
     assert spark.createDataFrame([(text,)], "t string").select(references.decoded(F.col("t")).alias("d")).first().d == library.unescape(text)
+
+
+def test_names_without_semicolon_stay_in_markdown(spark):
+    text = "<title>a &amp;&amp; b &amp</title><p>x &copy 2020 &ampx &#8217 &copy;"
+    assert spark.createDataFrame([(text,)], "h string").select(html.html_to_markdown(F.col("h")).alias("m")).first().m == "a && b &amp\n\nx &copy 2020 &ampx ’ ©"
