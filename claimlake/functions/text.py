@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 # Whitespace as str.split() sees it: the Unicode class plus four control characters.
 WS = r"[\s\x1c-\x1f]"
+# The same characters, those that end lines first.
+BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+BLANKS = "\t \x1f\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 
 # Word shape, reference shape and citation shape.
 WORD = "[a-z0-9]+|[가-힣]+"
@@ -34,7 +37,7 @@ def squash(col: Column) -> Column:
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, f"(?U)^{WS}+|{WS}+\\z", "")
+    return F.btrim(col, F.lit(BREAKS + BLANKS))
 
 
 def is_blank(col: Column) -> Column:
@@ -114,28 +117,28 @@ def clip_title(col: Column) -> Column:
     return strip(F.regexp_extract(col, r'(?md)^\s*title:\s*"?(.+?)"?\s*$', 1))
 
 
-_LINES = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+def _one_break(col: Column) -> Column:
+    """Every line break as one newline."""
+    for mark in ("\r\n", *BREAKS[1:]):  # searches for bytes
+        col = F.replace(col, F.lit(mark), F.lit("\n"))
+    return col
 
 
 def blockquote(col: Column) -> Column:
-    text = strip(col)
-    lines = F.transform(F.split(text, _LINES), lambda ln: F.when(is_blank(ln), ">").otherwise(F.concat(F.lit("> "), ln)))
-    return F.when(text == "", "").otherwise(F.array_join(lines, "\n"))
+    """Quote marks by two passes over the whole text; a line is no element of an array."""
+    marked = F.replace(_one_break(strip(col)), F.lit("\n"), F.lit("\n> "))
+    return F.when(strip(col) == "", "").otherwise(F.concat(F.lit("> "), F.regexp_replace(marked, rf"\n> [{BLANKS}]*+(?=\n|\z)", "\n>")))
 
 
 def unblockquote(col: Column) -> Column:
-    def bare(ln: Column) -> Column:
-        return (F.when(ln.startswith("> "), F.substring(ln, F.lit(3), F.length(ln)))
-                .when(strip(ln) == ">", "").otherwise(ln))
-    return strip(F.array_join(F.transform(F.split(col, _LINES), bare), "\n"))
+    mark = rf"\n(?:> |[{BLANKS}]*+>[{BLANKS}]*+(?=\n|\z))"
+    return strip(F.regexp_replace(F.concat(F.lit("\n"), _one_break(col)), mark, "\n"))
 
 
 def extract_quote(body: Column) -> Column:
     """The text under the quote heading without its quote marks; empty where there is no such heading."""
-    mark = f"\n{QUOTE_HEADING}\n"
-    at = F.locate(mark, body)
-    tail = F.substring(body, at + len(mark), F.length(body))
-    return F.when(at > 0, unblockquote(tail)).otherwise("")
+    tail = F.get(F.split(body, "\\Q\n" + QUOTE_HEADING + "\n\\E", 2), F.lit(1))
+    return F.coalesce(unblockquote(tail), F.lit(""))
 
 
 def is_doc_id(col: Column, *prefixes: str) -> Column:

@@ -48,6 +48,16 @@ def test_whitespace_and_folding(spark):
     assert one(spark, tx.fold_text(F.col("t")), t="“a”  –​ x…·×") == '"a" - x....x'
 
 
+def test_quote_marks_need_no_array(spark):
+    df = spark.createDataFrame([("\u2028 a\r\nb\x85 \t\x1cc \n\n> \xa0",)], "t string")
+    quoted = tx.blockquote(F.col("t"))
+    assert df.select(quoted.alias("q")).first().q == "> a\n> b\n>\n> c \n>\n> >"
+    taken = tx.extract_quote(F.concat(F.lit(f"x\n{tx.QUOTE_HEADING}\n\n"), quoted))
+    assert df.select(taken.alias("q")).first().q == "a\nb\n\nc \n\n>"
+    plan = df.select(taken.alias("q"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
 def test_quote_blocks(spark):
     quote = "line one\n\n  two\n> three"
     block = one(spark, tx.blockquote(F.col("t")), t=quote)
