@@ -21,8 +21,10 @@ DIGITS = 9
 MOST_QUERIES = 4096
 BATCH_BYTES = 64_000_000
 MOST_TERMS = 500_000
-#: Scores that a task holds at once.
-BLOCK = 2_000_000
+#: Scores that a task holds at once, and pairs of a posting and a query that asks for it.
+BLOCK, PAIRS = 200_000, 500_000
+#: Rows that the lists of a task may hold beyond four times what they keep, before they are cut.
+SPARE = 100_000
 
 
 @dataclass(frozen=True)
@@ -94,16 +96,27 @@ def spread(asked: Queries, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return rows, asked.queries[at], asked.times[at]
 
 
+def portions(asked: Queries, terms: np.ndarray) -> Iterator[slice]:
+    """All postings in turn, so many at once that they meet some `PAIRS` queries."""
+    upto = np.cumsum(asked.starts[terms + 1] - asked.starts[terms])
+    start = 0
+    while start < len(terms):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, "right")))
+        yield slice(start, end)
+        start = end
+
+
 def lexical(asked: Queries, docs: np.ndarray, terms: np.ndarray, tf: np.ndarray, dl: np.ndarray, n: int, wanted: np.ndarray | None = None) -> np.ndarray:
     """Rounded BM25, documents by queries, from postings: document, term, how often, the document's length; 0 for pairs not wanted."""
-    whole = np.floor(part(tf, dl, asked.avgdl, asked.idf[terms]) * SCALE + 0.5).astype(np.int64)
-    rows, queries, times = spread(asked, terms)
-    at = docs[rows]
-    if wanted is not None:
-        some = wanted[at, queries]
-        rows, queries, times, at = rows[some], queries[some], times[some], at[some]
     sums = np.zeros((n, len(asked)), np.int64)
-    np.add.at(sums, (at, queries), whole[rows] * times)
+    for s in portions(asked, terms):
+        whole = np.floor(part(tf[s], dl[s], asked.avgdl, asked.idf[terms[s]]) * SCALE + 0.5).astype(np.int64)
+        rows, queries, times = spread(asked, terms[s])
+        at = docs[s][rows]
+        if wanted is not None:
+            some = wanted[at, queries]
+            rows, queries, times, at = rows[some], queries[some], times[some], at[some]
+        np.add.at(sums, (at, queries), whole[rows] * times)
     step = round(SCALE / 10 ** DIGITS)
     return np.sign(sums) * ((np.abs(sums) + step // 2) // step) / 10.0 ** DIGITS
 
@@ -111,9 +124,10 @@ def lexical(asked: Queries, docs: np.ndarray, terms: np.ndarray, tf: np.ndarray,
 def bounds(asked: Queries, ranges: np.ndarray, terms: np.ndarray, max_tf: np.ndarray, min_dl: np.ndarray, n: int) -> np.ndarray:
     """Ranges by queries: no document of the range scores more. A term gives most where it is most frequent and the text shortest."""
     most = np.maximum(part(max_tf, min_dl, asked.avgdl, asked.idf[terms]), 0)
-    rows, queries, times = spread(asked, terms)
     sums = np.zeros((n, len(asked)))
-    np.add.at(sums, (ranges[rows], queries), most[rows] * times)
+    for s in portions(asked, terms):
+        rows, queries, times = spread(asked, terms[s])
+        np.add.at(sums, (ranges[s][rows], queries), most[s][rows] * times)
     return sums * (1 + 1e-9) + 10.0 ** -DIGITS  # never below a sum that was added up otherwise and rounded
 
 
@@ -138,7 +152,7 @@ class Best:
         docs, queries = np.nonzero(passes if wanted is None else passes & wanted)
         self.rows.append((queries, first[docs, queries], np.zeros(len(docs)) if second is None else second[docs, queries], order[docs], ids[docs]))
         self.held += len(docs)
-        if self.held > max(4 * self.k * self.n, BLOCK):
+        if self.held > 4 * self.k * self.n + SPARE:
             self.cut()
 
     def cut(self) -> tuple[np.ndarray, ...]:

@@ -668,3 +668,15 @@ def test_rows_without_a_key_are_spread(spark):
             spark.conf.set(c, v)
     assert max(Counter(r.part for r in rows if r.k is None).values()) < 1000
     assert {r.id: r.v for r in rows} == {i: i if i % 8 == 0 else None for i in range(4000)} and joined.columns == ["k", "id", "v"]
+
+
+def test_lists_and_postings_are_held_in_portions():
+    best = scoring.Best(40, 8)
+    for block in range(200):  # each block better than all before it
+        best.add(np.full((1000, 40), float(block)), None, np.arange(1000), np.arange(1000))
+        assert best.held <= 4 * 8 * 40 + scoring.SPARE + 40_000
+    assert set(best.cut()[1]) == {199.0}
+    asked = scoring.Queries(list(range(1000)), starts=np.array([0, 1000]), queries=np.arange(1000), times=np.ones(1000, np.int64), idf=np.ones(1), avgdl=2.0)
+    terms = np.zeros(1200, np.int64)
+    cut = list(scoring.portions(asked, terms))
+    assert [x for s in cut for x in range(s.start, s.stop)] == list(range(1200)) and max(s.stop - s.start for s in cut) * 1000 <= scoring.PAIRS
