@@ -4,7 +4,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,12 +94,12 @@ def embed(inputs: DataFrame, make_embed: Callable[[], Embed], wait: float = 1.0)
     An outage is data, not an error: when the service does not answer after all attempts, the batch's texts get no vector and
     the status ``unavailable``, and the task asks no more, so that a job of many batches ends soon. Any other error stops the job.
     """
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask, down, nothing = None, False, (None, "unavailable")
-        for frame in frames:
-            for start in range(0, len(frame), BATCH):
-                part = frame.iloc[start:start + BATCH]
-                texts, rows = part["input"].tolist(), []
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)  # only these become Python values
+                texts, rows = part["input"].to_pylist(), []
                 try:
                     if not down:
                         ask = ask or make_embed()
@@ -114,10 +114,10 @@ def embed(inputs: DataFrame, make_embed: Callable[[], Embed], wait: float = 1.0)
                             down = True
                             rows.append(nothing)
                 rows = rows or [nothing] * len(texts)
-                yield pd.DataFrame({"key": part["key"].tolist(), "vector": [r[0] for r in rows],
-                                    "embed_status": [r[1] for r in rows]})
+                vectors = pa.array([r[0] for r in rows], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part["key"], vectors, pa.array([r[1] for r in rows], pa.string())], names=["key", "vector", "embed_status"])
 
-    return inputs.select("key", "input").mapInPandas(run, "key string, vector array<double>, embed_status string")
+    return inputs.select("key", "input").mapInArrow(run, "key string, vector array<double>, embed_status string")
 
 
 def zero_fill(vectors: DataFrame) -> DataFrame:

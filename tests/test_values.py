@@ -680,3 +680,11 @@ def test_lists_and_postings_are_held_in_portions():
     terms = np.zeros(1200, np.int64)
     cut = list(scoring.portions(asked, terms))
     assert [x for s in cut for x in range(s.start, s.stop)] == list(range(1200)) and max(s.stop - s.start for s in cut) * 1000 <= scoring.PAIRS
+
+
+def test_embedding_makes_few_texts_at_once(spark):
+    from claimlake.plans.catalog import letter_embedder
+    inputs = spark.range(300).selectExpr("cast(id as string) key", "repeat('a', cast(id as int)) input")
+    done = embedding.embed(inputs, letter_embedder, 0.0)
+    assert "MapInPandas" not in plan_of(done)
+    assert {r.key: (r.vector[0], r.embed_status) for r in done.collect()} == {str(i): (float(i), "ok") for i in range(300)}
