@@ -53,11 +53,18 @@ class Index:
         self.spread.write.mode("overwrite").parquet(f"{path}/spread")
 
     def checkpointed(self) -> Index:
-        """The same index with each text read once, for several searches in one application."""
-        kept = _from_counted(cut_lineage(self.counted)) if self.counted is not None else index_of(cut_lineage(self.docs), cut_lineage(self.postings))
+        """The same index with each text read once and its terms counted once, for several searches in one application."""
+        kept = self.written()
         spread = cut_lineage(kept.spread)
         return replace(kept, stats=cut_lineage(stats_of(sizes_of(kept.docs), spread)), spread=spread)
 
+    def written(self) -> Index:
+        """The same index with its documents and terms written, which all else is derived from."""
+        kept = _from_counted(cut_lineage(self.counted)) if self.counted is not None else index_of(cut_lineage(self.docs), cut_lineage(self.postings))
+        terms = cut_lineage(kept.terms)
+        spread = spread_of(terms)
+        return replace(kept, terms=terms, stats=stats_of(sizes_of(kept.docs), spread), spread=spread)
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         return cls(*[spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "terms", "stats", "spread")])
@@ -113,7 +120,7 @@ def _from_counted(counted: DataFrame) -> Index:
 
 def postings(docs: DataFrame) -> DataFrame:
     """(doc_id, term, tf, dl, df, n_docs, avgdl)"""
-    index = build_index(docs)
+    index = build_index(docs).written()
     return (index.postings.join(index.terms, "term").withColumn("s", index.stats.select(F.struct("*")).scalar())
             .select("doc_id", "term", "tf", "dl", "df", "s.n_docs", "s.avgdl"))
 

@@ -565,7 +565,7 @@ def postings(t: Tables) -> DataFrame:
 
 @query
 def bm25_idf(t: Tables) -> DataFrame:
-    return search.idf(search.build_index(t.documents())).select("term", "df", F.round("idf", 6).alias("idf"))
+    return search.idf(search.build_index(t.documents()).written()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query
@@ -683,7 +683,7 @@ def snapshot_diff(t: Tables) -> DataFrame:
 @query
 def index_refresh(t: Tables) -> DataFrame:
     changes = search.snapshot_diff(t.snapshot_old(), t.snapshot_new())
-    return search.refresh_index(search.build_index(t.snapshot_old()), changes, t.snapshot_new()).terms
+    return search.refresh_index(search.build_index(t.snapshot_old()).written(), changes, t.snapshot_new()).terms
 
 
 # --- sensitivity ----------------------------------------------------------------------------------------------------

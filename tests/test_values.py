@@ -688,3 +688,10 @@ def test_embedding_makes_few_texts_at_once(spark):
     done = embedding.embed(inputs, letter_embedder, 0.0)
     assert "MapInPandas" not in plan_of(done)
     assert {r.key: (r.vector[0], r.embed_status) for r in done.collect()} == {str(i): (float(i), "ok") for i in range(300)}
+
+
+def test_an_index_is_read_and_counted_once(spark, folder):
+    t = Tables(spark, folder)
+    assert "FileScan" not in plan_of(search.postings(t.documents()))
+    kept = search.build_index(t.documents()).checkpointed()
+    assert "Aggregate" not in plan_of(kept.terms) and "Aggregate" not in plan_of(search.idf(kept).drop("idf"))
