@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from uuid import uuid4
 
 import numpy as np
@@ -10,7 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting by which the shuffle files of a statement go when it ends.
+FILES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
+_steps: ContextVar[list[str] | None] = ContextVar("steps", default=None)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,10 +38,32 @@ def stored(df: DataFrame) -> DataFrame:
     """df, written once as Parquet in the shared folder, so that lost executors or later uses don't run its plan again.
 
     With checkpoints, loops slowed with every round, probably by the constraints such a frame keeps of its plan; with files they don't.
+    Its shuffle files go as soon as it is written; else they would stay until the driver happens to collect its garbage.
     """
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/stored-{uuid4().hex}"
+    before = spark.conf.get(FILES_GO, "false")
+    spark.conf.set(FILES_GO, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FILES_GO, before)
+    if (steps := _steps.get()) is not None:
+        steps.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, stored; the files of all steps that make() stored on the way go, so nothing else may read those."""
+    own: list[str] = []
+    outer = _steps.set(own)
+    try:
+        made = make()
+    finally:
+        _steps.reset(outer)
+    out, context = stored(made), made.sparkSession.sparkContext
+    for path in map(context._jvm.org.apache.hadoop.fs.Path, own):
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return out
 
 
 def counted(df: DataFrame) -> tuple[DataFrame, int]:

@@ -19,26 +19,29 @@ are. Null and empty texts stay as they are; rows that share doc_id and text lose
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import batch_of, mixed, small, stored, table
+from .common import batch_of, mixed, settled, small, stored, table
 from .components import components, labelled
 
 SHINGLE, BANDS, ROWS = 5, 21, 4
 #: Groups with more lines than LEAF outside of their greatest component are split by SPLITS keys of NARROW least hashes of their own, up to DEPTH times.
 LEAF, SPLITS, NARROW, DEPTH = 64, 9, 2, 2
 HASHES, SKETCH = BANDS * ROWS + DEPTH * SPLITS * NARROW, 4
+SKETCHES = [f"s{k}" for k in range(SKETCH)]
 LEAST = (75, 100)
 #: Shingles of a line that are counted, about, at least, where a rung leaves some out.
 COUNTED = 256
 #: Lines up to which the ids of candidates are sent to all executors; more meet the texts by a shuffle.
 BROADCAST_LINES = 300_000
-#: Bands of several lines up to which they are sent to all executors.
-BROADCAST_BANDS = 1_500_000
+#: Bands whose rows are dealt at a time, which bounds the disk that they take before most of them, with one line each, are left out.
+PORTION = 7
 #: Characters hashed at a time in a task, and those of pairs whose sets are held at a time.
 RUN, HELD = 1 << 16, 1_000_000
 _rng = np.random.default_rng(3)
@@ -141,14 +144,24 @@ def signatures(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     return lines.select("id", "line").mapInArrow(run, f"id long, rung int, least binary, {fields}").dropDuplicates(["id", "rung"])
 
 
-def _keys(at: int, many: int, rows: int, *more: Column | str) -> Column:
-    """Keys of so many runs of rows least hashes, from the one at `at` on."""
-    return F.explode(F.array(*(F.xxhash64(*more, F.lit(k), F.substring("least", at + k * rows + 1, rows)) for k in range(many)))).alias("band")
+def _keys(at: int, many: int, rows: int, *more: Column | str, first: int = 0) -> Column:
+    """Keys of so many runs of rows least hashes, from run `first` of those on that begin at `at`."""
+    return F.explode(F.array(*(F.xxhash64(*more, F.lit(k), F.substring("least", at + k * rows + 1, rows)) for k in range(first, first + many)))).alias("band")
 
 
-def bands(signed: DataFrame) -> DataFrame:
-    """band, id and rung: a key for each band."""
-    return signed.select("id", "rung", _keys(0, BANDS, ROWS, "rung")).select("band", "id", "rung")
+def bands(signed: DataFrame, first: int = 0, many: int = BANDS) -> DataFrame:
+    """band, id and rung: a key for each of so many bands from the first on."""
+    return signed.select("id", "rung", _keys(0, many, ROWS, "rung", first=first)).select("band", "id", "rung")
+
+
+def _with_pivots(signed: DataFrame) -> DataFrame:
+    """band, id, rung and pivot, the band's least id, of the bands with several lines. Rows are dealt once, some bands at a time."""
+    own, parts = Window.partitionBy("band"), []
+    for first in range(0, BANDS, PORTION):
+        rows = bands(signed, first, min(PORTION, BANDS - first))
+        rows = rows.select("*", F.min("id").over(own).alias("pivot"), F.count("*").over(own).alias("n"))
+        parts.append(stored(rows.where("n > 1").drop("n")))
+    return reduce(DataFrame.union, parts)
 
 
 def _narrower(rows: DataFrame, signed: DataFrame, depth: int) -> DataFrame:
@@ -162,16 +175,20 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), BROADCAST_LINES)
 
 
+def _differ(least: tuple[int, int]) -> str:
+    """Whether the sketches of a and b differ by at most five standard deviations more than a similarity of least has."""
+    p = 0.75 * (1 - least[0] / least[1])
+    other = " + ".join(f"bit_count(((a_{k} ^ b_{k}) | shiftrightunsigned(a_{k} ^ b_{k}, 1)) & 6148914691236517205L)" for k in SKETCHES)
+    return f"{other} <= {HASHES * p + 5 * (HASHES * p * (1 - p)) ** 0.5}"
+
+
 def _alike(pairs: DataFrame, signed: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Of pairs (a, b, rung) those whose signatures allow the similarity: whose sketches differ by at most five standard deviations more than expected."""
+    """Of pairs (a, b, rung) those whose signatures allow the similarity."""
     pairs = stored(pairs.distinct())
-    sketch = [f"s{k}" for k in range(SKETCH)]
-    needed = signed.select("id", "rung", *sketch).join(_ends(pairs), "id", "left_semi")
-    one, two = (needed.withColumnRenamed("id", c).withColumnsRenamed({k: f"{c}_{k}" for k in sketch}) for c in "ab")
-    p = 0.75 * (1 - least[0] / least[1])
-    other = " + ".join(f"bit_count(((a_{k} ^ b_{k}) | shiftrightunsigned(a_{k} ^ b_{k}, 1)) & 6148914691236517205L)" for k in sketch)
+    needed = signed.select("id", "rung", *SKETCHES).join(_ends(pairs), "id", "left_semi")
+    one, two = (needed.withColumnRenamed("id", c).withColumnsRenamed({k: f"{c}_{k}" for k in SKETCHES}) for c in "ab")
     met = pairs.join(one, ["a", "rung"]).join(two, ["b", "rung"])
-    return met.where(f"{other} <= {HASHES * p + 5 * (HASHES * p * (1 - p)) ** 0.5}").select("a", "b")
+    return met.where(_differ(least)).select("a", "b")
 
 
 def _linked(pairs: DataFrame, lines: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -201,48 +218,52 @@ def _pair(one: str, two: str) -> list[Column]:
     return [F.greatest(one, two).alias("a"), F.least(one, two).alias("b")]
 
 
-def _with_pivots(rows: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Rows of the groups with several components, with the group's pivot, or with comp, the group's greatest component and the number of lines outside of it."""
-    if found is None:
-        # Most bands have one line; to count them takes the least disk.
-        several = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-        rows = stored(rows.join(small(stored(several), BROADCAST_BANDS), "band"))
-        return stored(rows.join(small(stored(rows.groupBy("band").agg(F.min("id").alias("pivot"))), BROADCAST_BANDS), "band"))
+def _mixed(rows: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the groups with several components, with comp, the group's greatest component, the number of lines outside of it, and the sketch."""
     rows = stored(labelled(rows, found))
     sizes = rows.groupBy("band", "comp").agg(F.count("*").alias("n"))
     live = (sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("comps"))
             .where("comps > 1").select("band", F.col("main.comp").alias("main"), F.expr("all - main.n").alias("outside")))
-    return stored(rows.join(live, "band"))
+    return rows.join(live, "band").join(signed.select("id", "rung", *SKETCHES), ["id", "rung"])
+
+
+def _across(ready: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b, rung) of a line outside of its group's greatest component and one of another component, whose sketches allow the similarity.
+
+    They are compared where they meet: pairs that don't pass, which grow with the square of a group's size, are never dealt or written.
+    """
+    others, all_ = (ready.withColumnsRenamed({k: f"{c}_{k}" for k in SKETCHES}) for c in "ab")
+    others = others.where("comp != main").select("band", F.col("id").alias("other"), F.col("comp").alias("other_comp"), *(f"a_{k}" for k in SKETCHES))
+    return others.join(all_, "band").where("comp != other_comp").where(_differ(least)).select(*_pair("id", "other"), "rung")
 
 
 def line_components(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """id and component of the lines that are similar to another one."""
     signed = stored(signatures(lines, least))
     with_pivot = lambda rows: rows.where("id != pivot").select(*_pair("id", "pivot"), "rung")
-    rows = _with_pivots(bands(signed), None)
-    links = stored(_linked(_alike(with_pivot(rows), signed, least), lines, least))
-    found, rows = components(links, hashed=True), rows.select("band", "id", "rung")
+    linked = lambda pairs: settled(lambda: _linked(_alike(pairs, signed, least), lines, least))
+    rows = _with_pivots(signed)
+    links = linked(with_pivot(rows))
+    found, rows = settled(lambda: components(links, hashed=True)), rows.select("band", "id", "rung")
     for depth in range(DEPTH + 1):
-        rows = _with_pivots(rows, found)
+        rows = settled(lambda: _mixed(rows, signed, found))  # noqa: B023
         if not rows.limit(1).count():
             break
         large = F.col("outside") > (LEAF if depth < DEPTH else 1 << 62)
-        ready = rows.where(~large)
-        others = ready.where("comp != main").select("band", F.col("id").alias("other"), F.col("comp").alias("other_comp"))
-        pairs = others.join(ready, "band").where("comp != other_comp").select(*_pair("id", "other"), "rung")
+        pairs = _across(rows.where(~large), least)
         more = rows.where(large).select("band", "id", "rung")
         rows = stored(_narrower(more, signed, min(depth, DEPTH - 1)))
         pivots = rows.groupBy("band").agg(F.min("id").alias("pivot"))
         pairs = pairs.union(with_pivot(rows.join(pivots, "band")))
-        links = stored(_linked(_alike(pairs, signed, least), lines, least))
-        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links), hashed=True)
+        links = linked(pairs)
+        found = settled(lambda: components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links), hashed=True))  # noqa: B023
     return found
 
 
 def dedup_lines(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """docs with the lines that stay in text, and n_lines and n_kept (lines that aren't white space only)."""
     lines = lines_of(docs)
-    found = line_components(lines, least)
+    found = settled(lambda: line_components(lines, least))
     place = F.struct("doc_id", "text_hash", "no").alias("place")
     counted = lines.select("id", place).groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     shared = labelled(counted, found)

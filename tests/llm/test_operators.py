@@ -14,7 +14,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from claimlake.llm import html, language, leaks, lines, near, neighbours, packing, personal, rangecoder, secrets, token_output, tokens
+from claimlake.llm import common, html, language, leaks, lines, near, neighbours, packing, personal, rangecoder, secrets, token_output, tokens
 from claimlake.llm.components import components
 from claimlake.llm.queries import ORACLE, QUERIES
 from tests.compare import connect, difference
@@ -244,6 +244,19 @@ def test_lines_odd(odd, empty):
     assert set(lines.dedup_lines(odd).columns) == {*odd.columns, "n_lines", "n_kept"}
 
 
+def test_lines_leave_no_steps_behind(spark, monkeypatch, tmp_path):
+    """On disk at the end of the steps: only what the rest of the job reads, no older step and no shuffle file of one (but a few of counts)."""
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    text = "\n".join(f"a line of some words that is like the other ones of this text, number {k}" for k in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text.replace("words", "wards"))], "doc_id long, text string")
+    before = blocks.getAllFiles().size()
+    got = lines.dedup_lines(docs)
+    assert blocks.getAllFiles().size() < before + 10
+    assert len([f for f in tmp_path.iterdir() if f.name.startswith("stored-")]) == 2
+    assert sum(r["n_kept"] for r in got.collect()) == 1
+
+
 # 4 and 5: scans
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 NOISE = st.text(alphabet="aAbpswordPTOKENsecrtik=:\"' 0123456789.+-()@_/\nKIA", max_size=200)
