@@ -7,8 +7,9 @@ classes of similarity s follow the same branch with chance s. After DEPTH levels
 exhaustively; in a larger one each class meets the node's pivot, chosen by hash. A pair whose two-bit sketches allow the
 threshold is confirmed on its full sets, from the texts. Confirmed components are contracted: a node of one component has no
 more to show, which keeps large groups of near copies from being compared all with all. In a large node that still
-holds several components, the members outside of its greatest one meet all others if they are LEAF at most; if they are
-more, the node branches DEPTH levels further, down to MOST_DEPTH, where the rest is compared in that way.
+holds several components, the members outside of its greatest one first meet one of its members; then those that no link has
+brought in meet all others if they are LEAF at most; if they are more, the node branches DEPTH levels further, down to
+MOST_DEPTH, where the rest is compared in that way.
 
 At similarity 0.85 a tree follows a pair to depth 3 with chance 0.87 (at 0.8: 0.8), so six trees miss less than one pair in 10,000.
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, batch_of, map_batches, mixed, small, stored, table
+from .common import LOWER, UPPER, batch_of, map_batches, mixed, settled, small, stored, table
 from .components import components, labelled
 
 SHINGLE, COORDINATES, LEAF = 5, 128, 32
@@ -183,6 +184,13 @@ def _mixed_nodes(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return stored(rows.join(live, "node").select("node", "id", "comp", "n", (F.col("h") == F.col("least")).alias("pivot")))
 
 
+def _mains(rows: DataFrame) -> DataFrame:
+    """node, main (its greatest component), inside (how many members that has) and drawn, one of them by hash."""
+    sizes = rows.groupBy("node", "comp").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "node", F.lit(1))).alias("drawn"))
+    return (sizes.groupBy("node").agg(F.max(F.struct("n", "comp", "drawn")).alias("main"))
+            .select("node", F.col("main.comp").alias("main"), F.col("main.n").alias("inside"), F.col("main.drawn").alias("drawn")))
+
+
 def near_duplicates(docs: DataFrame, least: tuple[int, int] = (85, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included) and kept, for each of docs."""
     sets, most = stored(sets_of(docs)), sketch_differences(least)
@@ -195,23 +203,28 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = (85, 100)) -> Data
     rows = _mixed_nodes(_nodes(classes, TREES, DEPTH), None)
     leaf, large = with_sketch(rows.where(F.col("n") <= LEAF)), with_sketch(rows.where(F.col("n") > LEAF))
     pairs = _pairs(leaf, leaf, ["node"], most).union(_pairs(large.where("pivot"), large, ["node"], most))
-    links = stored(confirmed(pairs, classes, docs, least, repeated))
-    found = components(links, hashed=True)
+    linked = lambda met: settled(lambda: confirmed(met, classes, docs, least, repeated))
+    found = settled(lambda: components(linked(pairs), hashed=True))
+
+    def united(found: DataFrame, met: DataFrame) -> DataFrame:
+        """found with the links among the pairs that met."""
+        links = linked(met)
+        if not links.limit(1).count():
+            return found
+        return settled(lambda: components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links), hashed=True))
 
-    rows, depth, pairs = _mixed_nodes(rows.where(F.col("n") > LEAF).select("node", "id"), found), DEPTH, None
+    rows, depth = _mixed_nodes(rows.where(F.col("n") > LEAF).select("node", "id"), found), DEPTH
     while rows.limit(1).count():
-        greatest = (rows.groupBy("node", "comp").count().groupBy("node").agg(F.max(F.struct("count", "comp")).alias("main"))
-                    .select("node", F.col("main.comp").alias("main"), F.col("main.count").alias("inside")))
-        rows = stored(rows.join(stored(greatest), "node"))
-        settled = (F.col("n") - F.col("inside") <= LEAF) | F.lit(depth >= MOST_DEPTH)
-        ready = with_sketch(rows.where(settled))
-        own = _pairs(ready.where("comp != main"), ready, ["node"], most)
-        pairs = own if pairs is None else pairs.union(own)
-        below = rows.where(~settled).select("node", "id").join(classes.select("id", "tokens"), "id")
+        mains = stored(_mains(rows))
+        outside = with_sketch(rows.join(mains.select("node", "main"), "node").where("comp != main"))
+        found = united(found, _pairs(with_sketch(mains.select("node", F.col("drawn").alias("id"), F.col("main").alias("comp"))), outside, ["node"], most))
+        rows = _mixed_nodes(rows.select("node", "id"), found)
+        rows = stored(rows.join(stored(_mains(rows)), "node"))
+        done = (F.col("n") - F.col("inside") <= LEAF) | F.lit(depth >= MOST_DEPTH)
+        ready = with_sketch(rows.where(done))
+        found = united(found, _pairs(ready.where("comp != main"), ready, ["node"], most))
+        below = rows.where(~done).select("node", "id").join(classes.select("id", "tokens"), "id")
         rows, depth = _mixed_nodes(_nodes(below, None, DEPTH), found), depth + DEPTH
-    if pairs is not None:
-        links = stored(links.union(confirmed(pairs, classes, docs, least, repeated)))
-        found = components(links, hashed=True)
 
     grouped = labelled(classes.select("id", "first"), found)
     least_doc = grouped.groupBy("comp").agg(F.min("first").alias("component_id"))

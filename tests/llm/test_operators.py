@@ -388,6 +388,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(got[i]["n_shingles"] == len(sets[i]) and got[i]["kept"] == (got[i]["component_id"] == i) for i in got)
 
 
+def test_near_duplicates_leave_no_candidates_behind(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(2000)]
+    base, texts = list(rng.choice(words, 150)), []
+    for _ in range(60):
+        own = list(base)
+        for at in rng.integers(0, 150, rng.integers(0, 8)):
+            own[at] = rng.choice(words)
+        texts.append(" ".join(own))
+    got = near.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    sets = [set(near.shingle_set(t).tolist()) for t in texts]
+    links = [(a, b) for a in range(60) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert [r["component_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == union_find(60, links)
+    assert not [f for f in tmp_path.iterdir() if spark.read.parquet(str(f)).columns == ["id", "doc_id"]]
+
+
 def test_near_duplicates_odd(odd, empty):
     got = near.near_duplicates(odd).collect()
     assert len(got) == odd.count() and near.near_duplicates(empty).count() == 0
