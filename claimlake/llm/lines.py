@@ -35,6 +35,8 @@ SHINGLE, BANDS, ROWS = 5, 21, 4
 LEAF, SPLITS, NARROW, DEPTH = 64, 9, 2, 2
 HASHES, SKETCH = BANDS * ROWS + DEPTH * SPLITS * NARROW, 4
 SKETCHES = [f"s{k}" for k in range(SKETCH)]
+#: Longs with the parities of a line, 64 in each.
+PARITIES = [f"p{k}" for k in range(16)]
 LEAST = (75, 100)
 #: Shingles of a line that are counted, about, at least, where a rung leaves some out.
 COUNTED = 256
@@ -191,6 +193,31 @@ def _alike(pairs: DataFrame, signed: DataFrame, least: tuple[int, int]) -> DataF
     return met.where(_differ(least)).select("a", "b")
 
 
+def parities(texts: DataFrame) -> DataFrame:
+    """id, n (distinct shingles) and p0, p1, ... of each line: a bit is set where an odd number of its distinct shingles fall."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, lines, many = batch.column("id").to_numpy(), batch.column("line").to_pylist(), 64 * len(PARITIES)
+            for start, end in _runs(lines, RUN):
+                sets = list(_sets(dict(zip(ids[start:end].tolist(), lines[start:end]))).values())
+                odd = np.array([np.bincount((s & np.uint64(many - 1)).astype(np.int64), minlength=many) & 1 for s in sets], np.uint8)
+                words = np.packbits(odd, axis=1, bitorder="little").view("<i8")
+                yield batch_of(id=ids[start:end], n=np.array(list(map(len, sets)), np.int64), **{c: np.ascontiguousarray(words[:, k]) for k, c in enumerate(PARITIES)})
+
+    return texts.select("id", "line").mapInArrow(run, f"id long, n long, {', '.join(f'{c} long' for c in PARITIES)}")
+
+
+def _possible(pairs: DataFrame, odd: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Of pairs (a, b) those that parities and sizes allow.
+
+    Two sets differ in as many shingles as they have differing parities, at least; at similarity s in (1 - s) / (1 + s) of both their sizes, at most.
+    """
+    one, two = (odd.withColumnsRenamed({"id": c} | {k: f"{c}_{k}" for k in ("n", *PARITIES)}) for c in "ab")
+    differ = " + ".join(f"bit_count(a_{k} ^ b_{k})" for k in PARITIES)
+    met = pairs.join(one, "a").join(two, "b")
+    return met.where(f"greatest({differ}, abs(a_n - b_n)) * {least[1] + least[0]} <= (a_n + b_n) * {least[1] - least[0]}").select("a", "b")
+
+
 def _linked(pairs: DataFrame, lines: DataFrame, least: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of lines whose full shingle sets reach intersection / union >= least."""
     def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -210,6 +237,7 @@ def _linked(pairs: DataFrame, lines: DataFrame, least: tuple[int, int]) -> DataF
 
     pairs = stored(pairs.distinct())
     texts = stored(lines.select("id", "line").join(_ends(pairs), "id", "left_semi").dropDuplicates(["id"]))
+    pairs = stored(_possible(pairs, small(stored(parities(texts)), BROADCAST_LINES), least))
     one, two = (texts.toDF(*own) for own in (("a", "one"), ("b", "two")))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(confirm, "a long, b long")
 
@@ -228,22 +256,22 @@ def _mixed(rows: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _across(ready: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b, rung) of a line outside of its group's greatest component and one of another component, whose sketches allow the similarity.
+    """Pairs (a, b) of a line outside of its group's greatest component and one of another component, whose sketches allow the similarity.
 
     They are compared where they meet: pairs that don't pass, which grow with the square of a group's size, are never dealt or written.
     """
     others, all_ = (ready.withColumnsRenamed({k: f"{c}_{k}" for k in SKETCHES}) for c in "ab")
     others = others.where("comp != main").select("band", F.col("id").alias("other"), F.col("comp").alias("other_comp"), *(f"a_{k}" for k in SKETCHES))
-    return others.join(all_, "band").where("comp != other_comp").where(_differ(least)).select(*_pair("id", "other"), "rung")
+    return others.join(all_, "band").where("comp != other_comp").where(_differ(least)).select(*_pair("id", "other"))
 
 
 def line_components(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """id and component of the lines that are similar to another one."""
     signed = stored(signatures(lines, least))
     with_pivot = lambda rows: rows.where("id != pivot").select(*_pair("id", "pivot"), "rung")
-    linked = lambda pairs: settled(lambda: _linked(_alike(pairs, signed, least), lines, least))
+    alike = lambda rows: _alike(with_pivot(rows), signed, least)
     rows = _with_pivots(signed)
-    links = linked(with_pivot(rows))
+    links = settled(lambda: _linked(alike(rows), lines, least))
     found, rows = settled(lambda: components(links, hashed=True)), rows.select("band", "id", "rung")
     for depth in range(DEPTH + 1):
         rows = settled(lambda: _mixed(rows, signed, found))  # noqa: B023
@@ -254,8 +282,7 @@ def line_components(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFra
         more = rows.where(large).select("band", "id", "rung")
         rows = stored(_narrower(more, signed, min(depth, DEPTH - 1)))
         pivots = rows.groupBy("band").agg(F.min("id").alias("pivot"))
-        pairs = pairs.union(with_pivot(rows.join(pivots, "band")))
-        links = linked(pairs)
+        links = settled(lambda: _linked(pairs.union(alike(rows.join(pivots, "band"))), lines, least))  # noqa: B023
         found = settled(lambda: components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links), hashed=True))  # noqa: B023
     return found
 

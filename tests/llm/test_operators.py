@@ -237,6 +237,20 @@ def test_splits_keep_similar_lines_together(spark):
         assert sum(keys[k].isdisjoint(keys[k + 1]) for k in range(0, 800, 2)) <= 3
 
 
+def test_parities_leave_out_unlike_lines_only(spark):
+    """Of pairs below 0.75 hardly one is left whose texts would have to meet; of those from 0.75 on none is missing."""
+    rng, rows = np.random.default_rng(5), []
+    for k in range(60):
+        own = "".join(rng.choice(list("abcdefghijklmnop"), 400))
+        rows += [(2 * k, own), (2 * k + 1, own[:400 - 3 * k] + "".join(rng.choice(list("qrstuvwxyz"), 3 * k)))]
+    texts = spark.createDataFrame(rows, "id long, line string")
+    pairs = spark.createDataFrame([(a, a - 1) for a in range(1, 120, 2)], "a long, b long")
+    left = {r["a"] for r in lines._possible(pairs, lines.parities(texts), lines.LEAST).collect()}
+    sets = [set(t[i:i + lines.SHINGLE] for i in range(len(t) - lines.SHINGLE + 1)) for _, t in rows]
+    similar = {a for a in range(1, 120, 2) if 100 * len(sets[a] & sets[a - 1]) >= 75 * len(sets[a] | sets[a - 1])}
+    assert similar <= left and 10 < len(similar) and len(left - similar) <= 6 and len(left) < 45
+
+
 def test_lines_odd(odd, empty):
     got = lines.dedup_lines(odd).collect()
     assert len(got) == odd.count() and lines.dedup_lines(empty).count() == 0
