@@ -11,7 +11,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimlake.llm.common import shared_folder, stored, table
+from claimlake.llm.common import shared_folder, small, stored, table
 from claimlake.llm.language import classify, learn
 from claimlake.llm.leaks import find_leaks
 from claimlake.llm.lines import dedup_lines
@@ -22,6 +22,8 @@ from claimlake.llm.packing import pack
 LEAST_CHANCE = 0.5
 #: Similarity of near-duplicates, as a fraction.
 NEAR = (80, 100)
+#: Keys of rows that go up to which they are sent to all executors; more meet the rows by a shuffle.
+BROADCAST_ROWS = 300_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of similar lines stays in the corpus; a document whose lines all went, goes."""
-    found = dedup_lines(docs.select("*", F.struct("*").alias("own_")))
+    found = dedup_lines(docs.select("doc_id", "text", F.struct(*(c for c in docs.columns if c != "text")).alias("own_")))
     text = found["text"]
     fields = [text if c == "text" else F.length(text).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"own_.{c}") for c in docs.columns]
     return found.where("n_kept > 0 or n_lines = 0").select(*fields)
@@ -50,17 +52,21 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = stored(found.groupBy("near_key").agg(F.min("component_id").alias("comp"), F.max("n_shingles").alias("n"), F.count("*").alias("rows")))
     places = docs.select(key, F.struct("doc_id", F.xxhash64("text")).alias("place")).distinct()
     first = F.min_by(F.struct("near_key", "rows"), "place").alias("first")
-    stay = own.where("n > 0").join(places, "near_key").groupBy("comp").agg(first).select("first.near_key", (F.col("first.rows") > 1).alias("once"))
-    stay = stored(stay.union(own.where("n = 0").select("near_key", F.lit(False))))
-    kept = docs.select("*", key).join(stay, "near_key")
+    stay = stored(own.where("n > 0").join(places, "near_key").groupBy("comp").agg(first).select("first.near_key", (F.col("first.rows") > 1).alias("once")))
+    # What goes is often little, and then no text has to be dealt.
+    not_once = own.where("n > 0").select("near_key").join(stay.where("not once"), "near_key", "left_anti")
+    once = small(stored(stay.where("once").select("near_key")), BROADCAST_ROWS)
+    keyed = docs.select("*", key)
+    kept = keyed.join(small(stored(not_once), BROADCAST_ROWS), "near_key", "left_anti")
     order = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
-    one = kept.where("once").groupBy("near_key").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
-    return kept.where("not once").select(*docs.columns).union(one)
+    one = keyed.join(once, "near_key", "left_semi").groupBy("near_key").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
+    return kept.select(*docs.columns).union(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id"), "text_hash").distinct()
+    leaks = small(stored(leaks), BROADCAST_ROWS)
     return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak_id"]) & (F.xxhash64(docs["text"]) == leaks["text_hash"]), "left_anti")
 
 

@@ -32,6 +32,13 @@ def test_empty_and_odd(spark, folder):
             stage(spark, own, folder).collect()
 
 
+def test_texts_are_not_dealt_where_few_rows_go(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for stage in (pipeline.near, pipeline.decontamination):
+        plan = stage(spark, docs, folder)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def test_near_keeps_one_of_repeated_rows(spark, folder):
     text = " ".join(f"word{k}" for k in range(60))
     other = " ".join(f"other{k}" for k in range(60))
