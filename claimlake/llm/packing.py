@@ -108,9 +108,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, m
         encoder = tokens.encoder(vocabulary)
         packer = SumOfSquares(window, TaskContext.get().partitionId() << 40, most_open)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                texts = encoder.encode(batch.column("text")[at:at + 500].to_pylist())
-                for doc_id, ids in zip(batch.column("doc_id")[at:at + 500].to_pylist(), texts):
+            for start, end in tokens.portions(batch.column("text")):
+                texts = encoder.encode(batch.column("text")[start:end].to_pylist())
+                for doc_id, ids in zip(batch.column("doc_id")[start:end].to_pylist(), texts):
                     packer.add(doc_id, np.frombuffer(ids, encoder.dtype))
             yield packer.rows()
         packer.finish()

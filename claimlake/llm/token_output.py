@@ -47,8 +47,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, fram
 
         for batch in batches:
             texts = batch.column("text")
-            for at in range(0, batch.num_rows, 500):
-                for doc_id, ids in zip(batch.column("doc_id")[at:at + 500].to_pylist(), encoder.encode(texts[at:at + 500].to_pylist())):
+            for start, end in tokens.portions(texts):
+                for doc_id, ids in zip(batch.column("doc_id")[start:end].to_pylist(), encoder.encode(texts[start:end].to_pylist())):
                     doc_ids.append(doc_id)
                     packed.append(ids)
                     size += len(ids)

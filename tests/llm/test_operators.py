@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -179,6 +180,22 @@ def test_encoder_equals_the_library(spark, folder):
     assert [np.frombuffer(p, encoder.dtype).tolist() for p in encoder.encode(texts)] == [ids_of(t) for t in texts]
 
 
+def test_encoder_meets_new_words_once(monkeypatch):
+    """Words of letters go without the normalizer, in one piece each, and have the library's ids; portions leave no text out."""
+    rng, letters = np.random.default_rng(7), list("abcdeéßñçÿœǆɐʼ'ªº")
+    words = ["".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words, 40)).replace(" ", ", ", 5) for _ in range(300)] + ["", None, "İI Éa\r\nb\u2003c", "a" * 3000]
+    encoder = tokens.Encoder(tokens.vocabulary())
+    asked = []
+    whole = encoder._chunks
+    monkeypatch.setattr(encoder, "_chunks", lambda chunks: asked.extend(chunks) or whole(chunks))
+    assert [np.frombuffer(p, encoder.dtype).tolist() for p in encoder.encode(texts)] == [ids_of(t) for t in texts]
+    assert asked and not any(c.isalpha() for c in asked)
+    monkeypatch.setattr(tokens, "PORTION", 500)
+    runs = list(tokens.portions(pa.array(texts)))
+    assert [k for a, b in runs for k in range(a, b)] == list(range(len(texts))) and len(runs) > 50 and list(tokens.portions(pa.array([], pa.string()))) == []
+
+
 # 3: lines
 def line_groups(texts: list[str]) -> list[int]:
     sets = [{t[i:i + lines.SHINGLE] for i in range(max(1, len(t) - lines.SHINGLE + 1))} for t in texts]
