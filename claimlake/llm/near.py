@@ -4,8 +4,8 @@ A document's set is that of its five-word shingles. Documents of one set are one
 COORDINATES minwise tokens. In each of TREES independent trees a class stands at the root; every node chooses one or two
 coordinates, and for each of them the class goes on to the child named by the node, the coordinate and its token there. Two
 classes of similarity s follow the same branch with chance s. After DEPTH levels, nodes of up to LEAF classes are compared
-exhaustively; in a larger one each class meets the node's pivot, chosen by hash. A pair whose two-bit sketches allow the
-threshold is confirmed on its full sets, from the texts. Confirmed components are contracted: a node of one component has no
+exhaustively; in a larger one each class meets the node's pivot, chosen by hash. A pair whose two-bit sketches and parities allow
+the threshold is confirmed on its full sets, from the texts; parities never rule out a pair that has it. Confirmed components are contracted: a node of one component has no
 more to show, which keeps large groups of near copies from being compared all with all. In a large node that still
 holds several components, the members outside of its greatest one first meet one of its members; then those that no link has
 brought in meet all others if they are LEAF at most; if they are more, the node branches DEPTH levels further, down to
@@ -32,6 +32,10 @@ from .components import components, labelled
 
 SHINGLE, COORDINATES, LEAF = 5, 128, 32
 TREES, DEPTH, MOST_DEPTH = 6, 3, 9
+#: Longs with the parities of a set, 64 in each.
+PARITIES = [f"p{k}" for k in range(8)]
+#: What a class brings to a comparison.
+SKETCH = ["s0", "s1", "s2", "s3", "size", *PARITIES]
 #: Classes up to which the list of those to confirm is sent to all executors; more meet the texts by a shuffle.
 BROADCAST_CLASSES = 100_000
 _CASE = str.maketrans(UPPER, LOWER)
@@ -80,6 +84,13 @@ def _sketch(tokens: np.ndarray) -> list[int]:
     return [int(np.bitwise_or.reduce(b.astype(np.uint64) << np.arange(0, 64, 2, dtype=np.uint64)).astype(np.int64)) for b in bits.reshape(4, 32)]
 
 
+def _parities(shingles: np.ndarray) -> list[int]:
+    """A bit is set where an odd number of shingles fall."""
+    many = 64 * len(PARITIES)
+    odd = np.bincount((shingles & np.uint64(many - 1)).astype(np.int64), minlength=many) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def _children(tokens: np.ndarray, nodes: np.ndarray, depth: int) -> np.ndarray:
     """The nodes of a class `depth` levels below nodes: each chooses one coordinate, and a second one in part of the cases."""
     wide = tokens.astype(np.uint64)
@@ -93,20 +104,23 @@ def _children(tokens: np.ndarray, nodes: np.ndarray, depth: int) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, id (the set's fingerprint; null if empty), s0..s3 (sketch) and tokens."""
+    """doc_id, n_shingles, id (the set's fingerprint; null if empty), s0..s3 (sketch), p0..p7 (parities) and tokens."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, ids, sketches, tokens = [], [], [], []
+        sizes, ids, sketches, parities, tokens = [], [], [], [], []
         for text in batch.column("text").to_pylist():
             own = shingle_set(text)
             best = _tokens(own) if len(own) else None
             sizes.append(len(own))
             ids.append(int(np.int64(np.uint64(xxhash.xxh64_intdigest(own.tobytes())))) if len(own) else None)
             sketches.append(_sketch(best) if len(own) else [None] * 4)
+            parities.append(_parities(own) if len(own) else [None] * len(PARITIES))
             tokens.append(best.tobytes() if len(own) else None)
         return batch_of(doc_id=batch.column("doc_id"), n_shingles=pa.array(sizes, pa.int64()), id=pa.array(ids, pa.int64()),
-                        **{f"s{k}": pa.array([s[k] for s in sketches], pa.int64()) for k in range(4)}, tokens=pa.array(tokens, pa.binary()))
+                        **{f"s{k}": pa.array([s[k] for s in sketches], pa.int64()) for k in range(4)},
+                        **{c: pa.array([p[k] for p in parities], pa.int64()) for k, c in enumerate(PARITIES)}, tokens=pa.array(tokens, pa.binary()))
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, id long, s0 long, s1 long, s2 long, s3 long, tokens binary")
+    fields = ", ".join(f"{c} long" for c in ("doc_id", "n_shingles", "id", "s0", "s1", "s2", "s3", *PARITIES))
+    return map_batches(docs.select("doc_id", "text"), run, f"{fields}, tokens binary")
 
 
 def _nodes(rows: DataFrame, trees: int | None, depth: int) -> DataFrame:
@@ -129,16 +143,24 @@ def sketch_differences(least: tuple[int, int]) -> int:
     return int(COORDINATES * chance + 4.5 * (COORDINATES * chance * (1 - chance)) ** 0.5)
 
 
-def _may_link(a: str, b: str, most: int) -> Column:
+def _may_link(a: str, b: str, least: tuple[int, int]) -> Column:
+    """Whether sketches and parities allow a link.
+
+    Two sets differ in as many shingles as they have differing parities, at least; at similarity s in (1 - s) / (1 + s) of both their sizes, at most.
+    """
     differ = lambda x: F.bit_count((x.bitwiseOR(F.shiftright(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
-    return sum((differ(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(1, 4)), differ(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0")))) <= most
+    xor = lambda c: F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))
+    one, two = F.col(f"{a}.size"), F.col(f"{b}.size")
+    odd = F.greatest(sum((F.bit_count(xor(c)) for c in PARITIES[1:]), F.bit_count(xor(PARITIES[0]))), F.abs(one - two))
+    return ((sum((differ(xor(f"s{k}")) for k in range(1, 4)), differ(xor("s0"))) <= sketch_differences(least))
+            & (odd * (least[1] + least[0]) <= (one + two) * (least[1] - least[0])))
 
 
-def _pairs(left: DataFrame, right: DataFrame, on: list[str], most: int) -> DataFrame:
-    """Pairs of different components in the same cell whose sketches allow a link."""
+def _pairs(left: DataFrame, right: DataFrame, on: list[str], least: tuple[int, int]) -> DataFrame:
+    """Pairs of different components in the same cell whose sketches and parities allow a link."""
     a, b = left.alias("a"), right.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
-    met = a.join(b, [*same, F.col("a.comp") != F.col("b.comp"), _may_link("a", "b", most)])
+    met = a.join(b, [*same, F.col("a.comp") != F.col("b.comp"), _may_link("a", "b", least)])
     return met.select(F.greatest("a.id", "b.id").alias("a"), F.least("a.id", "b.id").alias("b"))
 
 
@@ -193,16 +215,16 @@ def _mains(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, least: tuple[int, int] = (85, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included) and kept, for each of docs."""
-    sets, most = stored(sets_of(docs)), sketch_differences(least)
-    classes = stored(sets.where("id is not null").groupBy("id")
-                     .agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("s0", "s1", "s2", "s3", "tokens"))))
+    sets = stored(sets_of(docs))
+    classes = stored(sets.where("id is not null").withColumnRenamed("n_shingles", "size").groupBy("id")
+                     .agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in (*SKETCH, "tokens"))))
     repeated = sets.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    sketch = classes.select("id", "s0", "s1", "s2", "s3")
+    sketch = classes.select("id", *SKETCH)
     with_sketch = lambda rows: rows.join(sketch, "id")
 
     rows = _mixed_nodes(_nodes(classes, TREES, DEPTH), None)
     leaf, large = with_sketch(rows.where(F.col("n") <= LEAF)), with_sketch(rows.where(F.col("n") > LEAF))
-    pairs = _pairs(leaf, leaf, ["node"], most).union(_pairs(large.where("pivot"), large, ["node"], most))
+    pairs = _pairs(leaf, leaf, ["node"], least).union(_pairs(large.where("pivot"), large, ["node"], least))
     linked = lambda met: settled(lambda: confirmed(met, classes, docs, least, repeated))
     found = settled(lambda: components(linked(pairs), hashed=True))
 
@@ -217,12 +239,12 @@ def near_duplicates(docs: DataFrame, least: tuple[int, int] = (85, 100)) -> Data
     while rows.limit(1).count():
         mains = stored(_mains(rows))
         outside = with_sketch(rows.join(mains.select("node", "main"), "node").where("comp != main"))
-        found = united(found, _pairs(with_sketch(mains.select("node", F.col("drawn").alias("id"), F.col("main").alias("comp"))), outside, ["node"], most))
+        found = united(found, _pairs(with_sketch(mains.select("node", F.col("drawn").alias("id"), F.col("main").alias("comp"))), outside, ["node"], least))
         rows = _mixed_nodes(rows.select("node", "id"), found)
         rows = stored(rows.join(stored(_mains(rows)), "node"))
         done = (F.col("n") - F.col("inside") <= LEAF) | F.lit(depth >= MOST_DEPTH)
         ready = with_sketch(rows.where(done))
-        found = united(found, _pairs(ready.where("comp != main"), ready, ["node"], most))
+        found = united(found, _pairs(ready.where("comp != main"), ready, ["node"], least))
         below = rows.where(~done).select("node", "id").join(classes.select("id", "tokens"), "id")
         rows, depth = _mixed_nodes(_nodes(below, None, DEPTH), found), depth + DEPTH
 

@@ -436,6 +436,22 @@ def test_near_duplicates_leave_no_candidates_behind(spark, monkeypatch, tmp_path
     assert not [f for f in tmp_path.iterdir() if spark.read.parquet(str(f)).columns == ["id", "doc_id"]]
 
 
+def test_pairs_below_the_threshold_are_not_made(spark):
+    """Parities leave out nearly all pairs of a group that lie below the threshold, and none that reach it."""
+    rng, words = np.random.default_rng(8), [f"w{k}" for k in range(5000)]
+    texts = []
+    for k in range(80):
+        own = list(rng.choice(words, 400))
+        texts += [" ".join(own), " ".join(own[:400 - 2 * k] + list(rng.choice(words, 2 * k)))]
+    sets = near.sets_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sets = sets.withColumnsRenamed({"n_shingles": "size"}).selectExpr("*", "doc_id div 2 node", "id comp").localCheckpoint()
+    left = {frozenset(r) for r in near._pairs(sets, sets, ["node"], (85, 100)).collect()}
+    ids = {r["doc_id"]: r["id"] for r in sets.collect()}
+    full = [set(near.shingle_set(t).tolist()) for t in texts]
+    similar = {frozenset((ids[k], ids[k + 1])) for k in range(0, 160, 2) if ids[k] != ids[k + 1] and 100 * len(full[k] & full[k + 1]) >= 85 * len(full[k] | full[k + 1])}
+    assert similar <= left and len(similar) > 10 and len(left - similar) <= 4
+
+
 def test_near_duplicates_odd(odd, empty):
     got = near.near_duplicates(odd).collect()
     assert len(got) == odd.count() and near.near_duplicates(empty).count() == 0
