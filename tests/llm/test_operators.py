@@ -452,6 +452,24 @@ def test_pairs_below_the_threshold_are_not_made(spark):
     assert similar <= left and len(similar) > 10 and len(left - similar) <= 4
 
 
+def test_near_nodes_of_unlike_texts_do_not_branch(spark, monkeypatch):
+    """Texts of one large group that reach the threshold with few others are met in its nodes, and no rows are made further down."""
+    rng, words = np.random.default_rng(9), [f"w{k}" for k in range(5000)]
+    base, texts, below = list(rng.choice(words, 300)), [], []
+    for _ in range(80):
+        own = list(base)
+        for at in rng.choice(300, 15, replace=False):
+            own[at] = rng.choice(words)
+        texts += [" ".join(own), " ".join([*own[:-1], "end"])]
+    nodes = near._nodes
+    monkeypatch.setattr(near, "_nodes", lambda rows, trees, depth: (found := nodes(rows, trees, depth), trees or below.append(found.count()))[0])
+    got = near.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    sets = [set(near.shingle_set(t).tolist()) for t in texts]
+    links = [(a, b) for a in range(160) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert [r["component_id"] for r in sorted(got, key=lambda r: r["doc_id"])] == union_find(160, links)
+    assert sum(below) == 0
+
+
 def test_near_duplicates_odd(odd, empty):
     got = near.near_duplicates(odd).collect()
     assert len(got) == odd.count() and near.near_duplicates(empty).count() == 0
