@@ -19,12 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import batch_of, table
+from .tokens import portions
 
 BUCKETS = 1 << 15
 #: About so many labelled documents, chosen by the hash of their doc_id, are learned from, and so many languages at most.
 LEARN_FROM, LANGUAGES = 20_000, 512
 _UNIT = 4096  # parts of a log probability
 _STEP = 1 << 20  # characters at a time
+_ROWS = 1 << 16  # rows of the matrix added up at a time
 _letters: list[np.ndarray] = []
 
 
@@ -52,6 +54,13 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate([(h ^ h >> np.uint32(16)) * np.uint32(0x45D9F3B) >> np.uint32(32 - BUCKETS.bit_length() + 1) for h in (pairs, triples)]).astype(np.int64)
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
+    """The texts of a batch, of which a portion at a time become Python values."""
+    column = batch.column("text")
+    for start, end in portions(column):
+        yield from column[start:end].to_pylist()
+
+
 def learn(docs: DataFrame, learn_from: int = LEARN_FROM) -> tuple[list[str], np.ndarray]:
     """The languages in order and their matrix, from documents that have a lang and aren't held out."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -60,7 +69,7 @@ def learn(docs: DataFrame, learn_from: int = LEARN_FROM) -> tuple[list[str], np.
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for lang, text in zip(batch.column("lang").to_pylist(), _texts(batch)):
                 own = sums.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
                 own[-1] += 1
                 for at in range(0, len(text or ""), _STEP):
@@ -92,12 +101,13 @@ def classify(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame
         names, logs = model.value
         for batch in batches:
             preds, scores = [], []
-            for text in batch.column("text").to_pylist():
+            for text in _texts(batch):
                 total, seen = np.zeros(len(names), np.int64), 0
                 for at in range(0, len(text or "") if names else 0, _STEP):
                     own = grams(text[at:at + _STEP])
                     seen += len(own)
-                    total += logs.take(own, axis=0).sum(axis=0, dtype=np.int64)
+                    for k in range(0, len(own), _ROWS):
+                        total += logs.take(own[k:k + _ROWS], axis=0).sum(axis=0, dtype=np.int64)
                 if not seen:
                     preds.append("und")
                     scores.append(0.0)

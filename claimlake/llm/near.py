@@ -39,6 +39,8 @@ OUTSIDE = 4096
 PARITIES = [f"p{k}" for k in range(8)]
 #: What a class brings to a comparison.
 SKETCH = ["s0", "s1", "s2", "s3", "size", *PARITIES]
+#: Words whose hashes a worker keeps; beyond that it starts anew.
+KNOWN_WORDS = 200_000
 #: Classes up to which the list of those to confirm is sent to all executors; more meet the texts by a shuffle.
 BROADCAST_CLASSES = 100_000
 _CASE = str.maketrans(UPPER, LOWER)
@@ -58,7 +60,7 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < size:
         return np.array([xxhash.xxh64_intdigest(" ".join(words), 1)], np.uint64)
-    if len(_words) > 500_000:
+    if len(_words) > KNOWN_WORDS:
         _words.clear()
     for w in set(words).difference(_words):
         _words[w] = xxhash.xxh64_intdigest(w)

@@ -20,13 +20,13 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 END_ID = 2
-#: Chunks that a worker keeps; beyond that it starts anew.
-MEMORY = 1_500_000
+#: Chunks that a worker keeps: those met since the last half of so many were full, and that half.
+MEMORY = 400_000
 #: Stands between chunks that are encoded together.
 _MARK = "\x01"
 _RARE = re.compile("[^\x00-ʯ -⁯]")
 #: Bytes of texts that are encoded together, about, and rows.
-PORTION, ROWS = 16_000_000, 10_000
+PORTION, ROWS = 4_000_000, 10_000
 
 
 def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -54,6 +54,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.end = np.array([END_ID], self.dtype).tobytes()
         mark = self.library.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
@@ -112,7 +113,9 @@ class Encoder:
         chunks = own.dictionary.to_numpy(zero_copy_only=False).tolist()
         packed = list(map(known.get, chunks))
         if None in packed:
-            self._learn([c for c, p in zip(chunks, packed) if p is None])
+            missing = [c for c, p in zip(chunks, packed) if p is None]
+            known.update((c, p) for c, p in zip(missing, map(self.older.get, missing)) if p is not None)
+            self._learn([c for c in missing if c not in known])
             packed = list(map(known.__getitem__, chunks))
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // width
         pool, firsts, which = np.frombuffer(b"".join(packed), self.dtype), np.cumsum(sizes) - sizes, own.indices.to_numpy()
@@ -124,8 +127,8 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text with the end id; a null text counts as empty."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
+        if len(self.known) > MEMORY // 2:
+            self.known, self.older = {}, self.known
         self.known[_MARK] = self.end
         plain, rest, where = [], [], []
         for text in texts:

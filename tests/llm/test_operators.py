@@ -196,6 +196,17 @@ def test_encoder_meets_new_words_once(monkeypatch):
     assert [k for a, b in runs for k in range(a, b)] == list(range(len(texts))) and len(runs) > 50 and list(tokens.portions(pa.array([], pa.string()))) == []
 
 
+def test_encoder_keeps_few_chunks(monkeypatch):
+    """The chunks kept are bounded by MEMORY and one portion, those met last are among them, and the ids stay the library's."""
+    monkeypatch.setattr(tokens, "MEMORY", 400)
+    encoder, held = tokens.Encoder(tokens.vocabulary()), []
+    for k in range(30):
+        texts = [f"often {k * 50 + j}x some{j}" for j in range(50)]
+        assert [np.frombuffer(p, encoder.dtype).tolist() for p in encoder.encode(texts)] == [ids_of(t) for t in texts]
+        held.append(len({**encoder.known, **encoder.older}))
+    assert max(held) <= 800 and "often" in encoder.known and encoder.older
+
+
 # 3: lines
 def line_groups(texts: list[str]) -> list[int]:
     sets = [{t[i:i + lines.SHINGLE] for i in range(max(1, len(t) - lines.SHINGLE + 1))} for t in texts]
@@ -508,6 +519,19 @@ def test_language_held_out(spark, folder):
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got) > 0
 
 
+def test_language_takes_few_rows_at_a_time(spark, folder, monkeypatch):
+    """Texts become Python values a portion at a time and rows of the matrix are added up in parts, with the same result."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").union(spark.createDataFrame([(-1, "a long text of words " * 9000, "en")], "doc_id long, text string, lang string"))
+    model = language.learn(docs)
+    whole = sorted(language.classify(docs, *model).select("doc_id", "lang_pred", "score").collect())
+    monkeypatch.setattr(language, "_ROWS", 100)
+    monkeypatch.setattr(tokens, "PORTION", 5000)
+    column = pa.array([r["text"] for r in docs.collect()])
+    runs = list(tokens.portions(column))
+    assert len(runs) > 10 and list(language._texts(pa.record_batch([column], ["text"]))) == column.to_pylist()
+    assert sorted(language.classify(docs, *model).select("doc_id", "lang_pred", "score").collect()) == whole
+
+
 def test_language_odd(odd, empty):
     langs, matrix = language.learn(odd)
     got = {(r["doc_id"], r["text"]): r for r in language.classify(odd, langs, matrix).collect()}
