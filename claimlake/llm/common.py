@@ -52,15 +52,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settled(make: Callable[[], DataFrame]) -> DataFrame:
-    """What make() gives, stored; the files of all steps that make() stored on the way go, so nothing else may read those."""
+def settled(make: Callable[[], DataFrame | tuple[DataFrame, ...]]) -> DataFrame | tuple[DataFrame, ...]:
+    """What make() gives, one table or several, stored; the files of all steps that make() stored on the way go, so nothing else may read those."""
     own: list[str] = []
     outer = _steps.set(own)
     try:
         made = make()
     finally:
         _steps.reset(outer)
-    out, context = stored(made), made.sparkSession.sparkContext
+    out = tuple(map(stored, made)) if isinstance(made, tuple) else stored(made)
+    context = SparkSession.active().sparkContext
     for path in map(context._jvm.org.apache.hadoop.fs.Path, own):
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
     return out

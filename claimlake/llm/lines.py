@@ -156,14 +156,14 @@ def bands(signed: DataFrame, first: int = 0, many: int = BANDS) -> DataFrame:
     return signed.select("id", "rung", _keys(0, many, ROWS, "rung", first=first)).select("band", "id", "rung")
 
 
-def _with_pivots(signed: DataFrame) -> DataFrame:
-    """band, id, rung and pivot, the band's least id, of the bands with several lines. Rows are dealt once, some bands at a time."""
+def _with_pivots(signed: DataFrame) -> list[DataFrame]:
+    """band, id, rung and pivot, the band's least id, of the bands with several lines. Rows are dealt once, and each table has some of the bands."""
     own, parts = Window.partitionBy("band"), []
     for first in range(0, BANDS, PORTION):
         rows = bands(signed, first, min(PORTION, BANDS - first))
         rows = rows.select("*", F.min("id").over(own).alias("pivot"), F.count("*").over(own).alias("n"))
         parts.append(stored(rows.where("n > 1").drop("n")))
-    return reduce(DataFrame.union, parts)
+    return parts
 
 
 def _narrower(rows: DataFrame, signed: DataFrame, depth: int) -> DataFrame:
@@ -270,17 +270,24 @@ def line_components(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFra
     signed = stored(signatures(lines, least))
     with_pivot = lambda rows: rows.where("id != pivot").select(*_pair("id", "pivot"), "rung")
     alike = lambda rows: _alike(with_pivot(rows), signed, least)
-    rows = _with_pivots(signed)
-    links = settled(lambda: _linked(alike(rows), lines, least))
-    found, rows = settled(lambda: components(links, hashed=True)), rows.select("band", "id", "rung")
+    parts = _with_pivots(signed)
+    links = settled(lambda: _linked(alike(reduce(DataFrame.union, parts)), lines, least))
+    found, parts = settled(lambda: components(links, hashed=True)), [p.select("band", "id", "rung") for p in parts]
+
+    def compared(part: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+        """Of the mixed groups of part: the pairs across components of the small ones, and the rows of the large ones."""
+        rows = stored(_mixed(part, signed, found))
+        large = F.col("outside") > (LEAF if depth < DEPTH else 1 << 62)
+        return _across(rows.where(~large), least), rows.where(large).select("band", "id", "rung")
+
     for depth in range(DEPTH + 1):
-        rows = settled(lambda: _mixed(rows, signed, found))  # noqa: B023
-        if not rows.limit(1).count():
+        # Some bands at a time: the rows of mixed groups and their sketches take most disk.
+        done = [settled(lambda: compared(part, depth)) for part in parts]  # noqa: B023
+        pairs, more = (reduce(DataFrame.union, tables) for tables in zip(*done))
+        if not pairs.limit(1).count() and not more.limit(1).count():
             break
-        large = F.col("outside") > (LEAF if depth < DEPTH else 1 << 62)
-        pairs = _across(rows.where(~large), least)
-        more = rows.where(large).select("band", "id", "rung")
         rows = stored(_narrower(more, signed, min(depth, DEPTH - 1)))
+        parts = [rows]
         pivots = rows.groupBy("band").agg(F.min("id").alias("pivot"))
         links = settled(lambda: _linked(pairs.union(alike(rows.join(pivots, "band"))), lines, least))  # noqa: B023
         found = settled(lambda: components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links), hashed=True))  # noqa: B023

@@ -248,6 +248,18 @@ def test_lines_of_usual_length_with_an_edit(spark):
     assert sorted(r["doc_id"] for r in got if r["n_kept"]) == [0, 1, 2]
 
 
+def test_mixed_groups_are_met_some_bands_at_a_time(spark, monkeypatch):
+    """The rows of mixed groups, which take most disk, come in as many tables as the bands are dealt in."""
+    rng, seen = np.random.default_rng(5), []
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(12)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(words, 12))) for k in range(400)], "doc_id long, text string")
+    mixed = lines._mixed
+    monkeypatch.setattr(lines, "_mixed", lambda rows, *a: seen.append(rows.count()) or mixed(rows, *a))
+    lines.dedup_lines(docs).collect()
+    parts = -(-lines.BANDS // lines.PORTION)
+    assert len(seen) >= parts and min(seen[:parts]) > 0 and max(seen[:parts]) < 0.6 * sum(seen[:parts])
+
+
 def test_splits_keep_similar_lines_together(spark):
     rng = np.random.default_rng(4)
     texts = []
