@@ -1,15 +1,17 @@
 """Fuzzy line dedup by MinHash over character shingles.
 
-Lines are cut, banded, joined and united by DataFrame operations; signatures and the exact comparison are numpy inside tasks,
-because hashing every shingle as a row of its own took several times the CPU time allowed (figures in the README).
+Lines are cut, united and put back by DataFrame operations; signatures, the groups of bands and the exact comparison are numpy inside tasks,
+because hashing every shingle as a row of its own, and later every band of a line, took several times the CPU time allowed (figures in the README).
 
 Equal lines are one line (its 64-bit hash). A line's shingles are its runs of SHINGLE characters (code points; a shorter
 line is one shingle), compared by 64-bit hashes. Of a long line's distinct shingles those count whose hash is 0 modulo 4^rung, so that about 256 to 1,024
 do (all, should none be 0); a line near the border of two rungs signs for both, so similar lines share a rung. The signature has HASHES
-least hashes under as many hash functions, the first of them in BANDS bands of ROWS. Within a band's group every line meets the group's least; linked lines
-are united (`components`). Then, in groups that still hold several components, the lines outside of the greatest one meet all others; where they
-are more than LEAF, the group is first split by least hashes that no band and no other split has, SPLITS pairs of them, up to DEPTH times. Pairs whose signatures allow the similarity
-are compared exactly, on all shingles. At Jaccard similarity 0.75 a pair shares a band with chance 0.9997 (0.9992 where 256 shingles count), and each split keeps
+least hashes under as many hash functions, the first of them in BANDS bands of ROWS. Bands are dealt as packed arrays with a sketch of each line, and
+sketches meet in the task that has the whole group: the group's least line meets all others, then the least of those that it isn't like, and so on;
+whoever is like it makes a pair. Linked lines are united (`components`). Then, in groups that still hold several components, the lines outside of
+the greatest one meet all others, by sketch and by parities of all their shingles, in the task as well; where that
+takes more than MET comparisons, the group is first split by least hashes that no band and no other split has, SPLITS pairs of them, up to DEPTH times.
+Pairs that are left are compared exactly, on all shingles. At Jaccard similarity 0.75 a pair shares a band with chance 0.9997 (0.9992 where 256 shingles count), and each split keeps
 it together with chance 0.9994 (0.9992).
 A line is found by an edit of one character from 39 characters on, and of a word of six letters from 74 on.
 
@@ -23,18 +25,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batch_of, mixed, settled, small, stored, table
+from .common import batch_of, counted, mixed, settled, small, stored, table
 from .components import components, labelled
 
 SHINGLE, BANDS, ROWS = 5, 21, 4
-#: Groups with more lines than LEAF outside of their greatest component are split by SPLITS keys of NARROW least hashes of their own, up to DEPTH times.
-LEAF, SPLITS, NARROW, DEPTH = 64, 9, 2, 2
+#: Groups whose lines outside of their greatest component would meet more than MET others are split by SPLITS keys of NARROW least hashes of their own, up to DEPTH times.
+MET, SPLITS, NARROW, DEPTH = 1 << 26, 9, 2, 2
 HASHES, SKETCH = BANDS * ROWS + DEPTH * SPLITS * NARROW, 4
-SKETCHES = [f"s{k}" for k in range(SKETCH)]
+#: Longs with the least hashes of a line, eight in each.
+LEASTS = [f"l{k}" for k in range(HASHES // 8)]
 #: Longs with the parities of a line, 64 in each.
 PARITIES = [f"p{k}" for k in range(16)]
 LEAST = (75, 100)
@@ -42,8 +46,14 @@ LEAST = (75, 100)
 COUNTED = 256
 #: Lines up to which the ids of candidates are sent to all executors; more meet the texts by a shuffle.
 BROADCAST_LINES = 300_000
+#: And those up to which ids alone are.
+BROADCAST_IDS = 1_000_000
 #: Bands whose rows are dealt at a time, which bounds the disk that they take before most of them, with one line each, are left out.
 PORTION = 7
+#: Lines whose bands a task packs at a time, bytes of a packed row, and of those that one task gets, about.
+PACKED, ROW, PART = 1 << 16, 16 + 8 * SKETCH, 16_000_000
+#: Lines of a group that meet all others of it before any is united; comparisons made at a time in a task, and those up to which lines alone in a group look for any that is like them.
+PIVOTS, AT_ONCE, LOOKED = 4096, 1 << 18, 1 << 24
 #: Characters hashed at a time in a task, and those of pairs whose sets are held at a time.
 RUN, HELD = 1 << 16, 1_000_000
 _rng = np.random.default_rng(3)
@@ -117,16 +127,21 @@ def _least_hashes(hashes: np.ndarray, counts: np.ndarray, rungs: np.ndarray) ->
     return np.ascontiguousarray((out * np.uint32(0x9E3779B1) >> np.uint32(24)).T.astype(np.uint8))
 
 
-def _sketches(rows: np.ndarray) -> dict[str, np.ndarray]:
-    """Two bits of each least hash, 32 of them in a long."""
-    lanes = np.zeros((len(rows), SKETCH * 32), np.uint64)
-    lanes[:, :HASHES] = rows & 3
-    words = np.bitwise_or.reduce(lanes.reshape(-1, SKETCH, 32) << np.arange(0, 64, 2, dtype=np.uint64), axis=2)
-    return {f"s{k}": words[:, k].astype(np.int64) for k in range(SKETCH)}
+def _least_of(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """The least hashes of each row, 8 bits each."""
+    return np.column_stack([batch.column(c).to_numpy() for c in LEASTS]).view(np.uint8)
+
+
+def _sketches(rows: np.ndarray) -> np.ndarray:
+    """Two bits of each least hash, 32 of them in a word."""
+    fours = (rows & 3).reshape(len(rows), -1, 4)
+    out = np.zeros((len(rows), SKETCH * 8), np.uint8)
+    out[:, :HASHES // 4] = fours[..., 0] | fours[..., 1] << 2 | fours[..., 2] << 4 | fours[..., 3] << 6
+    return out.view(np.uint64)
 
 
 def signatures(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
-    """id, rung, least hashes and their sketch s0, s1, ... of each line."""
+    """id, rung and least hashes l0, l1, ... of each line."""
     border = 1.001 * least[1] / least[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,59 +153,146 @@ def signatures(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
                 distinct = _distinct(hashes, counts, border)
                 low, high = _rungs(distinct), _rungs(distinct * border)
                 two = low != high
-                rows = np.concatenate([_least_hashes(hashes, counts, low), _least_hashes(hashes[np.repeat(two, counts)], counts[two], high[two])])
+                rows = np.concatenate([_least_hashes(hashes, counts, low), _least_hashes(hashes[np.repeat(two, counts)], counts[two], high[two])]).view(np.int64)
                 yield batch_of(id=np.concatenate([ids[start:end], ids[start:end][two]]), rung=np.concatenate([low, high[two]]).astype(np.int32),
-                               least=pa.array([r.tobytes() for r in rows], pa.binary()), **_sketches(rows))
+                               **{c: np.ascontiguousarray(rows[:, k]) for k, c in enumerate(LEASTS)})
 
-    fields = ", ".join(f"s{k} long" for k in range(SKETCH))
-    return lines.select("id", "line").mapInArrow(run, f"id long, rung int, least binary, {fields}").dropDuplicates(["id", "rung"])
+    # Whole numbers only, as rows with others are made distinct by sorting them.
+    return lines.select("id", "line").mapInArrow(run, f"id long, rung int, {', '.join(f'{c} long' for c in LEASTS)}").dropDuplicates(["id", "rung"])
 
 
-def _keys(at: int, many: int, rows: int, *more: Column | str, first: int = 0) -> Column:
-    """Keys of so many runs of rows least hashes, from run `first` of those on that begin at `at`."""
-    return F.explode(F.array(*(F.xxhash64(*more, F.lit(k), F.substring("least", at + k * rows + 1, rows)) for k in range(first, first + many)))).alias("band")
+def _keys(rows: np.ndarray, at: int, first: int, many: int, own: np.ndarray) -> np.ndarray:
+    """A line of keys for each of so many runs of least hashes, from run `first` of those on that begin at `at`, within what is the rows' own."""
+    width = ROWS if at == 0 else NARROW
+    runs = rows[:, at + first * width:at + (first + many) * width].copy().view(f"<u{width}").T.astype(np.uint64)
+    return mixed(mixed(runs | (np.arange(first, first + many, dtype=np.uint64) << np.uint64(32))[:, None]) ^ own)
 
 
-def bands(signed: DataFrame, first: int = 0, many: int = BANDS) -> DataFrame:
-    """band, id and rung: a key for each of so many bands from the first on."""
-    return signed.select("id", "rung", _keys(0, many, ROWS, "rung", first=first)).select("band", "id", "rung")
+def _keyed(rows: DataFrame, at: int, many: int, own: str) -> DataFrame:
+    """band, id and rung: a row for each of so many runs of least hashes that begin at `at`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _keys(_least_of(batch), at, 0, many, batch.column(own).to_numpy().astype(np.uint64))
+            yield batch_of(band=keys.ravel().view(np.int64), **{c: np.tile(batch.column(c).to_numpy(), many) for c in ("id", "rung")})
+
+    return rows.mapInArrow(run, "band long, id long, rung int")
+
+
+def bands(signed: DataFrame) -> DataFrame:
+    """band, id and rung: a key for each band, as `_grouped` has them."""
+    return _keyed(signed, 0, BANDS, "rung")
+
+
+def _packed(signed: DataFrame, first: int, many: int, parts: int) -> DataFrame:
+    """part and rows: the key, id and sketch of each line in so many bands from the first on, as arrays; equal keys have one part. A sketch's last 16 bits are the rung."""
+    def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        own = pa.Table.from_batches(batches)
+        least, rungs = _least_of(own), own.column("rung").to_numpy().astype(np.uint64)
+        rows = np.empty((many, len(rungs), ROW // 8), np.uint64)
+        rows[..., 0] = _keys(least, 0, first, many, rungs)
+        rows[..., 1] = own.column("id").to_numpy().view(np.uint64)
+        rows[..., 2:] = _sketches(least)
+        rows[..., -1] |= rungs << np.uint64(48)
+        rows = rows.reshape(-1, ROW // 8)
+        part = (rows[:, 0] % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+        rows, counts = rows[np.argsort(part, kind="stable")], np.bincount(part, minlength=parts)
+        own_parts = np.flatnonzero(counts).astype(np.int32)
+        ends = (np.concatenate([[0], np.cumsum(counts[own_parts])]) * ROW).astype(np.int32)
+        return batch_of(part=own_parts, rows=pa.Array.from_buffers(pa.binary(), len(own_parts), [None, pa.py_buffer(ends), pa.py_buffer(rows)]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PACKED:
+                yield packed(held)
+                held = []
+        if sum(b.num_rows for b in held):
+            yield packed(held)
 
-def _with_pivots(signed: DataFrame) -> list[DataFrame]:
-    """band, id, rung and pivot, the band's least id, of the bands with several lines. Rows are dealt once, and each table has some of the bands."""
-    own, parts = Window.partitionBy("band"), []
-    for first in range(0, BANDS, PORTION):
-        rows = bands(signed, first, min(PORTION, BANDS - first))
-        rows = rows.select("*", F.min("id").over(own).alias("pivot"), F.count("*").over(own).alias("n"))
-        parts.append(stored(rows.where("n > 1").drop("n")))
-    return parts
+    return signed.mapInArrow(run, "part int, rows binary").repartitionById(parts, "part")
 
 
-def _narrower(rows: DataFrame, signed: DataFrame, depth: int) -> DataFrame:
-    """Rows (band, id, rung) under the keys of their band and of the least hashes that are this depth's own."""
-    keys = _keys(BANDS * ROWS + depth * SPLITS * NARROW, SPLITS, NARROW, "own")
-    return rows.select("id", "rung", F.col("band").alias("own")).join(signed, ["id", "rung"]).select("id", "rung", keys).select("band", "id", "rung")
+def _most_different(least: tuple[int, int]) -> float:
+    """By how many least hashes sketches may differ: five standard deviations more than those of a similarity of least do."""
+    p = 0.75 * (1 - least[0] / least[1])
+    return HASHES * p + 5 * (HASHES * p * (1 - p)) ** 0.5
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    """The ids of both ends of stored pairs, once."""
-    return small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), BROADCAST_LINES)
+def _differing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """In how many least hashes sketches differ."""
+    x = one ^ two
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
 
 
-def _differ(least: tuple[int, int]) -> str:
-    """Whether the sketches of a and b differ by at most five standard deviations more than a similarity of least has."""
-    p = 0.75 * (1 - least[0] / least[1])
-    other = " + ".join(f"bit_count(((a_{k} ^ b_{k}) | shiftrightunsigned(a_{k} ^ b_{k}, 1)) & 6148914691236517205L)" for k in SKETCHES)
-    return f"{other} <= {HASHES * p + 5 * (HASHES * p * (1 - p)) ** 0.5}"
+def _begins(groups: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]])[:len(groups)])
 
 
-def _alike(pairs: DataFrame, signed: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Of pairs (a, b, rung) those whose signatures allow the similarity."""
-    pairs = stored(pairs.distinct())
-    needed = signed.select("id", "rung", *SKETCHES).join(_ends(pairs), "id", "left_semi")
-    one, two = (needed.withColumnRenamed("id", c).withColumnsRenamed({k: f"{c}_{k}" for k in SKETCHES}) for c in "ab")
-    met = pairs.join(one, ["a", "rung"]).join(two, ["b", "rung"])
-    return met.where(_differ(least)).select("a", "b")
+def _met(counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For rows that meet so many others each: the row, and the number of the other, some at a time."""
+    ends = np.cumsum(counts)
+    for start in range(0, int(ends[-1]) if len(ends) else 0, AT_ONCE):
+        at = np.arange(start, min(start + AT_ONCE, int(ends[-1])))
+        row = np.searchsorted(ends, at, "right")
+        yield row, at - (ends - counts)[row]
+
+
+def _pivots(groups: np.ndarray, sketches: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in groups: each one's pivot, the first row of its group that no earlier pivot is like and that it is like, and whether the row is needed further.
+
+    Needed is who is like any other row of its group by sketch, and whom not all could be compared with.
+    """
+    pivots, live, rounds = np.arange(len(groups)), np.arange(len(groups)), 0
+    while len(live) and rounds < PIVOTS:
+        starts = _begins(groups[live])
+        sizes = np.diff(np.append(starts, len(live)))
+        rest = np.repeat(sizes > 1, sizes)
+        rest[starts] = False
+        pivot, live = np.repeat(live[starts], sizes)[rest], live[rest]
+        near = np.concatenate([_differing(sketches[live[k:k + AT_ONCE]], sketches[pivot[k:k + AT_ONCE]]) <= most for k in range(0, len(live), AT_ONCE)] or [np.zeros(0, bool)])
+        pivots[live[near]], live = pivot[near], live[~near]
+        rounds += 1
+    needed = pivots != np.arange(len(groups))
+    needed[pivots[needed]] = True
+    unmet = np.isin(groups, groups[live])
+    # A pivot that is like nobody left may be like those that went to earlier pivots.
+    size = groups[-1] + 1 if len(groups) else 0
+    alone, like = np.flatnonzero(~needed & ~unmet), np.flatnonzero(needed & ~unmet)
+    of_group = np.bincount(groups[like], minlength=size)
+    unmet |= (np.bincount(groups[alone], minlength=size) * of_group > LOOKED)[groups] & (of_group > 0)[groups]
+    alone = alone[~unmet[alone]]
+    begin = np.searchsorted(groups[like], groups[alone])
+    for row, k in _met(of_group[groups[alone]]):
+        needed[alone[row[_differing(sketches[alone[row]], sketches[like[begin[row] + k]]) <= most]]] = True
+    return pivots, needed | unmet
+
+
+def _grouped(packed: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """band, id, rung and pivot (an id) of the lines that are like another one of their band by sketch."""
+    most = _most_different(least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = b"".join(x for batch in batches for x in batch.column("rows").to_pylist())
+        rows = np.frombuffer(rows, np.uint64).reshape(-1, ROW // 8)
+        order = np.argsort(rows[:, 0])
+        same = rows[order[1:], 0] == rows[order[:-1], 0]
+        rows = rows[order[np.append(same, False)[:len(order)] | np.append(False, same)[:len(order)]]]
+        rows = rows[np.lexsort((rows[:, 1].view(np.int64), rows[:, 0]))]
+        groups = np.zeros(len(rows), np.int64)
+        groups[_begins(rows[:, 0])[1:]] = 1
+        ids, sketches = rows[:, 1].view(np.int64), np.ascontiguousarray(rows[:, 2:])
+        pivots, needed = _pivots(np.cumsum(groups), sketches, most)
+        if needed.any():
+            yield batch_of(band=rows[needed, 0].view(np.int64), id=ids[needed], rung=(rows[needed, -1] >> np.uint64(48)).astype(np.int32), pivot=ids[pivots[needed]])
+
+    return packed.mapInArrow(run, "band long, id long, rung int, pivot long")
+
+
+def _narrower(rows: DataFrame, signed: DataFrame, depth: int) -> DataFrame:
+    """Rows (band, id, rung) under the keys of their band and of the least hashes that are this depth's own."""
+    own = rows.select("id", "rung", F.col("band").alias("own")).join(signed.select("id", "rung", *LEASTS), ["id", "rung"])
+    return _keyed(own, BANDS * ROWS + depth * SPLITS * NARROW, SPLITS, "own")
 
 
 def parities(texts: DataFrame) -> DataFrame:
@@ -212,13 +314,13 @@ def _possible(pairs: DataFrame, odd: DataFrame, least: tuple[int, int]) -> DataF
 
     Two sets differ in as many shingles as they have differing parities, at least; at similarity s in (1 - s) / (1 + s) of both their sizes, at most.
     """
-    one, two = (odd.withColumnsRenamed({"id": c} | {k: f"{c}_{k}" for k in ("n", *PARITIES)}) for c in "ab")
+    one, two = (odd.select("id", "n", *PARITIES).withColumnsRenamed({"id": c} | {k: f"{c}_{k}" for k in ("n", *PARITIES)}) for c in "ab")
     differ = " + ".join(f"bit_count(a_{k} ^ b_{k})" for k in PARITIES)
     met = pairs.join(one, "a").join(two, "b")
     return met.where(f"greatest({differ}, abs(a_n - b_n)) * {least[1] + least[0]} <= (a_n + b_n) * {least[1] - least[0]}").select("a", "b")
 
 
-def _linked(pairs: DataFrame, lines: DataFrame, least: tuple[int, int]) -> DataFrame:
+def _linked(pairs: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of lines whose full shingle sets reach intersection / union >= least."""
     def similar(x: np.ndarray, y: np.ndarray) -> bool:
         if least[1] * min(len(x), len(y)) < least[0] * max(len(x), len(y)):
@@ -235,9 +337,6 @@ def _linked(pairs: DataFrame, lines: DataFrame, least: tuple[int, int]) -> DataF
                 keep = pa.array([similar(sets[a], sets[b]) for a, b, *_ in part], pa.bool_())
                 yield batch.slice(start, end - start).select(["a", "b"]).filter(keep)
 
-    pairs = stored(pairs.distinct())
-    texts = stored(lines.select("id", "line").join(_ends(pairs), "id", "left_semi").dropDuplicates(["id"]))
-    pairs = stored(_possible(pairs, small(stored(parities(texts)), BROADCAST_LINES), least))
     one, two = (texts.toDF(*own) for own in (("a", "one"), ("b", "two")))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(confirm, "a long, b long")
 
@@ -246,51 +345,93 @@ def _pair(one: str, two: str) -> list[Column]:
     return [F.greatest(one, two).alias("a"), F.least(one, two).alias("b")]
 
 
-def _mixed(rows: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of the groups with several components, with comp, the group's greatest component, the number of lines outside of it, and the sketch."""
-    rows = stored(labelled(rows, found))
+def _mixed(rows: DataFrame, features: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the groups with several components, with comp, the group's greatest component, how many comparisons the lines outside of it make, and the features."""
+    rows = stored(labelled(rows.select("band", "id", "rung"), found))
     sizes = rows.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    live = (sizes.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.count("*").alias("comps"))
-            .where("comps > 1").select("band", F.col("main.comp").alias("main"), F.expr("all - main.n").alias("outside")))
-    return rows.join(live, "band").join(signed.select("id", "rung", *SKETCHES), ["id", "rung"])
+    live = (sizes.groupBy("band").agg(F.max("n").alias("most"), F.max_by("comp", "n").alias("main"), F.sum("n").alias("all"), F.count("*").alias("comps"))
+            .where("comps > 1").select("band", "main", F.expr("(all - most) * all").alias("met")))
+    return rows.join(live, "band").join(features, ["id", "rung"])
 
 
 def _across(ready: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of a line outside of its group's greatest component and one of another component, whose sketches allow the similarity.
+    """Pairs (a, b) of a line outside of its group's greatest component and one of another component, that sketches, sizes and parities allow.
 
-    They are compared where they meet: pairs that don't pass, which grow with the square of a group's size, are never dealt or written.
+    They meet in the task that has their group: pairs that don't pass, which grow with the square of a group's size, are never made as rows.
     """
-    others, all_ = (ready.withColumnsRenamed({k: f"{c}_{k}" for k in SKETCHES}) for c in "ab")
-    others = others.where("comp != main").select("band", F.col("id").alias("other"), F.col("comp").alias("other_comp"), *(f"a_{k}" for k in SKETCHES))
-    return others.join(all_, "band").where("comp != other_comp").where(_differ(least)).select(*_pair("id", "other"))
+    most, (num, den) = _most_different(least), least
+
+    def met(own: pa.Table, fresh: int) -> pa.RecordBatch:
+        """Of rows sorted by band, those outside of the greatest component first: the pairs with one of the rows from fresh on."""
+        band, ids, comp, main, n = (own.column(c).to_numpy() for c in ("band", "id", "comp", "main", "n"))
+        sketches, odd = _sketches(_least_of(own)), np.column_stack([own.column(c).to_numpy() for c in PARITIES]).view(np.uint64)
+        begins = _begins(band)
+        ends = np.repeat(np.append(begins[1:], len(band)), np.diff(np.append(begins, len(band))))
+        outside = np.flatnonzero(comp != main)
+        after = np.maximum(outside + 1, fresh)
+        pairs = []
+        for row, k in _met(np.maximum(0, ends[outside] - after)):
+            x, y = outside[row], after[row] + k
+            for passes in (lambda: comp[x] != comp[y], lambda: _differing(sketches[x], sketches[y]) <= most,  # noqa: B023
+                           lambda: np.maximum(np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64), abs(n[x] - n[y])) * (den + num) <= (n[x] + n[y]) * (den - num)):  # noqa: B023
+                keep = passes()
+                x, y = x[keep], y[keep]
+            pairs.append(np.stack([np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])], axis=1))
+        pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        return batch_of(a=np.ascontiguousarray(pairs[:, 0]), b=np.ascontiguousarray(pairs[:, 1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fresh = None, 0
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if held.num_rows - fresh >= PACKED:
+                yield met(held, fresh)
+                # Of the last group, which may go on, the rows outside of the greatest component stay.
+                last = held.column("band")[-1].as_py()
+                held = held.filter(pc.and_(pc.equal(held.column("band"), last), pc.not_equal(held.column("comp"), held.column("main")))).combine_chunks()
+                fresh = held.num_rows
+        if held is not None and held.num_rows > fresh:
+            yield met(held, fresh)
+
+    ready = ready.select("band", "id", "comp", "main", "n", *LEASTS, *PARITIES)
+    return ready.repartition("band").sortWithinPartitions("band", F.col("comp") == F.col("main")).mapInArrow(run, "a long, b long")
 
 
 def line_components(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """id and component of the lines that are similar to another one."""
-    signed = stored(signatures(lines, least))
-    with_pivot = lambda rows: rows.where("id != pivot").select(*_pair("id", "pivot"), "rung")
-    alike = lambda rows: _alike(with_pivot(rows), signed, least)
-    parts = _with_pivots(signed)
-    links = settled(lambda: _linked(alike(reduce(DataFrame.union, parts)), lines, least))
-    found, parts = settled(lambda: components(links, hashed=True)), [p.select("band", "id", "rung") for p in parts]
+    signed, n = counted(signatures(lines, least))
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * PORTION * ROW // PART))
+    groups = [stored(_grouped(_packed(signed, k, min(PORTION, BANDS - k), parts), least)) for k in range(0, BANDS, PORTION)]
+    rows = reduce(DataFrame.union, groups)
+    ids = small(stored(rows.select("id").distinct()), BROADCAST_IDS)
+    texts = stored(lines.select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    odd = stored(parities(texts))
+    features = stored(signed.join(small(odd, BROADCAST_LINES), "id"))
+    exactly = lambda pairs: settled(lambda: _linked(stored(_possible(stored(pairs.distinct()), small(odd, BROADCAST_LINES), least)), texts, least))
+    links = exactly(rows.where("id != pivot").select(*_pair("id", "pivot")))
+    found, tables = settled(lambda: components(links, hashed=True)), groups
 
     def compared(part: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
         """Of the mixed groups of part: the pairs across components of the small ones, and the rows of the large ones."""
-        rows = stored(_mixed(part, signed, found))
-        large = F.col("outside") > (LEAF if depth < DEPTH else 1 << 62)
+        rows = stored(_mixed(part, features, found))
+        large = F.col("met") > (MET if depth < DEPTH else 1 << 62)
         return _across(rows.where(~large), least), rows.where(large).select("band", "id", "rung")
 
     for depth in range(DEPTH + 1):
-        # Some bands at a time: the rows of mixed groups and their sketches take most disk.
-        done = [settled(lambda: compared(part, depth)) for part in parts]  # noqa: B023
-        pairs, more = (reduce(DataFrame.union, tables) for tables in zip(*done))
-        if not pairs.limit(1).count() and not more.limit(1).count():
+        # Some bands at a time: the rows of mixed groups and their features take most disk.
+        done = [settled(lambda: compared(part, depth)) for part in tables]  # noqa: B023
+        pairs, more = (reduce(DataFrame.union, made) for made in zip(*done))
+        large = more.limit(1).count()
+        if not large and not pairs.limit(1).count():
             break
-        rows = stored(_narrower(more, signed, min(depth, DEPTH - 1)))
-        parts = [rows]
-        pivots = rows.groupBy("band").agg(F.min("id").alias("pivot"))
-        links = settled(lambda: _linked(pairs.union(alike(rows.join(pivots, "band"))), lines, least))  # noqa: B023
+        if large:
+            narrow = stored(_narrower(more, features, min(depth, DEPTH - 1)))
+            pivots = narrow.groupBy("band").agg(F.min("id").alias("pivot"))
+            pairs, tables = pairs.union(narrow.join(pivots, "band").where("id != pivot").select(*_pair("id", "pivot"))), [narrow]
+        links = exactly(pairs)
         found = settled(lambda: components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links), hashed=True))  # noqa: B023
+        if not large:
+            break
     return found
 
 
