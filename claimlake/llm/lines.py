@@ -70,15 +70,20 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hashes of all shingles of all lines in turn, repeats included, and how many each line has."""
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    padded = "".join(t if len(t) >= SHINGLE else t + "\0" * (SHINGLE - len(t)) for t in lines)
+    short, lengths = sizes < SHINGLE, np.maximum(sizes, SHINGLE)
+    padded = "".join([t + "\0" * (SHINGLE - len(t)) for t in lines] if short.any() else lines)
     points = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     total = np.zeros(max(0, len(points) - SHINGLE + 1), np.uint64)
+    part = np.empty_like(total)
     for k in range(SHINGLE):
-        total += points[k:k + len(total)] * _POWERS[k]
-    counts, lengths = np.maximum(1, sizes - SHINGLE + 1), np.maximum(sizes, SHINGLE)
-    at = np.arange(counts.sum()) + np.repeat(np.cumsum(lengths) - lengths - np.cumsum(counts) + counts, counts)
-    # What is padded differs from a line that ends in zero characters.
-    return mixed(total[at] + np.repeat(np.where(sizes < SHINGLE, sizes + 1, 0), counts).astype(np.uint64) * _POWERS[-1]), counts
+        total += np.multiply(points[k:k + len(total)], _POWERS[k], out=part)
+    inside = np.ones(len(total), bool)
+    inside[(np.cumsum(lengths)[:-1, None] - np.arange(1, SHINGLE)).ravel()] = False
+    hashes, counts = total[inside], lengths - SHINGLE + 1
+    if short.any():
+        # What is padded differs from a line that ends in zero characters.
+        hashes += np.repeat(np.where(short, sizes + 1, 0), counts).astype(np.uint64) * _POWERS[-1]
+    return mixed(hashes), counts
 
 
 def _runs(lines: list[str], most: int) -> Iterator[tuple[int, int]]:
@@ -98,15 +103,21 @@ def _sets(lines: dict[int, str]) -> dict[int, np.ndarray]:
     ids, texts, out = list(lines), list(lines.values()), {}
     for start, end in _runs(texts, RUN):
         hashes, counts = shingle_hashes(texts[start:end])
-        out.update(zip(ids[start:end], map(np.unique, np.split(hashes, np.cumsum(counts)[:-1]))))
+        out.update(zip(ids[start:end], map(_sorted, np.split(hashes, np.cumsum(counts)[:-1]))))
     return out
 
 
+def _sorted(hashes: np.ndarray) -> np.ndarray:
+    """The distinct ones; for so few this takes less than np.unique."""
+    own = np.sort(hashes)
+    return own[np.append(True, own[1:] != own[:-1])]
+
+
 def _distinct(hashes: np.ndarray, counts: np.ndarray, border: float) -> np.ndarray:
     """How many distinct shingles each line has; of a line whose rung is 0 in any case, how many in all."""
     out, ends = counts.copy(), np.cumsum(counts)
     for k in np.flatnonzero(_rungs(counts * border)).tolist():
-        out[k] = len(np.unique(hashes[ends[k] - counts[k]:ends[k]]))
+        out[k] = len(_sorted(hashes[ends[k] - counts[k]:ends[k]]))
     return out
 
 
@@ -116,14 +127,20 @@ def _rungs(counts: np.ndarray) -> np.ndarray:
 
 def _least_hashes(hashes: np.ndarray, counts: np.ndarray, rungs: np.ndarray) -> np.ndarray:
     """The signature of each line on its rung: 8 bits of the least hash under each function."""
-    owner = np.repeat(np.arange(len(counts)), counts)
-    counted = hashes & ((np.uint64(1) << (2 * rungs).astype(np.uint64)) - np.uint64(1))[owner] == 0
-    counted |= (np.bincount(owner[counted], minlength=len(counts)) == 0)[owner]
-    x, many = (hashes[counted] >> np.uint64(32)).astype(np.uint32), np.bincount(owner[counted], minlength=len(counts))
-    starts, out = np.cumsum(many) - many, np.empty((HASHES, len(counts)), np.uint32)
+    x, many = (hashes >> np.uint64(32)).astype(np.uint32), counts.copy()
+    if rungs.any():
+        counted, ends = np.ones(len(x), bool), np.cumsum(counts)
+        for k in np.flatnonzero(rungs).tolist():
+            own = slice(ends[k] - counts[k], ends[k])
+            some = hashes[own] & np.uint64((1 << 2 * int(rungs[k])) - 1) == 0
+            if some.any():
+                counted[own], many[k] = some, np.count_nonzero(some)
+        x = x[counted]
+    starts, out, part = np.cumsum(many) - many, np.empty((HASHES, len(counts)), np.uint32), np.empty_like(x)
     if len(counts):
         for c in range(HASHES):
-            out[c] = np.minimum.reduceat(x * _A[c] + _B[c], starts)
+            # In place: new arrays for each function would take most of the time.
+            np.minimum.reduceat(np.add(np.multiply(x, _A[c], out=part), _B[c], out=part), starts, out=out[c])
     return np.ascontiguousarray((out * np.uint32(0x9E3779B1) >> np.uint32(24)).T.astype(np.uint8))
 
 
@@ -188,14 +205,12 @@ def _packed(signed: DataFrame, first: int, many: int, parts: int) -> DataFrame:
     def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         own = pa.Table.from_batches(batches)
         least, rungs = _least_of(own), own.column("rung").to_numpy().astype(np.uint64)
-        rows = np.empty((many, len(rungs), ROW // 8), np.uint64)
-        rows[..., 0] = _keys(least, 0, first, many, rungs)
-        rows[..., 1] = own.column("id").to_numpy().view(np.uint64)
-        rows[..., 2:] = _sketches(least)
-        rows[..., -1] |= rungs << np.uint64(48)
-        rows = rows.reshape(-1, ROW // 8)
-        part = (rows[:, 0] % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
-        rows, counts = rows[np.argsort(part, kind="stable")], np.bincount(part, minlength=parts)
+        sketches, keys = _sketches(least), _keys(least, 0, first, many, rungs).ravel()
+        sketches[:, -1] |= rungs << np.uint64(48)
+        part = (keys % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+        order, counts = np.argsort(part, kind="stable"), np.bincount(part, minlength=parts)
+        line, rows = order % len(rungs), np.empty((len(keys), ROW // 8), np.uint64)
+        rows[:, 0], rows[:, 1], rows[:, 2:] = keys[order], own.column("id").to_numpy().view(np.uint64)[line], sketches[line]
         own_parts = np.flatnonzero(counts).astype(np.int32)
         ends = (np.concatenate([[0], np.cumsum(counts[own_parts])]) * ROW).astype(np.int32)
         return batch_of(part=own_parts, rows=pa.Array.from_buffers(pa.binary(), len(own_parts), [None, pa.py_buffer(ends), pa.py_buffer(rows)]))
@@ -275,8 +290,10 @@ def _grouped(packed: DataFrame, least: tuple[int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = b"".join(x for batch in batches for x in batch.column("rows").to_pylist())
         rows = np.frombuffer(rows, np.uint64).reshape(-1, ROW // 8)
-        order = np.argsort(rows[:, 0])
-        same = rows[order[1:], 0] == rows[order[:-1], 0]
+        keys = np.ascontiguousarray(rows[:, 0])
+        order = np.argsort(keys)
+        keys = keys[order]
+        same = keys[1:] == keys[:-1]
         rows = rows[order[np.append(same, False)[:len(order)] | np.append(False, same)[:len(order)]]]
         rows = rows[np.lexsort((rows[:, 1].view(np.int64), rows[:, 0]))]
         groups = np.zeros(len(rows), np.int64)
@@ -447,12 +464,12 @@ def dedup_lines(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     gone = lines.select("id", place).join(several, "id").where(~F.col("place").eqNullSafe(F.col("keeper")))
     gone = gone.groupBy(F.col("place.doc_id").alias("gone_doc"), F.col("place.text_hash").alias("gone_hash")).agg(F.collect_set("place.no").alias("gone"))
     kept = [c for c in docs.columns if c not in ("text", "n_lines", "n_kept")]
-    keyed = docs.withColumn("gone_hash", F.xxhash64("text"))
-    out = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["gone_doc"]) & (keyed["gone_hash"] == gone["gone_hash"]), "left")
-    all_lines = F.split("text", "\n")
-    some = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone")), lambda i: all_lines[i])
-    n_lines = F.coalesce(F.regexp_count("text", F.lit(r"\S[^\n]*")), F.lit(0))
-    return out.select(*kept, F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(some, "\n")).alias("text"),
+    # Texts are cut before the join: behind it, text would be cut anew for every line that is taken from it.
+    keyed = docs.select(*kept, F.xxhash64("text").alias("own_hash"), F.split("text", "\n").alias("all_lines"))
+    out = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["gone_doc"]) & (keyed["own_hash"] == gone["gone_hash"]), "left")
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("all_lines") - 1), F.col("gone")), lambda i: F.col("all_lines")[i])
+    n_lines = F.when(F.col("all_lines").isNull(), 0).otherwise(F.size(F.filter("all_lines", lambda line: line.rlike("\\S"))))
+    return out.select(*kept, F.array_join(F.when(F.col("gone").isNull(), F.col("all_lines")).otherwise(stay), "\n").alias("text"),
                       n_lines.cast("long").alias("n_lines"), (n_lines - F.coalesce(F.size("gone"), F.lit(0))).cast("long").alias("n_kept"))
 
 
