@@ -54,11 +54,13 @@ PORTION = 7
 PACKED, ROW, PART = 1 << 16, 16 + 8 * SKETCH, 16_000_000
 #: Lines of a group that meet all others of it before any is united; comparisons made at a time in a task, and those up to which lines alone in a group look for any that is like them.
 PIVOTS, AT_ONCE, LOOKED = 4096, 1 << 18, 1 << 24
+#: Lines up to which groups choose their pivots side by side, and comparisons made at a time in a larger one.
+TOGETHER, BLOCK = 48, 1 << 14
 #: Characters hashed at a time in a task, and those of pairs whose sets are held at a time.
 RUN, HELD = 1 << 16, 1_000_000
 _rng = np.random.default_rng(3)
 _POWERS = _rng.integers(0, 1 << 63, SHINGLE + 1, np.uint64) * np.uint64(2) + np.uint64(1)
-_A, _B = _rng.integers(0, 1 << 32, HASHES, np.uint32) | np.uint32(1), _rng.integers(0, 1 << 32, HASHES, np.uint32)
+_A = _rng.integers(0, 1 << 32, HASHES, np.uint32) | np.uint32(1)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -139,8 +141,8 @@ def _least_hashes(hashes: np.ndarray, counts: np.ndarray, rungs: np.ndarray) ->
     starts, out, part = np.cumsum(many) - many, np.empty((HASHES, len(counts)), np.uint32), np.empty_like(x)
     if len(counts):
         for c in range(HASHES):
-            # In place: new arrays for each function would take most of the time.
-            np.minimum.reduceat(np.add(np.multiply(x, _A[c], out=part), _B[c], out=part), starts, out=out[c])
+            # In place: a new array for each function would take most of the time.
+            np.minimum.reduceat(np.multiply(x, _A[c], out=part), starts, out=out[c])
     return np.ascontiguousarray((out * np.uint32(0x9E3779B1) >> np.uint32(24)).T.astype(np.uint8))
 
 
@@ -158,31 +160,36 @@ def _sketches(rows: np.ndarray) -> np.ndarray:
 
 
 def signatures(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
-    """id, rung and least hashes l0, l1, ... of each line."""
+    """id, rung, how many times it comes, and least hashes l0, l1, ... of each line."""
     border = 1.001 * least[1] / least[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = dict(zip(batch.column("id").to_pylist(), batch.column("line").to_pylist()))
-            ids, texts = np.fromiter(own, np.int64, len(own)), list(own.values())
+            ids, first, times = np.unique(batch.column("id").to_numpy(), return_index=True, return_counts=True)
+            texts = batch.column("line").take(pa.array(first)).to_pylist()
             for start, end in _runs(texts, RUN):
                 hashes, counts = shingle_hashes(texts[start:end])
                 distinct = _distinct(hashes, counts, border)
                 low, high = _rungs(distinct), _rungs(distinct * border)
                 two = low != high
                 rows = np.concatenate([_least_hashes(hashes, counts, low), _least_hashes(hashes[np.repeat(two, counts)], counts[two], high[two])]).view(np.int64)
-                yield batch_of(id=np.concatenate([ids[start:end], ids[start:end][two]]), rung=np.concatenate([low, high[two]]).astype(np.int32),
-                               **{c: np.ascontiguousarray(rows[:, k]) for k, c in enumerate(LEASTS)})
+                twice = lambda x: np.concatenate([x[start:end], x[start:end][two]])  # noqa: B023, E731
+                yield batch_of(id=twice(ids), rung=np.concatenate([low, high[two]]).astype(np.int32), times=twice(times), **{c: np.ascontiguousarray(rows[:, k]) for k, c in enumerate(LEASTS)})
 
-    # Whole numbers only, as rows with others are made distinct by sorting them.
-    return lines.select("id", "line").mapInArrow(run, f"id long, rung int, {', '.join(f'{c} long' for c in LEASTS)}").dropDuplicates(["id", "rung"])
+    signed = lines.select("id", "line").mapInArrow(run, f"id long, rung int, times long, {', '.join(f'{c} long' for c in LEASTS)}")
+    # Whole numbers only, as rows with others are grouped by sorting them.
+    return signed.groupBy("id", "rung").agg(F.sum("times").alias("times"), *(F.first(c).alias(c) for c in LEASTS))
 
 
 def _keys(rows: np.ndarray, at: int, first: int, many: int, own: np.ndarray) -> np.ndarray:
     """A line of keys for each of so many runs of least hashes, from run `first` of those on that begin at `at`, within what is the rows' own."""
     width = ROWS if at == 0 else NARROW
-    runs = rows[:, at + first * width:at + (first + many) * width].copy().view(f"<u{width}").T.astype(np.uint64)
-    return mixed(mixed(runs | (np.arange(first, first + many, dtype=np.uint64) << np.uint64(32))[:, None]) ^ own)
+    runs = rows[:, at + first * width:at + (first + many) * width].copy().view(f"<u{width}").T
+    return _key(runs, np.arange(first, first + many)[:, None], own)
+
+
+def _key(run: np.ndarray, number: np.ndarray, own: np.ndarray) -> np.ndarray:
+    return mixed(mixed(run.astype(np.uint64) | number.astype(np.uint64) << np.uint64(32)) ^ own)
 
 
 def _keyed(rows: DataFrame, at: int, many: int, own: str) -> DataFrame:
@@ -236,8 +243,15 @@ def _most_different(least: tuple[int, int]) -> float:
 
 def _differing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """In how many least hashes sketches differ."""
-    x = one ^ two
-    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+    counts = _lanes(one ^ two)
+    return sum(counts[:, k] for k in range(SKETCH))
+
+
+def _lanes(x: np.ndarray) -> np.ndarray:
+    """In each word, how many of its pairs of bits aren't 0; x is overwritten."""
+    x |= x >> np.uint64(1)
+    x &= np.uint64(0x5555555555555555)
+    return np.bitwise_count(x)
 
 
 def _begins(groups: np.ndarray) -> np.ndarray:
@@ -253,24 +267,50 @@ def _met(counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield row, at - (ends - counts)[row]
 
 
+def _pivots_of(sketches: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pivots of one large group, and the rows that not all could be compared with."""
+    pivots, rest, words, chosen = np.arange(len(sketches)), np.arange(len(sketches)), np.ascontiguousarray(sketches.T), 0
+    while len(rest) > 1 and chosen < PIVOTS:
+        many = max(1, min(len(rest), BLOCK // len(rest)))
+        near = _lanes(words[:, :many, None] ^ words[:, None, :]).sum(axis=0, dtype=np.uint8) <= most
+        taken = np.zeros(len(rest), bool)
+        if np.count_nonzero(near) == many:
+            taken[:many], chosen = True, chosen + many
+        else:
+            for k in range(many):
+                if not taken[k]:
+                    own = near[k] & ~taken
+                    pivots[rest[own]], taken[own], chosen = rest[k], True, chosen + 1
+        rest, words = rest[~taken], words[:, ~taken]
+    return pivots, rest if len(rest) > 1 else rest[:0]
+
+
 def _pivots(groups: np.ndarray, sketches: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:
     """Of rows in groups: each one's pivot, the first row of its group that no earlier pivot is like and that it is like, and whether the row is needed further.
 
     Needed is who is like any other row of its group by sketch, and whom not all could be compared with.
     """
-    pivots, live, rounds = np.arange(len(groups)), np.arange(len(groups)), 0
-    while len(live) and rounds < PIVOTS:
+    pivots, starts = np.arange(len(groups)), _begins(groups)
+    sizes = np.diff(np.append(starts, len(groups)))
+    unmet = np.zeros(len(groups), bool)
+    for k in np.flatnonzero(sizes > TOGETHER).tolist():
+        own = slice(starts[k], starts[k] + sizes[k])
+        found, left = _pivots_of(sketches[own], most)
+        pivots[own] = starts[k] + found
+        unmet[own] = len(left) > 0
+    live = np.flatnonzero(np.repeat(sizes <= TOGETHER, sizes))
+    words = sketches[live]
+    while len(live):
         starts = _begins(groups[live])
         sizes = np.diff(np.append(starts, len(live)))
         rest = np.repeat(sizes > 1, sizes)
         rest[starts] = False
-        pivot, live = np.repeat(live[starts], sizes)[rest], live[rest]
-        near = np.concatenate([_differing(sketches[live[k:k + AT_ONCE]], sketches[pivot[k:k + AT_ONCE]]) <= most for k in range(0, len(live), AT_ONCE)] or [np.zeros(0, bool)])
-        pivots[live[near]], live = pivot[near], live[~near]
-        rounds += 1
+        pivot = np.repeat(starts, sizes)[rest]
+        first, live, words = live[pivot], live[rest], (words[pivot], words[rest])
+        near = _differing(*words) <= most
+        pivots[live[near]], live, words = first[near], live[~near], words[1][~near]
     needed = pivots != np.arange(len(groups))
     needed[pivots[needed]] = True
-    unmet = np.isin(groups, groups[live])
     # A pivot that is like nobody left may be like those that went to earlier pivots.
     size = groups[-1] + 1 if len(groups) else 0
     alone, like = np.flatnonzero(~needed & ~unmet), np.flatnonzero(needed & ~unmet)
@@ -371,9 +411,11 @@ def _mixed(rows: DataFrame, features: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(live, "band").join(features, ["id", "rung"])
 
 
-def _across(ready: DataFrame, least: tuple[int, int]) -> DataFrame:
+def _across(ready: DataFrame, least: tuple[int, int], once: bool) -> DataFrame:
     """Pairs (a, b) of a line outside of its group's greatest component and one of another component, that sketches, sizes and parities allow.
 
+    once: the groups are all those of the bands that have lines alike, and a pair comes from the first that it shares only.
+
     They meet in the task that has their group: pairs that don't pass, which grow with the square of a group's size, are never made as rows.
     """
     most, (num, den) = _most_different(least), least
@@ -381,18 +423,27 @@ def _across(ready: DataFrame, least: tuple[int, int]) -> DataFrame:
     def met(own: pa.Table, fresh: int) -> pa.RecordBatch:
         """Of rows sorted by band, those outside of the greatest component first: the pairs with one of the rows from fresh on."""
         band, ids, comp, main, n = (own.column(c).to_numpy() for c in ("band", "id", "comp", "main", "n"))
-        sketches, odd = _sketches(_least_of(own)), np.column_stack([own.column(c).to_numpy() for c in PARITIES]).view(np.uint64)
+        hashes = _least_of(own)
+        sketches, odd = _sketches(hashes), np.column_stack([own.column(c).to_numpy() for c in PARITIES]).view(np.uint64)
         begins = _begins(band)
         ends = np.repeat(np.append(begins[1:], len(band)), np.diff(np.append(begins, len(band))))
         outside = np.flatnonzero(comp != main)
         after = np.maximum(outside + 1, fresh)
-        pairs = []
+        pairs, rungs, runs = [], own.column("rung").to_numpy().astype(np.uint64), hashes[:, :BANDS * ROWS].copy().view(f"<u{ROWS}")
+
+        def first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            at = np.argmax(runs[x] == runs[y], axis=1)
+            return _key(runs[x, at], at, rungs[x]) == band[x].view(np.uint64)
+
         for row, k in _met(np.maximum(0, ends[outside] - after)):
             x, y = outside[row], after[row] + k
             for passes in (lambda: comp[x] != comp[y], lambda: _differing(sketches[x], sketches[y]) <= most,  # noqa: B023
                            lambda: np.maximum(np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64), abs(n[x] - n[y])) * (den + num) <= (n[x] + n[y]) * (den - num)):  # noqa: B023
                 keep = passes()
                 x, y = x[keep], y[keep]
+            if once:
+                keep = first_shared(x, y)
+                x, y = x[keep], y[keep]
             pairs.append(np.stack([np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])], axis=1))
         pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
         return batch_of(a=np.ascontiguousarray(pairs[:, 0]), b=np.ascontiguousarray(pairs[:, 1]))
@@ -410,12 +461,12 @@ def _across(ready: DataFrame, least: tuple[int, int]) -> DataFrame:
         if held is not None and held.num_rows > fresh:
             yield met(held, fresh)
 
-    ready = ready.select("band", "id", "comp", "main", "n", *LEASTS, *PARITIES)
+    ready = ready.select("band", "id", "rung", "comp", "main", "n", *LEASTS, *PARITIES)
     return ready.repartition("band").sortWithinPartitions("band", F.col("comp") == F.col("main")).mapInArrow(run, "a long, b long")
 
 
 def line_components(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
-    """id and component of the lines that are similar to another one."""
+    """id and component of the lines that are similar to another one or come several times."""
     signed, n = counted(signatures(lines, least))
     parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * PORTION * ROW // PART))
     groups = [stored(_grouped(_packed(signed, k, min(PORTION, BANDS - k), parts), least)) for k in range(0, BANDS, PORTION)]
@@ -423,46 +474,46 @@ def line_components(lines: DataFrame, least: tuple[int, int] = LEAST) -> DataFra
     ids = small(stored(rows.select("id").distinct()), BROADCAST_IDS)
     texts = stored(lines.select("id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"]))
     odd = stored(parities(texts))
-    features = stored(signed.join(small(odd, BROADCAST_LINES), "id"))
+    features = stored(signed.drop("times").join(small(odd, BROADCAST_LINES), "id"))
     exactly = lambda pairs: settled(lambda: _linked(stored(_possible(stored(pairs.distinct()), small(odd, BROADCAST_LINES), least)), texts, least))
     links = exactly(rows.where("id != pivot").select(*_pair("id", "pivot")))
     found, tables = settled(lambda: components(links, hashed=True)), groups
-
-    def compared(part: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-        """Of the mixed groups of part: the pairs across components of the small ones, and the rows of the large ones."""
-        rows = stored(_mixed(part, features, found))
-        large = F.col("met") > (MET if depth < DEPTH else 1 << 62)
-        return _across(rows.where(~large), least), rows.where(large).select("band", "id", "rung")
-
     for depth in range(DEPTH + 1):
-        # Some bands at a time: the rows of mixed groups and their features take most disk.
-        done = [settled(lambda: compared(part, depth)) for part in tables]  # noqa: B023
-        pairs, more = (reduce(DataFrame.union, made) for made in zip(*done))
-        large = more.limit(1).count()
-        if not large and not pairs.limit(1).count():
+        known = small(found, BROADCAST_IDS)
+        # Some bands at a time, which bounds what their shuffles take.
+        ready = reduce(DataFrame.union, [settled(lambda: _mixed(part, features, known)) for part in tables])  # noqa: B023
+        large = F.col("met") > (MET if depth < DEPTH else 1 << 62)
+        more = ready.where(large).select("band", "id", "rung")
+        split = more.limit(1).count() > 0
+        pairs = stored(_across(ready.where(~large), least, once=not depth and not split))
+        if not split and not pairs.limit(1).count():
             break
-        if large:
+        if split:
             narrow = stored(_narrower(more, features, min(depth, DEPTH - 1)))
             pivots = narrow.groupBy("band").agg(F.min("id").alias("pivot"))
             pairs, tables = pairs.union(narrow.join(pivots, "band").where("id != pivot").select(*_pair("id", "pivot"))), [narrow]
         links = exactly(pairs)
         found = settled(lambda: components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links), hashed=True))  # noqa: B023
-        if not large:
+        if not split:
             break
-    return found
+    again = signed.where("times > 1").select("id").distinct().join(found, "id", "left_anti")
+    return found.select("id", "component").union(again.select("id", F.col("id").alias("component")))
+
+
+def _gone(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """gone_doc, gone_hash and gone: the numbers of the lines that go, by doc_id and text hash."""
+    place = F.struct("doc_id", "text_hash", "no").alias("place")
+    own = stored(lines.select("id", place).join(small(found, BROADCAST_IDS), "id").select("component", "place"))
+    keepers = own.groupBy("component").agg(F.min("place").alias("keeper"))
+    gone = own.join(keepers, "component").where(~F.col("place").eqNullSafe(F.col("keeper")))
+    return gone.groupBy(F.col("place.doc_id").alias("gone_doc"), F.col("place.text_hash").alias("gone_hash")).agg(F.collect_set("place.no").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, least: tuple[int, int] = LEAST) -> DataFrame:
     """docs with the lines that stay in text, and n_lines and n_kept (lines that aren't white space only)."""
     lines = lines_of(docs)
     found = settled(lambda: line_components(lines, least))
-    place = F.struct("doc_id", "text_hash", "no").alias("place")
-    counted = lines.select("id", place).groupBy("id").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    shared = labelled(counted, found)
-    keepers = shared.groupBy("comp").agg(F.min("first").alias("keeper"), F.sum("n").alias("all")).where("all > 1")
-    several = stored(shared.join(keepers, "comp").select("id", "keeper"))
-    gone = lines.select("id", place).join(several, "id").where(~F.col("place").eqNullSafe(F.col("keeper")))
-    gone = gone.groupBy(F.col("place.doc_id").alias("gone_doc"), F.col("place.text_hash").alias("gone_hash")).agg(F.collect_set("place.no").alias("gone"))
+    gone = settled(lambda: _gone(lines, found))
     kept = [c for c in docs.columns if c not in ("text", "n_lines", "n_kept")]
     # Texts are cut before the join: behind it, text would be cut anew for every line that is taken from it.
     keyed = docs.select(*kept, F.xxhash64("text").alias("own_hash"), F.split("text", "\n").alias("all_lines"))

@@ -311,6 +311,81 @@ def test_lines_leave_no_steps_behind(spark, monkeypatch, tmp_path):
     assert sum(r["n_kept"] for r in got.collect()) == 1
 
 
+def test_pivots_find_all_that_are_like_another(monkeypatch):
+    """Each row goes to the first of its group that is like it and no earlier pivot's; needed are the rows that are like another one."""
+    rng = np.random.default_rng(6)
+    groups = np.sort(np.concatenate([np.full(90, 0), rng.integers(1, 60, 260)]))
+    groups = np.searchsorted(np.unique(groups), groups)
+    bases = rng.integers(0, 256, (12, lines.HASHES), np.uint8)
+    least = bases[rng.integers(0, 12, len(groups))]
+    other = rng.random(least.shape) < rng.random((len(least), 1)) * 0.5
+    least[other] = rng.integers(0, 256, other.sum(), np.uint8)
+    sketches, most = lines._sketches(least), lines._most_different(lines.LEAST)
+    like = np.array([[bool(lines._differing(sketches[[a]], sketches[[b]])[0] <= most) and groups[a] == groups[b] for b in range(len(groups))] for a in range(len(groups))])
+    expected = []
+    for k in range(len(groups)):
+        expected.append(next((p for p in range(k) if expected[p] == p and like[p, k]), k))
+    for together, pivots, looked in ((48, 4096, 1 << 24), (2, 4096, 1 << 24), (48, 4096, 0), (2, 4, 1 << 24)):
+        for name, value in (("TOGETHER", together), ("PIVOTS", pivots), ("LOOKED", looked)):
+            monkeypatch.setattr(lines, name, value)
+        got, needed = lines._pivots(groups, sketches, most)
+        alike = like.sum(axis=1) > 1
+        assert 50 < alike.sum() < len(groups) - 20 and needed[alike].all()
+        if pivots == 4096:
+            assert got.tolist() == expected
+        if pivots == 4096 and looked:
+            assert needed.tolist() == alike.tolist()
+    assert [x.tolist() for x in lines._pivots(groups[:0], sketches[:0], most)] == [[], []]
+
+
+@pytest.fixture()
+def unlike(spark):
+    """200 lines around one passage, the first three of them similar and all others at about 0.6 to each other."""
+    rng = np.random.default_rng(7)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    passage = "".join(rng.choice(letters, 400))
+    texts = [passage + "".join(rng.choice(letters, 130)) for _ in range(200)]
+    texts[1:3] = [texts[0][:-10] + "".join(rng.choice(letters, 10)) for _ in range(2)]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_unlike_lines_of_a_group_make_no_pairs(unlike, monkeypatch):
+    """Lines that share a passage share bands, but of their pairs, which are as many as the square of their number, hardly any becomes a row."""
+    made, linked = [], lines._linked
+    monkeypatch.setattr(lines, "_linked", lambda pairs, *a: made.append(pairs.count()) or linked(pairs, *a))
+    got = lines.dedup_lines(unlike).collect()
+    assert sorted(r["doc_id"] for r in got if not r["n_kept"]) == [1, 2]
+    assert sum(made) < 400
+
+
+def test_pairs_across_components_in_portions(unlike, spark, monkeypatch):
+    """However many rows a task holds at a time, and from whichever band, the same pairs come, each similar one among them."""
+    signed, texts = lines.signatures(lines.lines_of(unlike)).drop("times").cache(), lines.lines_of(unlike)
+    features = signed.join(lines.parities(texts), "id")
+    ready = lines.bands(signed).join(features, ["id", "rung"]).selectExpr("*", "id comp").cache()
+    ready = ready.join(ready.groupBy("band").agg({"id": "min"}).withColumnRenamed("min(id)", "main"), "band").cache()
+    pairs = {}
+    for held in (1 << 16, 500):
+        monkeypatch.setattr(lines, "PACKED", held)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+        try:
+            for once in (False, True):
+                rows = [(r["a"], r["b"]) for r in lines._across(ready, lines.LEAST, once).collect()]
+                assert not once or len(rows) == len(set(rows))
+                pairs[held, once] = set(rows)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    ids = {r["doc_id"]: r["id"] for r in texts.collect()}
+    similar = {(max(ids[a], ids[b]), min(ids[a], ids[b])) for a in range(3) for b in range(a)}
+    assert len({frozenset(x) for x in pairs.values()}) == 1 and similar <= pairs[500, True]
+
+
+def test_lines_that_come_again_without_any_like_them(spark):
+    docs = [(1, "one line of the first text\nanother line, which comes again"), (2, "another line, which comes again\na third line"), (2, "another line, which comes again\na third line"), (None, "a third line")]
+    got = lines.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_lines"], r["n_kept"]) for r in got) == [(0, "a third line", 1, 1), (1, docs[0][1], 2, 2), (2, "", 2, 0), (2, "", 2, 0)]
+
+
 # 4 and 5: scans
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 NOISE = st.text(alphabet="aAbpswordPTOKENsecrtik=:\"' 0123456789.+-()@_/\nKIA", max_size=200)
