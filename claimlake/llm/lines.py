@@ -51,9 +51,9 @@ BROADCAST_IDS = 1_000_000
 #: Bands whose rows are dealt at a time, which bounds the disk that they take before most of them, with one line each, are left out.
 PORTION = 7
 #: Lines whose bands a task packs at a time, bytes of a packed row, and of those that one task gets, about.
-PACKED, ROW, PART = 1 << 16, 16 + 8 * SKETCH, 16_000_000
+PACKED, ROW, PART = 1 << 14, 16 + 8 * SKETCH, 6_000_000
 #: Lines of a group that meet all others of it before any is united; comparisons made at a time in a task, and those up to which lines alone in a group look for any that is like them.
-PIVOTS, AT_ONCE, LOOKED = 4096, 1 << 18, 1 << 24
+PIVOTS, AT_ONCE, LOOKED = 4096, 1 << 15, 1 << 24
 #: Lines up to which groups choose their pivots side by side, and comparisons made at a time in a larger one.
 TOGETHER, BLOCK = 48, 1 << 14
 #: Characters hashed at a time in a task, and those of pairs whose sets are held at a time.
